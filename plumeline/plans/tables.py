@@ -43,7 +43,7 @@ def nation_series(spark: SparkSession, folder: str) -> DataFrame:
 
 def shipments(spark: SparkSession, folder: str, period: Column) -> DataFrame:
     return table(spark, folder, "lineitem").select(
-        F.col("l_suppkey").alias("site"), period.alias("t"), (F.col("l_extendedprice") / 1000.0).alias("v")
+        F.col("l_suppkey").alias("site"), period.alias("t"), (F.col("l_extendedprice") / 997.0).alias("v")
     )
 
 
@@ -97,7 +97,7 @@ def site_commitments(spark: SparkSession, folder: str) -> DataFrame:
         "sector",
         F.concat(F.lit("Programme "), F.col("sector")).alias("action_name"),
         F.lit(1995).alias("baseline_year"),
-        (F.when(sink, -F.col("value")).otherwise(F.col("value")) / 1e4).alias("baseline_emissions_mtco2"),
+        (F.when(sink, -F.col("value")).otherwise(F.col("value")) / 9973.0).alias("baseline_emissions_mtco2"),
         F.when(site % 5 == 0, F.lit(20.0)).alias("share_pct"),
         F.when(aim == 0, F.lit(0.0)).when(aim == 2, F.lit(30.0)).when(aim == 3, F.lit(90.0)).alias("reduction_target_pct"),
         F.when(sink & (site % 3 == 0), F.lit(120.0)).alias("removal_increase_pct"),
@@ -118,7 +118,7 @@ def site_commitments(spark: SparkSession, folder: str) -> DataFrame:
             F.when(site % 3 == 0, F.lit("forecast")).when(site % 3 == 1, F.lit("target")).alias("mode"),
             F.lit(2030).alias("target_year"),
             F.lit(1995).alias("baseline_year"),
-            (F.col("value") / 1e7).alias("baseline_emissions_gtco2"),
+            (F.col("value") / 9999991.0).alias("baseline_emissions_gtco2"),
             F.when(site % 3 != 0, (F.lit(40) + site % 5 * 10).cast("double")).alias("target_reduction_pct"),
             "policy_actions",
         )
@@ -143,7 +143,7 @@ def commitment_documents(spark: SparkSession, folder: str, broken: bool = True)
     short = F.transform(
         actions,
         lambda a: a.withField(
-            "yearly_improvement_pct", F.slice(a["yearly_improvement_pct"], 1, F.size(a["yearly_improvement_pct"]) - 1)
+            "yearly_improvement_pct", F.slice(a["yearly_improvement_pct"], 1, F.greatest(F.size(a["yearly_improvement_pct"]) - 1, F.lit(0)))
         ),
     )
     no_status = F.transform(actions, lambda a: a.dropFields("status"))
