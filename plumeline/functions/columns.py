@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 
 def gaussian_score(x: Column, optimum: Column, sigma: Column) -> Column:
-    return F.exp(-F.pow(x - optimum, F.lit(2.0)) / (F.lit(2.0) * F.pow(sigma, F.lit(2.0))))
+    away = x - optimum
+    return F.exp(-(away * away) / (F.lit(2.0) * sigma * sigma))
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
-    """`x` held inside [low, high]; null stays null (greatest/least alone would skip it)."""
-    return F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(float(high))), F.lit(float(low))))
+    """`x` held inside [low, high]. `x` must not be null: greatest and least skip nulls."""
+    return F.greatest(F.least(x, F.lit(float(high))), F.lit(float(low)))
 
 
 def lookup(values: Column, key: Column, default: float) -> Column:

@@ -16,7 +16,8 @@ PATHWAYS = [
     ("Electroreduction (CO route)", "CO (syngas component)", 0.50, 1.0, 25, 15, 1, 0.8, 1.5, 0.6),
 ]
 
-# What a pathway absent from the table gets.
+# What a pathway absent from the table gets (its score widths are half its windows, and it
+# makes none of the named products).
 UNKNOWN_PATHWAY = {
     "primary_product": "Unknown",
     "base_yield": 0.4,
@@ -27,6 +28,12 @@ UNKNOWN_PATHWAY = {
     "p_width": 8.0,
     "h_opt": 2.0,
     "h_width": 1.0,
+    "t_sigma": 30.0,
+    "p_sigma": 4.0,
+    "h_sigma": 0.5,
+    "made_const": 0.0,
+    "made_temp": 0.0,
+    "made_h2": 0.0,
 }
 
 # Product selectivity = constant + a * temperature score + b * (1 - temperature score) + c * H2 score.
@@ -79,19 +86,56 @@ REACTORS = [
 PRODUCTS = {"CH4": "ch4", "CO": "co", "CH3OH": "ch3oh", "C5+": "c5p", "HCOO/HCOOH": "hcoo"}
 
 
+# Hint texts for a low score; optimum and half of the window are filled in per pathway.
+HINTS = {
+    "t": "Increase temperature toward ~{opt}°C (±{half}°C).",
+    "p": "Increase pressure toward ~{opt} bar (±{half} bar).",
+    "h": "Adjust H₂:CO₂ toward ~{opt}:1 (±{half}).",
+}
+
+# Smallest width (sigma) of the temperature, pressure and H2 scores.
+SMALLEST_SIGMA = {"t": 10.0, "p": 2.0, "h": 0.4}
+
+
+def hint(kind: str, optimum: float, width: float) -> str:
+    if kind == "h":
+        return HINTS[kind].format(opt=f"{optimum:.1f}", half=f"{width / 2:.1f}")
+    return HINTS[kind].format(opt=int(optimum), half=int(width / 2))
+
+
+UNKNOWN_PATHWAY |= {
+    f"{kind}_hint": hint(kind, UNKNOWN_PATHWAY[f"{kind}_opt"], UNKNOWN_PATHWAY[f"{kind}_width"]) for kind in HINTS
+}
+
+
 def pathway_table(spark: SparkSession) -> DataFrame:
-    """One row per pathway with its window, product and selectivity coefficients."""
-    names = ["primary_product", "base_yield", "h2_stoich", "t_opt", "t_width", "p_opt", "p_width", "h_opt", "h_width"]
+    """One row per pathway with its product, base yield, window and selectivity terms.
+
+    `<k>_sigma` is the score width and `<k>_hint` the text for a low score, for k in t, p, h. A selectivity is linear in the two scores, so per
+    product there is `<p>_const`, `<p>_temp` and `<p>_h2` (null where it is not made), and the same for
+    `made`, the sum over the products.
+    """
+    names = ["base_yield", "h2_stoich", "t_opt", "t_width", "p_opt", "p_width", "h_opt", "h_width"]
     columns: dict[str, pa.Array] = {
         "pathway": pa.array([row[0] for row in PATHWAYS]),
         "pathway_pos": pa.array(range(len(PATHWAYS)), pa.int32()),
         "primary_product": pa.array([row[1] for row in PATHWAYS]),
     }
-    for offset, name in enumerate(names[1:], start=2):
+    for offset, name in enumerate(names, start=2):
         columns[name] = pa.array([float(row[offset]) for row in PATHWAYS], pa.float64())
+    for kind, smallest in SMALLEST_SIGMA.items():
+        widths = columns[f"{kind}_width"].to_pylist()
+        columns[f"{kind}_sigma"] = pa.array([max(smallest, w / 2) for w in widths], pa.float64())
+        optima = columns[f"{kind}_opt"].to_pylist()
+        columns[f"{kind}_hint"] = pa.array([hint(kind, *pair) for pair in zip(optima, widths, strict=True)])
+    linear = {(row[0], row[1]): (row[2] + row[4], row[3] - row[4], row[5]) for row in SELECTIVITY}
     for product, short in PRODUCTS.items():
-        by_pathway = {row[0]: list(row[2:]) for row in SELECTIVITY if row[1] == product}
-        columns[f"mix_{short}"] = pa.array([by_pathway.get(row[0]) for row in PATHWAYS], pa.list_(pa.float64()))
+        for term, name in enumerate(("const", "temp", "h2")):
+            cells = [linear.get((row[0], product), (None, None, None))[term] for row in PATHWAYS]
+            columns[f"{short}_{name}"] = pa.array(cells, pa.float64())
+    for term, name in enumerate(("const", "temp", "h2")):
+        sums = [sum(v[term] for (path, _), v in linear.items() if path == row[0]) for row in PATHWAYS]
+        columns[f"made_{name}"] = pa.array(sums, pa.float64())
     return spark.createDataFrame(pa.table(columns))
 
 

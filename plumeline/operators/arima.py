@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumeline.session import spread
+
 # The closed-form candidates in tie-break order, with their parameter counts (variance included).
 CANDIDATES = [("mean", 2), ("random_walk", 1), ("random_walk_drift", 2), ("ar1", 3), ("arima110", 3)]
 
@@ -181,13 +183,13 @@ def _search_one(y: np.ndarray, steps: int, max_order: int = 5) -> tuple[np.ndarr
     return ahead, f"({p},{len(heads)},{q})"
 
 
-def search_arima(frame: DataFrame, keys: list[str], value: str, horizon: int | str) -> DataFrame:
+def search_arima(frame: DataFrame, keys: list[str], value: str, horizon: str) -> DataFrame:
     """Rows `(keys..., _pos, arima_pred, arima_order)` for the test rows (fitted on the training rows)
-    and for the future positions (fitted on all rows). `frame` comes from `holdout_frame`; `horizon`
-    is a number or the name of a column."""
+    and for the future positions (fitted on all rows). `frame` comes from `holdout_frame`; the column
+    `horizon` holds the number of future periods. A group is one series, one row per period."""
     source = frame.select(
         *keys, "_pos", "_n", "_n_test", "_train", F.col(value).alias("_y"),
-        (F.col(horizon) if isinstance(horizon, str) else F.lit(horizon)).cast("int").alias("_steps"),
+        F.col(horizon).cast("int").alias("_steps"),
     )
     schema = source.select(*keys).schema.simpleString()[len("struct<") : -1].replace(":", " ")
 
@@ -208,6 +210,6 @@ def search_arima(frame: DataFrame, keys: list[str], value: str, horizon: int | s
             out.insert(0, key, pdf[key].iloc[0])
         return out
 
-    return source.groupBy(*keys).applyInPandas(
+    return spread(source, *keys).groupBy(*keys).applyInPandas(
         one_series, f"{schema}, _pos int, arima_pred double, arima_order string"
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumeline.functions.columns import axis, one_decimal, whole
 from plumeline.functions.process_tables import CATALYSTS, PATHWAYS, PRODUCTS, pathway_table
 from plumeline.operators.scoring import is_electro, is_valid_pair, score_joined, score_points, with_process_constants
+from plumeline.session import spread
 
 CATALYST_COLUMNS = [name for name, _ in CATALYSTS]
 
@@ -157,9 +158,10 @@ def grid_points(units: DataFrame, steps: tuple[int, int, int]) -> DataFrame:
 def grid_search(units: DataFrame, keys: list[str], steps: tuple[int, int, int] = (7, 7, 7), objective: str = "Maximize yield") -> DataFrame:
     """All grid points of all units, scored, with `objective_score` (0 where the product is not made).
 
-    The constants are looked up once per unit, before the grid is spread out.
+    The units are hashed by key and looked up before each becomes its grid, so the many grid rows are
+    never shuffled: a ranking or a heat map per unit finds them in place.
     """
-    grid = grid_points(with_process_constants(units), steps)
+    grid = grid_points(with_process_constants(spread(units, *keys)), steps)
     scored = score_joined(grid, [*keys, *GRID_COLUMNS])
     return scored.select(
         *keys,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import SQLTransformer, StringIndexer, StringIndexerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -153,23 +154,28 @@ def label_codes(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def encode_labels(df: DataFrame, codes: DataFrame, columns: dict[str, str] | None = None) -> DataFrame:
-    """Adds the code columns. When any of the labels is unknown, all codes of the row are 0."""
-    columns = columns or LABELS
-    out = df
-    for source in columns:
-        found = codes.filter(F.col("column_name") == source).select(
-            F.col("label").alias(source), F.col("code").alias(f"_code_{source}")
-        )
-        out = out.join(found, source, "left")
-    known = [F.col(f"_code_{source}").isNotNull() for source in columns]
-    every = known[0]
-    for test in known[1:]:
-        every = every & test
-    return out.select(
-        *df.columns,
-        *[F.when(every, F.col(f"_code_{s}")).otherwise(0).cast("int").alias(t) for s, t in columns.items()],
+def label_indexer(df: DataFrame) -> StringIndexerModel:
+    """The same codes as a fitted stage; labels it has not seen get the first free code."""
+    return StringIndexer(
+        inputCols=list(LABELS),
+        outputCols=[f"_{t}" for t in LABELS.values()],
+        stringOrderType="alphabetAsc",
+        handleInvalid="keep",
+    ).fit(df)
+
+
+def unknown_rule(indexer: StringIndexerModel) -> SQLTransformer:
+    """The code columns: when any label of a row is unknown, all of its codes are 0."""
+    unknown = " OR ".join(
+        f"_{t} = {len(labels)}" for t, labels in zip(LABELS.values(), indexer.labelsArray, strict=True)
     )
+    codes = ", ".join(f"IF({unknown}, 0, CAST(_{t} AS INT)) AS {t}" for t in LABELS.values())
+    return SQLTransformer(statement=f"SELECT *, {codes} FROM __THIS__")
+
+
+def encode_labels(df: DataFrame, indexer: StringIndexerModel) -> DataFrame:
+    """Adds the code columns, row by row."""
+    return unknown_rule(indexer).transform(indexer.transform(df)).drop(*[f"_{t}" for t in LABELS.values()])
 
 
 def standardise(df: DataFrame, columns: list[str]) -> DataFrame:

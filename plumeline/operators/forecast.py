@@ -33,14 +33,21 @@ def scored_frame(
     horizon: int | str = 0,
     degree: int = 2,
     arima: str = "closed_form",
+    until: int | str | None = None,
 ) -> DataFrame:
     """History and future rows with both forecasts and both hold-out errors.
 
     The training fit and the full fit run side by side over the same windows, so a series is shuffled
-    and sorted once whatever the degree. `horizon` is a number or the name of a per-series column.
+    and sorted once whatever the degree. The future reaches `horizon` periods past the last one, or up
+    to the period `until`; both take a number or the name of a per-series column.
     """
-    ahead = F.col(horizon) if isinstance(horizon, str) else F.lit(horizon)
+    end = horizon if until is None else until
+    ahead = F.col(end) if isinstance(end, str) else F.lit(end)
     frame = holdout_frame(series, keys, time).withColumn("_all", F.lit(True))
+    if until is not None:
+        ahead = ahead - F.col("_last")
+    frame = frame.withColumn("_ahead", F.greatest(ahead, F.lit(0)).cast("int"))
+    ahead = F.col("_ahead")
     if arima == "closed_form":
         frame = closed_form_arima(frame, keys, time, value, {"_train": "_at", "_all": "_aa"})
         frame = extend_future(frame, time, value, ahead)
@@ -50,7 +57,7 @@ def scored_frame(
         frame = frame.withColumn("arima_pred", predicted).withColumn("arima_order", F.col("_aa_model"))
         frame = frame.drop(*parameter_columns("_at"), *parameter_columns("_aa"))
     elif arima == "search":
-        searched = search_arima(frame, keys, value, horizon)
+        searched = search_arima(frame, keys, value, "_ahead")
         frame = extend_future(frame, time, value, ahead).join(searched, [*keys, "_pos"], "left")
     else:
         raise ValueError(f"unknown arima method: {arima}")
@@ -95,9 +102,10 @@ def forecast_best(
     horizon: int | str = 20,
     degree: int = 2,
     arima: str = "closed_form",
+    until: int | str | None = None,
 ) -> DataFrame:
     """Rows `(keys..., time, forecast, model, poly_mape, arima_mape)` for the future of every series."""
-    frame = scored_frame(series, keys, time, value, horizon, degree, arima).filter("_future")
+    frame = scored_frame(series, keys, time, value, horizon, degree, arima, until).filter("_future")
     model = chosen_model(degree)
     return frame.select(
         *keys,

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumeline.functions.columns import clamp, messages
 from plumeline.functions.process_tables import PATHWAYS
-from plumeline.operators.features import FEATURES, LABELS, add_features
+from plumeline.operators.features import FEATURES, add_features, label_indexer, unknown_rule
 from plumeline.operators.scoring import is_electro, score_points, slate_map, yield_range
 from plumeline.session import use_checkpoint_dir
 
@@ -41,21 +41,8 @@ def _feature_stages(table: DataFrame) -> list:
 
     Scaling drops the attributes that would make the trees treat the codes as categories.
     """
-    indexer = StringIndexer(
-        inputCols=list(LABELS),
-        outputCols=[f"_{t}" for t in LABELS.values()],
-        stringOrderType="alphabetAsc",
-        handleInvalid="keep",
-    ).fit(table)
-    unknown = " OR ".join(
-        f"_{t} = {float(len(labels))}" for t, labels in zip(LABELS.values(), indexer.labelsArray, strict=True)
-    )
-    codes = ", ".join(f"CASE WHEN {unknown} THEN 0.0D ELSE _{t} END AS {t}" for t in LABELS.values())
-    return [
-        indexer,
-        SQLTransformer(statement=f"SELECT *, {codes} FROM __THIS__"),
-        VectorAssembler(inputCols=FEATURES, outputCol="_assembled"),
-    ]
+    indexer = label_indexer(table)
+    return [indexer, unknown_rule(indexer), VectorAssembler(inputCols=FEATURES, outputCol="_assembled")]
 
 
 def train(table: DataFrame, target: str, trees: int = TREES, depth: int = DEPTH) -> PipelineModel:
@@ -169,9 +156,10 @@ def add_ml_predictions(points: DataFrame, models: dict[str, PipelineModel]) -> D
             rows = rows.withColumn(target, clamp(F.col(f"_raw_{target}"), 0, 100))
         else:
             rows = rows.withColumn(target, F.lit(None).cast("double"))
+    both = F.col("X_CO2").isNotNull() & F.col("Y_MeOH").isNotNull()
     selectivity = F.when(
-        F.col("X_CO2") > 0.01, clamp(F.col("Y_MeOH") / F.col("X_CO2") * 100.0, 0, 100)
-    ).when(F.col("X_CO2").isNotNull() & F.col("Y_MeOH").isNotNull(), 0.0)
+        both & (F.col("X_CO2") > 0.01), clamp(F.col("Y_MeOH") / F.col("X_CO2") * 100.0, 0, 100)
+    ).when(both, 0.0)
     return rows.withColumn("S_MeOH", selectivity).select(
         *keep,
         "X_CO2",

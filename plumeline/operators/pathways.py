@@ -91,14 +91,23 @@ def scenario_list(keyed: DataFrame, scenarios: list[dict]) -> DataFrame:
     return keyed.select("*", F.inline(F.array(*fields)))
 
 
-def split_scenarios(
-    series: DataFrame, scenarios: DataFrame, keys: list[str], time: str, value: str
-) -> tuple[DataFrame, DataFrame]:
-    """Scenarios with start, current value and target, and the rejected ones with the reason."""
-    span = spans(series, keys, time, value).select(
+def starts(series: DataFrame, keys: list[str], time: str, value: str) -> DataFrame:
+    """Last period and its value per key, as scenarios start from them."""
+    return spans(series, keys, time, value).select(
         *keys, F.col("last_period").alias("start"), F.col("last_value").alias("current")
     )
-    placed = resolve_targets(scenarios.join(span, keys, "left"))
+
+
+def split_scenarios(
+    series: DataFrame, scenarios: DataFrame | list[dict], keys: list[str], time: str, value: str
+) -> tuple[DataFrame, DataFrame]:
+    """Scenarios with start, current value and target, and the rejected ones with the reason.
+
+    A list applies to every series and needs no join; a table names the scenarios of each key.
+    """
+    span = starts(series, keys, time, value)
+    placed = scenario_list(span, scenarios) if isinstance(scenarios, list) else scenarios.join(span, keys, "left")
+    placed = resolve_targets(placed)
     usable = F.col("target_period") > F.col("start")
     rejected = placed.filter(F.col("start").isNull() | ~usable).select(
         *keys,
@@ -147,7 +156,7 @@ def milestone_pathway(
 
 def run_scenarios(
     series: DataFrame,
-    scenarios: DataFrame,
+    scenarios: DataFrame | list[dict],
     keys: list[str],
     time: str,
     value: str,
@@ -157,13 +166,17 @@ def run_scenarios(
     """Rows `(keys..., scenario, pathway, time, bau, commitment, gap, model, start, current, target, ...)`.
 
     The business-as-usual forecast is made once per series, up to its furthest target, and shared by
-    all its scenarios. `scenarios` has the columns of `scenario_list`; `policy_path` has rows
+    all its scenarios. `scenarios` is a list as for `scenario_list`, or a table with its columns; `policy_path` has rows
     `(keys..., time, path)` for the policy-driven shape. Milestone scenarios without milestones and
     policy scenarios without a policy path follow the exponential shape.
     """
     placed, _ = split_scenarios(series, scenarios, keys, time, value)
-    ahead = placed.groupBy(*keys).agg(F.max(F.col("target_period") - F.col("start")).cast("int").alias("_horizon"))
-    bau = forecast_best(series.join(ahead, keys), keys, time, value, "_horizon", degree).select(
+    if isinstance(scenarios, list):
+        until, bounded = max(s["target_period"] for s in scenarios), series
+    else:
+        until = "_until"
+        bounded = series.join(placed.groupBy(*keys).agg(F.max("target_period").alias(until)), keys)
+    bau = forecast_best(bounded, keys, time, value, degree=degree, until=until).select(
         *keys, time, F.col("forecast").alias("bau"), "model"
     )
     rows = bau.join(placed, keys).filter(F.col(time) <= F.col("target_period"))

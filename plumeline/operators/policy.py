@@ -59,7 +59,7 @@ def find_commitment(commitments: DataFrame, entry: str) -> DataFrame:
 
 
 def is_forecast_mode() -> Column:
-    return (F.col("mode") == "forecast") | F.col("target_reduction_pct").isNull()
+    return F.coalesce(F.col("mode") == "forecast", F.lit(False)) | F.col("target_reduction_pct").isNull()
 
 
 def commitment_targets(commitments: DataFrame) -> DataFrame:
@@ -78,11 +78,18 @@ def mode_mismatch(commitments: DataFrame, expected: str) -> DataFrame:
 def commitment_actions(commitments: DataFrame, keys: list[str]) -> DataFrame:
     """One row per action, with a manual share kept apart from the calculated one."""
     exploded = commitments.select(
-        *keys, "target_year", "baseline_emissions_gtco2", F.posexplode("policy_actions").alias("action_idx", "a")
+        *keys,
+        is_forecast_mode().alias("forecast_mode"),
+        "target_year",
+        "target_reduction_pct",
+        "baseline_emissions_gtco2",
+        F.posexplode("policy_actions").alias("action_idx", "a"),
     )
     return exploded.select(
         *keys,
+        "forecast_mode",
         "target_year",
+        "target_reduction_pct",
         "baseline_emissions_gtco2",
         "action_idx",
         "a.sector",
@@ -223,7 +230,8 @@ def reductions_by_year(actions: DataFrame, start: int, end: int, use_target_year
 def annual_fraction(shares: DataFrame, keys: list[str], start: int, end: int) -> DataFrame:
     """Reduction as a fraction of the baseline per country and year, at most 1.
 
-    Emitters count by share; sinks count their additional removal against the country baseline.
+    Emitters count by share; sinks count their additional removal against the country baseline. The
+    country's mode, target year and reduction are carried along (each is the same on all its actions).
     """
     baseline, pct = F.col("baseline_emissions_mtco2"), F.col("reduction_pct") / 100.0
     emitters = F.when(baseline > 0, F.col("share_pct") / 100.0 * pct)
@@ -233,8 +241,21 @@ def annual_fraction(shares: DataFrame, keys: list[str], start: int, end: int) ->
     return (
         reductions_by_year(shares, start, end)
         .groupBy(*keys, "year")
-        .agg(F.coalesce(F.sum(emitters), F.lit(0.0)).alias("_e"), F.coalesce(F.sum(sinks), F.lit(0.0)).alias("_s"))
-        .select(*keys, "year", F.least(F.col("_e") + F.col("_s"), F.lit(1.0)).alias("fraction"))
+        .agg(
+            F.coalesce(F.sum(emitters), F.lit(0.0)).alias("_e"),
+            F.coalesce(F.sum(sinks), F.lit(0.0)).alias("_s"),
+            F.first("forecast_mode").alias("forecast_mode"),
+            F.first("target_year").alias("target_period"),
+            F.coalesce(F.first("target_reduction_pct"), F.lit(0.0)).alias("cut_pct"),
+        )
+        .select(
+            *keys,
+            "year",
+            F.least(F.col("_e") + F.col("_s"), F.lit(1.0)).alias("fraction"),
+            "forecast_mode",
+            "target_period",
+            "cut_pct",
+        )
     )
 
 
@@ -290,22 +311,23 @@ def sector_report(shares: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def policy_pathway(bau: DataFrame, fractions: DataFrame, placed: DataFrame, keys: list[str], time: str) -> DataFrame:
+def policy_pathway(bau: DataFrame, fractions: DataFrame, starts: DataFrame, keys: list[str], time: str) -> DataFrame:
     """Rows `(keys..., time, path)`: the current value cut by the policy fraction.
 
     In target mode it stays at or above the target and ends on it; it never exceeds business as usual
-    and never rises. `bau` has `(keys..., time, bau)`; `fractions` `(keys..., time, fraction)`; `placed`
-    one row per key with `current, target, target_period, forecast_mode`.
+    and never rises. `bau` has `(keys..., time, bau)`; `fractions` has `(keys..., time, fraction,
+    forecast_mode, target_period, cut_pct)`; `starts` has `(keys..., current)`. The target is the
+    current value less `cut_pct` percent.
     """
-    cut = F.col("current") * (F.lit(1.0) - F.col("fraction"))
-    floored = F.when(F.col("forecast_mode"), cut).otherwise(F.greatest(cut, F.col("target")))
     rows = (
-        bau.join(placed.select(*keys, "current", "target", "target_period", "forecast_mode"), keys)
+        fractions.join(starts.select(*keys, "current"), keys)
         .filter(F.col(time) <= F.col("target_period"))
-        .join(fractions, [*keys, time])
-        .withColumn("path", F.least(floored, F.col("bau")))
+        .withColumn("target", F.col("current") * (F.lit(1.0) - F.col("cut_pct") / 100.0))
+        .join(bau, [*keys, time])
     )
+    cut = F.col("current") * (F.lit(1.0) - F.col("fraction"))
+    floored = F.when(F.col("forecast_mode"), cut).otherwise(F.greatest(cut, F.col("target")))
     per_path = [*keys, "target", "target_period", "forecast_mode"]
-    smooth = smooth_declining(rows, per_path, time, "path")
+    smooth = smooth_declining(rows.withColumn("path", F.least(floored, F.col("bau"))), per_path, time, "path")
     last = ~F.col("forecast_mode") & (F.col(time) == F.col("target_period"))
     return smooth.select(*keys, time, F.when(last, F.col("target")).otherwise(F.col("path")).alias("path"))

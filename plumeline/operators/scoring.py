@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumeline.functions.columns import clamp, gaussian_score, messages, one_decimal, whole
+from plumeline.functions.columns import clamp, gaussian_score, messages
 from plumeline.functions.process_tables import (
     ELECTRO_CATALYSTS,
     PRODUCTS,
@@ -20,9 +20,8 @@ from plumeline.functions.process_tables import (
     reactor_table,
 )
 
-# Smallest score widths, the yield bounds before and after the corrections, the bounds of
+# The yield bounds before and after the corrections, the bounds of
 # carbon use, the half-width and bounds of the yield range, and the grid carbon-intensity limits.
-SMALLEST_SIGMA = {"t": 10.0, "p": 2.0, "h": 0.4}
 RAW_YIELD_BOUNDS = (0.05, 0.95)
 YIELD_BOUNDS = (0.03, 0.95)
 CARBON_BOUNDS = (0.02, 0.98)
@@ -65,14 +64,11 @@ def with_process_constants(points: DataFrame) -> DataFrame:
 
 
 def _score(kind: str, x: str) -> Column:
-    sigma = F.greatest(F.lit(SMALLEST_SIGMA[kind]), F.col(f"{kind}_width") / 2.0)
-    return gaussian_score(F.col(x).cast("double"), F.col(f"{kind}_opt"), sigma)
+    return gaussian_score(F.col(x).cast("double"), F.col(f"{kind}_opt"), F.col(f"{kind}_sigma"))
 
 
-def _raw_mix(short: str) -> Column:
-    """Selectivity before bounds; null where the pathway does not make the product."""
-    c, st, sh = F.col(f"mix_{short}"), F.col("_st"), F.col("_sh")
-    return c[0] + c[1] * st + c[2] * (F.lit(1.0) - st) + c[3] * sh
+def _selectivity(short: str) -> Column:
+    return F.col(f"{short}_const") + F.col(f"{short}_temp") * F.col("_st") + F.col(f"{short}_h2") * F.col("_sh")
 
 
 def score_points(points: DataFrame) -> DataFrame:
@@ -95,14 +91,9 @@ def score_joined(joined: DataFrame, keep: list[str]) -> DataFrame:
             "_electro": is_electro(F.col("pathway")),
         }
     )
-    rows = rows.withColumns({f"_raw_{s}": _raw_mix(s) for s in shorts})
-    rows = rows.withColumn("_raw_others", F.lit(1.0) - sum((F.coalesce(f"_raw_{s}", F.lit(0.0)) for s in shorts), F.lit(0.0)))
-    rows = rows.withColumns({f"_mix_{s}": clamp(F.col(f"_raw_{s}"), 0, 1) for s in [*shorts, "others"]})
-    rows = rows.withColumn("_mix_sum", sum((F.coalesce(f"_mix_{s}", F.lit(0.0)) for s in [*shorts, "others"]), F.lit(0.0)))
-    share = {
-        s: F.when(F.col("_mix_sum") > 0, F.col(f"_mix_{s}") / F.col("_mix_sum")).otherwise(F.col(f"_mix_{s}"))
-        for s in [*shorts, "others"]
-    }
+    # The terms in the table keep every selectivity in 0..1 and their sum at most 1, so bounding them and
+    # dividing by their sum with the rest would change nothing; only the rest needs a floor for rounding.
+    rows = rows.withColumn("_others", F.greatest(F.lit(1.0) - _selectivity("made"), F.lit(0.0)))
 
     grid = F.col("grid_ci_gco2_per_kwh")
     raw = (
@@ -123,7 +114,7 @@ def score_joined(joined: DataFrame, keep: list[str]) -> DataFrame:
         "_yield",
         clamp(clamp(raw, *RAW_YIELD_BOUNDS) * grid_factor * (F.lit(0.8) + F.lit(0.2) * hydrogen), *YIELD_BOUNDS),
     ).withColumn("yield_pct", F.round(F.lit(100.0) * F.col("_yield"), 1))
-    carbon = clamp(F.col("_yield") * (F.lit(0.8) + F.lit(0.2) * (F.lit(1.0) - share["others"])), *CARBON_BOUNDS)
+    carbon = clamp(F.col("_yield") * (F.lit(0.8) + F.lit(0.2) * (F.lit(1.0) - F.col("_others"))), *CARBON_BOUNDS)
     rows = rows.withColumns(
         {
             "yield_low": F.greatest(F.lit(RANGE_LOW), F.round(F.col("yield_pct") - RANGE_HALF_WIDTH, 1)),
@@ -133,23 +124,14 @@ def score_joined(joined: DataFrame, keep: list[str]) -> DataFrame:
             "temperature_score": F.round("_st", 3),
             "pressure_score": F.round("_sp", 3),
             "h2_score": F.round("_sh", 3),
-            **{f"sel_{s}": F.round(F.lit(100.0) * share[s], 1) for s in [*shorts, "others"]},
+            **{f"sel_{s}": F.round(F.lit(100.0) * _selectivity(s), 1) for s in shorts},
+            "sel_others": F.round(F.lit(100.0) * F.col("_others"), 1),
         }
     )
-    half = {kind: F.col(f"{kind}_width") / 2.0 for kind in "tph"}
     suggestions = messages(
-        (
-            F.col("_st") < 0.5,
-            F.concat(F.lit("Increase temperature toward ~"), whole(F.col("t_opt")), F.lit("°C (±"), whole(half["t"]), F.lit("°C).")),
-        ),
-        (
-            (F.col("_sp") < 0.5) & ~F.col("_electro"),
-            F.concat(F.lit("Increase pressure toward ~"), whole(F.col("p_opt")), F.lit(" bar (±"), whole(half["p"]), F.lit(" bar).")),
-        ),
-        (
-            F.col("_sh") < 0.5,
-            F.concat(F.lit("Adjust H₂:CO₂ toward ~"), one_decimal(F.col("h_opt")), F.lit(":1 (±"), one_decimal(half["h"]), F.lit(").")),
-        ),
+        (F.col("_st") < 0.5, F.col("t_hint")),
+        ((F.col("_sp") < 0.5) & ~F.col("_electro"), F.col("p_hint")),
+        (F.col("_sh") < 0.5, F.col("h_hint")),
         (F.col("_electro") & (grid > CLEANER_GRID), F.lit(CLEANER)),
         default=NOMINAL,
     )
@@ -180,7 +162,8 @@ def score_joined(joined: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def yield_range(low: Column, high: Column) -> Column:
-    return F.concat(one_decimal(low), F.lit("–"), one_decimal(high), F.lit("%"))
+    """Both ends as text. They are rounded to one decimal, so their plain text shows exactly that."""
+    return F.concat(low.cast("string"), F.lit("–"), high.cast("string"), F.lit("%"))
 
 
 def operating_score() -> Column:

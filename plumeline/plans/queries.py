@@ -18,6 +18,7 @@ SITE = ["site"]
 HORIZON = 12
 SCENARIO_END = 120
 POLICY_YEARS = (1994, 2034)
+POLICY_END = 2030
 TOP = 3
 
 SCENARIOS = [
@@ -108,9 +109,7 @@ def forecast_guard_yearly(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _placed(spark: SparkSession, folder: str, monthly: DataFrame, pathway: str) -> DataFrame:
-    span = series.spans(monthly, SITE, "t", "v").select(
-        "site", F.col("last_period").alias("start"), F.col("last_value").alias("current")
-    )
+    span = pathways.starts(monthly, SITE, "t", "v")
     wanted = [s for s in SCENARIOS if s["pathway"] == pathway]
     return pathways.resolve_targets(pathways.scenario_list(span, wanted)).filter(F.col("target_period") > F.col("start"))
 
@@ -133,8 +132,7 @@ def pathway_milestones(spark: SparkSession, folder: str) -> DataFrame:
 
 def _scenario_paths(spark: SparkSession, folder: str) -> DataFrame:
     monthly = tables.site_series(spark, folder)
-    scenarios = pathways.scenario_list(series.regions(monthly, "site"), SCENARIOS)
-    return pathways.run_scenarios(monthly, scenarios, SITE, "t", "v")
+    return pathways.run_scenarios(monthly, SCENARIOS, SITE, "t", "v")
 
 
 def scenario_gap(spark: SparkSession, folder: str) -> DataFrame:
@@ -147,8 +145,7 @@ def scenario_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 def scenario_rejects(spark: SparkSession, folder: str) -> DataFrame:
     monthly = tables.site_series(spark, folder)
-    scenarios = pathways.scenario_list(series.regions(monthly, "site"), SCENARIOS)
-    return pathways.split_scenarios(monthly, scenarios, SITE, "t", "v")[1]
+    return pathways.split_scenarios(monthly, SCENARIOS, SITE, "t", "v")[1]
 
 
 # Policies
@@ -236,7 +233,7 @@ def absolute_reduction(spark: SparkSession, folder: str) -> DataFrame:
 
 def annual_fraction(spark: SparkSession, folder: str) -> DataFrame:
     shares = policy.action_shares(_actions(spark, folder), SITE)
-    return rounded(policy.annual_fraction(shares, SITE, *POLICY_YEARS))
+    return rounded(policy.annual_fraction(shares, SITE, *POLICY_YEARS).select("site", "year", "fraction"))
 
 
 def data_gap(spark: SparkSession, folder: str) -> DataFrame:
@@ -252,31 +249,14 @@ def sector_report(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(report.drop("action_idx", "action_name"))
 
 
-def policy_paths(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Yearly site series, placed policy scenarios and the policy-driven path to 2030."""
-    yearly = tables.site_years(spark, folder)
-    commitments = policy.commitment_targets(tables.site_commitments(spark, folder).withColumn("mode", F.coalesce("mode", F.lit("target"))))
-    span = series.spans(yearly, SITE, "t", "v").select(
-        "site", F.col("last_period").alias("start"), F.col("last_value").alias("current")
-    )
-    shares = policy.action_shares(policy.commitment_actions(commitments, SITE), SITE)
-    fractions = policy.annual_fraction(shares, SITE, 1996, 2030).withColumnRenamed("year", "t")
-    # The projected end in forecast mode uses the baseline; here both modes aim from the current value.
-    placed = span.join(
-        commitments.select("site", "forecast_mode", F.col("target_year").alias("target_period"), "target_reduction_pct"),
-        "site",
-    ).withColumn("target", F.col("current") * (1 - F.coalesce("target_reduction_pct", F.lit(0.0)) / 100.0))
-    bau = forecast.forecast_best(
-        yearly.join(placed.select("site", (F.col("target_period") - F.col("start")).alias("_horizon")), "site"),
-        SITE, "t", "v", "_horizon",
-    ).select("site", "t", F.col("forecast").alias("bau"))
-    return bau, placed, policy.policy_pathway(bau, fractions, placed, SITE, "t")
-
-
 def policy_pathway(spark: SparkSession, folder: str) -> DataFrame:
-    bau, _, path = policy_paths(spark, folder)
-    both = bau.join(path, ["site", "t"])
+    yearly = tables.site_years(spark, folder)
+    shares = policy.action_shares(_actions(spark, folder), SITE)
+    fractions = policy.annual_fraction(shares, SITE, 1996, POLICY_END).withColumnRenamed("year", "t")
+    bau = forecast.forecast_best(yearly, SITE, "t", "v", until=POLICY_END).select("site", "t", F.col("forecast").alias("bau"))
+    path = policy.policy_pathway(bau, fractions, pathways.starts(yearly, SITE, "t", "v"), SITE, "t")
     commitment = F.greatest(F.col("path"), F.lit(0.0))
+    both = bau.join(path, ["site", "t"])
     return rounded(both.select("site", "t", "bau", commitment.alias("commitment"), (F.col("bau") - commitment).alias("gap")))
 
 
@@ -415,9 +395,8 @@ def label_codes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def unknown_category(spark: SparkSession, folder: str) -> DataFrame:
-    codes = features.label_codes(_training(spark, folder), list(features.LABELS))
     points = tables.operating_points(spark, folder).select("pathway", "catalyst_family", "reactor_type")
-    coded = features.encode_labels(points, codes)
+    coded = features.encode_labels(points, features.label_indexer(_training(spark, folder)))
     return coded.groupBy("pathway", "catalyst_family", "reactor_type", *features.LABELS.values()).agg(
         F.count(F.lit(1)).alias("n_points")
     )
