@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
@@ -18,6 +21,7 @@ from plumeline.session import use_checkpoint_dir
 # distance given to a pressure below its range and the decay of the confidence.
 TREES, DEPTH, LEARNING_RATE, ROW_SAMPLE, COLUMN_SAMPLE, SEED = 150, 5, 0.08, 0.8, 0.8, 42
 TARGETS = ["X_CO2", "Y_MeOH"]
+PARALLEL_TRAININGS = 8
 TRAINED_T, TRAINED_P, TRAINED_H = (170.0, 240.0), (1.0, 50.0), (1.0, 4.0)
 LOW_PRESSURE_DISTANCE, CONFIDENCE_DECAY = 0.2, 3.0
 
@@ -67,6 +71,18 @@ def train(table: DataFrame, target: str, trees: int = TREES, depth: int = DEPTH)
     return PipelineModel([*prepared.stages, scaler, booster])
 
 
+def train_each(jobs: dict[str, tuple[DataFrame, str]], trees: int = TREES, depth: int = DEPTH) -> dict[str, PipelineModel]:
+    """Several trainings side by side, each named and given as (table, target).
+
+    A boosting round is a chain of short jobs, so one training alone leaves most of a cluster idle.
+    """
+    spark = next(iter(jobs.values()))[0].sparkSession
+    run = inheritable_thread_target(spark)(lambda job: train(*job, trees, depth))
+    with ThreadPool(min(len(jobs), PARALLEL_TRAININGS)) as pool:
+        fitted = pool.map(run, jobs.values())
+    return dict(zip(jobs, fitted, strict=True))
+
+
 def predict_raw(model: PipelineModel, table: DataFrame, out: str) -> DataFrame:
     """The table with the model's prediction as one more column."""
     scored = model.transform(table)
@@ -103,11 +119,11 @@ def feature_importance(model: PipelineModel, spark: SparkSession, target: str, t
 
 def cross_validate(folded: DataFrame, target: str, folds: int, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
     """R2 per fold, each predicted by a model trained on the other folds."""
-    parts = []
-    for fold in range(folds):
-        model = train(folded.filter(F.col("fold") != fold), target, trees, depth)
-        held = folded.filter((F.col("fold") == fold) & F.col(target).isNotNull())
-        parts.append(predict_raw(model, held, "_predicted"))
+    fitted = train_each({str(k): (folded.filter(F.col("fold") != k), target) for k in range(folds)}, trees, depth)
+    parts = [
+        predict_raw(fitted[str(k)], folded.filter((F.col("fold") == k) & F.col(target).isNotNull()), "_predicted")
+        for k in range(folds)
+    ]
     scored = parts[0]
     for part in parts[1:]:
         scored = scored.unionByName(part)

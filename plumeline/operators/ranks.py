@@ -69,14 +69,21 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probabilities: dict[st
 
 
 def contiguous_folds(df: DataFrame, order: str, folds: int) -> DataFrame:
-    """Adds `fold` 0..folds-1: consecutive rows by `order` (unique), the first folds one row larger
-    where the count does not divide. Only the fold starts (folds - 1 values) come to the driver; the
-    rows themselves are not shuffled."""
+    """Adds `fold` 0..folds-1: consecutive rows by `order`, the first folds one row larger where the
+    count does not divide; rows with equal `order` stay together.
+
+    Only the values at the fold starts (folds - 1 of them) come to the driver; the rows themselves are
+    not shuffled.
+    """
     size, extra = F.floor(F.col("total") / folds), F.col("total") % folds
     starts = F.array(*[F.lit(i) * size + F.least(F.lit(i), extra) for i in range(1, folds)])
-    first = cumulative_counts(df, [], order).filter(F.array_contains(starts, F.col("before")))
-    cuts = [row[0] for row in first.select(order).collect()]
-    fold = sum((F.when(F.col(order) >= F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
+    held = F.size(
+        F.filter(starts, lambda s: (F.col("before") <= s) & (s < F.col("before") + F.col("n_rows")))
+    )
+    first = cumulative_counts(df, [], order).select(order, held.alias("held")).filter("held > 0")
+    fold = F.lit(0)
+    for row in first.collect():
+        fold = fold + F.when(F.col(order) >= F.lit(row[0]), row["held"]).otherwise(0)
     return df.withColumn("fold", fold)
 
 

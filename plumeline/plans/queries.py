@@ -20,6 +20,7 @@ SCENARIO_END = 120
 POLICY_YEARS = (1994, 2034)
 POLICY_END = 2030
 TOP = 3
+CV_TREES = 10
 
 SCENARIOS = [
     {"scenario": "net zero, straight", "pathway": "linear", "target_kind": "net_zero", "target_period": 120},
@@ -441,7 +442,7 @@ def route_rules(spark: SparkSession, folder: str) -> DataFrame:
 @cache
 def _models(spark: SparkSession, folder: str) -> dict[str, PipelineModel]:
     runs = ranks.holdout_split(tables.labelled_runs(spark, folder), ["l_orderkey", "l_linenumber"])
-    return {target: model.train(runs.filter("is_train"), target) for target in model.TARGETS}
+    return model.train_each({target: (runs.filter("is_train"), target) for target in model.TARGETS})
 
 
 def gbt_metrics(spark: SparkSession, folder: str) -> DataFrame:
@@ -461,6 +462,17 @@ def gbt_importance(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def gbt_cross_validation(spark: SparkSession, folder: str) -> DataFrame:
+    """Five contiguous folds with short boosting runs (the number of rounds is a parameter)."""
+    runs = tables.labelled_runs(spark, folder).withColumn("row", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    folded = ranks.contiguous_folds(runs, "row", 5)
+    parts = [
+        model.cross_validation_summary(model.cross_validate(folded, t, 5, trees=CV_TREES)).withColumn("target", F.lit(t))
+        for t in model.TARGETS
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 def gbt_predict(spark: SparkSession, folder: str) -> DataFrame:
     return model.add_ml_predictions(tables.operating_points(spark, folder), _models(spark, folder)).select(
         "l_orderkey", "l_linenumber", "X_CO2", "Y_MeOH", "S_MeOH", "confidence"
@@ -486,7 +498,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         optimal_conditions, conditions_extremes, grid_search_top10, grid_best_per_unit, grid_objectives,
         grid_selectivity_top10, grid_heatmap, training_table, methanol_subset, profile_describe, profile_counts,
         profile_ranges, profile_sources, sample_rows, label_codes, unknown_category, standardise, fold_sizes,
-        holdout_split, confidence, route_rules, gbt_metrics, gbt_importance, gbt_predict, route_predictions,
+        holdout_split, confidence, route_rules, gbt_metrics, gbt_importance, gbt_cross_validation, gbt_predict, route_predictions,
     ]
     shapes = {
         "linear": pathways.linear_pathway,

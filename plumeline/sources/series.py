@@ -24,7 +24,7 @@ def cell(name: str, dtype: str) -> Column:
 
 def read_csv_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """A CSV file, a folder of files or a list of them, every column as text named by the header."""
-    return spark.read.option("header", True).option("mode", "FAILFAST").csv(path)
+    return spark.read.option("header", True).option("escape", '"').option("mode", "FAILFAST").csv(path)
 
 
 def read_series(

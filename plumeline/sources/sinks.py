@@ -21,7 +21,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
     out = flat_for_csv(df) if fmt == "csv" else df
     writer = out.write.mode("overwrite")
     if fmt == "csv":
-        writer = writer.option("header", True)
+        writer = writer.option("header", True).option("escape", '"')
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.format(fmt).save(path)
