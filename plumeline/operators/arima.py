@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumeline.session import spread
@@ -20,79 +20,68 @@ CANDIDATES = [("mean", 2), ("random_walk", 1), ("random_walk_drift", 2), ("ar1",
 VARIANCE_FLOOR = 1e-12
 
 
-def closed_form_arima(
-    frame: DataFrame, keys: list[str], time: str, value: str, scopes: dict[str, str]
-) -> DataFrame:
+def closed_form_arima(frame: DataFrame, keys: list[str], time: str, value: str, scopes: dict[str, str]) -> DataFrame:
     """Adds the fitted parameters of the chosen model to every row of each series.
 
     `scopes` maps a boolean column (a leading part of the series) to a prefix. Columns added per
     prefix: `<prefix>_model` and the parameters that `arima_prediction` reads.
     """
-    per_key = Window.partitionBy(*keys)
-    ordered = per_key.orderBy(time)
-    y = F.col(value)
-    out = frame.withColumn("_y1", F.lag(value, 1).over(ordered)).withColumn("_y2", F.lag(value, 2).over(ordered))
-    out = out.withColumn("_d1", y - F.col("_y1")).withColumn("_d2", F.col("_y1") - F.col("_y2"))
-
-    fitted = {}
+    per_key = "PARTITION BY " + ", ".join(f"`{k}`" for k in keys)
+    y = f"`{value}`"
+    out = frame.selectExpr(
+        "*",
+        f"lag({y}, 1) OVER ({per_key} ORDER BY `{time}`) AS _y1",
+        f"lag({y}, 2) OVER ({per_key} ORDER BY `{time}`) AS _y2",
+    ).selectExpr("*", f"{y} - _y1 AS _d1", "_y1 - _y2 AS _d2")
+
+    fitted, errors, chosen = [], [], []
     for mark, p in scopes.items():
 
-        def used(name: str, mark: str = mark) -> Column:
-            return F.when(F.col(mark), F.col(name))
-
-        fitted |= {
-            f"{p}_n": F.count(used(value)).over(per_key),
-            f"{p}_mean": F.avg(used(value)).over(per_key),
-            f"{p}_last": F.max_by(used(value), used("_pos")).over(per_key),
-            f"{p}_last_step": F.max_by(used("_d1"), used("_pos")).over(per_key),
-            f"{p}_drift": F.avg(used("_d1")).over(per_key),
-            f"{p}_ar": F.regr_slope(used(value), used("_y1")).over(per_key),
-            f"{p}_ar_c": F.regr_intercept(used(value), used("_y1")).over(per_key),
-            f"{p}_ari": F.regr_slope(used("_d1"), used("_d2")).over(per_key),
-            f"{p}_ari_c": F.regr_intercept(used("_d1"), used("_d2")).over(per_key),
+        def used(x: str, mark: str = mark) -> str:
+            return f"CASE WHEN `{mark}` THEN {x} END"
+
+        parameters = {
+            "n": f"count({used(y)})",
+            "mean": f"avg({used(y)})",
+            "last": f"max_by({used(y)}, {used('_pos')})",
+            "last_step": f"max_by({used('_d1')}, {used('_pos')})",
+            "drift": f"avg({used('_d1')})",
+            "ar": f"regr_slope({used(y)}, {used('_y1')})",
+            "ar_c": f"regr_intercept({used(y)}, {used('_y1')})",
+            "ari": f"regr_slope({used('_d1')}, {used('_d2')})",
+            "ari_c": f"regr_intercept({used('_d1')}, {used('_d2')})",
         }
-    out = out.withColumns(fitted)
+        fitted += [f"{aggregate} OVER ({per_key}) AS {p}_{name}" for name, aggregate in parameters.items()]
 
-    errors = {}
-    for mark, p in scopes.items():
         step_errors = {
-            "mean": y - F.col(f"{p}_mean"),
-            "random_walk": F.col("_d1"),
-            "random_walk_drift": F.col("_d1") - F.col(f"{p}_drift"),
-            "ar1": y - F.col(f"{p}_ar_c") - F.col(f"{p}_ar") * F.col("_y1"),
-            "arima110": F.col("_d1") - F.col(f"{p}_ari_c") - F.col(f"{p}_ari") * F.col("_d2"),
-        }
-        shared = F.col(mark) & (F.col("_pos") >= 3)
-        for model, error in step_errors.items():
-            errors[f"{p}_sse_{model}"] = F.sum(F.when(shared, error * error)).over(per_key)
-    out = out.withColumns(errors)
-
-    chosen = {}
-    for p in scopes.values():
-        rows = F.col(f"{p}_n") - 2
-        admissible = {
-            "ar1": (F.abs(F.col(f"{p}_ar")) < 1) & (F.col(f"{p}_n") >= 4),
-            "arima110": (F.abs(F.col(f"{p}_ari")) < 1) & (F.col(f"{p}_n") >= 5),
+            "mean": f"{y} - {p}_mean",
+            "random_walk": "_d1",
+            "random_walk_drift": f"_d1 - {p}_drift",
+            "ar1": f"{y} - {p}_ar_c - {p}_ar * _y1",
+            "arima110": f"_d1 - {p}_ari_c - {p}_ari * _d2",
         }
-        scored = [
-            F.when(
-                admissible.get(model, F.lit(True)) & (rows > 0),
-                F.struct(
-                    F.round(
-                        rows * F.log(F.greatest(F.col(f"{p}_sse_{model}") / rows, F.lit(VARIANCE_FLOOR)))
-                        + F.lit(2.0 * parameters),
-                        9,
-                    ).alias("aic"),
-                    F.lit(rank).alias("rank"),
-                    F.lit(model).alias("model"),
-                ),
-            )
-            for rank, (model, parameters) in enumerate(CANDIDATES)
+        errors += [
+            f"sum(CASE WHEN `{mark}` AND _pos >= 3 THEN ({e}) * ({e}) END) OVER ({per_key}) AS {p}_sse_{name}"
+            for name, e in step_errors.items()
         ]
-        best = F.array_min(F.filter(F.array(*scored), lambda s: s.isNotNull()))
-        chosen[f"{p}_model"] = F.coalesce(best["model"], F.lit("random_walk"))
-    out = out.withColumns(chosen)
-    return out.drop("_y1", "_y2", "_d1", "_d2", *errors)
+
+        admissible = {"ar1": f"abs({p}_ar) < 1 AND {p}_n >= 4", "arima110": f"abs({p}_ari) < 1 AND {p}_n >= 5"}
+        scored = []
+        for rank, (model, parameter_count) in enumerate(CANDIDATES):
+            variance = f"greatest({p}_sse_{model} / ({p}_n - 2), {VARIANCE_FLOOR}D)"
+            aic = f"round(({p}_n - 2) * ln({variance}) + {2 * parameter_count}D, 9)"
+            scored.append(
+                f"CASE WHEN {p}_n > 2 AND {admissible.get(model, 'TRUE')} "
+                f"THEN named_struct('aic', {aic}, 'rank', {rank}, 'model', '{model}') END"
+            )
+        best = f"array_min(filter(array({', '.join(scored)}), s -> s IS NOT NULL))"
+        chosen.append(f"coalesce({best}.model, 'random_walk') AS {p}_model")
+
+    return (
+        out.selectExpr("*", *fitted)
+        .selectExpr("*", *errors)
+        .selectExpr(*[f"`{c}`" for c in frame.columns], *[c for p in scopes.values() for c in parameter_columns(p)[:-1]], *chosen)
+    )
 
 
 def parameter_columns(prefix: str) -> list[str]:
@@ -100,25 +89,22 @@ def parameter_columns(prefix: str) -> list[str]:
     return [f"{prefix}_{name}" for name in names]
 
 
-def arima_prediction(prefix: str, steps: Column) -> Column:
+def arima_prediction(prefix: str, steps: str) -> Column:
     """The forecast `steps` periods past the end of the fitted part, rolled forward in closed form."""
-    p, h = prefix, steps.cast("double")
+    p, h = prefix, f"CAST({steps} AS DOUBLE)"
 
-    def geometric(phi: Column) -> Column:
-        return (F.lit(1.0) - F.pow(phi, h)) / (F.lit(1.0) - phi)
+    def geometric(phi: str) -> str:
+        return f"((1D - pow({phi}, {h})) / (1D - {phi}))"
 
-    ar, ari, last = F.col(f"{p}_ar"), F.col(f"{p}_ari"), F.col(f"{p}_last")
-    ar1 = F.pow(ar, h) * last + F.col(f"{p}_ar_c") * geometric(ar)
-    moved = F.col(f"{p}_last_step") * ari * geometric(ari) + F.col(f"{p}_ari_c") * (
-        (h - ari * geometric(ari)) / (F.lit(1.0) - ari)
+    ar, ari = f"{p}_ar", f"{p}_ari"
+    moved = (
+        f"{p}_last_step * {ari} * {geometric(ari)} + {p}_ari_c * (({h} - {ari} * {geometric(ari)}) / (1D - {ari}))"
     )
-    model = F.col(f"{p}_model")
-    return (
-        F.when(model == "mean", F.col(f"{p}_mean"))
-        .when(model == "random_walk", last)
-        .when(model == "random_walk_drift", last + h * F.col(f"{p}_drift"))
-        .when(model == "ar1", ar1)
-        .otherwise(last + moved)
+    return F.expr(
+        f"CASE {p}_model WHEN 'mean' THEN {p}_mean WHEN 'random_walk' THEN {p}_last "
+        f"WHEN 'random_walk_drift' THEN {p}_last + {h} * {p}_drift "
+        f"WHEN 'ar1' THEN pow({ar}, {h}) * {p}_last + {p}_ar_c * {geometric(ar)} "
+        f"ELSE {p}_last + {moved} END"
     )
 
 

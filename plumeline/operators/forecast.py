@@ -51,8 +51,8 @@ def scored_frame(
     if arima == "closed_form":
         frame = closed_form_arima(frame, keys, time, value, {"_train": "_at", "_all": "_aa"})
         frame = extend_future(frame, time, value, ahead)
-        predicted = F.when(F.col("_future"), arima_prediction("_aa", F.col("_pos") - F.col("_n"))).when(
-            F.col("_test"), arima_prediction("_at", F.col("_pos") - (F.col("_n") - F.col("_n_test")))
+        predicted = F.when(F.col("_future"), arima_prediction("_aa", "(_pos - _n)")).when(
+            F.col("_test"), arima_prediction("_at", "(_pos - (_n - _n_test))")
         )
         frame = frame.withColumn("arima_pred", predicted).withColumn("arima_order", F.col("_aa_model"))
         frame = frame.drop(*parameter_columns("_at"), *parameter_columns("_aa"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -42,27 +42,26 @@ def spans(df: DataFrame, keys: list[str], time: str, value: str) -> DataFrame:
     )
 
 
-def holdout_size(n: Column) -> Column:
-    return F.least(F.lit(8), F.greatest(F.lit(3), F.floor(n / 6).cast("int"))).cast("int")
-
-
 def holdout_frame(series: DataFrame, keys: list[str], time: str) -> DataFrame:
     """Adds position, length, last period and the train/test marks used by the backtest.
 
-    `_train` and `_test` are false everywhere for a series shorter than the test size plus five.
+    The test rows are the last sixth of a series, at least three and at most eight. `_train` and
+    `_test` are false everywhere for a series shorter than the test size plus five.
     """
-    per_key = Window.partitionBy(*keys)
-    ordered = per_key.orderBy(time)
-    frame = (
-        series.withColumn("_pos", F.row_number().over(ordered))
-        .withColumn("_n", F.count(F.lit(1)).over(per_key).cast("int"))
-        .withColumn("_last", F.max(time).over(per_key))
-    )
-    long_enough = F.col("_n") >= F.col("_n_test") + 5
+    per_key = "PARTITION BY " + ", ".join(f"`{k}`" for k in keys)
     return (
-        frame.withColumn("_n_test", holdout_size(F.col("_n")))
-        .withColumn("_train", long_enough & (F.col("_pos") <= F.col("_n") - F.col("_n_test")))
-        .withColumn("_test", long_enough & (F.col("_pos") > F.col("_n") - F.col("_n_test")))
+        series.selectExpr(
+            "*",
+            f"row_number() OVER ({per_key} ORDER BY `{time}`) AS _pos",
+            f"CAST(count(1) OVER ({per_key}) AS INT) AS _n",
+            f"max(`{time}`) OVER ({per_key}) AS _last",
+        )
+        .selectExpr("*", "CAST(least(8, greatest(3, _n DIV 6)) AS INT) AS _n_test")
+        .selectExpr(
+            "*",
+            "_n >= _n_test + 5 AND _pos <= _n - _n_test AS _train",
+            "_n >= _n_test + 5 AND _pos > _n - _n_test AS _test",
+        )
     )
 
 

@@ -7,9 +7,7 @@ windows over one partitioning, keeps full precision on raw years and needs no ma
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
-
+from pyspark.sql import DataFrame
 
 # Periods are integers, so a polynomial that does not vanish on the points has a squared norm well above this.
 RANK_TOLERANCE = 1e-6
@@ -29,63 +27,49 @@ def polynomial_trend(
     fits share the same windows. With too few distinct periods the higher terms drop out; the column
     `<prediction>_degree` holds the degree that was used.
     """
-    per_key = Window.partitionBy(*keys)
-    x, y = F.col(time).cast("double"), F.col(value)
-    marks = list(fits)
-    out = df
-
-    def name(kind: str, i: int) -> str:
-        return f"_{kind}{i}"
+    per_key = "OVER (PARTITION BY " + ", ".join(f"`{k}`" for k in keys) + ")"
+    marks = list(enumerate(fits))
 
-    def over_key(expr):
-        return F.sum(expr).over(per_key)
+    def over_key(mark: str, expression: str, name: str) -> str:
+        return f"sum(CASE WHEN `{mark}` THEN {expression} END) {per_key} AS {name}"
 
-    # Degree 0: weights, centre and mean.
-    out = out.withColumns(
-        {
-            **{name("n0_", i): over_key(F.when(F.col(m), 1.0).otherwise(0.0)) for i, m in enumerate(marks)},
-            **{name("s0_", i): over_key(F.when(F.col(m), x)) for i, m in enumerate(marks)},
-            **{name("t0_", i): over_key(F.when(F.col(m), y)) for i, m in enumerate(marks)},
-        }
+    # Degree 0: weight, centre and mean. The first polynomial is the distance from the centre.
+    out = df.selectExpr(
+        "*",
+        *[over_key(m, "1D", f"_n0_{i}") for i, m in marks],
+        *[over_key(m, f"CAST(`{time}` AS DOUBLE)", f"_s0_{i}") for i, m in marks],
+        *[over_key(m, f"`{value}`", f"_t0_{i}") for i, m in marks],
+    ).selectExpr(
+        "*",
+        *[f"CAST(`{time}` AS DOUBLE) - try_divide(_s0_{i}, _n0_{i}) AS _p1_{i}" for i, _ in marks],
+        *[f"try_divide(_t0_{i}, _n0_{i}) AS _fit0_{i}" for i, _ in marks],
+        *[f"1D AS _p0_{i}" for i, _ in marks],
+        *[f"0 AS _degree0_{i}" for i, _ in marks],
     )
-    out = out.withColumns(
-        {
-            **{name("u", i): x - F.try_divide(F.col(name("s0_", i)), F.col(name("n0_", i))) for i in range(len(marks))},
-            **{name("fit", i): F.try_divide(F.col(name("t0_", i)), F.col(name("n0_", i))) for i in range(len(marks))},
-            **{name("deg", i): F.lit(0) for i in range(len(marks))},
-            **{name("prev", i): F.lit(1.0) for i in range(len(marks))},
-        }
-    )
-    out = out.withColumns({name("poly", i): F.col(name("u", i)) for i in range(len(marks))})
-    norm_before = "n0_"
-
     for k in range(1, degree + 1):
-        sums = {}
-        for i, m in enumerate(marks):
-            p, u = F.col(name("poly", i)), F.col(name("u", i))
-            sums[name(f"n{k}_", i)] = over_key(F.when(F.col(m), p * p))
-            sums[name(f"s{k}_", i)] = over_key(F.when(F.col(m), u * p * p))
-            sums[name(f"t{k}_", i)] = over_key(F.when(F.col(m), y * p))
-        out = out.withColumns(sums)
-        step = {}
-        for i in range(len(marks)):
-            p, u, prev = F.col(name("poly", i)), F.col(name("u", i)), F.col(name("prev", i))
-            norm = F.col(name(f"n{k}_", i))
-            usable = norm > RANK_TOLERANCE
-            step[name("fit", i)] = F.when(
-                usable, F.col(name("fit", i)) + F.try_divide(F.col(name(f"t{k}_", i)), norm) * p
-            ).otherwise(F.col(name("fit", i)))
-            step[name("deg", i)] = F.when(usable, F.lit(k)).otherwise(F.col(name("deg", i)))
-            following = (u - F.try_divide(F.col(name(f"s{k}_", i)), norm)) * p - F.try_divide(
-                norm, F.col(name(norm_before, i))
-            ) * prev
-            step[name("poly", i)] = F.when(usable, following).otherwise(F.lit(0.0))
-            step[name("prev", i)] = p
-        out = out.withColumns(step)
-        norm_before = f"n{k}_"
+        steps = []
+        for i, _ in marks:
+            p, before, norm = f"_p{k}_{i}", f"_p{k - 1}_{i}", f"_n{k}_{i}"
+            usable = f"{norm} > {RANK_TOLERANCE}D"
+            steps += [
+                f"CASE WHEN {usable} THEN _fit{k - 1}_{i} + try_divide(_t{k}_{i}, {norm}) * {p} "
+                f"ELSE _fit{k - 1}_{i} END AS _fit{k}_{i}",
+                f"CASE WHEN {usable} THEN {k} ELSE _degree{k - 1}_{i} END AS _degree{k}_{i}",
+            ]
+            if k < degree:
+                following = (
+                    f"(_p1_{i} - try_divide(_s{k}_{i}, {norm})) * {p} - try_divide({norm}, _n{k - 1}_{i}) * {before}"
+                )
+                steps.append(f"CASE WHEN {usable} THEN {following} ELSE 0D END AS _p{k + 1}_{i}")
+        out = out.selectExpr(
+            "*",
+            *[over_key(m, f"_p{k}_{i} * _p{k}_{i}", f"_n{k}_{i}") for i, m in marks],
+            *[over_key(m, f"_p1_{i} * _p{k}_{i} * _p{k}_{i}", f"_s{k}_{i}") for i, m in marks],
+            *[over_key(m, f"`{value}` * _p{k}_{i}", f"_t{k}_{i}") for i, m in marks],
+        ).selectExpr("*", *steps)
 
-    return out.select(
-        *df.columns,
-        *[F.col(name("fit", i)).alias(fits[m]) for i, m in enumerate(marks)],
-        *[F.col(name("deg", i)).alias(f"{fits[m]}_degree") for i, m in enumerate(marks)],
+    return out.selectExpr(
+        *[f"`{c}`" for c in df.columns],
+        *[f"_fit{degree}_{i} AS `{fits[m]}`" for i, m in marks],
+        *[f"_degree{degree}_{i} AS `{fits[m]}_degree`" for i, m in marks],
     )
