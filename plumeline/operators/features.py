@@ -48,6 +48,12 @@ EXPERIMENTAL_PATHWAY, EXPERIMENTAL_PRODUCT = "Methanol synthesis", "CH3OH (metha
 TEXT_COLUMNS = ["pathway", "catalyst_family", "metal", "linker", "reactor_type", "primary_product", "data_source"]
 
 
+def read_runs(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """A run log from CSV, experimental or literature: texts stay texts, every other column is a number."""
+    raw = read_csv_text(spark, path)
+    return raw.select(*[cell(c, "string" if c in TEXT_COLUMNS else "double").alias(c) for c in raw.columns])
+
+
 def experimental_runs(runs: DataFrame) -> DataFrame:
     """Run log rows with the composed catalyst name and the methanol yield X*S/100."""
     return runs.select(

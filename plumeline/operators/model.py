@@ -54,7 +54,8 @@ def train(table: DataFrame, target: str, trees: int = TREES, depth: int = DEPTH)
     use_checkpoint_dir(table.sparkSession)
     known = table.filter(F.col(target).isNotNull())
     prepared = PipelineModel(_feature_stages(known))
-    assembled = prepared.transform(known).select("_assembled", F.col(target).cast("double").alias(target))
+    # Boosting reads its input for every round; from the checkpoint it never goes back to the source.
+    assembled = prepared.transform(known).select("_assembled", F.col(target).cast("double").alias(target)).checkpoint()
     scaler = StandardScaler(inputCol="_assembled", outputCol="_features", withMean=True, withStd=True).fit(assembled)
     learner = GBTRegressor(
         featuresCol="_features",
@@ -100,6 +101,24 @@ def regression_metrics(df: DataFrame, keys: list[str], actual: str, predicted: s
     )
 
 
+def training_report(metrics: DataFrame, cross_validation: DataFrame) -> DataFrame:
+    """One row per target with its training, test and cross-validation figures.
+
+    `metrics` has rows `(target, is_train, r2, rmse)`; `cross_validation` `(target, cv_r2_mean, cv_r2_std)`.
+    """
+
+    def side(name: str, train: bool) -> Column:
+        return F.max(F.when(F.col("is_train") == F.lit(train), F.col(name)))
+
+    wide = metrics.groupBy("target").agg(
+        side("r2", True).alias("train_r2"),
+        side("r2", False).alias("test_r2"),
+        side("rmse", True).alias("train_rmse"),
+        side("rmse", False).alias("test_rmse"),
+    )
+    return wide.join(cross_validation, "target", "left")
+
+
 def learning_curve(model: PipelineModel, table: DataFrame, target: str) -> list[float]:
     """RMSE after each boosting round."""
     booster = model.stages[-1]

@@ -143,70 +143,55 @@ def sector_contributions(actions: DataFrame, keys: list[str]) -> DataFrame:
     return actions.groupBy(*keys, "sector").agg(F.coalesce(F.sum(amount), F.lit(0.0)).alias("contribution_mtco2"))
 
 
-def _knots() -> Column:
-    pairs = F.arrays_zip(
-        F.col("implementation_years").alias("y"), F.col("yearly_improvement_pct").alias("p")
-    )
-    return F.array_sort(pairs)
-
-
-def _knot_slope(knots: Column) -> Column:
-    """Least-squares slope over the knots, on centred years; null for fewer than two distinct years."""
-    n = F.size(knots).cast("double")
-
-    def total(expr) -> Column:
-        return F.aggregate(knots, F.lit(0.0), lambda acc, k: acc + expr(k))
-
-    mean_year = F.try_divide(total(lambda k: k["y"].cast("double")), n)
-    mean_pct = F.try_divide(total(lambda k: k["p"]), n)
-    across = total(lambda k: (k["y"] - mean_year) * (k["p"] - mean_pct))
-    spread = total(lambda k: (k["y"] - mean_year) * (k["y"] - mean_year))
-    return F.try_divide(across, spread)
+# Least-squares slope of the knots on centred years; null for fewer than two distinct years.
+KNOT_SLOPE = """
+CASE WHEN size(_knots) >= 2 THEN try_divide(
+  aggregate(_knots, 0D, (s, k) -> s + (k.y - _mean_year) * (k.p - _mean_pct)),
+  aggregate(_knots, 0D, (s, k) -> s + (k.y - _mean_year) * (k.y - _mean_year))
+) END"""
 
 
 def with_knots(actions: DataFrame) -> DataFrame:
     """Adds what `reduction_pct` reads from an action's data: sorted knots, ends and trend."""
+    pairs = "transform(implementation_years, (y, i) -> named_struct('y', y, 'p', get(yearly_improvement_pct, i)))"
     return (
-        actions.withColumn("_knots", _knots())
-        .withColumn("_first", F.try_element_at("_knots", F.lit(1)))
-        .withColumn("_end", F.try_element_at("_knots", F.lit(-1)))
-        .withColumn("_slope", F.when(F.size("_knots") >= 2, _knot_slope(F.col("_knots"))))
-        .withColumn("target_pct", target_pct())
+        actions.withColumn("target_pct", target_pct())
+        .selectExpr("*", f"array_sort({pairs}) AS _knots")
+        .selectExpr(
+            "*",
+            "get(_knots, 0) AS _first",
+            "try_element_at(_knots, -1) AS _end",
+            "try_divide(aggregate(_knots, 0D, (s, k) -> s + k.y), size(_knots)) AS _mean_year",
+            "try_divide(aggregate(_knots, 0D, (s, k) -> s + k.p), size(_knots)) AS _mean_pct",
+        )
+        .selectExpr("* EXCEPT (_mean_year, _mean_pct)", f"{KNOT_SLOPE} AS _slope")
     )
 
 
-def reduction_pct(year: Column, target_year: Column | None = None) -> Column:
+def reduction_pct(year: str, target_year: str | None = None) -> Column:
     """Cumulative reduction of an action in a year. Reads the columns of `with_knots`.
 
     Zero before the baseline year and before the first knot; linear between knots; beyond the last
     knot a damped trend when there is no target, the target when it is already passed, and otherwise a
     line to the target. Without a target year that line takes the data span, at least ten years.
     """
-    first, end, target = F.col("_first"), F.col("_end"), F.col("target_pct")
-    before = F.try_element_at(F.filter(F.col("_knots"), lambda k: k["y"] <= year), F.lit(-1))
-    after = F.try_element_at(F.filter(F.col("_knots"), lambda k: k["y"] > year), F.lit(1))
-    between = F.when(after.isNull(), before["p"]).otherwise(
-        before["p"] + (after["p"] - before["p"]) * F.try_divide(year - before["y"], after["y"] - before["y"])
+    before = f"try_element_at(filter(_knots, k -> k.y <= {year}), -1)"
+    after = f"get(filter(_knots, k -> k.y > {year}), 0)"
+    between = (
+        f"{before}.p + coalesce(({after}.p - {before}.p) * try_divide({year} - {before}.y, {after}.y - {before}.y), 0D)"
     )
-    elapsed = (year - end["y"]).cast("double")
-    trend = F.when(
-        F.size("_knots") >= 2,
-        F.least(
-            F.greatest(end["p"] + F.col("_slope") * elapsed / (F.lit(1.0) + F.lit(DAMPING) * elapsed), F.lit(TREND_LOW)),
-            F.lit(TREND_HIGH),
-        ),
-    ).otherwise(end["p"])
-    span = F.greatest(F.lit(SHORTEST_SPAN), end["y"] - first["y"])
+    elapsed = f"CAST({year} - _end.y AS DOUBLE)"
+    trend = f"_end.p + _slope * {elapsed} / (1D + {DAMPING}D * {elapsed})"
+    span = f"greatest({SHORTEST_SPAN}, _end.y - _first.y)"
     if target_year is not None:
-        span = F.when(target_year > end["y"], target_year - end["y"]).otherwise(span)
-    toward = F.least(end["p"] + F.try_divide(target - end["p"], span.cast("double")) * elapsed, target)
-    return (
-        F.when(year < F.col("action_baseline_year"), 0.0)
-        .when(end.isNull() | (year < first["y"]), 0.0)
-        .when(year <= end["y"], between)
-        .when(target.isNull() | (target == 0), trend)
-        .when(end["p"] >= target, target)
-        .otherwise(toward)
+        span = f"CASE WHEN {target_year} > _end.y THEN {target_year} - _end.y ELSE {span} END"
+    return F.expr(
+        f"""CASE WHEN {year} < action_baseline_year OR _end IS NULL OR {year} < _first.y THEN 0D
+        WHEN {year} <= _end.y THEN {between}
+        WHEN target_pct IS NULL OR target_pct = 0 THEN
+          CASE WHEN size(_knots) >= 2 THEN least(greatest({trend}, {TREND_LOW}D), {TREND_HIGH}D) ELSE _end.p END
+        WHEN _end.p >= target_pct THEN target_pct
+        ELSE least(_end.p + try_divide(target_pct - _end.p, CAST({span} AS DOUBLE)) * {elapsed}, target_pct) END"""
     )
 
 
@@ -216,15 +201,12 @@ def reductions_by_year(actions: DataFrame, start: int, end: int, use_target_year
     The absolute amount never looks at the target year.
     """
     years = with_knots(actions).withColumn("year", F.explode(F.sequence(F.lit(start), F.lit(end))))
-    aimed = F.col("target_year") if use_target_year else None
-    return (
-        years.withColumn("reduction_pct", reduction_pct(F.col("year"), aimed))
-        .withColumn(
-            "absolute_reduction_mtco2",
-            F.col("baseline_emissions_mtco2") * reduction_pct(F.col("year")) / 100.0,
-        )
-        .drop("_knots", "_first", "_end", "_slope")
-    )
+    return years.withColumns(
+        {
+            "reduction_pct": reduction_pct("year", "target_year" if use_target_year else None),
+            "absolute_reduction_mtco2": F.col("baseline_emissions_mtco2") * reduction_pct("year") / 100.0,
+        }
+    ).drop("_knots", "_first", "_end", "_slope")
 
 
 def annual_fraction(shares: DataFrame, keys: list[str], start: int, end: int) -> DataFrame:

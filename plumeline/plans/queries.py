@@ -462,6 +462,13 @@ def gbt_importance(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def gbt_learning_curve(spark: SparkSession, folder: str) -> DataFrame:
+    """Error on the held-out rows after each boosting round."""
+    runs = ranks.holdout_split(tables.labelled_runs(spark, folder), ["l_orderkey", "l_linenumber"])
+    curve = model.learning_curve(_models(spark, folder)["X_CO2"], runs.filter(~F.col("is_train")), "X_CO2")
+    return spark.createDataFrame([("X_CO2", i + 1, e) for i, e in enumerate(curve)], "target string, round int, test_rmse double")
+
+
 def gbt_cross_validation(spark: SparkSession, folder: str) -> DataFrame:
     """Five contiguous folds with short boosting runs (the number of rounds is a parameter)."""
     runs = tables.labelled_runs(spark, folder).withColumn("row", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
@@ -498,7 +505,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         optimal_conditions, conditions_extremes, grid_search_top10, grid_best_per_unit, grid_objectives,
         grid_selectivity_top10, grid_heatmap, training_table, methanol_subset, profile_describe, profile_counts,
         profile_ranges, profile_sources, sample_rows, label_codes, unknown_category, standardise, fold_sizes,
-        holdout_split, confidence, route_rules, gbt_metrics, gbt_importance, gbt_cross_validation, gbt_predict, route_predictions,
+        holdout_split, confidence, route_rules, gbt_metrics, gbt_importance, gbt_learning_curve, gbt_cross_validation, gbt_predict, route_predictions,
     ]
     shapes = {
         "linear": pathways.linear_pathway,

@@ -1,9 +1,13 @@
+import json
+
 import pytest
-from fixtures import COUNTRY
+from pyspark.errors import AnalysisException
+from fixtures import COUNTRY, TARGET
 
-from plumeline.operators import features, forecast, pathways, series
+from plumeline.operators import features, forecast, pathways, policy, series
 from plumeline.sources import series as readers
 from plumeline.sources import sinks
+from plumeline.sources.documents import read_documents
 
 
 def test_series_csv(spark, tmp_path):
@@ -66,3 +70,24 @@ def test_nested_columns_and_training_table(spark, tmp_path):
     assert (tmp_path / "p" / "pathway=Sabatier (methanation)").exists()
     sinks.write_metrics(spark.createDataFrame([("X", 1.0)], "target string, r2 double"), str(tmp_path / "m"))
     assert spark.read.option("header", True).csv(str(tmp_path / "m")).first().target == "X"
+
+
+def test_documents(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps(TARGET, indent=2))
+    (tmp_path / "b.json").write_text("{broken")
+    docs = read_documents(spark, str(tmp_path))
+    assert [tuple(r) for r in policy.list_countries(docs, "text", ["doc"]).collect()] == [("a.json", 0, "A")]
+    assert len(policy.parse_commitments(docs, "text", ["doc"]).first().policy_actions) == 5
+    with pytest.raises(AnalysisException):
+        read_documents(spark, str(tmp_path / "none"))
+    assert policy.list_countries(read_documents(spark, str(tmp_path / "none"), missing_ok=True), "text", ["doc"]).count() == 0
+
+
+def test_run_logs(spark, tmp_path):
+    (tmp_path / "runs.csv").write_text(
+        "metal,linker,temperature_c,pressure_bar,h2_co2_ratio,reactor_type,X_CO2,S_MeOH,S_CO,S_CH4\n"
+        "Hf,BA,240,30,3.0,Fixed-bed,5.28,25.01,65.71,8.98\n"
+    )
+    r = features.experimental_runs(features.read_runs(spark, str(tmp_path / "runs.csv"))).first()
+    assert (r.catalyst_family, r.temperature_c) == ("Hf-UiO-67-BA-Pt", 240.0)
+    assert r.Y_MeOH == pytest.approx(1.320528)

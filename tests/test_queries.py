@@ -7,7 +7,7 @@ import __spark_entry__ as contract
 from plumeline.plans import queries as named
 
 QUERIES, SQL = contract.queries(), contract.oracle_sql()
-SLOW = {"gbt_metrics", "gbt_importance", "gbt_predict", "gbt_cross_validation", "route_predictions"}
+SLOW = {"gbt_metrics", "gbt_importance", "gbt_predict", "gbt_learning_curve", "gbt_cross_validation", "route_predictions"}
 
 
 @pytest.fixture(scope="module")

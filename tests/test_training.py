@@ -180,3 +180,9 @@ def test_cross_validation(table):
     s = model.cross_validation_summary(folds).first()
     assert len(r2) == 3 and s.cv_r2_mean == pytest.approx(sum(r2) / 3)
     assert s.cv_r2_std == pytest.approx(math.sqrt(sum((x - sum(r2) / 3) ** 2 for x in r2) / 3))
+
+
+def test_training_report(spark):
+    metrics = spark.createDataFrame([("X", True, 0.9, 1.0), ("X", False, 0.8, 2.0)], "target string, is_train boolean, r2 double, rmse double")
+    cv = spark.createDataFrame([("X", 0.5, 0.1)], "target string, cv_r2_mean double, cv_r2_std double")
+    assert tuple(model.training_report(metrics, cv).first()) == ("X", 0.9, 0.8, 1.0, 2.0, 0.5, 0.1)
