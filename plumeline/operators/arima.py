@@ -121,49 +121,53 @@ def _stable(coefficients: np.ndarray) -> bool:
     return len(coefficients) == 0 or bool(np.all(np.abs(np.roots(np.r_[1.0, -coefficients])) < 0.999))
 
 
+def _lagged(v: np.ndarray, count: int, start: int) -> np.ndarray:
+    """The values 1..count steps before each position from `start` on, one column per step."""
+    return np.column_stack([v[start - j : len(v) - j] for j in range(1, count + 1)])
+
+
 def _search_one(y: np.ndarray, steps: int, max_order: int = 5) -> tuple[np.ndarray, str]:
-    """Forecast of one series: d by the level test (5 % point 0.463), p and q by Hannan-Rissanen and AIC."""
+    """Forecast of one series: d by the level test (5 % point 0.463), p and q by Hannan-Rissanen and AIC.
+
+    The errors of a long autoregression stand in for the shocks. All orders use the same rows, so their
+    normal equations are blocks of one small matrix.
+    """
     z, heads = y.astype(float), []
     while len(heads) < 2 and len(z) > 4 and _level_statistic(z) > 0.463:
         heads.append(z[-1])
         z = np.diff(z)
     n, const = len(z), 1 if len(heads) < 2 else 0
     mean = z.mean() if const and n else 0.0
+    z = z - mean
     long_order = max(1, min(8, n // 6))
     start = long_order + max_order
-    best = (np.inf, 0, 0, np.array([mean] if const else []), np.zeros(n))
-    if n - start >= 4:
-        lagged = lambda v, k, lo: np.column_stack([v[lo - j : len(v) - j] for j in range(1, k + 1)])
-        centred = z - mean
-        a = lagged(centred, long_order, long_order)
-        noise = np.r_[
-            np.zeros(long_order), centred[long_order:] - a @ np.linalg.lstsq(a, centred[long_order:], rcond=None)[0]
-        ]
-        target, rows = z[start:], n - start
-        for p in range(max_order + 1):
-            for q in range(max_order + 1):
-                blocks = [np.ones((rows, const))]
-                blocks += [lagged(z, p, start)] if p else []
-                blocks += [lagged(noise, q, start)] if q else []
-                design = np.hstack(blocks)
-                if design.shape[1] + 2 > rows:
-                    continue
-                beta = np.linalg.lstsq(design, target, rcond=None)[0] if design.shape[1] else np.array([])
-                if not (_stable(beta[const : const + p]) and _stable(-beta[const + p :])):
+    rows = n - start
+    aic, p, q, beta, shocks = np.inf, 0, 0, np.zeros(const), np.zeros(n)
+    if rows >= 4:
+        past = _lagged(z, long_order, long_order)
+        fit = past @ np.linalg.lstsq(past, z[long_order:], rcond=None)[0]
+        shocks = np.r_[np.zeros(long_order), z[long_order:] - fit]
+        target = z[start:]
+        design = np.hstack([np.ones((rows, 1)), _lagged(z, max_order, start), _lagged(shocks, max_order, start)])
+        gram, cross, total = design.T @ design, design.T @ target, target @ target
+        for i in range(max_order + 1):
+            for j in range(max_order + 1):
+                used = [*range(1 - const, 1), *range(1, 1 + i), *range(1 + max_order, 1 + max_order + j)]
+                if len(used) + 2 > rows:
                     continue
-                sse = float(((target - design @ beta) ** 2).sum()) if len(beta) else float(target @ target)
-                aic = rows * np.log(max(sse / rows, VARIANCE_FLOOR)) + 2 * (p + q + const + 1)
-                if aic < best[0] - 1e-9:
-                    best = (aic, p, q, beta, noise)
-    _, p, q, beta, noise = best
-    path, shocks = list(z), list(noise)
+                b = np.linalg.lstsq(gram[np.ix_(used, used)], cross[used], rcond=None)[0] if used else np.zeros(0)
+                sse = max(total - b @ cross[used], 0.0) if used else total
+                score = rows * np.log(max(sse / rows, VARIANCE_FLOOR)) + 2 * (len(used) + 1)
+                if score < aic - 1e-9 and _stable(b[const : const + i]) and _stable(-b[const + i :]):
+                    aic, p, q, beta = score, i, j, b
+    path, noise = list(z), list(shocks)
     for _ in range(steps):
         step = beta[0] if const else 0.0
-        step += sum(beta[const + j] * path[-1 - j] for j in range(p))
-        step += sum(beta[const + p + j] * shocks[-1 - j] for j in range(q))
+        step += sum(beta[const + k] * path[-1 - k] for k in range(p))
+        step += sum(beta[const + p + k] * noise[-1 - k] for k in range(q))
         path.append(step)
-        shocks.append(0.0)
-    ahead = np.array(path[n:])
+        noise.append(0.0)
+    ahead = np.array(path[n:]) + mean
     for level in reversed(heads):
         ahead = level + np.cumsum(ahead)
     return ahead, f"({p},{len(heads)},{q})"

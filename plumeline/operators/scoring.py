@@ -171,13 +171,16 @@ def operating_score() -> Column:
     return F.round((F.col("temperature_score") + F.col("pressure_score") + F.col("h2_score")) / 3.0, 3)
 
 
+def _slate_entries() -> Column:
+    names = [*PRODUCTS.items(), ("others", "others")]
+    return F.array(*[F.struct(F.lit(n).alias("product"), F.col(f"sel_{s}").alias("selectivity_pct")) for n, s in names])
+
+
 def slate_map() -> Column:
     """Selectivities of a scored point as a map of product to percent."""
-    names = [*PRODUCTS.items(), ("others", "others")]
-    entries = F.array(*[F.struct(F.lit(n).alias("k"), F.col(f"sel_{s}").alias("v")) for n, s in names])
-    return F.map_from_entries(F.filter(entries, lambda e: e["v"].isNotNull()))
+    return F.map_from_entries(F.filter(_slate_entries(), lambda e: e["selectivity_pct"].isNotNull()))
 
 
 def slate_rows(scored: DataFrame, keys: list[str]) -> DataFrame:
     """One row per product that the pathway makes."""
-    return scored.select(*keys, F.explode(slate_map()).alias("product", "selectivity_pct"))
+    return scored.select(*keys, F.inline(_slate_entries())).filter(F.col("selectivity_pct").isNotNull())

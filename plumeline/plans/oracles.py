@@ -653,5 +653,39 @@ def training_queries() -> dict[str, str]:
     }
 
 
+GRID_INDEXES = ["t_index", "p_index", "h_index"]
+
+# Columns that the queries return as 32-bit integers.
+INTEGERS = {
+    "series_read_filter": ["first_period", "last_period"],
+    **dict.fromkeys(["region_filter", "nation_forecast", "forecast_best", "forecast_guard_yearly", "arima_closed_form"], ["t"]),
+    "backtest_mape": ["n_periods", "n_test"],
+    **{f"poly_forecast_d{d}": ["t"] for d in (1, 2, 3, 4)},
+    **{f"pathway_{name}": ["t"] for name in (*SHAPES, "milestones")},
+    "scenario_gap": ["t"],
+    "commitments_parse": ["action_idx", "n_knots"],
+    "unsorted_years": ["action_idx"],
+    **dict.fromkeys(["reduction_by_year", "absolute_reduction", "annual_fraction", "sector_progress"], ["year"]),
+    "data_gap": ["last_data_year", "gap_years"],
+    "sector_report": ["progress_year"],
+    "policy_pathway": ["t"],
+    "grid_search_top10": GRID_INDEXES,
+    "grid_best_per_unit": ["rank", *GRID_INDEXES],
+    "grid_selectivity_top10": GRID_INDEXES,
+    "grid_heatmap": ["t_index"],
+    "label_codes": ["code"],
+    "unknown_category": ["pathway_encoded", "catalyst_encoded", "reactor_encoded"],
+    "fold_sizes": ["fold"],
+}
+
+
+def typed(name: str, sql: str) -> str:
+    if name not in INTEGERS:
+        return sql
+    casts = ", ".join(f"{c}::INTEGER AS {c}" for c in INTEGERS[name])
+    return f"SELECT * REPLACE ({casts}) FROM (\n{sql}\n)"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {**series_queries(), **scenario_queries(), **policy_queries(), **process_queries(), **training_queries()}
+    plain = {**series_queries(), **scenario_queries(), **policy_queries(), **process_queries(), **training_queries()}
+    return {name: typed(name, sql) for name, sql in plain.items()}
