@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,6 +40,15 @@ def messages(*conditional: tuple[Column, Column], default: str) -> Column:
     return F.when(F.size(kept) == 0, F.array(F.lit(default))).otherwise(kept)
 
 
+def said(template: str, **parts: Column) -> Column:
+    """A text with `{name}` places filled by columns."""
+    pieces = []
+    for text, name, _, _ in Formatter().parse(template):
+        pieces += [F.lit(text)] if text else []
+        pieces += [parts[name].cast("string")] if name else []
+    return F.concat(*pieces)
+
+
 def whole(x: Column) -> Column:
     """Integer part as text."""
     return x.cast("int").cast("string")

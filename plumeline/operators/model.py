@@ -11,7 +11,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumeline.functions.columns import clamp, messages
+from plumeline.functions.columns import clamp, messages, said
 from plumeline.functions.process_tables import PATHWAYS
 from plumeline.operators.features import FEATURES, add_features, label_indexer, unknown_rule
 from plumeline.operators.scoring import is_electro, score_points, slate_map, yield_range
@@ -28,6 +28,8 @@ LOW_PRESSURE_DISTANCE, CONFIDENCE_DECAY = 0.2, 3.0
 # Message and label texts, and the constants of the shaped result.
 METHANOL = "Methanol synthesis"
 METHANOL_PRODUCT = "CH3OH (methanol)"
+LOW_CONFIDENCE = "⚠️ Prediction confidence: {percent}% - conditions outside training range"
+CONFIDENCE_NOTE = "ML prediction with {percent}% confidence"
 IN_RANGE = "Operating conditions within acceptable range"
 MORE_HEAT = "Consider increasing temperature for higher conversion"
 LESS_HEAT = "High temperature may decrease selectivity"
@@ -220,7 +222,7 @@ def shape_ml(predicted: DataFrame, keep: list[str]) -> DataFrame:
         ),
     ).otherwise(F.create_map(F.lit("others"), F.lit(100.0)))
     score = F.round("confidence", 3)
-    percent = F.concat(F.format_string("%.0f", F.col("confidence") * 100.0), F.lit("%"))
+    percent = F.format_string("%.0f", F.col("confidence") * 100.0)
     t, p = F.col("temperature_c"), F.col("pressure_bar")
     return predicted.select(
         *keep,
@@ -242,10 +244,7 @@ def shape_ml(predicted: DataFrame, keep: list[str]) -> DataFrame:
         F.round(s, 2).alias("S_MeOH"),
         score.alias("confidence"),
         messages(
-            (
-                F.col("confidence") < 0.7,
-                F.concat(F.lit("⚠️ Prediction confidence: "), percent, F.lit(" - conditions outside training range")),
-            ),
+            (F.col("confidence") < 0.7, said(LOW_CONFIDENCE, percent=percent)),
             (methanol & (t < 200), F.lit(MORE_HEAT)),
             (methanol & (t > 280), F.lit(LESS_HEAT)),
             (methanol & (p < 20), F.lit(MORE_PRESSURE)),
@@ -253,7 +252,7 @@ def shape_ml(predicted: DataFrame, keep: list[str]) -> DataFrame:
         ).alias("suggestions"),
         F.filter(
             F.array(
-                F.concat(F.lit("ML prediction with "), percent, F.lit(" confidence")),
+                said(CONFIDENCE_NOTE, percent=percent),
                 F.lit(SOURCE_NOTE),
                 F.when(is_electro(F.col("pathway")) & (F.col("grid_ci_gco2_per_kwh") > 400), F.lit(GRID_NOTE)),
             ),

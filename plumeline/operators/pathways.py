@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumeline.functions.columns import said
 from plumeline.operators.forecast import forecast_best
 from plumeline.operators.series import spans
 from plumeline.operators.trend import polynomial_trend
 
 # Target used instead of zero by the exponential pathway, steepness of the S-curve over
-# the whole span, and the factor of the gentle decrease in smoothing.
+# the whole span, and the factor of the gentle decrease in smoothing. Then the texts of rejected scenarios.
 EXPONENTIAL_FLOOR = 0.01
 SCURVE_STEEPNESS = 8.0
 GENTLE_DECREASE = 0.995
+TOO_EARLY = "Target year must be > {start}"
+NO_SERIES = "Unknown series"
 
 
 def linear_pathway(start: Column, current: Column, target_period: Column, target: Column, period: Column) -> Column:
@@ -112,8 +115,8 @@ def split_scenarios(
     rejected = placed.filter(F.col("start").isNull() | ~usable).select(
         *keys,
         "scenario",
-        F.when(F.col("start").isNull(), F.lit("Unknown series"))
-        .otherwise(F.concat(F.lit("Target year must be > "), F.col("start").cast("string")))
+        F.when(F.col("start").isNull(), F.lit(NO_SERIES))
+        .otherwise(said(TOO_EARLY, start=F.col("start")))
         .alias("reason"),
     )
     return placed.filter(usable), rejected

@@ -24,6 +24,10 @@ TREND_LOW, TREND_HIGH = 0.0, 150.0
 SHORTEST_SPAN = 10
 LARGE_GAP_YEARS = 5
 
+# Labels and texts.
+SINK_LABEL, EMITTER_LABEL = "Removal Increase", "Reduction Target"
+NOT_FOUND = "Country '{entry}' not found. Available: {some}"
+
 
 def parse_commitments(docs: DataFrame, text: str, keys: list[str], allow_comments: bool = False) -> DataFrame:
     """One row per country of each document, with its actions as an array. Broken documents give no row."""
@@ -54,7 +58,7 @@ def find_commitment(commitments: DataFrame, entry: str) -> DataFrame:
     found = commitments.filter(F.col("entry") == entry)
     if found.isEmpty():
         some = [row.entry for row in commitments.select("entry").distinct().orderBy("entry").limit(20).collect()]
-        raise KeyError(f"Country '{entry}' not found. Available: {some}")
+        raise KeyError(NOT_FOUND.format(entry=entry, some=some))
     return found
 
 
@@ -284,8 +288,8 @@ def sector_report(shares: DataFrame, keys: list[str]) -> DataFrame:
         "baseline_emissions_mtco2",
         "share_pct",
         "target_pct",
-        F.when(F.col("baseline_emissions_mtco2") < 0, F.lit("Removal Increase"))
-        .otherwise(F.lit("Reduction Target"))
+        F.when(F.col("baseline_emissions_mtco2") < 0, F.lit(SINK_LABEL))
+        .otherwise(F.lit(EMITTER_LABEL))
         .alias("target_label"),
         F.col("_end.y").alias("progress_year"),
         F.col("_end.p").alias("progress_pct"),

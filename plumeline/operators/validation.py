@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumeline.functions.columns import said
+
 # Required fields in the order in which they are checked, and the accepted modes.
 COUNTRY_FIELDS = ["country", "target_year", "baseline_year", "baseline_emissions_gtco2", "policy_actions"]
 ACTION_FIELDS = [
@@ -17,7 +19,27 @@ ACTION_FIELDS = [
     "status",
 ]
 MODES = ["forecast", "target"]
+
+# The texts of the rules.
 VALID = "JSON is valid"
+BAD_SYNTAX = "Invalid JSON syntax"
+NOT_AN_OBJECT = "JSON must be an object with country names as keys"
+MISSING_FIELD = "Country '{country}' missing required field: {field}"
+NO_TARGET = "Country '{country}' in target mode must have 'target_reduction_pct'"
+BAD_MODE = "Country '{country}' has invalid mode '{mode}' (must be 'forecast' or 'target')"
+NOT_AN_ARRAY = "Country '{country}' policy_actions must be an array"
+MISSING_ACTION_FIELD = "Country '{country}' action {action} missing field: {field}"
+NO_ACTION_TARGET = (
+    "Country '{country}' action {action} ({sector}): must have either 'reduction_target_pct' or 'removal_increase_pct'"
+)
+SINK_TARGET = (
+    "Country '{country}' action {action} ({sector}): "
+    "sink sectors should use 'removal_increase_pct' instead of 'reduction_target_pct'"
+)
+UNEQUAL_ARRAYS = (
+    "Country '{country}' action {action} ({sector}): "
+    "implementation_years and yearly_improvement_pct must have same length"
+)
 
 VIOLATION = "array<struct<action_idx:int,rule_no:int,message:string>>"
 
@@ -42,52 +64,33 @@ def _document_rules(text: str) -> Column:
     shape = F.expr(f"schema_of_variant(try_parse_json(`{text}`))")
     nowhere = F.lit(-1)
     return _broken(
-        _rule(nowhere, 0, parsed.isNull(), F.lit("Invalid JSON syntax")),
+        _rule(nowhere, 0, parsed.isNull(), F.lit(BAD_SYNTAX)),
         _rule(
             nowhere,
             0,
             parsed.isNotNull() & ~F.startswith(shape, F.lit("OBJECT")),
-            F.lit("JSON must be an object with country names as keys"),
+            F.lit(NOT_AN_OBJECT),
         ),
     )
 
 
 def _country_rules() -> Column:
-    named = F.concat(F.lit("Country '"), F.col("entry"), F.lit("' "))
-    nowhere = F.lit(-1)
+    country, nowhere = F.col("entry"), F.lit(-1)
 
     def has(field: str) -> Column:
         return F.array_contains("_fields", field)
 
     mode = F.when(has("mode"), F.get_json_object("body", "$.mode")).otherwise(F.lit("target"))
+    listed = F.coalesce(F.startswith(F.ltrim("_actions"), F.lit("[")), F.lit(False))
+    shown = F.coalesce(mode, F.lit("None"))
     rules = [
-        _rule(nowhere, 1 + i, ~has(f), F.concat(named, F.lit(f"missing required field: {f}")))
+        _rule(nowhere, 1 + i, ~has(f), said(MISSING_FIELD, country=country, field=F.lit(f)))
         for i, f in enumerate(COUNTRY_FIELDS)
     ]
     rules += [
-        _rule(
-            nowhere,
-            6,
-            (mode == "target") & ~has("target_reduction_pct"),
-            F.concat(named, F.lit("in target mode must have 'target_reduction_pct'")),
-        ),
-        _rule(
-            nowhere,
-            7,
-            mode.isNull() | ~mode.isin(MODES),
-            F.concat(
-                named,
-                F.lit("has invalid mode '"),
-                F.coalesce(mode, F.lit("None")),
-                F.lit("' (must be 'forecast' or 'target')"),
-            ),
-        ),
-        _rule(
-            nowhere,
-            8,
-            has("policy_actions") & ~F.coalesce(F.startswith(F.ltrim("_actions"), F.lit("[")), F.lit(False)),
-            F.concat(named, F.lit("policy_actions must be an array")),
-        ),
+        _rule(nowhere, 6, (mode == "target") & ~has("target_reduction_pct"), said(NO_TARGET, country=country)),
+        _rule(nowhere, 7, mode.isNull() | ~mode.isin(MODES), said(BAD_MODE, country=country, mode=shown)),
+        _rule(nowhere, 8, has("policy_actions") & ~listed, said(NOT_AN_ARRAY, country=country)),
     ]
     return _broken(*rules)
 
@@ -108,34 +111,23 @@ def _action_facts(action: Column, index: Column) -> Column:
 
 def _action_rules(facts: Column) -> Column:
     index = facts["i"]
-    named = F.concat(F.lit("Country '"), F.col("entry"), F.lit("' action "), index.cast("string"))
-    placed = F.concat(named, F.lit(" ("), facts["sector"], F.lit("): "))
+    place = {"country": F.col("entry"), "action": index}
+    sector = {**place, "sector": facts["sector"]}
 
     def has(field: str) -> Column:
         return F.array_contains(facts["fields"], field)
 
+    targeted = has("reduction_target_pct") | has("removal_increase_pct")
+    sink = facts["baseline"] < 0
+    arrays = has("implementation_years") & has("yearly_improvement_pct")
     rules = [
-        _rule(index, 9 + i, ~has(f), F.concat(named, F.lit(f" missing field: {f}"))) for i, f in enumerate(ACTION_FIELDS)
+        _rule(index, 9 + i, ~has(f), said(MISSING_ACTION_FIELD, **place, field=F.lit(f)))
+        for i, f in enumerate(ACTION_FIELDS)
     ]
     rules += [
-        _rule(
-            index,
-            16,
-            ~has("reduction_target_pct") & ~has("removal_increase_pct"),
-            F.concat(placed, F.lit("must have either 'reduction_target_pct' or 'removal_increase_pct'")),
-        ),
-        _rule(
-            index,
-            17,
-            (facts["baseline"] < 0) & ~has("removal_increase_pct"),
-            F.concat(placed, F.lit("sink sectors should use 'removal_increase_pct' instead of 'reduction_target_pct'")),
-        ),
-        _rule(
-            index,
-            18,
-            has("implementation_years") & has("yearly_improvement_pct") & ~facts["years"].eqNullSafe(facts["pcts"]),
-            F.concat(placed, F.lit("implementation_years and yearly_improvement_pct must have same length")),
-        ),
+        _rule(index, 16, ~targeted, said(NO_ACTION_TARGET, **sector)),
+        _rule(index, 17, sink & ~has("removal_increase_pct"), said(SINK_TARGET, **sector)),
+        _rule(index, 18, arrays & ~facts["years"].eqNullSafe(facts["pcts"]), said(UNEQUAL_ARRAYS, **sector)),
     ]
     return _broken(*rules)
 

@@ -29,7 +29,8 @@ def month_index(date: str) -> Column:
 
 def nation_series(spark: SparkSession, folder: str) -> DataFrame:
     """Monthly order value per nation. Customers carry only a nation number; the names are joined after
-    the sum, on a handful of rows."""
+    the sum, on a handful of rows. The join is plain, so a customer with very many orders is split by the
+    adaptive skew join, and the sum behind it combines on the map side."""
     orders = table(spark, folder, "orders").select(
         F.col("o_custkey").alias("c_custkey"),
         month_index("o_orderdate").alias("t"),
