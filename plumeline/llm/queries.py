@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumeline.llm import neighbours, ngram_join, packing, vectors
+from plumeline.llm import neighbours, ngram_join, packing, pii, secrets, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,22 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.report(table(spark, sf_dir, "documents"))
+    spans = F.col("spans")
+    counts = [secrets.count(spans, rule.kind).alias(f"n_{rule.kind}") for rule in secrets.RULES]
+    listed = secrets.digest(spans)
+    return found.select("doc_id", *counts, F.sha2(listed, 256).alias("base_sha256"), listed.alias("spans"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.found(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    spans = F.col("spans")
+    counts = [secrets.count(spans, kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    base = pii.digest(F.filter(spans, lambda s: s["kind"] != "term"))
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), pii.digest(spans).alias("spans"))
+
+
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -41,6 +57,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_ngram_join": op2_ngram_join,
     "op3_embedding_dedup": op3_embedding_dedup,
+    "op4_secret_scan": op4_secret_scan,
+    "op9_pii": op9_pii,
     "op7_nearest_neighbours": op7_nearest_neighbours,
 }
 
