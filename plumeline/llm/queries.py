@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumeline.llm import neighbours, ngram_join, packing, pii, secrets, vectors
+from plumeline.llm import html_text, mixing, neighbours, ngram_join, packing, pii, secrets, toxicity, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,20 +49,77 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), pii.digest(spans).alias("spans"))
 
 
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.assigned(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    position = F.round(F.get("_mx_copies", 0)["position"], 6).alias("position")
+    return found.select("doc_id", "size", "source_size", "target", "taken", position)
+
+
+# The categories that the table `labels` tells apart, in the order of the chain.
+CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.fitted(docs, table(spark, sf_dir, "labels"), CATEGORIES)
+    return toxicity.scored(docs, chain).select("doc_id", "p_low_quality", "p_toxic", F.col("rejected").alias("toxic"))
+
+
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_ngram_join": op2_ngram_join,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_secret_scan": op4_secret_scan,
     "op9_pii": op9_pii,
+    "op10_main_text": op10_main_text,
+    "op5_source_mix": op5_source_mix,
+    "op6_toxicity": op6_toxicity,
     "op7_nearest_neighbours": op7_nearest_neighbours,
 }
 
 SQL: dict[str, str] = {
+    "op5_source_mix": r"""
+        WITH d AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS mark
+            FROM documents
+        ),
+        s AS (
+            SELECT source, source_size, 2.0::DOUBLE * source_size AS cap, sum(source_size) OVER () AS total,
+                CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0 ELSE 1.0 END AS weight,
+                (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS class
+            FROM (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source)
+        ),
+        filled AS (  -- in the order in which a rising level meets the caps
+            SELECT *, (1.5::DOUBLE * total - coalesce(sum(cap) OVER before, 0))
+                / sum(weight) OVER (ORDER BY cap / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+            FROM s WINDOW before AS (ORDER BY cap / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ),
+        water AS (SELECT arg_min(level, cap / weight) AS level FROM filled WHERE level * weight <= cap),
+        aims AS (
+            SELECT source, source_size, class, least(cap, weight * (SELECT level FROM water)) AS target FROM filled
+        ),
+        r AS (
+            SELECT d.*, a.source_size, a.class, a.target, floor(a.target + 0.5)::BIGINT AS most,
+                (sum(size) OVER (PARTITION BY d.source ORDER BY mark, doc_id, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start
+            FROM d JOIN aims a ON d.source IS NOT DISTINCT FROM a.source
+        )
+        SELECT doc_id, size, source_size, target,
+            (greatest(0, least(size, most - start)) + greatest(0, least(size, most - start - source_size)))::BIGINT AS taken,
+            round(CASE WHEN size = 0 OR start >= most THEN NULL
+                WHEN class = 0 THEN 2 * (start / most) / (1.5 + sqrt(2.25::DOUBLE - 2 * (start / most)))
+                WHEN class = 1 THEN start / most
+                ELSE 2 * (start / most) / (0.5 + sqrt(0.25::DOUBLE + 2 * (start / most))) END, 6) AS position
+        FROM r
+    """,
     "op3_embedding_dedup": """
         WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings),
         links AS (
