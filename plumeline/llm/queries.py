@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumeline.llm import html_text, mixing, neighbours, ngram_join, packing, pii, secrets, toxicity, vectors
+from plumeline.llm import html_text, mixing, neighbours, ngram_join, packing, paragraphs, pii, secrets, toxicity, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,10 @@ def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op8_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated(table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
+
+
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_join": op2_ngram_join,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_secret_scan": op4_secret_scan,
+    "op8_paragraph_dedup": op8_paragraph_dedup,
     "op9_pii": op9_pii,
     "op10_main_text": op10_main_text,
     "op5_source_mix": op5_source_mix,
