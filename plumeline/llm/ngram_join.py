@@ -207,9 +207,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc: str = "doc_id", th
 def keep_one(docs: DataFrame, text: str = "text", doc: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """The documents with one of each group of near duplicates left: the one with the smallest id. Documents without words stay."""
     found = near_duplicates(docs, text, doc, threshold)
-    staying = found.where("key is not null and stays").select(F.col("doc").alias("_doc"), F.col("th").alias("_th")).distinct()
-    rows = docs.withColumn("_th", F.xxhash64(text)).withColumn("_doc", F.col(doc).cast("long"))
-    worded = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    same = rows["_th"].eqNullSafe(staying["_th"]) & rows["_doc"].eqNullSafe(staying["_doc"])
-    first = rows.where(worded).join(staying, same, "left_semi").dropDuplicates(["_th", "_doc"])
-    return first.unionByName(rows.where(~worded)).drop("_th", "_doc")
+    staying = found.where("key is not null and stays").select("doc", "th").distinct()
+    rows = docs.select(
+        F.xxhash64(text).alias("_hash_of_text"), F.col(doc).cast("long").alias("_long_id"), *[F.col(c).alias(f"_in_{c}") for c in docs.columns]
+    )
+    worded = F.coalesce(F.col(f"_in_{text}").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    same = rows["_hash_of_text"].eqNullSafe(staying["th"]) & rows["_long_id"].eqNullSafe(staying["doc"])
+    first = rows.where(worded).join(staying, same, "left_semi").dropDuplicates(["_hash_of_text", "_long_id"])
+    out = first.unionByName(rows.where(~worded))
+    return out.select(*[F.col(f"_in_{c}").alias(c) for c in docs.columns])

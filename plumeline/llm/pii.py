@@ -190,7 +190,7 @@ def _spans_of(revealed: set[tuple[str, str]]):
 
 
 def found(docs: DataFrame, text: str = "text", least: int = LEAST_CONTEXTS, threshold: float = DISCLOSURE) -> DataFrame:
-    """Adds `spans` (kind, start, end) to every row: the patterns' and those of disclosing terms.
+    """Adds `spans` (kind, start, end) to every row, in place of a column of that name: the patterns' and those of disclosing terms.
 
     The disclosing pairs go to the tasks in slices of at most MOST_BROADCAST, one pass per slice, so what is sent is bounded
     and none is left out."""
@@ -212,7 +212,10 @@ def _generalised(texts: pd.Series, spans: pd.Series) -> pd.Series:
 
 def sanitised(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows with their texts sanitised; null texts stay null."""
-    return found(docs, text).withColumn(text, _generalised(F.col(text).cast("string"), "spans")).drop("spans")
+    named = docs.withColumnsRenamed({c: f"_in_{c}" for c in docs.columns})
+    out = found(named, f"_in_{text}")
+    out = out.withColumn(f"_in_{text}", _generalised(F.col(f"_in_{text}").cast("string"), "spans"))
+    return out.select(*[F.col(f"_in_{c}").alias(c) for c in docs.columns])
 
 
 def digest(spans: Column) -> Column:

@@ -9,7 +9,7 @@ Places: a span is `[start, end)` in code points. Matches and the text between th
 lengths and no match is searched for again.
 
 Results: a null text is an empty one and has no findings. Repeated rows and equal texts share one blob. Rows without path keep their findings.
-An empty table gives an empty result. Other columns are carried along untouched.
+An empty table gives an empty result. Other columns are carried along; those named `blob` and `spans` are replaced.
 """
 
 from __future__ import annotations
@@ -94,7 +94,7 @@ def scan(
 def findings(versions: DataFrame, ledger: DataFrame, text: str = "text", rule_version: str = RULE_VERSION) -> DataFrame:
     """Every row of `versions` with its `blob` and the ledger's `spans` for it; a blob that was never scanned has null."""
     known = ledger.where(F.col("rule_version") == rule_version).select("blob", "spans")
-    return addressed(versions, text).drop(text).join(known, "blob", "left")
+    return addressed(versions.drop("spans"), text).drop(text).join(known, "blob", "left")
 
 
 def update(versions: DataFrame, path: str, text: str = "text", rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> DataFrame:
