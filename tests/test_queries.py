@@ -4,9 +4,10 @@ import pytest
 from oracle import compare, duck
 
 import __spark_entry__ as contract
+from plumeline.plans import oracles
 from plumeline.plans import queries as named
 
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
+QUERIES, SQL = named.queries(), oracles.oracle_sql()
 SLOW = {"gbt_metrics", "gbt_importance", "gbt_predict", "gbt_learning_curve", "gbt_cross_validation", "route_predictions"}
 
 
