@@ -13,14 +13,21 @@ def gaussian_score(x: Column, optimum: Column, sigma: Column) -> Column:
     return F.exp(-(away * away) / (F.lit(2.0) * sigma * sigma))
 
 
-def clamp(x: Column, low: float, high: float) -> Column:
-    """`x` held inside [low, high]. `x` must not be null: greatest and least skip nulls."""
-    return F.greatest(F.least(x, F.lit(float(high))), F.lit(float(low)))
+def at_least(x: Column, bound: Column | float) -> Column:
+    """`x`, or the bound where that is larger; null where either is null. (`greatest` alone skips nulls.)"""
+    bound = bound if isinstance(bound, Column) else F.lit(float(bound))
+    return F.when(x.isNotNull() & bound.isNotNull(), F.greatest(x, bound))
+
 
+def at_most(x: Column, bound: Column | float) -> Column:
+    """`x`, or the bound where that is smaller; null where either is null."""
+    bound = bound if isinstance(bound, Column) else F.lit(float(bound))
+    return F.when(x.isNotNull() & bound.isNotNull(), F.least(x, bound))
 
-def lookup(values: Column, key: Column, default: float) -> Column:
-    """Entry of a map column, or a default where the key is absent."""
-    return F.coalesce(F.try_element_at(values, key), F.lit(default))
+
+def clamp(x: Column, low: float, high: float) -> Column:
+    """`x` held inside [low, high]; null stays null."""
+    return F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(float(high))), F.lit(float(low))))
 
 
 def axis(low: Column, high: Column, steps: int) -> Column:

@@ -18,6 +18,8 @@ from plumeline.session import spread
 CANDIDATES = [("mean", 2), ("random_walk", 1), ("random_walk_drift", 2), ("ar1", 3), ("arima110", 3)]
 
 VARIANCE_FLOOR = 1e-12
+SHORTEST_SEARCH = 16  # periods below which the order search has too few rows
+LONG_LAG_GAIN = 0.1  # AIC per row by which a long autoregression must beat the searched orders
 
 
 def closed_form_arima(frame: DataFrame, keys: list[str], time: str, value: str, scopes: dict[str, str]) -> DataFrame:
@@ -126,12 +128,58 @@ def _lagged(v: np.ndarray, count: int, start: int) -> np.ndarray:
     return np.column_stack([v[start - j : len(v) - j] for j in range(1, count + 1)])
 
 
+def _long_autoregression(z: np.ndarray) -> tuple[int, np.ndarray, float | None]:
+    """Order, coefficients and AIC per row of the best autoregression with up to a sixth of the series as lags."""
+    n = len(z)
+    most = max(1, n // 6)
+    rows = n - most
+    if rows < most + 3:
+        return 1, np.zeros(1), None
+    past, target = _lagged(z, most, most), z[most:]
+    gram, cross, total = past.T @ past, past.T @ target, target @ target
+    best = (np.inf, 1, np.zeros(1))
+    for k in range(1, most + 1):
+        b = np.linalg.lstsq(gram[:k, :k], cross[:k], rcond=None)[0]
+        score = np.log(max((total - b @ cross[:k]) / rows, VARIANCE_FLOOR)) + 2 * (k + 1) / rows
+        if score < best[0] - 1e-9 and _stable(b):
+            best = (score, k, b)
+    return best[1], best[2], None if best[0] == np.inf else best[0]
+
+
+def _small_model(y: np.ndarray, steps: int) -> tuple[np.ndarray, str]:
+    """The best of mean, random walk with and without drift, AR(1) and ARIMA(1,1,0) by AIC on one-step errors."""
+    ahead, change = np.arange(1, steps + 1), np.diff(y)
+    drift = change.mean() if len(change) else 0.0
+    models = [
+        ("mean", 2, y[1:] - y.mean() if len(y) > 1 else y * 0, np.full(steps, y.mean() if len(y) else 0.0)),
+        ("(0,1,0)", 1, change, np.full(steps, y[-1] if len(y) else 0.0)),
+        ("(0,1,0) drift", 2, change - drift, (y[-1] if len(y) else 0.0) + drift * ahead),
+    ]
+    for name, x in (("(1,0,0)", y), ("(1,1,0)", change)):
+        if len(x) >= 4 and x[:-1].std() > 0:
+            a, c = np.polyfit(x[:-1], x[1:], 1)
+            if abs(a) < 0.999:
+                path, last = [], x[-1]
+                for _ in range(steps):
+                    last = a * last + c
+                    path.append(last)
+                path = np.array(path) if name == "(1,0,0)" else y[-1] + np.cumsum(path)
+                models.append((name, 3, x[1:] - a * x[:-1] - c, path))
+    scored = [(len(e) * np.log(max((e @ e) / max(1, len(e)), VARIANCE_FLOOR)) / max(1, len(e)) + 2 * k / max(1, len(e)), i) for i, (_, k, e, _) in enumerate(models)]
+    name, _, _, path = models[min(scored)[1]]
+    return path, name
+
+
 def _search_one(y: np.ndarray, steps: int, max_order: int = 5) -> tuple[np.ndarray, str]:
     """Forecast of one series: d by the level test (5 % point 0.463), p and q by Hannan-Rissanen and AIC.
 
-    The errors of a long autoregression stand in for the shocks. All orders use the same rows, so their
-    normal equations are blocks of one small matrix.
+    The errors of a long autoregression stand in for the shocks; its order grows with the length, as a sixth of it at
+    most, and is chosen by AIC. All orders use the same rows, so their normal equations are blocks of one small
+    matrix. A series too short for the search, and one whose long autoregression beats every searched order by far
+    (a long lag that p and q up to 5 can't hold), follow the better of the five small models or that autoregression.
     """
+    if len(y) < SHORTEST_SEARCH:
+        return _small_model(y.astype(float), steps)
     z, heads = y.astype(float), []
     while len(heads) < 2 and len(z) > 4 and _level_statistic(z) > 0.463:
         heads.append(z[-1])
@@ -139,7 +187,7 @@ def _search_one(y: np.ndarray, steps: int, max_order: int = 5) -> tuple[np.ndarr
     n, const = len(z), 1 if len(heads) < 2 else 0
     mean = z.mean() if const and n else 0.0
     z = z - mean
-    long_order = max(1, min(8, n // 6))
+    long_order, lags, long_aic = _long_autoregression(z)
     start = long_order + max_order
     rows = n - start
     aic, p, q, beta, shocks = np.inf, 0, 0, np.zeros(const), np.zeros(n)
@@ -160,6 +208,8 @@ def _search_one(y: np.ndarray, steps: int, max_order: int = 5) -> tuple[np.ndarr
                 score = rows * np.log(max(sse / rows, VARIANCE_FLOOR)) + 2 * (len(used) + 1)
                 if score < aic - 1e-9 and _stable(b[const : const + i]) and _stable(-b[const + i :]):
                     aic, p, q, beta = score, i, j, b
+        if long_aic is not None and long_aic + LONG_LAG_GAIN < aic / rows:
+            p, q, beta = long_order, 0, np.r_[np.zeros(const), lags]
     path, noise = list(z), list(shocks)
     for _ in range(steps):
         step = beta[0] if const else 0.0

@@ -32,8 +32,9 @@ def scored_frame(
     value: str,
     horizon: int | str = 0,
     degree: int = 2,
-    arima: str = "closed_form",
+    arima: str = "search",
     until: int | str | None = None,
+    n_test: int | None = None,
 ) -> DataFrame:
     """History and future rows with both forecasts and both hold-out errors.
 
@@ -43,7 +44,7 @@ def scored_frame(
     """
     end = horizon if until is None else until
     ahead = F.col(end) if isinstance(end, str) else F.lit(end)
-    frame = holdout_frame(series, keys, time).withColumn("_all", F.lit(True))
+    frame = holdout_frame(series, keys, time, n_test).withColumn("_all", F.lit(True))
     if until is not None:
         ahead = ahead - F.col("_last")
     frame = frame.withColumn("_ahead", F.greatest(ahead, F.lit(0)).cast("int"))
@@ -75,10 +76,12 @@ def scored_frame(
 
 
 def backtest(
-    series: DataFrame, keys: list[str], time: str, value: str, degree: int = 2, arima: str = "closed_form"
+    series: DataFrame, keys: list[str], time: str, value: str, degree: int = 2, arima: str = "search", n_test: int | None = None
 ) -> DataFrame:
-    """One row per series: length, hold-out size and both errors (null when the series is too short)."""
-    frame = scored_frame(series, keys, time, value, 0, degree, arima)
+    """One row per series: length, hold-out size and both errors (null when the series is too short).
+
+    `n_test` is the number of held-out periods; without it, it follows from the length."""
+    frame = scored_frame(series, keys, time, value, 0, degree, arima, n_test=n_test)
     return frame.filter(F.col(time) == F.col("_last")).select(
         *keys,
         F.col("_n").alias("n_periods"),
@@ -101,7 +104,7 @@ def forecast_best(
     value: str,
     horizon: int | str = 20,
     degree: int = 2,
-    arima: str = "closed_form",
+    arima: str = "search",
     until: int | str | None = None,
 ) -> DataFrame:
     """Rows `(keys..., time, forecast, model, poly_mape, arima_mape)` for the future of every series."""

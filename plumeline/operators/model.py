@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -11,7 +12,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumeline.functions.columns import clamp, messages, said
+from plumeline.functions.columns import at_least, at_most, clamp, messages, said
 from plumeline.functions.process_tables import PATHWAYS
 from plumeline.operators.features import FEATURES, add_features, label_indexer, unknown_rule
 from plumeline.operators.scoring import is_electro, score_points, slate_map, yield_range
@@ -58,6 +59,12 @@ def train(table: DataFrame, target: str, trees: int = TREES, depth: int = DEPTH)
     prepared = PipelineModel(_feature_stages(known))
     # Boosting reads its input for every round; from the checkpoint it never goes back to the source.
     assembled = prepared.transform(known).select("_assembled", F.col(target).cast("double").alias(target)).checkpoint()
+    return PipelineModel([*prepared.stages, *boost(assembled, target, trees, depth).stages])
+
+
+def boost(assembled: DataFrame, target: str, trees: int = TREES, depth: int = DEPTH) -> PipelineModel:
+    """Scaler and boosted trees for rows whose features are assembled already."""
+    assembled = assembled.withColumn(target, F.col(target).cast("double"))
     scaler = StandardScaler(inputCol="_assembled", outputCol="_features", withMean=True, withStd=True).fit(assembled)
     learner = GBTRegressor(
         featuresCol="_features",
@@ -71,7 +78,7 @@ def train(table: DataFrame, target: str, trees: int = TREES, depth: int = DEPTH)
         seed=SEED,
     )
     booster = learner.fit(scaler.transform(assembled).select("_features", target))
-    return PipelineModel([*prepared.stages, scaler, booster])
+    return PipelineModel([scaler, booster])
 
 
 def train_each(jobs: dict[str, tuple[DataFrame, str]], trees: int = TREES, depth: int = DEPTH) -> dict[str, PipelineModel]:
@@ -138,21 +145,33 @@ def feature_importance(model: PipelineModel, spark: SparkSession, target: str, t
     return ranked.limit(top) if top else ranked
 
 
-def cross_validate(folded: DataFrame, target: str, folds: int, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
-    """R2 per fold, each predicted by a model trained on the other folds."""
-    fitted = train_each({str(k): (folded.filter(F.col("fold") != k), target) for k in range(folds)}, trees, depth)
+def cross_validate_each(folded: DataFrame, targets: list[str], folds: int, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
+    """Rows `(target, fold, n_rows, r2, rmse, mae)`: all folds of all targets are trained side by side.
+
+    Labels are coded once, on the whole table, so a label that only a held-out fold has keeps its own code."""
+    use_checkpoint_dir(folded.sparkSession)
+    coder = PipelineModel(_feature_stages(folded))
+    coded = coder.transform(folded).select("fold", "_assembled", *targets).checkpoint()
+    jobs = {(t, k): (coded.filter((F.col("fold") != k) & F.col(t).isNotNull()), t) for t in targets for k in range(folds)}
+    spark = folded.sparkSession
+    run = inheritable_thread_target(spark)(lambda job: boost(*job, trees, depth))
+    with ThreadPool(min(len(jobs), PARALLEL_TRAININGS)) as pool:
+        fitted = dict(zip(jobs, pool.map(run, jobs.values()), strict=True))
     parts = [
-        predict_raw(fitted[str(k)], folded.filter((F.col("fold") == k) & F.col(target).isNotNull()), "_predicted")
-        for k in range(folds)
+        predict_raw(m, coded.filter((F.col("fold") == k) & F.col(t).isNotNull()), "_predicted")
+        .select(F.lit(t).alias("target"), "fold", F.col(t).cast("double").alias("_actual"), "_predicted")
+        for (t, k), m in fitted.items()
     ]
-    scored = parts[0]
-    for part in parts[1:]:
-        scored = scored.unionByName(part)
-    return regression_metrics(scored, ["fold"], target, "_predicted")
+    return regression_metrics(reduce(DataFrame.unionByName, parts), ["target", "fold"], "_actual", "_predicted")
+
+
+def cross_validate(folded: DataFrame, target: str, folds: int, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
+    """R2 per fold, each predicted by a model trained on the other folds."""
+    return cross_validate_each(folded, [target], folds, trees, depth).drop("target")
 
 
-def cross_validation_summary(fold_metrics: DataFrame) -> DataFrame:
-    return fold_metrics.agg(F.avg("r2").alias("cv_r2_mean"), F.stddev_pop("r2").alias("cv_r2_std"))
+def cross_validation_summary(fold_metrics: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    return fold_metrics.groupBy(*(keys or [])).agg(F.avg("r2").alias("cv_r2_mean"), F.stddev_pop("r2").alias("cv_r2_std"))
 
 
 def save_models(models: dict[str, PipelineModel], path: str) -> None:
@@ -171,7 +190,7 @@ def load_models(spark: SparkSession, path: str) -> dict[str, PipelineModel]:
 
 
 def confidence(temperature: Column, pressure: Column, ratio: Column) -> Column:
-    """Exponential decay of the mean distance from the ranges of the training runs."""
+    """Exponential decay of the mean distance from the ranges of the training runs; null where a condition is."""
     (t_low, t_high), (p_low, p_high), (h_low, h_high) = TRAINED_T, TRAINED_P, TRAINED_H
     t = F.when(temperature < t_low, (F.lit(t_low) - temperature) / t_low).when(
         temperature > t_high, (temperature - t_high) / t_high
@@ -180,7 +199,8 @@ def confidence(temperature: Column, pressure: Column, ratio: Column) -> Column:
     h = F.when(
         (ratio < h_low) | (ratio > h_high), F.least(F.abs(ratio - h_low), F.abs(ratio - h_high)) / h_high
     ).otherwise(0.0)
-    return clamp(F.exp(F.lit(-CONFIDENCE_DECAY) * (t + p + h) / 3.0), 0, 1)
+    known = temperature.isNotNull() & pressure.isNotNull() & ratio.isNotNull()
+    return clamp(F.when(known, F.exp(F.lit(-CONFIDENCE_DECAY) * (t + p + h) / 3.0)), 0, 1)
 
 
 def add_ml_predictions(points: DataFrame, models: dict[str, PipelineModel]) -> DataFrame:
@@ -230,10 +250,10 @@ def shape_ml(predicted: DataFrame, keep: list[str]) -> DataFrame:
             F.coalesce(F.try_element_at(product, "pathway"), F.lit("Unknown"))
         ).alias("primary_product"),
         F.round(estimate, 1).alias("yield_pct"),
-        F.greatest(F.lit(3.0), F.round(estimate - ML_HALF_WIDTH, 1)).alias("yield_low"),
-        F.least(F.lit(95.0), F.round(estimate + ML_HALF_WIDTH, 1)).alias("yield_high"),
+        at_least(F.round(estimate - ML_HALF_WIDTH, 1), 3.0).alias("yield_low"),
+        at_most(F.round(estimate + ML_HALF_WIDTH, 1), 95.0).alias("yield_high"),
         F.col("h2_to_co2").alias("h2_per_co2"),
-        F.round(F.least(F.lit(95.0), x * CARBON_FACTOR), 1).alias("carbon_util_pct"),
+        F.round(at_most(x * CARBON_FACTOR, 95.0), 1).alias("carbon_util_pct"),
         score.alias("temperature_score"),
         score.alias("pressure_score"),
         score.alias("h2_score"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumeline.functions.columns import said
+from plumeline.functions.columns import at_least, said
 from plumeline.operators.forecast import forecast_best
 from plumeline.operators.series import spans
 from plumeline.operators.trend import polynomial_trend
@@ -66,13 +66,15 @@ def smooth_declining(df: DataFrame, keys: list[str], time: str, value: str) -> D
 
 def resolve_targets(scenarios: DataFrame, current: str = "current") -> DataFrame:
     """Adds `target` from the kind: net_zero, percent (of `base`, or of the current value where base is
-    null) or absolute. The amount is the percentage or the absolute value."""
+    null), forecast (what is left of that after a fraction) or absolute. The amount is the percentage, the
+    fraction or the absolute value."""
     base = F.coalesce(F.col("base"), F.col(current)) if "base" in scenarios.columns else F.col(current)
     kind, amount = F.col("target_kind"), F.col("target_amount")
     return scenarios.withColumn(
         "target",
         F.when(kind == "net_zero", F.lit(0.0))
         .when(kind == "percent", base * (F.lit(1.0) - amount / F.lit(100.0)))
+        .when(kind == "forecast", base * (F.lit(1.0) - amount))
         .when(kind == "absolute", amount),
     )
 
@@ -153,7 +155,7 @@ def milestone_pathway(
         history.unionByName(added), [*keys, "scenario"], "t", "v", degree, {"fit": "path"}
     )
     return fitted.filter(~F.col("fit")).select(
-        *keys, "scenario", F.col("t").alias(time), F.greatest(F.col("path"), F.lit(0.0)).alias("path")
+        *keys, "scenario", F.col("t").alias(time), at_least(F.col("path"), 0.0).alias("path")
     )
 
 
@@ -165,6 +167,7 @@ def run_scenarios(
     value: str,
     degree: int = 2,
     policy_path: DataFrame | None = None,
+    arima: str = "search",
 ) -> DataFrame:
     """Rows `(keys..., scenario, pathway, time, bau, commitment, gap, model, start, current, target, ...)`.
 
@@ -179,7 +182,7 @@ def run_scenarios(
     else:
         until = "_until"
         bounded = series.join(placed.groupBy(*keys).agg(F.max("target_period").alias(until)), keys)
-    bau = forecast_best(bounded, keys, time, value, degree=degree, until=until).select(
+    bau = forecast_best(bounded, keys, time, value, degree=degree, arima=arima, until=until).select(
         *keys, time, F.col("forecast").alias("bau"), "model"
     )
     rows = bau.join(placed, keys).filter(F.col(time) <= F.col("target_period"))
@@ -195,7 +198,7 @@ def run_scenarios(
     if policy_path is not None:
         rows = rows.join(policy_path.select(*keys, time, F.col("path").alias("_policy")), [*keys, time], "left")
         shape = shape.when((F.col("pathway") == "policy_driven") & F.col("_policy").isNotNull(), F.col("_policy"))
-    commitment = F.greatest(shape.otherwise(exponential_pathway(*args)), F.lit(0.0))
+    commitment = at_least(shape.otherwise(exponential_pathway(*args)), 0.0)
     return rows.select(
         *keys,
         "scenario",

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumeline.functions.columns import at_least, at_most
 from plumeline.operators.pathways import smooth_declining
 
 ACTION_TYPE = (
@@ -27,6 +28,7 @@ LARGE_GAP_YEARS = 5
 # Labels and texts.
 SINK_LABEL, EMITTER_LABEL = "Removal Increase", "Reduction Target"
 NOT_FOUND = "Country '{entry}' not found. Available: {some}"
+SHORTENED = " and {more} more"
 
 
 def parse_commitments(docs: DataFrame, text: str, keys: list[str], allow_comments: bool = False) -> DataFrame:
@@ -53,15 +55,23 @@ def list_countries(docs: DataFrame, text: str, keys: list[str]) -> DataFrame:
     return docs.filter(valid).select(*keys, F.posexplode(F.json_object_keys(F.col(text))).alias("country_pos", "entry"))
 
 
-def find_commitment(commitments: DataFrame, entry: str) -> DataFrame:
-    """The rows of one entry; raises `KeyError` naming some of the entries that exist when there are none."""
+def find_commitment(commitments: DataFrame, entry: str, most_names: int = 1000) -> DataFrame:
+    """The rows of one entry; raises `KeyError` naming the entries that exist when there are none: all of them, or the first
+    `most_names` and how many more there are."""
     found = commitments.filter(F.col("entry") == entry)
     if found.isEmpty():
-        some = [row.entry for row in commitments.select("entry").distinct().orderBy("entry").limit(20).collect()]
-        raise KeyError(NOT_FOUND.format(entry=entry, some=some))
+        names = commitments.select("entry").distinct()
+        some = [row.entry for row in names.orderBy("entry").limit(most_names).collect()]
+        more = names.count() - len(some)
+        raise KeyError(NOT_FOUND.format(entry=entry, some=some) + (SHORTENED.format(more=more) if more else ""))
     return found
 
 
+def with_entry(df: DataFrame, keys: list[str]) -> list[str]:
+    """The keys of one country: a document may hold several, so its `entry` counts as a key wherever that column is there."""
+    return [*keys, "entry"] if "entry" in df.columns and "entry" not in keys else list(keys)
+
+
 def is_forecast_mode() -> Column:
     return F.coalesce(F.col("mode") == "forecast", F.lit(False)) | F.col("target_reduction_pct").isNull()
 
@@ -80,7 +90,8 @@ def mode_mismatch(commitments: DataFrame, expected: str) -> DataFrame:
 
 
 def commitment_actions(commitments: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per action, with a manual share kept apart from the calculated one."""
+    """One row per action, with a manual share kept apart from the calculated one. `entry` stays as a key."""
+    keys = with_entry(commitments, keys)
     exploded = commitments.select(
         *keys,
         is_forecast_mode().alias("forecast_mode"),
@@ -123,6 +134,7 @@ def action_shares(actions: DataFrame, keys: list[str]) -> DataFrame:
     The gross sum is combined on the map side and joined back, so a country that owns a large part of
     all actions is not pulled into one window.
     """
+    keys = with_entry(actions, keys)
     baseline = F.col("baseline_emissions_mtco2")
     gross = actions.groupBy(*keys).agg(F.sum(F.when(baseline > 0, baseline)).alias("gross_mtco2"))
     calculated = F.when(baseline > 0, F.try_divide(baseline, F.col("gross_mtco2")) * 100.0).otherwise(0.0)
@@ -131,6 +143,7 @@ def action_shares(actions: DataFrame, keys: list[str]) -> DataFrame:
 
 def share_quality(shares: DataFrame, keys: list[str]) -> DataFrame:
     """Sum of the shares per country; manual shares are not rescaled, so it can differ from 100."""
+    keys = with_entry(shares, keys)
     return shares.groupBy(*keys).agg(
         F.sum("share_pct").alias("share_sum"),
         F.sum(F.col("manual_share_pct").isNotNull().cast("int")).alias("manual_shares"),
@@ -138,13 +151,13 @@ def share_quality(shares: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def sector_breakdown(actions: DataFrame, keys: list[str]) -> DataFrame:
-    return actions.groupBy(*keys, "sector").agg(F.sum("baseline_emissions_mtco2").alias("baseline_mtco2"))
+    return actions.groupBy(*with_entry(actions, keys), "sector").agg(F.sum("baseline_emissions_mtco2").alias("baseline_mtco2"))
 
 
 def sector_contributions(actions: DataFrame, keys: list[str]) -> DataFrame:
     """Reduction at the target per sector (negative for sinks); an action without a target adds nothing."""
     amount = F.col("baseline_emissions_mtco2") * target_pct() / 100.0
-    return actions.groupBy(*keys, "sector").agg(F.coalesce(F.sum(amount), F.lit(0.0)).alias("contribution_mtco2"))
+    return actions.groupBy(*with_entry(actions, keys), "sector").agg(F.coalesce(F.sum(amount), F.lit(0.0)).alias("contribution_mtco2"))
 
 
 # Least-squares slope of the knots on centred years; null for fewer than two distinct years.
@@ -176,7 +189,7 @@ def reduction_pct(year: str, target_year: str | None = None) -> Column:
     """Cumulative reduction of an action in a year. Reads the columns of `with_knots`.
 
     Zero before the baseline year and before the first knot; linear between knots; beyond the last
-    knot a damped trend when there is no target, the target when it is already passed, and otherwise a
+    knot a damped trend (none where all knots share a year) when there is no target, the target when it is already passed, and otherwise a
     line to the target. Without a target year that line takes the data span, at least ten years.
     """
     before = f"try_element_at(filter(_knots, k -> k.y <= {year}), -1)"
@@ -185,7 +198,7 @@ def reduction_pct(year: str, target_year: str | None = None) -> Column:
         f"{before}.p + coalesce(({after}.p - {before}.p) * try_divide({year} - {before}.y, {after}.y - {before}.y), 0D)"
     )
     elapsed = f"CAST({year} - _end.y AS DOUBLE)"
-    trend = f"_end.p + _slope * {elapsed} / (1D + {DAMPING}D * {elapsed})"
+    trend = f"_end.p + coalesce(_slope, 0D) * {elapsed} / (1D + {DAMPING}D * {elapsed})"
     span = f"greatest({SHORTEST_SPAN}, _end.y - _first.y)"
     if target_year is not None:
         span = f"CASE WHEN {target_year} > _end.y THEN {target_year} - _end.y ELSE {span} END"
@@ -216,9 +229,11 @@ def reductions_by_year(actions: DataFrame, start: int, end: int, use_target_year
 def annual_fraction(shares: DataFrame, keys: list[str], start: int, end: int) -> DataFrame:
     """Reduction as a fraction of the baseline per country and year, at most 1.
 
-    Emitters count by share; sinks count their additional removal against the country baseline. The
-    country's mode, target year and reduction are carried along (each is the same on all its actions).
+    Emitters count by share; sinks count their additional removal against the country baseline, and a zero
+    baseline with a sink gives null. The country's baseline, mode, target year and reduction are carried along (each is the
+    same on all its actions).
     """
+    keys = with_entry(shares, keys)
     baseline, pct = F.col("baseline_emissions_mtco2"), F.col("reduction_pct") / 100.0
     emitters = F.when(baseline > 0, F.col("share_pct") / 100.0 * pct)
     sinks = F.when(
@@ -229,7 +244,8 @@ def annual_fraction(shares: DataFrame, keys: list[str], start: int, end: int) ->
         .groupBy(*keys, "year")
         .agg(
             F.coalesce(F.sum(emitters), F.lit(0.0)).alias("_e"),
-            F.coalesce(F.sum(sinks), F.lit(0.0)).alias("_s"),
+            F.when(F.count_if((baseline < 0) & sinks.isNull()) == 0, F.coalesce(F.sum(sinks), F.lit(0.0))).alias("_s"),
+            F.first("baseline_emissions_gtco2").alias("baseline_gtco2"),
             F.first("forecast_mode").alias("forecast_mode"),
             F.first("target_year").alias("target_period"),
             F.coalesce(F.first("target_reduction_pct"), F.lit(0.0)).alias("cut_pct"),
@@ -237,7 +253,8 @@ def annual_fraction(shares: DataFrame, keys: list[str], start: int, end: int) ->
         .select(
             *keys,
             "year",
-            F.least(F.col("_e") + F.col("_s"), F.lit(1.0)).alias("fraction"),
+            at_most(F.col("_e") + F.col("_s"), 1.0).alias("fraction"),
+            "baseline_gtco2",
             "forecast_mode",
             "target_period",
             "cut_pct",
@@ -247,6 +264,7 @@ def annual_fraction(shares: DataFrame, keys: list[str], start: int, end: int) ->
 
 def data_horizon(actions: DataFrame, keys: list[str]) -> DataFrame:
     """Last data year over all actions, years missing up to the target, and the size class of that gap."""
+    keys = with_entry(actions, keys)
     last = F.coalesce(F.array_max("implementation_years"), F.lit(0))
     gap = F.col("target_year") - F.col("last_data_year")
     return (
@@ -273,14 +291,14 @@ def progress_table(actions: DataFrame, keys: list[str]) -> DataFrame:
             (k["p"] - F.get(F.col("_knots"), i - 1)["p"]).alias("change_pct"),
         ),
     )
-    return with_knots(actions).select(*keys, "action_idx", "sector", "target_pct", F.inline(knots))
+    return with_knots(actions).select(*with_entry(actions, keys), "action_idx", "sector", "target_pct", F.inline(knots))
 
 
 def sector_report(shares: DataFrame, keys: list[str]) -> DataFrame:
     """One row per action: share, target and its label, status, latest progress and its yearly change."""
     previous = F.when(F.size("_knots") >= 2, F.try_element_at("_knots", F.lit(-2))["p"])
     return with_knots(shares).select(
-        *keys,
+        *with_entry(shares, keys),
         "action_idx",
         "sector",
         "action_name",
@@ -297,23 +315,37 @@ def sector_report(shares: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def policy_pathway(bau: DataFrame, fractions: DataFrame, starts: DataFrame, keys: list[str], time: str) -> DataFrame:
-    """Rows `(keys..., time, path)`: the current value cut by the policy fraction.
-
-    In target mode it stays at or above the target and ends on it; it never exceeds business as usual
-    and never rises. `bau` has `(keys..., time, bau)`; `fractions` has `(keys..., time, fraction,
-    forecast_mode, target_period, cut_pct)`; `starts` has `(keys..., current)`. The target is the
-    current value less `cut_pct` percent.
+def policy_pathway(
+    bau: DataFrame,
+    fractions: DataFrame,
+    starts: DataFrame,
+    keys: list[str],
+    time: str,
+    unit: float = 1.0,
+    targets: DataFrame | None = None,
+) -> DataFrame:
+    """Rows `(keys..., time, path, target)`: the current value cut by the policy fraction.
+
+    In target mode the path stays at or above the target and ends on it; it never exceeds business as usual
+    and never rises. `bau` has `(keys..., time, bau)`; `fractions` has `(keys..., time, fraction, baseline_gtco2,
+    forecast_mode, target_period, cut_pct)`; `starts` has `(keys..., current)`. A Gt of the baseline is `unit` in the series.
+
+    The target is the baseline less `cut_pct` percent, or the column `target` of `targets` (`keys..., target`), as
+    `pathways.resolve_targets` gives it. In forecast mode it is the projected one, the baseline less the last fraction; the path ends
+    where the policies lead, so the two differ where the current value is not the baseline.
     """
-    rows = (
-        fractions.join(starts.select(*keys, "current"), keys)
-        .filter(F.col(time) <= F.col("target_period"))
-        .withColumn("target", F.col("current") * (F.lit(1.0) - F.col("cut_pct") / 100.0))
-        .join(bau, [*keys, time])
-    )
+    baseline = F.col("baseline_gtco2") * unit
+    rows = fractions.join(starts.select(*keys, "current"), keys).filter(F.col(time) <= F.col("target_period"))
+    wanted = baseline * (F.lit(1.0) - F.col("cut_pct") / 100.0)
+    if targets is not None:
+        rows = rows.join(targets.select(*keys, F.col("target").alias("_target")), keys)
+        wanted = F.col("_target")
+    at_end = F.when(F.col(time) == F.col("target_period"), baseline * (F.lit(1.0) - F.col("fraction")))
+    projected = F.max(at_end).over(Window.partitionBy(*keys))
+    rows = rows.withColumn("target", F.when(F.col("forecast_mode"), projected).otherwise(wanted)).join(bau, [*keys, time])
     cut = F.col("current") * (F.lit(1.0) - F.col("fraction"))
-    floored = F.when(F.col("forecast_mode"), cut).otherwise(F.greatest(cut, F.col("target")))
+    floored = F.when(F.col("forecast_mode"), cut).otherwise(at_least(cut, F.col("target")))
     per_path = [*keys, "target", "target_period", "forecast_mode"]
-    smooth = smooth_declining(rows.withColumn("path", F.least(floored, F.col("bau"))), per_path, time, "path")
+    smooth = smooth_declining(rows.withColumn("path", at_most(floored, F.col("bau"))), per_path, time, "path")
     last = ~F.col("forecast_mode") & (F.col(time) == F.col("target_period"))
-    return smooth.select(*keys, time, F.when(last, F.col("target")).otherwise(F.col("path")).alias("path"))
+    return smooth.select(*keys, time, F.when(last, F.col("target")).otherwise(F.col("path")).alias("path"), "target")

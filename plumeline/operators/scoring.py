@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumeline.functions.columns import clamp, gaussian_score, messages
+from plumeline.functions.columns import at_least, at_most, clamp, gaussian_score, messages
 from plumeline.functions.process_tables import (
     ELECTRO_CATALYSTS,
     PRODUCTS,
@@ -74,7 +74,7 @@ def _selectivity(short: str) -> Column:
 def score_points(points: DataFrame) -> DataFrame:
     """Adds the scores, yield, range, selectivities, carbon use, suggestions and notes to each point.
 
-    Selectivity columns are null for products that the pathway does not make. Columns that a query
+    A point without temperature, pressure or ratio has no yield: nulls stay null. Selectivity columns are null for products that the pathway does not make. Columns that a query
     does not use are pruned together with their expressions.
     """
     return score_joined(with_process_constants(points), points.columns)
@@ -93,7 +93,7 @@ def score_joined(joined: DataFrame, keep: list[str]) -> DataFrame:
     )
     # The terms in the table keep every selectivity in 0..1 and their sum at most 1, so bounding them and
     # dividing by their sum with the rest would change nothing; only the rest needs a floor for rounding.
-    rows = rows.withColumn("_others", F.greatest(F.lit(1.0) - _selectivity("made"), F.lit(0.0)))
+    rows = rows.withColumn("_others", at_least(F.lit(1.0) - _selectivity("made"), 0.0))
 
     grid = F.col("grid_ci_gco2_per_kwh")
     raw = (
@@ -109,7 +109,7 @@ def score_joined(joined: DataFrame, keep: list[str]) -> DataFrame:
         .when(F.col("_electro") & (grid < LOW_GRID), LOW_GRID_FACTOR)
         .otherwise(1.0)
     )
-    hydrogen = F.least(F.lit(1.0), (F.col("h2_to_co2") + F.lit(1e-9)) / F.col("h2_stoich"))
+    hydrogen = at_most((F.col("h2_to_co2") + F.lit(1e-9)) / F.col("h2_stoich"), 1.0)
     rows = rows.withColumn(
         "_yield",
         clamp(clamp(raw, *RAW_YIELD_BOUNDS) * grid_factor * (F.lit(0.8) + F.lit(0.2) * hydrogen), *YIELD_BOUNDS),
@@ -117,8 +117,8 @@ def score_joined(joined: DataFrame, keep: list[str]) -> DataFrame:
     carbon = clamp(F.col("_yield") * (F.lit(0.8) + F.lit(0.2) * (F.lit(1.0) - F.col("_others"))), *CARBON_BOUNDS)
     rows = rows.withColumns(
         {
-            "yield_low": F.greatest(F.lit(RANGE_LOW), F.round(F.col("yield_pct") - RANGE_HALF_WIDTH, 1)),
-            "yield_high": F.least(F.lit(RANGE_HIGH), F.round(F.col("yield_pct") + RANGE_HALF_WIDTH, 1)),
+            "yield_low": at_least(F.round(F.col("yield_pct") - RANGE_HALF_WIDTH, 1), RANGE_LOW),
+            "yield_high": at_most(F.round(F.col("yield_pct") + RANGE_HALF_WIDTH, 1), RANGE_HIGH),
             "carbon_util_pct": F.round(F.lit(100.0) * carbon, 1),
             "h2_per_co2": F.round("h2_stoich", 2),
             "temperature_score": F.round("_st", 3),

@@ -42,10 +42,10 @@ def spans(df: DataFrame, keys: list[str], time: str, value: str) -> DataFrame:
     )
 
 
-def holdout_frame(series: DataFrame, keys: list[str], time: str) -> DataFrame:
+def holdout_frame(series: DataFrame, keys: list[str], time: str, n_test: int | None = None) -> DataFrame:
     """Adds position, length, last period and the train/test marks used by the backtest.
 
-    The test rows are the last sixth of a series, at least three and at most eight. `_train` and
+    The test rows are the last `n_test` ones, or the last sixth of a series, at least three and at most eight. `_train` and
     `_test` are false everywhere for a series shorter than the test size plus five.
     """
     per_key = "PARTITION BY " + ", ".join(f"`{k}`" for k in keys)
@@ -56,7 +56,7 @@ def holdout_frame(series: DataFrame, keys: list[str], time: str) -> DataFrame:
             f"CAST(count(1) OVER ({per_key}) AS INT) AS _n",
             f"max(`{time}`) OVER ({per_key}) AS _last",
         )
-        .selectExpr("*", "CAST(least(8, greatest(3, _n DIV 6)) AS INT) AS _n_test")
+        .selectExpr("*", f"CAST({'least(8, greatest(3, _n DIV 6))' if n_test is None else int(n_test)} AS INT) AS _n_test")
         .selectExpr(
             "*",
             "_n >= _n_test + 5 AND _pos <= _n - _n_test AS _train",

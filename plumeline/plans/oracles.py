@@ -148,7 +148,7 @@ def series_queries() -> dict[str, str]:
             "round(arg_max(v, t), 6) AS last_value FROM s WHERE t BETWEEN 13 AND 72 GROUP BY k",
         ),
         "regions_distinct": "SELECT DISTINCT l_suppkey AS site FROM lineitem ORDER BY 1",
-        "region_filter": query([NATION_MONTHS], "SELECT k AS n_name, t, round(v, 8) AS v FROM s"),
+        "region_filter": query([NATION_MONTHS], "SELECT k AS n_name, t, round(v, 8) AS v FROM s WHERE substr(k, 8)::INT % 3 = 0"),
         "nation_forecast": query(best(NATION_MONTHS, f"last + {HORIZON}"), f"SELECT k AS n_name, {shown}"),
         "forecast_best": query(best(SITE_MONTHS, f"last + {HORIZON}"), f"SELECT k AS site, {shown}"),
         "forecast_guard_yearly": query(best(SITE_YEARS, "last + 5"), f"SELECT k AS site, {shown}"),
@@ -321,19 +321,20 @@ def policy_queries() -> dict[str, str]:
         *reduction_ctes(1996, 2030),
         FRACTION,
         "ends AS (SELECT k AS site, arg_max(v, t) AS cur FROM s GROUP BY k)",
-        "pl AS (SELECT site, cur, cut IS NULL AS free, cur * (1 - coalesce(cut, 0) / 100) AS target FROM ends JOIN sites USING (site))",
+        "pl AS (SELECT site, cur, cut IS NULL AS free, base_gt * (9999991::DOUBLE / 997 / 7) * (1 - CASE WHEN cut IS NULL THEN fraction ELSE cut / 100 END) AS target "
+        "FROM ends JOIN sites USING (site) JOIN frac USING (site) WHERE frac.year = 2030)",
         """raw AS (SELECT site, fb.t, fb.forecast AS bau, target, free,
   least(CASE WHEN free THEN cur * (1 - fraction) ELSE greatest(cur * (1 - fraction), target) END, fb.forecast) AS v
   FROM fb JOIN pl ON pl.site = fb.k JOIN frac USING (site) WHERE frac.year = fb.t)""",
         "lists AS (SELECT site, list(t ORDER BY t) AS ts, list(v ORDER BY t) AS vs FROM raw GROUP BY site)",
         f"walk AS (SELECT site, unnest(ts) AS t, unnest({smooth}) AS v FROM lists)",
-        """pp AS (SELECT site, t, bau, greatest(CASE WHEN NOT free AND t = 2030 THEN target ELSE walk.v END, 0) AS com
+        """pp AS (SELECT site, t, bau, target, greatest(CASE WHEN NOT free AND t = 2030 THEN target ELSE walk.v END, 0) AS com
   FROM walk JOIN raw USING (site, t))""",
     ]
     return {
         "commitments_parse": query(
             POLICY,
-            "SELECT site, action_idx, sector, 'Programme ' || sector AS action_name, round(base, 6) AS baseline_emissions_mtco2, "
+            "SELECT site, unnest(['SITE_' || site, 'TWIN_' || site]) AS entry, action_idx, sector, 'Programme ' || sector AS action_name, round(base, 6) AS baseline_emissions_mtco2, "
             "manual AS manual_share_pct, red AS reduction_target_pct, rem AS removal_increase_pct, n_knots, status FROM acts",
         ),
         "commitments_countries": query(
@@ -343,8 +344,9 @@ def policy_queries() -> dict[str, str]:
         ),
         "commitment_targets": query(
             POLICY,
-            "SELECT site, mode, cut IS NULL AS forecast_mode, 2030 AS target_year, "
-            "round(base_gt * (1 - coalesce(cut, 0) / 100), 6) AS target_emissions_gtco2 FROM sites",
+            "SELECT site, 'SITE_' || site AS entry, mode, cut IS NULL AS forecast_mode, 2030 AS target_year, "
+            "round(base_gt * (1 - coalesce(cut, 0) / 100), 6) AS target_emissions_gtco2 FROM sites "
+            "UNION ALL SELECT site, 'TWIN_' || site, mode, cut IS NULL, 2030, round(base_gt / 2 * (1 - coalesce(cut, 0) / 100), 6) FROM sites",
         ),
         "commitments_validate": query(
             [*POLICY, documents],
@@ -356,7 +358,7 @@ def policy_queries() -> dict[str, str]:
         "commitment_violations": query(
             [*POLICY, documents], "SELECT rule_no, count(*) AS n_violations, min(site) AS first_site FROM v GROUP BY 1"
         ),
-        "mode_mismatch": query(POLICY, "SELECT site, 'SITE_' || site AS entry, mode FROM sites WHERE mode <> 'target'"),
+        "mode_mismatch": query(POLICY, "SELECT site, unnest(['SITE_' || site, 'TWIN_' || site]) AS entry, mode FROM sites WHERE mode <> 'target'"),
         "unsorted_years": query(POLICY, "SELECT site, action_idx, sector FROM acts WHERE site % 10 = 7 AND n_knots > 1"),
         "sector_share": query(POLICY, "SELECT site, sector, round(share, 6) AS share_pct FROM shares"),
         "share_quality": query(
@@ -390,7 +392,19 @@ def policy_queries() -> dict[str, str]:
             "FROM shares LEFT JOIN lg USING (site, sector) GROUP BY ALL",
         ),
         "policy_pathway": query(
-            path, "SELECT site, t, round(bau, 6) AS bau, round(com, 6) AS commitment, round(bau - com, 6) AS gap FROM pp"
+            path, "SELECT site, t, round(bau, 6) AS bau, round(com, 6) AS commitment, round(bau - com, 6) AS gap, round(target, 6) AS target FROM pp"
+        ),
+        "scenario_policy": query(
+            [*path, """straight AS (SELECT fb.k AS site, fb.t, fb.forecast AS bau,
+  greatest(0, v0 - v0 * (fb.t - t0)::DOUBLE / (2030 - t0)) AS com
+  FROM fb JOIN (SELECT k, max(t) AS t0, arg_max(v, t) AS v0 FROM s GROUP BY k) USING (k) WHERE fb.t <= 2030)"""],
+            "SELECT site, 'policies' AS scenario, t, round(bau, 6) AS bau, round(com, 6) AS commitment, round(bau - com, 6) AS gap FROM pp "
+            "UNION ALL SELECT site, 'straight', t, round(bau, 6), round(com, 6), round(bau - com, 6) FROM straight",
+        ),
+        "annual_fraction_entries": query(
+            [*POLICY, *years, FRACTION, "half AS (SELECT * REPLACE (base_gt / 2 AS base_gt) FROM sites)", FRACTION.replace("frac AS", "twin AS").replace("JOIN sites", "JOIN half")],
+            "SELECT site, 'SITE_' || site AS entry, year, round(fraction, 6) AS fraction FROM frac "
+            "UNION ALL SELECT site, 'TWIN_' || site, year, round(fraction, 6) FROM twin",
         ),
     }
 
@@ -665,10 +679,11 @@ INTEGERS = {
     "scenario_gap": ["t"],
     "commitments_parse": ["action_idx", "n_knots"],
     "unsorted_years": ["action_idx"],
-    **dict.fromkeys(["reduction_by_year", "absolute_reduction", "annual_fraction", "sector_progress"], ["year"]),
+    **dict.fromkeys(["reduction_by_year", "absolute_reduction", "annual_fraction", "annual_fraction_entries", "sector_progress"], ["year"]),
     "data_gap": ["last_data_year", "gap_years"],
     "sector_report": ["progress_year"],
     "policy_pathway": ["t"],
+    "scenario_policy": ["t"],
     "grid_search_top10": GRID_INDEXES,
     "grid_best_per_unit": ["rank", *GRID_INDEXES],
     "grid_selectivity_top10": GRID_INDEXES,

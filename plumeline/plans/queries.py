@@ -9,6 +9,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumeline.functions import columns
 from plumeline.functions.process_tables import PRODUCTS
 from plumeline.operators import explore, features, forecast, model, pathways, policy, profile, ranks, scoring, series
 from plumeline.operators import validation
@@ -20,7 +21,7 @@ SCENARIO_END = 120
 POLICY_YEARS = (1994, 2034)
 POLICY_END = 2030
 TOP = 3
-CV_TREES = 10
+POLICY_UNIT = 9999991.0 / 997.0 / 7.0  # a Gt of the sites' baseline as yearly shipped value: seven years of lines are summed in it
 
 SCENARIOS = [
     {"scenario": "net zero, straight", "pathway": "linear", "target_kind": "net_zero", "target_period": 120},
@@ -70,11 +71,11 @@ def regions_distinct(spark: SparkSession, folder: str) -> DataFrame:
 
 def region_filter(spark: SparkSession, folder: str) -> DataFrame:
     nations = tables.nation_series(spark, folder)
-    return rounded(series.filter_keys(nations, "n_name", [f"NATION_{i}" for i in range(25)], "t", "v"), v=8)
+    return rounded(series.filter_keys(nations, "n_name", [f"NATION_{i}" for i in range(0, 25, 3)], "t", "v"), v=8)
 
 
 def nation_forecast(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(forecast.forecast_best(tables.nation_series(spark, folder), ["n_name"], "t", "v", HORIZON))
+    return rounded(forecast.forecast_best(tables.nation_series(spark, folder), ["n_name"], "t", "v", HORIZON, arima="closed_form"))
 
 
 def poly_forecast(degree: int) -> Callable[[SparkSession, str], DataFrame]:
@@ -85,11 +86,11 @@ def poly_forecast(degree: int) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def backtest_mape(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(forecast.backtest(tables.site_series(spark, folder), SITE, "t", "v"))
+    return rounded(forecast.backtest(tables.site_series(spark, folder), SITE, "t", "v", arima="closed_form"))
 
 
 def arima_closed_form(spark: SparkSession, folder: str) -> DataFrame:
-    frame = forecast.scored_frame(tables.site_series(spark, folder), SITE, "t", "v", HORIZON, degree=1)
+    frame = forecast.scored_frame(tables.site_series(spark, folder), SITE, "t", "v", HORIZON, degree=1, arima="closed_form")
     return rounded(frame.filter("_future").select("site", "t", F.col("arima_order").alias("model"), F.col("arima_pred").alias("forecast")))
 
 
@@ -99,11 +100,11 @@ def arima_search(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def forecast_best(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(forecast.forecast_best(tables.site_series(spark, folder), SITE, "t", "v", HORIZON))
+    return rounded(forecast.forecast_best(tables.site_series(spark, folder), SITE, "t", "v", HORIZON, arima="closed_form"))
 
 
 def forecast_guard_yearly(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(forecast.forecast_best(tables.site_years(spark, folder), SITE, "t", "v", 5))
+    return rounded(forecast.forecast_best(tables.site_years(spark, folder), SITE, "t", "v", 5, arima="closed_form"))
 
 
 # Pathways and scenarios
@@ -133,7 +134,7 @@ def pathway_milestones(spark: SparkSession, folder: str) -> DataFrame:
 
 def _scenario_paths(spark: SparkSession, folder: str) -> DataFrame:
     monthly = tables.site_series(spark, folder)
-    return pathways.run_scenarios(monthly, SCENARIOS, SITE, "t", "v")
+    return pathways.run_scenarios(monthly, SCENARIOS, SITE, "t", "v", arima="closed_form")
 
 
 def scenario_gap(spark: SparkSession, folder: str) -> DataFrame:
@@ -166,6 +167,7 @@ def commitments_parse(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(
         actions.select(
             "site",
+            "entry",
             "action_idx",
             "sector",
             "action_name",
@@ -185,7 +187,7 @@ def commitments_countries(spark: SparkSession, folder: str) -> DataFrame:
 
 def commitment_targets(spark: SparkSession, folder: str) -> DataFrame:
     targets = policy.commitment_targets(_commitments(spark, folder))
-    return rounded(targets.select("site", "mode", "forecast_mode", "target_year", "target_emissions_gtco2"))
+    return rounded(targets.select("site", "entry", "mode", "forecast_mode", "target_year", "target_emissions_gtco2"))
 
 
 def commitments_validate(spark: SparkSession, folder: str) -> DataFrame:
@@ -250,15 +252,39 @@ def sector_report(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(report.drop("action_idx", "action_name"))
 
 
-def policy_pathway(spark: SparkSession, folder: str) -> DataFrame:
-    yearly = tables.site_years(spark, folder)
+def annual_fraction_entries(spark: SparkSession, folder: str) -> DataFrame:
+    """Fractions of every country of documents that hold two each."""
+    actions = policy.commitment_actions(_commitments(spark, folder), SITE)
+    found = policy.annual_fraction(policy.action_shares(actions, SITE), SITE, *POLICY_YEARS)
+    return rounded(found.select("site", "entry", "year", "fraction"))
+
+
+def _policy_path(spark: SparkSession, folder: str, yearly: DataFrame) -> tuple[DataFrame, DataFrame]:
     shares = policy.action_shares(_actions(spark, folder), SITE)
     fractions = policy.annual_fraction(shares, SITE, 1996, POLICY_END).withColumnRenamed("year", "t")
-    bau = forecast.forecast_best(yearly, SITE, "t", "v", until=POLICY_END).select("site", "t", F.col("forecast").alias("bau"))
-    path = policy.policy_pathway(bau, fractions, pathways.starts(yearly, SITE, "t", "v"), SITE, "t")
-    commitment = F.greatest(F.col("path"), F.lit(0.0))
+    bau = forecast.forecast_best(yearly, SITE, "t", "v", arima="closed_form", until=POLICY_END)
+    bau = bau.select("site", "t", F.col("forecast").alias("bau"))
+    return bau, policy.policy_pathway(bau, fractions, pathways.starts(yearly, SITE, "t", "v"), SITE, "t", POLICY_UNIT)
+
+
+def policy_pathway(spark: SparkSession, folder: str) -> DataFrame:
+    """The policy-driven path with the target it is held against, which in forecast mode is the projected one."""
+    bau, path = _policy_path(spark, folder, tables.site_years(spark, folder))
+    commitment = columns.at_least(F.col("path"), 0.0)
     both = bau.join(path, ["site", "t"])
-    return rounded(both.select("site", "t", "bau", commitment.alias("commitment"), (F.col("bau") - commitment).alias("gap")))
+    return rounded(both.select("site", "t", "bau", commitment.alias("commitment"), (F.col("bau") - commitment).alias("gap"), "target"))
+
+
+def scenario_policy(spark: SparkSession, folder: str) -> DataFrame:
+    """A policy-driven scenario beside a straight one, for every site."""
+    yearly = tables.site_years(spark, folder)
+    _, path = _policy_path(spark, folder, yearly)
+    wanted = [
+        {"scenario": s, "pathway": p, "target_kind": "net_zero", "target_period": POLICY_END}
+        for s, p in (("policies", "policy_driven"), ("straight", "linear"))
+    ]
+    rows = pathways.run_scenarios(yearly, wanted, SITE, "t", "v", policy_path=path, arima="closed_form")
+    return rounded(rows.select("site", "scenario", "t", "bau", "commitment", "gap"))
 
 
 # Process scoring
@@ -463,21 +489,22 @@ def gbt_importance(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def gbt_learning_curve(spark: SparkSession, folder: str) -> DataFrame:
-    """Error on the held-out rows after each boosting round."""
+    """Error after each boosting round, of both targets on the training and the held-out rows."""
     runs = ranks.holdout_split(tables.labelled_runs(spark, folder), ["l_orderkey", "l_linenumber"])
-    curve = model.learning_curve(_models(spark, folder)["X_CO2"], runs.filter(~F.col("is_train")), "X_CO2")
-    return spark.createDataFrame([("X_CO2", i + 1, e) for i, e in enumerate(curve)], "target string, round int, test_rmse double")
+    rows = [
+        (target, side, i + 1, e)
+        for target, fitted in _models(spark, folder).items()
+        for side, chosen in (("train", F.col("is_train")), ("test", ~F.col("is_train")))
+        for i, e in enumerate(model.learning_curve(fitted, runs.filter(chosen), target))
+    ]
+    return spark.createDataFrame(rows, "target string, side string, round int, rmse double")
 
 
 def gbt_cross_validation(spark: SparkSession, folder: str) -> DataFrame:
-    """Five contiguous folds with short boosting runs (the number of rounds is a parameter)."""
+    """Five contiguous folds; the trainings of both targets run side by side."""
     runs = tables.labelled_runs(spark, folder).withColumn("row", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    folded = ranks.contiguous_folds(runs, "row", 5)
-    parts = [
-        model.cross_validation_summary(model.cross_validate(folded, t, 5, trees=CV_TREES)).withColumn("target", F.lit(t))
-        for t in model.TARGETS
-    ]
-    return parts[0].unionByName(parts[1])
+    scores = model.cross_validate_each(ranks.contiguous_folds(runs, "row", 5), list(model.TARGETS), 5)
+    return model.cross_validation_summary(scores, ["target"])
 
 
 def gbt_predict(spark: SparkSession, folder: str) -> DataFrame:
@@ -500,7 +527,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         pathway_milestones, scenario_gap, scenario_summary, scenario_rejects,
         commitments_parse, commitments_countries, commitment_targets, commitments_validate, commitment_violations,
         mode_mismatch, unsorted_years, sector_share, share_quality, sector_breakdown, sector_contributions,
-        reduction_by_year, absolute_reduction, annual_fraction, data_gap, sector_progress, sector_report, policy_pathway,
+        reduction_by_year, absolute_reduction, annual_fraction, annual_fraction_entries, data_gap, sector_progress, sector_report, policy_pathway, scenario_policy,
         score_points, product_slate, operating_score, point_messages, catalyst_matrix, matrix_summary,
         optimal_conditions, conditions_extremes, grid_search_top10, grid_best_per_unit, grid_objectives,
         grid_selectivity_top10, grid_heatmap, training_table, methanol_subset, profile_describe, profile_counts,

@@ -131,7 +131,8 @@ def commitment_documents(spark: SparkSession, folder: str, broken: bool = True)
 
     With `broken`, the site number decides what is wrong with a document: 1 a missing country field,
     2 an unknown mode, 3 arrays of unequal length, 4 a cut text, 5 a missing action field, 6 missing
-    target fields, 7 a list instead of an object, 8 a stray entry; 0 is sound.
+    target fields, 7 a list instead of an object, 8 a stray entry; 0 is sound. Without, every document is sound and holds a
+    second country with the same actions and half the baseline.
     """
     c = site_commitments(spark, folder)
     fault = (F.col("site") % 9 if broken else F.lit(0)).alias("fault")
@@ -159,6 +160,11 @@ def commitment_documents(spark: SparkSession, folder: str, broken: bool = True)
     inner = F.concat(F.substring(head_text, F.lit(1), F.length(head_text) - 1), F.lit(',"policy_actions":'), action_text)
     text = F.concat(opened, inner, F.lit("}}"))
     stray = F.concat(opened, inner, F.lit('},"_comments":{"description":"note"}}'))
+    if not broken:
+        twin = F.to_json(F.struct(*[F.col(h) if h != "baseline_emissions_gtco2" else (F.col(h) / 2).alias(h) for h in head[1:]]))
+        named = F.concat(F.lit("TWIN_"), F.col("site").cast("string"))
+        second = F.concat(F.lit(',"'), named, F.lit('":{"country":"'), named, F.lit('",'), F.substring(twin, F.lit(2), F.length(twin) - 2))
+        text = F.concat(opened, inner, F.lit("}"), second, F.lit(',"policy_actions":'), action_text, F.lit("}}"))
     return c.select("*", fault).select(
         "site",
         F.when(F.col("fault") == 4, F.substring(text, F.lit(1), F.length(text) - 10))

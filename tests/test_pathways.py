@@ -1,31 +1,29 @@
+import math
+
 import pytest
-from fixtures import GLOBAL
+from fixtures import LONG
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from plumeline.operators import pathways
 
-EXPECTED = [
-    (0.0, 2026, 32.448, 24.420808, 32.968438),
-    (0.0, 2030, 27.04, 6.654775, 30.988763),
-    (0.0, 2038, 16.224, 0.494174, 15.550877),
-    (0.0, 2050, 0.0, 0.01, 0.607934),
-    (6.76, 2026, 32.7184, 31.692602, 33.13475),
-    (6.76, 2030, 28.392, 24.497553, 31.55101),
-    (6.76, 2038, 19.7392, 14.637008, 19.200702),
-    (6.76, 2050, 6.76, 6.76, 7.246347),
-]
+CASES = [(target, year) for target in (0.0, 5.2) for year in (2026, 2030, 2038, 2050)]
 
 
 def test_shapes(spark):
-    df = spark.createDataFrame([(2025, 33.8, 2050, r[0], r[1]) for r in EXPECTED], "s int, c double, tp int, t double, y int")
+    start, current, end = 2025, 26.0, 2050
+    df = spark.createDataFrame([(start, current, end, t, y) for t, y in CASES], "s int, c double, tp int, t double, y int")
     args = [F.col(c) for c in ("s", "c", "tp", "t", "y")]
-    got = df.select(
-        pathways.linear_pathway(*args), pathways.exponential_pathway(*args), pathways.scurve_pathway(*args)
-    ).collect()
-    for row, want in zip(got, EXPECTED, strict=True):
-        assert tuple(row) == pytest.approx(want[2:], abs=1e-6)
+    got = df.select(pathways.linear_pathway(*args), pathways.exponential_pathway(*args), pathways.scurve_pathway(*args)).collect()
+    for row, (target, year) in zip(got, CASES, strict=True):
+        gone = (year - start) / (end - start)
+        line = current + (target - current) * gone
+        decay = current * ((target or 0.01) / current) ** gone
+        curve = target + (current - target) / (1 + math.exp(8 * (gone - 0.5)))
+        assert tuple(row) == pytest.approx((line, decay, curve), abs=1e-9)
+    assert got[0][0] == pytest.approx(24.96) and got[1][0] == pytest.approx(20.8)  # 26 less a 25th, and less a fifth
+    assert got[3][1] == pytest.approx(0.01) and got[7][1] == pytest.approx(5.2)
 
 
 def smooth(spark, paths):
@@ -51,14 +49,14 @@ def test_smoothing_never_rises(spark, paths):
         assert all(y <= x for x, y in zip(after, after[1:], strict=False))
 
 
-def global_series(spark):
-    return spark.createDataFrame([("g", 1990 + i, v) for i, v in enumerate(GLOBAL)], "k string, year int, v double")
+def long_series(spark):
+    return spark.createDataFrame([("g", 1990 + i, v) for i, v in enumerate(LONG)], "k string, year int, v double")
 
 
 SCENARIOS = [
     {"scenario": "lin", "pathway": "linear", "target_kind": "net_zero", "target_period": 2050},
     {"scenario": "exp", "pathway": "exponential", "target_kind": "percent", "target_amount": 80.0, "target_period": 2050},
-    {"scenario": "abs", "pathway": "scurve", "target_kind": "absolute", "target_amount": 6.76, "target_period": 2050},
+    {"scenario": "abs", "pathway": "scurve", "target_kind": "absolute", "target_amount": 5.2, "target_period": 2050},
     {"scenario": "none", "pathway": "milestones", "target_kind": "percent", "target_amount": 80.0, "target_period": 2050},
     {"scenario": "steps", "pathway": "milestones", "target_kind": "net_zero", "target_period": 2050, "milestones": {2030: 25.0, 2040: 12.0}},
     {"scenario": "policy", "pathway": "policy_driven", "target_kind": "net_zero", "target_period": 2030},
@@ -69,19 +67,19 @@ SCENARIOS = [
 def test_scenarios(spark):
     import numpy as np
 
-    df = global_series(spark)
+    df = long_series(spark)
     rows = pathways.run_scenarios(df, SCENARIOS, ["k"], "year", "v").collect()
     got = {(r.scenario, r.year): r for r in rows}
     assert got["lin", 2050].commitment == pytest.approx(0.0, abs=1e-9)
-    assert got["exp", 2050].commitment == pytest.approx(6.76)
-    assert got["abs", 2038].commitment == pytest.approx(19.200702, abs=1e-6)
+    assert got["exp", 2050].commitment == pytest.approx(LONG[-1] * 0.2)
+    assert got["abs", 2038].commitment == pytest.approx(5.2 + (LONG[-1] - 5.2) / (1 + math.exp(8 * (13 / 25 - 0.5))))
     assert got["none", 2038].commitment == pytest.approx(got["exp", 2038].commitment)
     assert ("late", 2026) not in got and ("policy", 2031) not in got
     assert got["policy", 2030].commitment == pytest.approx(0.01)
     for r in rows:
         assert r.gap == pytest.approx(r.bau - r.commitment)
     x = np.array([*range(1990, 2026), 2030, 2040, 2050]) - 2020.0
-    cubic = np.polyfit(x, np.array([*GLOBAL, 25.0, 12.0, 0.0]), 3)
+    cubic = np.polyfit(x, np.array([*LONG, 25.0, 12.0, 0.0]), 3)
     for year in (2027, 2035, 2050):
         assert got["steps", year].commitment == pytest.approx(max(0.0, np.polyval(cubic, year - 2020.0)), abs=1e-8)
 
@@ -92,7 +90,7 @@ def test_scenarios(spark):
 
 
 def test_scenario_table_equals_list(spark):
-    df = global_series(spark)
+    df = long_series(spark)
     listed = pathways.run_scenarios(df, SCENARIOS, ["k"], "year", "v")
     table = pathways.scenario_list(spark.createDataFrame([("g",), ("other",)], "k string"), SCENARIOS)
     tabled = pathways.run_scenarios(df, table, ["k"], "year", "v")
@@ -109,6 +107,6 @@ def test_scenario_table_equals_list(spark):
 
 def test_policy_path_is_used(spark):
     path = spark.createDataFrame([("g", y, 30.0 - (y - 2025)) for y in range(2026, 2031)], "k string, year int, path double")
-    rows = pathways.run_scenarios(global_series(spark), SCENARIOS, ["k"], "year", "v", policy_path=path).collect()
+    rows = pathways.run_scenarios(long_series(spark), SCENARIOS, ["k"], "year", "v", policy_path=path).collect()
     got = {r.year: r.commitment for r in rows if r.scenario == "policy"}
     assert got == {y: 30.0 - (y - 2025) for y in range(2026, 2031)}

@@ -1,15 +1,16 @@
 import json
 
 import pytest
-from fixtures import FORECAST, SHARED, SPARSE, TARGET, action, commitment
+from fixtures import GOAL, OPEN, PAIR, action, commitment, fraction, reduction
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from plumeline.operators import policy, validation
+from plumeline.operators import pathways, policy, validation
 
 KEYS = ["doc"]
-DOCS = {"target": TARGET, "forecast": FORECAST, "sparse": SPARSE, "shared": SHARED}
+DOCS = {"goal": GOAL, "open": OPEN, "pair": PAIR}
+COUNTRIES = {(d, e): c for d, doc in DOCS.items() for e, c in doc.items()}
 
 
 @pytest.fixture(scope="module")
@@ -20,54 +21,56 @@ def actions(spark):
 
 
 def test_shares(actions):
-    shares = {(r.doc, r.sector): r.share_pct for r in policy.action_shares(actions, KEYS).collect()}
-    want = {"Energy": 51.9630, "Transport": 20.7852, "Industry": 18.4758, "Agriculture": 8.7760, "Forestry": 0.0}
-    assert {s: shares["target", s] for s in want} == pytest.approx(want, abs=1e-4)
-    assert shares["shared", "Energy"] == 50.0
-    quality = {r.doc: r.share_sum for r in policy.share_quality(policy.action_shares(actions, KEYS), KEYS).collect()}
-    assert quality["target"] == pytest.approx(100.0) and quality["shared"] == pytest.approx(100.0)
-
-
-FRACTIONS = {
-    "target": [0, 0.028009, 0.098285, 0.213844, 0.256491, 0.427078, 0.640312, 1],
-    "forecast": [0, 0.028009, 0.098285, 0.213844, 0.257594, 0.397594, 0.520095, 0.67322],
-    "sparse": [0, 0.057556, 0.143889, 0.230222, 0.259, 0.374111, 0.518, 0.763333],
-    "shared": [0.092, 0.162, 0.33, 0.481, 0.4827, 0.4895, 0.498, 0.515],
-}
+    shares = {(r.doc, r.entry, r.sector): r.share_pct for r in policy.action_shares(actions, KEYS).collect()}
+    want = {"Power": 60.0, "Roads": 30.0, "Cement": 10.0, "Wetland": 0.0}
+    assert {s: shares["goal", "Arla", s] for s in want} == pytest.approx(want)
+    assert shares["pair", "Cole", "Power"] == 100.0  # the other country of the document does not count
+    assert (shares["pair", "Dune", "Roads"], shares["pair", "Dune", "Cement"]) == (25.0, 75.0)
+    quality = {(r.doc, r.entry): (r.share_sum, r.manual_shares) for r in policy.share_quality(policy.action_shares(actions, KEYS), KEYS).collect()}
+    assert quality == {("goal", "Arla"): (100.0, 0), ("open", "Bree"): (100.0, 0), ("pair", "Cole"): (100.0, 0), ("pair", "Dune"): (100.0, 2)}
 
 
 def test_annual_fraction(actions):
-    got = {(r.doc, r.year): r.fraction for r in policy.annual_fraction(policy.action_shares(actions, KEYS), KEYS, 2025, 2050).collect()}
-    for doc, want in FRACTIONS.items():
-        for year, value in zip([2025, 2026, 2028, 2030, 2031, 2035, 2040, 2050], want, strict=True):
-            assert got[doc, year] == pytest.approx(value, abs=1e-6), (doc, year)
+    found = policy.annual_fraction(policy.action_shares(actions, KEYS), KEYS, 2020, 2050).collect()
+    got = {(r.doc, r.entry, r.year): r.fraction for r in found}
+    assert len(got) == 4 * 31
+    for (doc, entry), country in COUNTRIES.items():
+        for year in range(2020, 2051):
+            assert got[doc, entry, year] == pytest.approx(fraction(country, year), abs=1e-9), (entry, year)
+    # by hand, Arla in 2024: 60 % x 12 %, 30 % x 6 %, 10 % x 5.5 %, and 8 Mt x 15 % of 92 Mt
+    assert got["goal", "Arla", 2024] == pytest.approx(0.072 + 0.018 + 0.0055 + 8 * 0.15 / 92)
+    # Dune in 2027: 25 % x 22 % and 75 % x 8 %
+    assert got["pair", "Dune", 2027] == pytest.approx(0.115)
 
 
 def test_reduction_in_2040(actions):
     def at(use):
         rows = policy.reductions_by_year(actions, 2040, 2040, use).collect()
-        return {(r.doc, r.sector): r.reduction_pct for r in rows}
+        return {(r.entry, r.sector): r.reduction_pct for r in rows}
 
-    sectors = ["Energy", "Transport", "Industry", "Agriculture", "Forestry"]
     aimed, free = at(True), at(False)
-    assert [aimed["target", s] for s in sectors] == pytest.approx([61, 59, 59.5, 53.5, 116])
-    assert [free["target", s] for s in sectors] == pytest.approx([100, 100, 100, 90, 200])
-    trend = [53.333333, 44.333333, 46, 42, 76.666667]
-    assert [aimed["forecast", s] for s in sectors] == pytest.approx(trend, abs=1e-6)
-    assert [free["forecast", s] for s in sectors] == pytest.approx(trend, abs=1e-6)
+    for (_, entry), country in COUNTRIES.items():
+        for a in country["policy_actions"]:
+            assert aimed[entry, a["sector"]] == pytest.approx(reduction(a, 2040, country["target_year"]))
+            assert free[entry, a["sector"]] == pytest.approx(reduction(a, 2040))
+    assert aimed["Arla", "Power"] == pytest.approx(20 + 60 * 14 / 19)  # 2026 to 2045
+    assert free["Arla", "Power"] == 80.0  # ten years after the last knot
+    assert aimed["Cole", "Power"] == pytest.approx(50 + 40 * 6 / 11)
 
 
 def test_reduction_branches(spark):
-    cases = {
-        "passed": action("passed", 10.0, 10.0, [5.0, 20.0], [2026, 2030]),
-        "single": action("single", 10.0, 0, [7.0], [2026]),
-        "empty": action("empty", 10.0, 50.0, [], []),
-        "unsorted": action("unsorted", 10.0, 50.0, [20.0, 5.0], [2030, 2026]),
-        "no target": {**action("no target", 10.0, 0, [5.0, 10.0], [2026, 2027]), "reduction_target_pct": None},
-        "falling": action("falling", 10.0, 0, [90.0, 10.0], [2026, 2030]),
-        "rising": action("rising", 10.0, 0, [10.0, 140.0], [2026, 2030]),
+    plain = {
+        "passed": action("passed", 10.0, 10.0, {2026: 5.0, 2030: 20.0}, since=2025),
+        "single": action("single", 10.0, 0, {2026: 7.0}),
+        "empty": action("empty", 10.0, 50.0, {}),
+        "unsorted": action("unsorted", 10.0, 50.0, {2030: 20.0, 2026: 5.0}),
+        "no target": {**action("no target", 10.0, 0, {2026: 5.0, 2027: 10.0}), "reduction_target_pct": None},
+        "falling": action("falling", 10.0, 0, {2026: 90.0, 2030: 10.0}),
+        "rising": action("rising", 10.0, 0, {2026: 10.0, 2030: 140.0}),
     }
-    doc = {"A": commitment("A", list(cases.values()), target_reduction_pct=10)}
+    twice = {**action("one year", 10.0, 0, {}), "implementation_years": [2026, 2026], "yearly_improvement_pct": [20.0, 20.0]}
+    cases = {**plain, "one year": twice}
+    doc = {"A": commitment("A", 0.45, list(cases.values()), until=2050, target_reduction_pct=10)}
     docs = spark.createDataFrame([("d", json.dumps(doc))], "doc string, text string")
     rows = policy.commitment_actions(policy.parse_commitments(docs, "text", KEYS), KEYS)
     got = {(r.sector, r.year): r.reduction_pct for r in policy.reductions_by_year(rows, 2024, 2060).collect()}
@@ -79,56 +82,95 @@ def test_reduction_branches(spark):
     assert got["unsorted", 2028] == pytest.approx(12.5)
     assert got["no target", 2028] == pytest.approx(10 + 5 / 1.05)
     assert got["falling", 2050] == 0.0 and got["rising", 2060] == 150.0
+    assert got["one year", 2026] == got["one year", 2040] == 20.0  # no slope, so it stays
     assert [r.sector for r in validation.unsorted_years(rows, KEYS).collect()] == ["unsorted"]
 
 
+def test_zero_baseline_is_null(spark):
+    doc = {"A": commitment("A", 0.0, [action("Power", 5.0, 50.0, {2022: 5.0}), action("Wetland", -1.0, 50.0, {2022: 5.0})], target_reduction_pct=10)}
+    docs = spark.createDataFrame([("d", json.dumps(doc))], "doc string, text string")
+    rows = policy.commitment_actions(policy.parse_commitments(docs, "text", KEYS), KEYS)
+    assert {r.fraction for r in policy.annual_fraction(policy.action_shares(rows, KEYS), KEYS, 2022, 2024).collect()} == {None}
+
+
 def test_sector_tables(actions):
-    base = {(r.doc, r.sector): r.baseline_mtco2 for r in policy.sector_breakdown(actions, KEYS).collect()}
-    assert base["target", "Forestry"] == -17.0
-    amount = {(r.doc, r.sector): r.contribution_mtco2 for r in policy.sector_contributions(actions, KEYS).collect()}
-    assert amount["target", "Agriculture"] == pytest.approx(34.2)
-    assert amount["target", "Forestry"] == pytest.approx(-34.0)
-    gap = {r.doc: r for r in policy.data_horizon(actions, KEYS).collect()}
-    assert (gap["target"].gap_years, gap["target"].gap_class) == (20, "large")
-    assert (gap["sparse"].gap_years, gap["sparse"].gap_class) == (0, "none")
-    report = {(r.doc, r.sector): r for r in policy.sector_report(policy.action_shares(actions, KEYS), KEYS).collect()}
-    assert report["target", "Forestry"].target_label == "Removal Increase"
-    assert report["target", "Energy"].yearly_change_pct == pytest.approx(7.0)
-    progress = {(r.doc, r.sector, r.year): r for r in policy.progress_table(actions, KEYS).collect()}
-    assert progress["target", "Energy", 2026].change_pct is None
-    assert progress["target", "Energy", 2028].change_pct == pytest.approx(4.0)
+    base = {(r.entry, r.sector): r.baseline_mtco2 for r in policy.sector_breakdown(actions, KEYS).collect()}
+    assert base["Arla", "Wetland"] == -8.0 and base["Cole", "Power"] == 200.0
+    amount = {(r.entry, r.sector): r.contribution_mtco2 for r in policy.sector_contributions(actions, KEYS).collect()}
+    assert amount["Arla", "Cement"] == pytest.approx(5.0)
+    assert amount["Arla", "Wetland"] == pytest.approx(-12.0)
+    gap = {r.entry: r for r in policy.data_horizon(actions, KEYS).collect()}
+    assert (gap["Arla"].gap_years, gap["Arla"].gap_class) == (19, "large")
+    assert (gap["Cole"].gap_years, gap["Cole"].gap_class) == (0, "none")
+    report = {(r.entry, r.sector): r for r in policy.sector_report(policy.action_shares(actions, KEYS), KEYS).collect()}
+    assert report["Arla", "Wetland"].target_label == "Removal Increase"
+    assert report["Arla", "Power"].yearly_change_pct == pytest.approx(8.0)
+    progress = {(r.entry, r.sector, r.year): r for r in policy.progress_table(actions, KEYS).collect()}
+    assert progress["Arla", "Power", 2022].change_pct is None
+    assert progress["Arla", "Power", 2024].change_pct == pytest.approx(8.0)
 
 
 def test_targets_and_modes(spark):
     docs = spark.createDataFrame([(n, json.dumps(d)) for n, d in DOCS.items()], "doc string, text string")
     parsed = policy.parse_commitments(docs, "text", KEYS)
-    got = {r.doc: r for r in policy.commitment_targets(parsed).collect()}
-    assert got["sparse"].target_emissions_gtco2 == pytest.approx(0.225)
-    assert got["forecast"].forecast_mode and got["forecast"].target_emissions_gtco2 == 0.45
-    assert got["target"].mode == "target" and not got["target"].forecast_mode
-    assert [r.doc for r in policy.mode_mismatch(parsed, "target").collect()] == ["forecast"]
-    assert policy.find_commitment(parsed, "A").count() == 4
-    with pytest.raises(KeyError, match="'B' not found. Available: \\['A'\\]"):
-        policy.find_commitment(parsed, "B")
+    got = {r.entry: r for r in policy.commitment_targets(parsed).collect()}
+    assert got["Cole"].target_emissions_gtco2 == pytest.approx(0.18)
+    assert got["Bree"].forecast_mode and got["Bree"].target_emissions_gtco2 == 0.092
+    assert got["Arla"].mode == "target" and not got["Arla"].forecast_mode
+    assert [r.entry for r in policy.mode_mismatch(parsed, "target").collect()] == ["Bree"]
+    assert policy.find_commitment(parsed, "Dune").count() == 1
+    with pytest.raises(KeyError, match="'X' not found. Available: \\['Arla', 'Bree', 'Cole', 'Dune'\\]"):
+        policy.find_commitment(parsed, "X")
+    with pytest.raises(KeyError, match="\\['Arla'\\] and 3 more"):
+        policy.find_commitment(parsed, "X", most_names=1)
+
+
+NOW = {"Arla": 0.1, "Bree": 0.08, "Cole": 0.36, "Dune": 0.5}  # current values: above, below and at the baseline
 
 
 def test_policy_pathway(spark, actions):
-    bau = spark.createDataFrame([(d, 2025 + i, 0.46 + 0.01 * i) for d in DOCS for i in range(1, 26)], "doc string, year int, bau double")
-    fractions = policy.annual_fraction(policy.action_shares(actions, KEYS), KEYS, 2026, 2050)
-    starts = spark.createDataFrame([(d, 0.45) for d in DOCS], "doc string, current double")
-    rows = policy.policy_pathway(bau, fractions, starts, KEYS, "year").collect()
-    got = {(r.doc, r.year): r.path for r in rows}
-    assert got["target", 2026] == pytest.approx(0.45 * (1 - 0.028009), abs=1e-6)
-    assert got["target", 2050] == 0.0
-    assert got["sparse", 2050] == pytest.approx(0.225)
-    assert got["forecast", 2050] == pytest.approx(0.45 * (1 - 0.67322), abs=1e-5)
-    for doc in DOCS:
-        path = [got[doc, y] for y in range(2026, 2051)]
-        assert all(b <= a + 1e-12 for a, b in zip(path, path[1:], strict=False))
+    keys = ["doc", "entry"]
+    future = range(2026, 2046)
+    bau = {(d, e, y): NOW[e] * (1.01 + 0.01 * (y - 2026)) for d, e in COUNTRIES for y in future}
+    fractions = policy.annual_fraction(policy.action_shares(actions, KEYS), KEYS, 2026, 2045)
+    starts = spark.createDataFrame([(d, e, NOW[e]) for d, e in COUNTRIES], "doc string, entry string, current double")
+    frame = spark.createDataFrame([(*k, v) for k, v in bau.items()], "doc string, entry string, year int, bau double")
+    found = policy.policy_pathway(frame, fractions, starts, keys, "year").collect()
+    got = {(r.entry, r.year): r for r in found}
+    for (doc, entry), country in COUNTRIES.items():
+        base, end = country["baseline_emissions_gtco2"], country["target_year"]
+        years = [y for y in future if y <= end]
+        target = base * (1 - country["target_reduction_pct"] / 100) if "target_reduction_pct" in country else None
+        path = []
+        for y in years:
+            v = NOW[entry] * (1 - fraction(country, y))
+            v = min(v if target is None else max(v, target), bau[doc, entry, y])
+            path.append(path[-1] * 0.995 if path and v > path[-1] else v)
+        if target is not None:
+            path[-1] = target
+        assert [got[entry, y].path for y in years] == pytest.approx(path)
+        assert (entry, end + 1) not in got
+        projected = base * (1 - fraction(country, end))
+        assert [got[entry, y].target for y in years] == pytest.approx([projected if target is None else target] * len(years))
+    assert got["Arla", 2045].path == pytest.approx(0.092 * 0.3)  # from the baseline, not from the current 0.1
+    assert got["Bree", 2045].path != pytest.approx(got["Bree", 2045].target)  # the path starts from the current value
+
+
+def test_policy_pathway_for_given_targets(spark, actions):
+    keys = ["doc", "entry"]
+    fractions = policy.annual_fraction(policy.action_shares(actions, KEYS), KEYS, 2026, 2045).filter("entry = 'Arla'")
+    starts = spark.createDataFrame([("goal", "Arla", 0.1)], "doc string, entry string, current double")
+    bau = spark.createDataFrame([("goal", "Arla", y, 0.2) for y in range(2026, 2046)], "doc string, entry string, year int, bau double")
+    kinds = [("net_zero", 0.0, 0.0), ("absolute", 0.05, 0.05), ("percent", 25.0, 0.075), ("forecast", 0.4, 0.06)]
+    for kind, amount, want in kinds:
+        asked = starts.selectExpr("*", f"'{kind}' AS target_kind", f"CAST({amount} AS DOUBLE) AS target_amount")
+        path = policy.policy_pathway(bau, fractions, starts, keys, "year", targets=pathways.resolve_targets(asked)).collect()
+        assert {r.year: r.path for r in path}[2045] == pytest.approx(want)
+        assert min(r.path for r in path) >= want - 1e-12
 
 
 def test_listing_and_comments(spark):
-    commented = json.dumps(TARGET)[:-1] + '// note\n, "B": {}}'
+    commented = json.dumps(GOAL)[:-1] + '// note\n, "B": {}}'
     docs = spark.createDataFrame([("good", json.dumps({"A": 1, "B": 2})), ("bad", "{"), ("list", "[1]"), ("note", commented)], "doc string, text string")
     listed = {(r.doc, r.country_pos): r.entry for r in policy.list_countries(docs, "text", KEYS).collect()}
     assert listed == {("good", 0): "A", ("good", 1): "B"}
@@ -148,7 +190,7 @@ def without(d, field):
 
 
 def test_validation(spark):
-    good = TARGET["A"]
+    good = GOAL["Arla"]
     one = good["policy_actions"][0]
 
     def with_action(a):
@@ -156,8 +198,8 @@ def test_validation(spark):
 
     got = check(
         spark,
-        TARGET,
-        FORECAST,
+        GOAL,
+        OPEN,
         "{",
         "[1]",
         {},
@@ -189,9 +231,9 @@ def test_validation(spark):
         (False, "Country 'A' has invalid mode 'None' (must be 'forecast' or 'target')"),
         (False, "Country 'A' policy_actions must be an array"),
         (False, f"{action_1} missing field: status"),
-        (False, f"{action_1} (Energy): must have either 'reduction_target_pct' or 'removal_increase_pct'"),
-        (False, f"{action_1} (Energy): sink sectors should use 'removal_increase_pct' instead of 'reduction_target_pct'"),
-        (False, f"{action_1} (Energy): implementation_years and yearly_improvement_pct must have same length"),
+        (False, f"{action_1} (Power): must have either 'reduction_target_pct' or 'removal_increase_pct'"),
+        (False, f"{action_1} (Power): sink sectors should use 'removal_increase_pct' instead of 'reduction_target_pct'"),
+        (False, f"{action_1} (Power): implementation_years and yearly_improvement_pct must have same length"),
         (False, "Country 'B' has invalid mode 'goal' (must be 'forecast' or 'target')"),
     ]
 
