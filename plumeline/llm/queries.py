@@ -90,7 +90,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_nearest_neighbours": op7_nearest_neighbours,
 }
 
+# Kind, pattern, group, least length and position in the list, as the contract gives them.
+_SECRET_RULES = r"""(VALUES
+    ('assign', '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 6, 0),
+    ('access', 'AKIA[A-Z0-9]+', 0, 20, 1),
+    ('hex', '[0-9a-f]{24,}', 0, 24, 2)) r(kind, pattern, part, least, pos)"""
+
 SQL: dict[str, str] = {
+    "op4_secret_scan": r"""
+        WITH m AS (
+            SELECT doc_id, coalesce(text, '') AS text, kind, pos, part, least, pattern,
+                CASE pos WHEN 0 THEN regexp_extract_all(coalesce(text, ''), '(?i)(?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+')
+                    ELSE regexp_extract_all(coalesce(text, ''), pattern) END AS found,
+                string_split_regex(coalesce(text, ''), pattern) AS between
+            FROM documents, """
+    + _SECRET_RULES
+    + r"""
+        ),
+        e AS (
+            SELECT doc_id, kind, pos, part, least, pattern, unnest(found) AS match,
+                unnest(list_transform(range(1, len(found) + 1), lambda i: list_sum(list_transform(between[1:i], lambda x: len(x)))
+                    + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: len(x))), 0)))::INTEGER AS start
+            FROM m
+        ),
+        s AS (
+            SELECT doc_id, kind, pos, start, start + len(match) AS stop FROM e
+            WHERE len(CASE pos WHEN 0 THEN regexp_extract(match, pattern, 2) ELSE match END) >= least
+        ),
+        l AS (
+            SELECT doc_id, count(*) FILTER (WHERE pos = 0) AS a, count(*) FILTER (WHERE pos = 1) AS k, count(*) FILTER (WHERE pos = 2) AS h,
+                string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, pos) AS spans
+            FROM s GROUP BY doc_id
+        )
+        SELECT d.doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(k, 0)::BIGINT AS n_access, coalesce(h, 0)::BIGINT AS n_hex,
+            sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM documents d LEFT JOIN l USING (doc_id)
+    """,
     "op5_source_mix": r"""
         WITH d AS (
             SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,

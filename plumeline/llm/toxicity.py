@@ -32,6 +32,7 @@ MOST_TRAINING = 40_000
 SPACE = 1 << 20  # hashed terms
 FEATURES = 128  # for each category
 LEAST_DOCS = 4
+CLEAR = 4.0  # standard deviations by which a feature's count must differ from chance
 FOLDS = 3
 STEMS = range(3, 8)
 MOST_WORDS = 400_000  # words whose terms a worker remembers
@@ -149,7 +150,7 @@ def fitted(docs: DataFrame, labels: DataFrame, categories: dict[str, str], text:
         rate = (totals[f"n_{j}"] or 0) / max(1, totals["n"])
         expected = F.col("n") * rate
         clear = F.abs(F.col(f"n_{j}") - expected) / F.sqrt(expected * (1 - rate) + 1)
-        for row in counted.orderBy(F.desc(clear), "term").limit(FEATURES).select("term").collect():
+        for row in counted.where(clear >= CLEAR).orderBy(F.desc(clear), "term").limit(FEATURES).select("term").collect():
             chosen.setdefault(row[0], len(chosen))
     if not chosen:
         return Chain({}, [Link(c, share=(totals[f"n_{j}"] / totals["n"] if totals["n"] else None)) for j, c in enumerate(names)], 0.5)
