@@ -34,9 +34,9 @@ def tuned(threshold: float, recall: float, most: int) -> tuple[int, int]:
     """Bands and values per band: the longest bands that reach the recall at the threshold with at most so many values, and as many as that takes."""
     best = (most, 1)
     for rows in range(1, most + 1):
-        bands = int(np.ceil(np.log(1 - recall) / np.log(1 - threshold**rows)))
+        bands = np.ceil(np.log1p(-recall) / np.log1p(-(threshold**rows)))
         if bands * rows <= most:
-            best = (bands, rows)
+            best = (int(bands), rows)
     return best
 
 
@@ -65,13 +65,14 @@ def key_of(own: np.ndarray) -> bytes:
 
 
 def _paragraphs(least: int, values: int):
+    """Rows `(doc, start, end, key)` and, where `values` is not 0, the MinHash signature."""
     factors = shingles.factors(values, 29)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
                 rows = batch.slice(low, 512)
-                owner, places, lines = _cut(rows.column(2).to_pylist(), least)
+                owner, places, lines = _cut(rows.column(1).to_pylist(), least)
                 keep, keys, sigs = [], [], []
                 for start, sets, bounds in shingles.shingle_sets(pa.array(lines, pa.string())):
                     words = [len(line.split()) for line in lines[start : start + len(bounds) - 1]]
@@ -81,18 +82,16 @@ def _paragraphs(least: int, values: int):
                             keep.append(start + i)
                             keys.append(key_of(sets[bounds[i] : bounds[i + 1]]))
                             sigs.append(signed[i].tobytes())
-                own = rows.select(["doc", "th"]).take(pa.array([owner[k] for k in keep], pa.int64()))
-                yield pa.record_batch(
-                    [*own.columns, pa.array([places[k][0] for k in keep], pa.int32()), pa.array([places[k][1] for k in keep], pa.int32())]
-                    + [pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())],
-                    names=["doc", "th", "start", "end", "key", "sig"],
-                )
+                own = rows.column(0).take(pa.array([owner[k] for k in keep], pa.int64()))
+                columns = [own, pa.array([places[k][0] for k in keep], pa.int32()), pa.array([places[k][1] for k in keep], pa.int32())]
+                columns += [pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())][: 2 if values else 1]
+                yield pa.record_batch(columns, names=["doc", "start", "end", "key", "sig"][: len(columns)])
 
     return run
 
 
 def _texts(docs: DataFrame, text: str, doc: str) -> DataFrame:
-    return docs.select(F.col(doc).cast("long").alias("doc"), F.xxhash64(text).alias("th"), F.col(text).cast("string").alias("text"))
+    return docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
 
 
 def _similar(values: int, cut: float):
@@ -114,21 +113,24 @@ def _similar(values: int, cut: float):
     return run
 
 
-def colliding(sets: DataFrame, threshold: float, bands: int, rows: int) -> DataFrame:
-    """Links `(a, b)` between classes that share a band and have similar signatures; their components hold every such pair."""
+def colliding(sets: DataFrame, threshold: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """The classes that share a band with another one, and links `(a, b)` between those with similar signatures; their components hold every such pair.
+
+    Bands are dealt out with a 64-bit mark in place of the key; a pair of marks that agree by chance adds a candidate and takes none away."""
     values = bands * rows
     labels = [F.xxhash64(F.lit(k), F.substring("sig", k * rows * 2 + 1, rows * 2)) for k in range(bands)]
-    dealt = sets.select("key", F.explode(F.array(*labels)).alias("bucket"))
-    mark = F.xxhash64("key")
-    groups = dealt.groupBy("bucket").agg(
-        F.count("*").alias("size"), F.bit_xor(mark).alias("x"), F.sum(F.shiftright(mark, 20)).alias("y")
-    ).where("size > 1")
-    once = groups.groupBy("size", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "size")
-    members = dealt.join(once, "bucket").join(sets.select("key", "sig"), "key")
+    dealt = sets.select(F.xxhash64("key").alias("mark"), F.explode(F.array(*labels)).alias("bucket"))
+    shared = dealt.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    dealt = kept(dealt.join(shared, "bucket"))
+    hits = sets.join(dealt.select("mark").distinct(), F.xxhash64("key") == F.col("mark"), "left_semi")
+    hits = kept(hits.withColumn("mark", F.xxhash64("key")))
+    checksums = [F.bit_xor("mark").alias("x"), F.sum(F.shiftright("mark", 20)).alias("y")]  # buckets of the same classes need one comparison
+    once = dealt.groupBy("bucket", "size").agg(*checksums).groupBy("size", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket")
+    members = dealt.join(once, "bucket").join(hits.select("mark", "key", "sig"), "mark")
     members = block_pairs(members, "bucket", "size", "key", BUCKET_BLOCK).where("n_blocks = 1 or low < high")
     cut = threshold - 4 * (threshold * (1 - threshold) / values) ** 0.5
     ordered = together(members.select("bucket", "low", "high", "key", "sig"), ["bucket", "low", "high"])
-    return kept(ordered.mapInArrow(_similar(values, cut), "a binary, b binary"))
+    return hits.drop("sig", "mark"), kept(ordered.mapInArrow(_similar(values, cut), "a binary, b binary"))
 
 
 def _verified(threshold: float):
@@ -155,14 +157,15 @@ def _verified(threshold: float):
     return run
 
 
-def verified(docs: DataFrame, text: str, doc: str, sets: DataFrame, clusters: DataFrame, threshold: float) -> DataFrame:
-    """Links between classes of a cluster whose exact similarity reaches the threshold. One paragraph of each class is fetched by its place."""
+def verified(docs: DataFrame, text: str, doc: str, hits: DataFrame, clusters: DataFrame, threshold: float) -> DataFrame:
+    """Links between classes of a cluster whose exact similarity reaches the threshold. One paragraph of each class is fetched by its place;
+    its key is checked again, as ids may repeat."""
     size = clusters.groupBy("component").agg(F.count("*").alias("size"))
-    members = clusters.join(size, "component").join(sets.select("key", "least"), F.col("node") == F.col("key"))
+    members = clusters.join(size, "component").join(hits.select("key", "least"), F.col("node") == F.col("key"))
     members = members.select(
-        "key", "component", "size", F.col("least.doc").alias("_doc"), F.col("least.th").alias("_th"), F.col("least.start").alias("_start"), F.col("least.end").alias("_end")
+        "key", "component", "size", F.col("least.doc").alias("_doc"), F.col("least.start").alias("_start"), F.col("least.end").alias("_end")
     )
-    texts = _texts(docs, text, doc).join(members, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("th") == F.col("_th")))
+    texts = _texts(docs, text, doc).join(members, F.col("doc").eqNullSafe(F.col("_doc")))
     lines = texts.select("key", "component", "size", F.substr("text", F.col("_start") + 1, F.col("_end") - F.col("_start")).alias("line"))
     dealt = block_pairs(lines, "component", "size", "key", CLUSTER_BLOCK).where("n_blocks = 1 or low < high")
     ordered = together(dealt.select(F.xxhash64("component").alias("cluster"), "low", "high", "key", "line"), ["cluster", "low", "high"], "key")
@@ -175,22 +178,25 @@ def repeated(
     """One row per paragraph of a cluster: `doc`, `start`, `end` (code points), `class_doc`, `class_start` (first place of its class), `cluster_doc`,
     `cluster_start` (first place of its cluster), `n_paragraphs` in the cluster, and `removed`: false for the one that is kept."""
     bands, rows = tuned(threshold, recall, MOST_VALUES)
-    found = kept(
-        _texts(docs, text, doc).mapInArrow(_paragraphs(least, bands * rows), "doc long, th long, start int, end int, key binary, sig binary")
-    )
-    place = F.struct(F.col("doc").isNull().alias("no"), "doc", "start", "end", "th")
-    sets = kept(found.groupBy("key").agg(F.min(place).alias("least"), F.count("*").alias("copies"), F.first("sig").alias("sig")))
-    clusters = kept(components(colliding(sets, threshold, bands, rows)))
-    links = kept(verified(docs, text, doc, sets, clusters, threshold))
-    groups = components(links).withColumnRenamed("node", "key")
-    named = sets.select("key", "least", "copies").join(groups, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    whole = named.groupBy("component").agg(F.min("least").alias("first"), F.sum("copies").alias("n_paragraphs")).where("n_paragraphs > 1")
-    named = kept(named.join(whole, "component").select("key", "least", "first", "n_paragraphs"))
-    rows_of = found.select("doc", "th", "start", "end", "key").join(named, "key")
-    at_first = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("start") == F.col("first.start")) & (F.col("th") == F.col("first.th"))
-    tied = Window.partitionBy("doc", "th", "start").orderBy("end")  # repeated rows of one document: one of them is kept
-    first = rows_of.where(at_first).withColumn("removed", F.row_number().over(tied) > 1)
-    others = rows_of.where(~at_first).withColumn("removed", F.lit(True))
+    texts = _texts(docs, text, doc)
+    signed = texts.mapInArrow(_paragraphs(least, bands * rows), "doc long, start int, end int, key binary, sig binary")
+    place = F.struct(F.col("doc").isNull().alias("no"), "doc", "start", "end")
+    sets = kept(signed.groupBy("key").agg(F.min(place).alias("least"), F.count("*").alias("copies"), F.first("sig").alias("sig")))
+    hits, links = colliding(sets, threshold, bands, rows)
+    clusters = kept(components(links))
+    groups = components(verified(docs, text, doc, hits, clusters, threshold)).withColumnRenamed("node", "key")
+    linked = hits.join(groups, "key").select("key", "least", "copies", "component")
+    copied = sets.where("copies > 1").join(groups, "key", "left_anti").select("key", "least", "copies", F.col("key").alias("component"))
+    named = kept(linked.union(copied))
+    whole = named.groupBy("component").agg(F.min("least").alias("first"), F.sum("copies").alias("n_paragraphs"))
+    named = named.join(whole, "component").select("key", "least", "first", "n_paragraphs")
+    found = texts.mapInArrow(_paragraphs(least, 0), "doc long, start int, end int, key binary")  # cheaper than keeping all places from before
+    members = found.join(named, "key")
+    at_first = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("start") == F.col("first.start")) & (F.col("end") == F.col("first.end"))
+    members = kept(members.withColumn("is_first", at_first))
+    tied = Window.partitionBy("key", "doc", "start", "end").orderBy("is_first")  # repeated rows of one document: one of them is kept
+    first = members.where("is_first").withColumn("removed", F.row_number().over(tied) > 1)
+    others = members.where("not is_first").withColumn("removed", F.lit(True))
     return first.unionByName(others).select(
         "doc", "start", "end", F.col("least.doc").alias("class_doc"), F.col("least.start").alias("class_start"),
         F.col("first.doc").alias("cluster_doc"), F.col("first.start").alias("cluster_start"), "n_paragraphs", "removed",
