@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import time
+from statistics import median
 
 from plumeline.plans.queries import queries
 from plumeline.session import local_session
@@ -29,7 +30,14 @@ HEADLINE = [
     "profile_describe",
     "confidence",
     "unknown_category",
+    "gbt_metrics",
+    "gbt_learning_curve",
+    "gbt_cross_validation",
+    "gbt_predict",
+    "route_predictions",
 ]
+RUNS = 3
+ONCE = {"gbt_metrics", "gbt_cross_validation"}  # minutes of training, which the other model queries then share
 
 
 def main() -> None:
@@ -40,9 +48,12 @@ def main() -> None:
     known["regions_distinct"](spark, folder).count()  # starts the session's workers before the clock runs
     seconds = {}
     for name in HEADLINE:
-        began = time.perf_counter()
-        known[name](spark, folder).write.format("noop").mode("overwrite").save()
-        seconds[name] = round(time.perf_counter() - began, 3)
+        taken = []
+        for _ in range(1 if name in ONCE else RUNS):
+            began = time.perf_counter()
+            known[name](spark, folder).write.format("noop").mode("overwrite").save()
+            taken.append(time.perf_counter() - began)
+        seconds[name] = round(median(taken), 3)
     total = round(sum(seconds.values()), 3)
     print(
         json.dumps(
