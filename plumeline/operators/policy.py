@@ -9,12 +9,12 @@ from plumeline.functions.columns import at_least, at_most
 from plumeline.operators.pathways import smooth_declining
 
 ACTION_TYPE = (
-    "struct<sector:string,action_name:string,baseline_year:int,baseline_emissions_mtco2:double,"
+    "struct<sector:string,action_name:string,baseline_year:double,baseline_emissions_mtco2:double,"
     "share_pct:double,reduction_target_pct:double,removal_increase_pct:double,"
-    "implementation_years:array<int>,yearly_improvement_pct:array<double>,status:string>"
+    "implementation_years:array<double>,yearly_improvement_pct:array<double>,status:string>"
 )
 COMMITMENT_TYPE = (
-    "struct<country:string,mode:string,target_year:int,baseline_year:int,baseline_emissions_gtco2:double,"
+    "struct<country:string,mode:string,target_year:double,baseline_year:double,baseline_emissions_gtco2:double,"
     f"target_reduction_pct:double,policy_actions:array<{ACTION_TYPE}>>"
 )
 
@@ -32,7 +32,9 @@ SHORTENED = " and {more} more"
 
 
 def parse_commitments(docs: DataFrame, text: str, keys: list[str], allow_comments: bool = False) -> DataFrame:
-    """One row per country of each document, with its actions as an array. Broken documents give no row."""
+    """One row per country of each document, with its actions as an array. Broken documents give no row.
+
+    Years may be written as 2050 or 2050.0."""
     options = {"allowComments": "true"} if allow_comments else {}
     parsed = F.from_json(F.col(text), f"map<string,{COMMITMENT_TYPE}>", options)
     return docs.select(*keys, F.posexplode(parsed).alias("country_pos", "entry", "c")).select(
@@ -41,11 +43,11 @@ def parse_commitments(docs: DataFrame, text: str, keys: list[str], allow_comment
         "entry",
         "c.country",
         F.coalesce("c.mode", F.lit("target")).alias("mode"),
-        "c.target_year",
-        "c.baseline_year",
+        F.col("c.target_year").cast("int").alias("target_year"),
+        F.col("c.baseline_year").cast("int").alias("baseline_year"),
         "c.baseline_emissions_gtco2",
         "c.target_reduction_pct",
-        "c.policy_actions",
+        F.col("c.policy_actions").cast(f"array<{ACTION_TYPE.replace('_year:double', '_year:int').replace('years:array<double>', 'years:array<int>')}>").alias("policy_actions"),
     )
 
 

@@ -10,23 +10,35 @@ from plumeline.session import use_checkpoint_dir
 
 
 ROWS_PER_BUCKET = 2_000_000
-MOST_BUCKETS = 20_000
 
 
-def cumulative_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+def counted_values(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Rows `(keys..., value, n_rows)`: how often each value occurs, checkpointed, so the table is read once.
+
+    Nulls and NaN are no values."""
+    use_checkpoint_dir(df.sparkSession)
+    x = F.col(value)
+    known = x.isNotNull() & (~F.isnan(x) if df.schema[value].dataType.typeName() in ("double", "float") else F.lit(True))
+    return df.filter(known).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n_rows")).checkpoint()
+
+
+def cumulative_counts(
+    df: DataFrame, keys: list[str], value: str, rows_per_bucket: int | None = None, counted: DataFrame | None = None
+) -> DataFrame:
     """Rows `(keys..., value, n_rows, before, total)`: per key and distinct value, the number of rows,
     of rows with a smaller value, and of all rows.
 
-    Equal values are counted first and checkpointed, so the table itself is read once. Then the distinct values are cut into ranges of about equal size
-    and counted up inside each range, so neither a frequent value nor a frequent key reaches one task
-    whole. The range totals (at most `MOST_BUCKETS` per key) are small and joined back.
+    Equal values are counted first. Then the distinct values are cut into ranges of about `rows_per_bucket` values (`ROWS_PER_BUCKET` by default) and counted up
+    inside each range, so neither a frequent value nor a frequent key reaches one task whole. The range totals are
+    small and joined back. `counted` takes the result of `counted_values` where that exists already.
     """
-    use_checkpoint_dir(df.sparkSession)
-    counted = (
-        df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n_rows")).checkpoint()
-    )
+    counted = counted_values(df, keys, value) if counted is None else counted
     as_number = counted.withColumn("_x", F.col(value).cast("double"))
-    buckets = int(min(MOST_BUCKETS, max(8, counted.count() // ROWS_PER_BUCKET)))
+    n = counted.count()
+    if n == 0:
+        empty = counted.select(*keys, value, "n_rows")
+        return empty.withColumn("before", F.lit(0).cast("long")).withColumn("total", F.lit(0).cast("long"))
+    buckets = max(8, n // (rows_per_bucket or ROWS_PER_BUCKET))
     ranges = QuantileDiscretizer(
         inputCol="_x", outputCol="_range", numBuckets=buckets, relativeError=1.0 / (4 * buckets)
     ).fit(as_number)
@@ -49,9 +61,12 @@ def cumulative_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     )
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float]) -> DataFrame:
-    """Exact quantiles with linear interpolation, one row per key and one column per probability."""
-    ranked = cumulative_counts(df, keys, value)
+def quantiles(
+    df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float], counted: DataFrame | None = None
+) -> DataFrame:
+    """Exact quantiles with linear interpolation, one row per key and one column per probability. A column without values has
+    no row, or without keys one row of nulls."""
+    ranked = cumulative_counts(df, keys, value, counted=counted)
     x = F.col(value).cast("double")
 
     def at(position: Column) -> Column:

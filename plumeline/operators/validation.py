@@ -41,6 +41,8 @@ UNEQUAL_ARRAYS = (
     "implementation_years and yearly_improvement_pct must have same length"
 )
 
+WRONG_TYPE = "Validation error: country '{country}' action {action}: {field} is not {wanted}"
+
 VIOLATION = "array<struct<action_idx:int,rule_no:int,message:string>>"
 
 
@@ -81,7 +83,8 @@ def _country_rules() -> Column:
         return F.array_contains("_fields", field)
 
     mode = F.when(has("mode"), F.get_json_object("body", "$.mode")).otherwise(F.lit("target"))
-    listed = F.coalesce(F.startswith(F.ltrim("_actions"), F.lit("[")), F.lit(False))
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json("body"), "$.policy_actions", "variant"))
+    listed = F.coalesce(F.startswith(kind, F.lit("ARRAY")), F.lit(False))
     shown = F.coalesce(mode, F.lit("None"))
     rules = [
         _rule(nowhere, 1 + i, ~has(f), said(MISSING_FIELD, country=country, field=F.lit(f)))
@@ -96,14 +99,26 @@ def _country_rules() -> Column:
 
 
 def _action_facts(action: Column, index: Column) -> Column:
+    def kind(field: str) -> Column:
+        return F.schema_of_variant(F.try_variant_get(F.try_parse_json(action), f"$.{field}", "variant"))
+
     def size_of(field: str) -> Column:
-        return F.json_array_length(F.get_json_object(action, f"$.{field}"))
+        """Length of what has one: a list, a text or an object."""
+        value = F.get_json_object(action, f"$.{field}")
+        return (
+            F.when(F.startswith(kind(field), F.lit("ARRAY")), F.json_array_length(value))
+            .when(kind(field) == "STRING", F.length(value))
+            .when(F.startswith(kind(field), F.lit("OBJECT")), F.size(_keys_of(value)))
+        )
+
+    number = kind("baseline_emissions_mtco2").rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|BOOLEAN)")
 
     return F.struct(
         index.alias("i"),
         _keys_of(action).alias("fields"),
         F.coalesce(F.get_json_object(action, "$.sector"), F.lit("None")).alias("sector"),
-        F.get_json_object(action, "$.baseline_emissions_mtco2").try_cast("double").alias("baseline"),
+        number.alias("number"),
+        F.when(number, F.get_json_object(action, "$.baseline_emissions_mtco2").try_cast("double")).alias("baseline"),
         size_of("implementation_years").alias("years"),
         size_of("yearly_improvement_pct").alias("pcts"),
     )
@@ -120,6 +135,12 @@ def _action_rules(facts: Column) -> Column:
     targeted = has("reduction_target_pct") | has("removal_increase_pct")
     sink = facts["baseline"] < 0
     arrays = has("implementation_years") & has("yearly_improvement_pct")
+    readable = F.coalesce(facts["number"], F.lit(False)) | ~has("baseline_emissions_mtco2")
+    counted = facts["years"].isNotNull() & facts["pcts"].isNotNull()
+
+    def wrong(field: str, wanted: str) -> Column:
+        return said(WRONG_TYPE, **place, field=F.lit(field), wanted=F.lit(wanted))
+
     rules = [
         _rule(index, 9 + i, ~has(f), said(MISSING_ACTION_FIELD, **place, field=F.lit(f)))
         for i, f in enumerate(ACTION_FIELDS)
@@ -127,7 +148,10 @@ def _action_rules(facts: Column) -> Column:
     rules += [
         _rule(index, 16, ~targeted, said(NO_ACTION_TARGET, **sector)),
         _rule(index, 17, sink & ~has("removal_increase_pct"), said(SINK_TARGET, **sector)),
-        _rule(index, 18, arrays & ~facts["years"].eqNullSafe(facts["pcts"]), said(UNEQUAL_ARRAYS, **sector)),
+        _rule(index, 18, readable & arrays & counted & (facts["years"] != facts["pcts"]), said(UNEQUAL_ARRAYS, **sector)),
+        _rule(index, 19, ~readable, wrong("baseline_emissions_mtco2", "a number")),
+        _rule(index, 20, arrays & facts["years"].isNull(), wrong("implementation_years", "a list")),
+        _rule(index, 21, arrays & facts["pcts"].isNull(), wrong("yearly_improvement_pct", "a list")),
     ]
     return _broken(*rules)
 
@@ -162,8 +186,8 @@ def _checked(docs: DataFrame, text: str, keys: list[str]) -> DataFrame:
 def violations(docs: DataFrame, text: str, keys: list[str]) -> DataFrame:
     """Rows `(keys..., country_pos, entry, action_idx, rule_no, message)`, one per broken rule.
 
-    Rule 0 is the document itself: its syntax, or not being an object. One pass over the documents
-    without a shuffle.
+    Rule 0 is the document itself: its syntax (a repeated name is wrong syntax), or not being an object. Rules 19 to 21
+    are values of a type that nothing can be computed from. One pass over the documents without a shuffle.
     """
     return _checked(docs, text, keys).select(*keys, "country_pos", "entry", F.inline("broken"))
 

@@ -185,6 +185,13 @@ def check(spark, *docs):
     return [(r.is_valid, r.message) for r in out]
 
 
+def test_years_written_as_decimals(spark):
+    text = json.dumps(GOAL).replace("2045", "2045.0").replace("[2022, 2024, 2026]", "[2022.0, 2024, 2026.0]")
+    rows = policy.parse_commitments(spark.createDataFrame([("d", text)], "doc string, text string"), "text", KEYS)
+    row = rows.first()
+    assert row.target_year == 2045 and row.policy_actions[0].implementation_years == [2022, 2024, 2026]
+
+
 def without(d, field):
     return {k: v for k, v in d.items() if k != field}
 
@@ -215,8 +222,15 @@ def test_validation(spark):
         with_action({**one, "baseline_emissions_mtco2": -3}),
         with_action({**one, "yearly_improvement_pct": [1]}),
         {"B": {**good, "mode": "goal"}, "A": without(good, "country")},
+        {"A": {**good, "policy_actions": "[abc"}},
+        with_action({**one, "baseline_emissions_mtco2": None}),
+        with_action({**one, "baseline_emissions_mtco2": "-5"}),
+        with_action({**one, "implementation_years": None, "yearly_improvement_pct": None}),
+        with_action({**one, "implementation_years": 2030}),
+        with_action({**one, "implementation_years": "abc"}),
     )
     action_1 = "Country 'A' action 1"
+    wrong = "Validation error: country 'A' action 1:"
     assert got == [
         (True, "JSON is valid"),
         (True, "JSON is valid"),
@@ -235,6 +249,12 @@ def test_validation(spark):
         (False, f"{action_1} (Power): sink sectors should use 'removal_increase_pct' instead of 'reduction_target_pct'"),
         (False, f"{action_1} (Power): implementation_years and yearly_improvement_pct must have same length"),
         (False, "Country 'B' has invalid mode 'goal' (must be 'forecast' or 'target')"),
+        (False, "Country 'A' policy_actions must be an array"),
+        (False, f"{wrong} baseline_emissions_mtco2 is not a number"),
+        (False, f"{wrong} baseline_emissions_mtco2 is not a number"),
+        (False, f"{wrong} implementation_years is not a list"),
+        (False, f"{wrong} implementation_years is not a list"),
+        (True, "JSON is valid"),
     ]
 
 
