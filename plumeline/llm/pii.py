@@ -26,7 +26,7 @@ from plumeline.llm.graph import kept
 
 NEAR = 6  # words on either side of an entity
 LEAST_CONTEXTS = 5  # different surroundings in which a term stands near an entity before anything is concluded
-MOST_BROADCAST = 500_000  # terms, or pairs of an entity and a term, that are sent to every task at once
+MOST_BROADCAST = 500_000  # pairs of an entity and a term that are sent to every task at once
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 DISCLOSURE = 0.7  # share of an entity's information that a term may reveal
 
@@ -124,21 +124,14 @@ def _cooccurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def disclosures(docs: DataFrame, text: str = "text", least: int = LEAST_CONTEXTS, threshold: float = DISCLOSURE) -> DataFrame:
     """Rows `(entity, term, share)`: terms that reveal an entity beyond the threshold.
 
-    Equal surroundings of an entity count once, so copies of a document prove nothing. Pairs are counted with partial sums in the tasks; only terms that
-    pass `least` with some entity are then counted over all documents."""
+    Equal surroundings of an entity count once, so copies of a document prove nothing. Pairs, and the documents that hold a term, are counted with partial sums in the
+    tasks, so no word's rows are gathered; pairs below `least` go before the counts are joined."""
     texts = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     seen = texts.mapInArrow(_cooccurring, "entity string, mark long, term string").distinct()
     counted = kept(seen.groupBy("entity", "term").agg(F.count("*").alias("n")).where(F.col("n") >= least))
     pairs = counted.where("term is not null").withColumnRenamed("n", "both")
-    wanted = kept(pairs.select("term").distinct())
     words = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"\P{L}+"))).alias("term"))
-    n_wanted = wanted.count()
-    if not n_wanted:
-        return pairs.select("entity", "term", F.lit(0.0).alias("share"))
-    if n_wanted <= MOST_BROADCAST:
-        term_docs = words.join(F.broadcast(wanted), "term").groupBy("term").agg(F.count("*").alias("n_term"))
-    else:
-        term_docs = words.groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term")
+    term_docs = words.groupBy("term").agg(F.count("*").alias("n_term")).join(pairs.select("term").distinct(), "term", "left_semi")
     n = F.lit(float(docs.count()))
     entities = counted.where("term is null").select("entity", F.col("n").alias("n_entity"))
     joined = pairs.join(entities, "entity").join(term_docs, "term")
