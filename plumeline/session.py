@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +29,14 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, name: str
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, for a session that started without it on their path (not installed there, no
+    `--py-files`). Python functions refer to the package by name, so the workers must be able to import it."""
+    package = Path(__file__).resolve().parent
+    archive = shutil.make_archive(tempfile.mkdtemp(prefix="plumeline-") + "/plumeline", "zip", package.parent, package.name)
+    spark.sparkContext.addPyFile(archive)
+
+
 def use_checkpoint_dir(spark: SparkSession) -> None:
     """Makes sure that checkpoints have a folder: the shared one that the cluster names in
     `spark.checkpoint.dir`, and a temporary one only for a local session that names none."""

@@ -1,4 +1,8 @@
 import json
+import os
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -10,6 +14,9 @@ from plumeline.sources import sinks
 from plumeline.sources.documents import read_documents
 
 
+ROOT = Path(__file__).resolve().parents[1]
+
+
 def test_series_csv(spark, tmp_path):
     (tmp_path / "a.csv").write_text("year,emissions_gtco2,note\n2001,1.5,x\n2000,1.0,\n2002,NA,y\n")
     df = readers.read_series(spark, str(tmp_path / "a.csv"))
@@ -92,3 +99,21 @@ def test_run_logs(spark, tmp_path):
     r = features.experimental_runs(features.read_runs(spark, str(tmp_path / "runs.csv"))).first()
     assert (r.catalyst_family, r.temperature_c) == ("Hf-UiO-67-BA-Pt", 240.0)
     assert r.Y_MeOH == pytest.approx(1.320528)
+
+
+def test_search_runs_from_another_folder(tmp_path):
+    """Workers find the package although neither the working folder nor the path names it."""
+    script = f"""
+import sys
+sys.path.insert(0, {str(ROOT)!r})
+from plumeline.operators import forecast
+from plumeline.session import local_session, ship
+spark = local_session(2, 2, "elsewhere")
+ship(spark)
+sys.path.pop(0)
+df = spark.createDataFrame([("a", i, float(i)) for i in range(30)], "k string, t int, v double")
+print("ROWS", forecast.forecast_best(df, ["k"], "t", "v", 3, arima="search").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "ROWS 3" in done.stdout, done.stderr[-2000:]
