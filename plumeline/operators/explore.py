@@ -195,6 +195,19 @@ def best_overall(grid: DataFrame, keys: list[str], top: int = 10) -> DataFrame:
     return grid.orderBy(*grid_order(), *keys).limit(top)
 
 
+def top_points(
+    units: DataFrame, keys: list[str], steps: tuple[int, int, int] = (7, 7, 7), objective: str = "Maximize yield", top: int = 10
+) -> DataFrame:
+    """`best_overall` of the grids of all units. The ranking computes nothing but the objective; texts, carbon use and selectivities
+    follow for the grids of the few units (at most `top`) that are in it."""
+    place = ["t_index", "p_index", "h_index"]
+    ranked = grid_search(units, keys, steps, objective).select(*keys, *place, "objective_score")
+    best = best_overall(ranked, keys, top).select(*keys, *place)
+    few = units.join(F.broadcast(best.select(*keys).distinct()), keys, "left_semi")
+    found = grid_search(few, keys, steps, objective).join(F.broadcast(best), [*keys, *place], "left_semi")
+    return best_overall(found, keys, top)
+
+
 def heatmap(grid: DataFrame, keys: list[str], steps: tuple[int, int, int] = (7, 7, 7)) -> DataFrame:
     """Highest yield by temperature row and pressure column at the middle H2 index."""
     middle = grid.filter(F.col("h_index") == steps[2] // 2)

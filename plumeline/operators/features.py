@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import SQLTransformer, StringIndexer, StringIndexerModel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumeline.sources.series import cell, read_csv_text
@@ -47,6 +47,9 @@ EXPERIMENTAL_PATHWAY, EXPERIMENTAL_PRODUCT = "Methanol synthesis", "CH3OH (metha
 
 TEXT_COLUMNS = ["pathway", "catalyst_family", "metal", "linker", "reactor_type", "primary_product", "data_source"]
 
+MOST_LABELS = 10_000
+TOO_MANY_LABELS = "column {column} has more than {most} labels"
+
 
 def read_runs(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """A run log from CSV, experimental or literature: texts stay texts, every other column is a number."""
@@ -150,18 +153,21 @@ def read_training_table(spark: SparkSession, path: str | list[str]) -> DataFrame
 def label_codes(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows `(column_name, label, code)`: the distinct labels of each column in sorted order, from 0.
 
-    One pass over the table, reduced to the distinct labels before they are ordered.
+    One pass over the table, reduced to the distinct labels before they are ranked; no row holds them all.
     """
     pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("label")) for c in columns])
     distinct = df.select(F.inline(pairs)).filter(F.col("label").isNotNull()).distinct()
-    labels = distinct.groupBy("column_name").agg(F.sort_array(F.collect_set("label")).alias("labels"))
-    return labels.select("column_name", F.posexplode("labels").alias("code", "label")).select(
-        "column_name", "label", "code"
-    )
+    code = F.row_number().over(Window.partitionBy("column_name").orderBy("label")) - 1
+    return distinct.select("column_name", "label", code.cast("int").alias("code"))
 
 
 def label_indexer(df: DataFrame) -> StringIndexerModel:
-    """The same codes as a fitted stage; labels it has not seen get the first free code."""
+    """The same codes as a fitted stage; labels it has not seen get the first free code.
+
+    The stage holds every label in the plan, so more than `MOST_LABELS` in a column are an error; join `label_codes` then."""
+    for column in LABELS:
+        if df.select(column).distinct().limit(MOST_LABELS + 1).count() > MOST_LABELS:
+            raise ValueError(TOO_MANY_LABELS.format(column=column, most=MOST_LABELS))
     return StringIndexer(
         inputCols=list(LABELS),
         outputCols=[f"_{t}" for t in LABELS.values()],

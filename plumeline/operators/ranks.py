@@ -103,5 +103,7 @@ def contiguous_folds(df: DataFrame, order: str, folds: int) -> DataFrame:
 
 
 def holdout_split(df: DataFrame, keys: list[str], seed: int = 42, train_pct: int = 80) -> DataFrame:
-    """Adds `is_train` from a hash of the row's key, so a row keeps its side whatever the partitioning."""
-    return df.withColumn("is_train", F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(100)) < train_pct)
+    """Adds `is_train` from the MD5 of the row's key, so a row keeps its side whatever the partitioning and the engine."""
+    named = F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
+    draw = F.conv(F.substring(F.md5(named), 1, 8), 16, 10).cast("long") % 100
+    return df.withColumn("is_train", draw < train_pct)

@@ -662,6 +662,8 @@ def training_queries() -> dict[str, str]:
             f"count(*) AS n_points FROM points {lookup} GROUP BY ALL",
         ),
         "standardise": query(TRAINING, f"SELECT pathway, data_source, {scaled} FROM tt"),
+        "holdout_split": "SELECT is_train, count(*) AS n_rows FROM (SELECT ('0x' || substr(md5('42:' || o_orderkey), 1, 8))::BIGINT % 100 < 80 AS is_train "
+        "FROM orders) GROUP BY 1",
         "fold_sizes": "SELECT f - 1 AS fold, count(*) AS n_rows, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key "
         "FROM (SELECT o_orderkey, ntile(5) OVER (ORDER BY o_orderkey) AS f FROM orders) GROUP BY f",
     }

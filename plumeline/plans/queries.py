@@ -352,7 +352,7 @@ def _grid(spark: SparkSession, folder: str, objective: str = "Maximize yield") -
 
 
 def grid_search_top10(spark: SparkSession, folder: str) -> DataFrame:
-    return explore.best_overall(_grid(spark, folder), ["unit"])
+    return explore.top_points(tables.process_units(spark, folder), ["unit"])
 
 
 def grid_best_per_unit(spark: SparkSession, folder: str) -> DataFrame:
@@ -370,8 +370,8 @@ def grid_objectives(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def grid_selectivity_top10(spark: SparkSession, folder: str) -> DataFrame:
-    grid = _grid(spark, folder, "Maximize CH3OH selectivity")
-    return explore.best_overall(grid, ["unit"]).select("unit", "t_index", "p_index", "h_index", "sel_ch3oh", "objective_score")
+    best = explore.top_points(tables.process_units(spark, folder), ["unit"], objective="Maximize CH3OH selectivity")
+    return best.select("unit", "t_index", "p_index", "h_index", "sel_ch3oh", "objective_score")
 
 
 def grid_heatmap(spark: SparkSession, folder: str) -> DataFrame:

@@ -28,14 +28,14 @@ def month_index(date: str) -> Column:
 
 
 def nation_series(spark: SparkSession, folder: str) -> DataFrame:
-    """Monthly order value per nation. Customers carry only a nation number; the names are joined after
-    the sum, on a handful of rows. The join is plain, so a customer with very many orders is split by the
-    adaptive skew join, and the sum behind it combines on the map side."""
+    """Monthly order value per nation. Orders are summed per customer and month before the join, so a customer with very
+    many orders joins as one row a month; the names are joined after the second sum, on a handful of rows."""
     orders = table(spark, folder, "orders").select(
         F.col("o_custkey").alias("c_custkey"),
         month_index("o_orderdate").alias("t"),
         (F.col("o_totalprice") / 1e6).alias("v"),
     )
+    orders = orders.groupBy("c_custkey", "t").agg(F.sum("v").alias("v"))
     customers = table(spark, folder, "customer").select("c_custkey", "c_nationkey")
     monthly = prepare(orders.join(customers, "c_custkey").select("c_nationkey", "t", "v"), ["c_nationkey"], "t", "v")
     nations = table(spark, folder, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")

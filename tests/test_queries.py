@@ -18,7 +18,7 @@ def con(folder):
 
 def test_every_sql_belongs_to_a_query():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == SLOW | {"arima_search", "holdout_split"}
+    assert set(QUERIES) - set(SQL) == SLOW | {"arima_search"}
 
 
 def test_entry(spark, folder):
