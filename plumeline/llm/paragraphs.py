@@ -65,14 +65,14 @@ def key_of(own: np.ndarray) -> bytes:
 
 
 def _paragraphs(least: int, values: int):
-    """Rows `(doc, start, end, key)` and, where `values` is not 0, the MinHash signature."""
+    """Rows `(doc, th, start, end, key)`, th the hash of the text, and, where `values` is not 0, the MinHash signature."""
     factors = shingles.factors(values, 29)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
                 rows = batch.slice(low, 512)
-                owner, places, lines = _cut(rows.column(1).to_pylist(), least)
+                owner, places, lines = _cut(rows.column(2).to_pylist(), least)
                 keep, keys, sigs = [], [], []
                 for start, sets, bounds in shingles.shingle_sets(pa.array(lines, pa.string())):
                     words = [len(line.split()) for line in lines[start : start + len(bounds) - 1]]
@@ -82,16 +82,16 @@ def _paragraphs(least: int, values: int):
                             keep.append(start + i)
                             keys.append(key_of(sets[bounds[i] : bounds[i + 1]]))
                             sigs.append(signed[i].tobytes())
-                own = rows.column(0).take(pa.array([owner[k] for k in keep], pa.int64()))
-                columns = [own, pa.array([places[k][0] for k in keep], pa.int32()), pa.array([places[k][1] for k in keep], pa.int32())]
+                own = rows.select(["doc", "th"]).take(pa.array([owner[k] for k in keep], pa.int64()))
+                columns = [*own.columns, pa.array([places[k][0] for k in keep], pa.int32()), pa.array([places[k][1] for k in keep], pa.int32())]
                 columns += [pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())][: 2 if values else 1]
-                yield pa.record_batch(columns, names=["doc", "start", "end", "key", "sig"][: len(columns)])
+                yield pa.record_batch(columns, names=["doc", "th", "start", "end", "key", "sig"][: len(columns)])
 
     return run
 
 
 def _texts(docs: DataFrame, text: str, doc: str) -> DataFrame:
-    return docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
+    return docs.select(F.col(doc).cast("long").alias("doc"), F.xxhash64(text).alias("th"), F.col(text).cast("string").alias("text"))
 
 
 def _similar(values: int, cut: float):
@@ -158,14 +158,14 @@ def _verified(threshold: float):
 
 
 def verified(docs: DataFrame, text: str, doc: str, hits: DataFrame, clusters: DataFrame, threshold: float) -> DataFrame:
-    """Links between classes of a cluster whose exact similarity reaches the threshold. One paragraph of each class is fetched by its place;
-    its key is checked again, as ids may repeat."""
+    """Links between classes of a cluster whose exact similarity reaches the threshold. One paragraph of each class is fetched by its place and its text's hash,
+    since ids may repeat; its key is checked again."""
     size = clusters.groupBy("component").agg(F.count("*").alias("size"))
     members = clusters.join(size, "component").join(hits.select("key", "least"), F.col("node") == F.col("key"))
     members = members.select(
-        "key", "component", "size", F.col("least.doc").alias("_doc"), F.col("least.start").alias("_start"), F.col("least.end").alias("_end")
+        "key", "component", "size", F.col("least.doc").alias("_doc"), F.col("least.th").alias("_th"), F.col("least.start").alias("_start"), F.col("least.end").alias("_end")
     )
-    texts = _texts(docs, text, doc).join(members, F.col("doc").eqNullSafe(F.col("_doc")))
+    texts = _texts(docs, text, doc).join(members, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("th") == F.col("_th")))
     lines = texts.select("key", "component", "size", F.substr("text", F.col("_start") + 1, F.col("_end") - F.col("_start")).alias("line"))
     dealt = block_pairs(lines, "component", "size", "key", CLUSTER_BLOCK).where("n_blocks = 1 or low < high")
     ordered = together(dealt.select(F.xxhash64("component").alias("cluster"), "low", "high", "key", "line"), ["cluster", "low", "high"], "key")
@@ -179,8 +179,8 @@ def repeated(
     `cluster_start` (first place of its cluster), `n_paragraphs` in the cluster, and `removed`: false for the one that is kept."""
     bands, rows = tuned(threshold, recall, MOST_VALUES)
     texts = _texts(docs, text, doc)
-    signed = texts.mapInArrow(_paragraphs(least, bands * rows), "doc long, start int, end int, key binary, sig binary")
-    place = F.struct(F.col("doc").isNull().alias("no"), "doc", "start", "end")
+    signed = texts.mapInArrow(_paragraphs(least, bands * rows), "doc long, th long, start int, end int, key binary, sig binary")
+    place = F.struct(F.col("doc").isNull().alias("no"), "doc", "start", "end", "th")
     sets = kept(signed.groupBy("key").agg(F.min(place).alias("least"), F.count("*").alias("copies"), F.first("sig").alias("sig")))
     hits, links = colliding(sets, threshold, bands, rows)
     clusters = kept(components(links))
@@ -190,9 +190,9 @@ def repeated(
     named = kept(linked.union(copied))
     whole = named.groupBy("component").agg(F.min("least").alias("first"), F.sum("copies").alias("n_paragraphs"))
     named = named.join(whole, "component").select("key", "least", "first", "n_paragraphs")
-    found = texts.mapInArrow(_paragraphs(least, 0), "doc long, start int, end int, key binary")  # cheaper than keeping all places from before
+    found = texts.mapInArrow(_paragraphs(least, 0), "doc long, th long, start int, end int, key binary")  # cheaper than keeping all places from before
     members = found.join(named, "key")
-    at_first = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("start") == F.col("first.start")) & (F.col("end") == F.col("first.end"))
+    at_first = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("start") == F.col("first.start")) & (F.col("th") == F.col("first.th"))
     members = kept(members.withColumn("is_first", at_first))
     tied = Window.partitionBy("key", "doc", "start", "end").orderBy("is_first")  # repeated rows of one document: one of them is kept
     first = members.where("is_first").withColumn("removed", F.row_number().over(tied) > 1)
