@@ -31,7 +31,7 @@ WINDOW = 1024
 OPEN_WINDOWS = 64
 SEPARATOR = 0
 MERGE_TASKS = 64  # tasks whose leftovers meet in one group of a round
-MOST_WORDS = 300_000  # words whose ids a worker remembers
+MOST_WORDS = 240_000  # words whose ids a worker remembers, twice at most
 
 PIECES = "doc long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, window long, offset long, open boolean, task long"
 SIGNS = string.punctuation
@@ -180,6 +180,7 @@ def _packed(path: str, length: int, most: int):
         for number, pieces in windows.held.items():
             out += _laid(number, pieces, task, True)
         yield _rows(out)
+        encoder.bare.older = encoder.spaced.older = {}  # an idle worker holds little
 
     return run
 

@@ -170,44 +170,68 @@ def generalised(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 def _spans_of(revealed: set[tuple[str, str]]):
     @F.pandas_udf(SPANS)
-    def run(texts: pd.Series, before: pd.Series) -> pd.Series:
-        rows = []
-        for t, earlier in zip(texts, before, strict=True):
-            spans = _spans(t, revealed) if t else []
-            if len(earlier):
-                spans = merged(spans, [(s["kind"], s["start"], s["end"]) for s in earlier])
-            rows.append([{"kind": kind, "start": a, "end": b} for kind, a, b in spans])
-        return pd.Series(rows)
+    def run(texts: pd.Series) -> pd.Series:
+        found = [_spans(t, revealed) if t else [] for t in texts]
+        return pd.Series([[{"kind": kind, "start": a, "end": b} for kind, a, b in spans] for spans in found])
 
     return run
 
 
-def found(docs: DataFrame, text: str = "text", least: int = LEAST_CONTEXTS, threshold: float = DISCLOSURE) -> DataFrame:
-    """Adds `spans` (kind, start, end) to every row, in place of a column of that name: the patterns' and those of disclosing terms.
+def _text_of(revealed: set[tuple[str, str]]):
+    @F.pandas_udf(StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([generalised(t, _spans(t, revealed)) if t else t for t in texts])
 
-    The disclosing pairs go to the tasks in slices of at most MOST_BROADCAST, one pass per slice, so what is sent is bounded
-    and none is left out."""
+    return run
+
+
+def _text_of_spans():
+    @F.pandas_udf(StringType())
+    def run(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        listed = [[(x["kind"], x["start"], x["end"]) for x in s] for s in spans]
+        return pd.Series([generalised(t, own) if t else t for t, own in zip(texts, listed, strict=True)])
+
+    return run
+
+
+def _slices(docs: DataFrame, text: str, least: int, threshold: float) -> Iterator[tuple[set[tuple[str, str]], int]]:
+    """The disclosing pairs in sets of at most about MOST_BROADCAST, each with their number."""
     pairs = kept(disclosures(docs, text, least, threshold))
-    slices = max(1, -(-pairs.count() // MOST_BROADCAST))
-    out = docs.withColumn("spans", F.array().cast(SPANS))
-    for k in range(slices):
-        own = pairs.where(F.pmod(F.xxhash64("entity", "term"), F.lit(slices)) == k).select("entity", "term").toArrow()
-        revealed = set(zip(own.column(0).to_pylist(), own.column(1).to_pylist(), strict=True))
+    n = max(1, -(-pairs.count() // MOST_BROADCAST))
+    for k in range(n):
+        own = pairs.where(F.pmod(F.xxhash64("entity", "term"), F.lit(n)) == k).select("entity", "term").toArrow()
+        yield set(zip(own.column(0).to_pylist(), own.column(1).to_pylist(), strict=True)), n
 
-        out = out.withColumn("spans", _spans_of(revealed)(F.col(text).cast("string"), "spans"))
-    return out
 
+def found(docs: DataFrame, text: str = "text", least: int = LEAST_CONTEXTS, threshold: float = DISCLOSURE) -> DataFrame:
+    """Adds `spans` (kind, start, end) to every row, in place of a column of that name: the patterns' and those of disclosing terms.
 
-@F.pandas_udf(StringType())
-def _generalised(texts: pd.Series, spans: pd.Series) -> pd.Series:
-    return pd.Series([t if not t or not len(s) else generalised(t, [(x["kind"], x["start"], x["end"]) for x in s]) for t, s in zip(texts, spans, strict=True)])
+    The disclosing pairs go to the tasks in slices of at most about MOST_BROADCAST, one pass per slice, so what is sent is bounded
+    and none is left out."""
+    order = F.create_map(*[x for i, k in enumerate((*KINDS, "term")) for x in (F.lit(k), F.lit(i))])
+    out, parts = docs, []
+    for k, (revealed, _) in enumerate(_slices(docs, text, least, threshold)):
+        parts.append(f"_spans_{k}")
+        out = out.withColumn(parts[-1], _spans_of(revealed)(F.col(text).cast("string")))
+    if len(parts) == 1:
+        return out.withColumn("spans", F.col(parts[0])).drop(*parts)
+    spans = F.array_sort(
+        F.array_distinct(F.concat(*parts)),
+        lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"])
+        .when(a["kind"] != b["kind"], order[a["kind"]] - order[b["kind"]]).otherwise(a["end"] - b["end"]),
+    )
+    return out.withColumn("spans", spans).drop(*parts)
 
 
 def sanitised(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows with their texts sanitised; null texts stay null."""
+    first = next(slices := _slices(docs, text, LEAST_CONTEXTS, DISCLOSURE))
+    if first[1] == 1:  # the usual case: texts pass through Python once
+        return docs.withColumn(text, _text_of(first[0])(F.col(text).cast("string")))
+    slices.close()
     named = docs.withColumnsRenamed({c: f"_in_{c}" for c in docs.columns})
     out = found(named, f"_in_{text}")
-    out = out.withColumn(f"_in_{text}", _generalised(F.col(f"_in_{text}").cast("string"), "spans"))
+    out = out.withColumn(f"_in_{text}", _text_of_spans()(F.col(f"_in_{text}").cast("string"), "spans"))
     return out.select(*[F.col(f"_in_{c}").alias(c) for c in docs.columns])
 
 

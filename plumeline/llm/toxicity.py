@@ -34,8 +34,9 @@ FEATURES = 128  # for each category
 LEAST_DOCS = 4
 CLEAR = 4.0  # standard deviations by which a feature's count must differ from chance
 FOLDS = 3
+CHUNK = 1024  # documents whose feature rows are in memory at a time
 STEMS = range(3, 8)
-MOST_WORDS = 400_000  # words whose terms a worker remembers
+MOST_WORDS = 100_000  # words whose terms a worker remembers
 _term = re.compile(r"[^\W\d_]+|[^\w\s]+")
 
 
@@ -58,9 +59,9 @@ class Terms:
         for word in set(_term.findall((text or "").lower())):
             own = self.known.get(word)
             if own is None:
-                own = terms(word)
+                own = tuple(terms(word))
                 if self.chosen is not None:
-                    own = [self.chosen[h] for h in own if h in self.chosen]
+                    own = tuple([self.chosen[h] for h in own if h in self.chosen])
                 self.known[word] = own
             if own:
                 out.update(own)
@@ -102,8 +103,8 @@ def _counts(n_categories: int):
         finder, n = Terms(), np.zeros((SPACE, n_categories + 1), dtype=np.int32)
         for batch in batches:
             labels = np.stack([batch.column(1 + j).to_numpy() for j in range(n_categories)], axis=1)
-            for text, own in zip(batch.column(0).to_pylist(), labels, strict=True):
-                at = np.fromiter(finder.of(text), dtype=np.int64)
+            for row, own in enumerate(labels):
+                at = np.fromiter(finder.of(batch.column(0)[row].as_py()), dtype=np.int64)
                 n[at, 0] += 1
                 for j in np.flatnonzero(own):
                     n[at, 1 + j] += 1
@@ -120,13 +121,15 @@ def _rows(chosen: dict[int, int], n_categories: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Terms(chosen)
         for batch in batches:
-            x = np.zeros((batch.num_rows, len(chosen)))
-            for i, text in enumerate(batch.column(0).to_pylist()):
-                x[i, list(finder.of(text))] = 1.0
-            yield pa.record_batch(
-                [pa.array(list(x), pa.list_(pa.float64())), *batch.columns[1:]],
-                names=["x", *[f"y_{j}" for j in range(n_categories)], "fold"],
-            )
+            for low in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(low, CHUNK)
+                x = np.zeros((part.num_rows, len(chosen)))
+                for i, text in enumerate(part.column(0).to_pylist()):
+                    x[i, list(finder.of(text))] = 1.0
+                yield pa.record_batch(
+                    [pa.array(list(x), pa.list_(pa.float64())), *part.columns[1:]],
+                    names=["x", *[f"y_{j}" for j in range(n_categories)], "fold"],
+                )
 
     return run
 
@@ -201,7 +204,8 @@ def scored(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         finder = Terms(chain.features)
         for texts in parts:
-            yield pd.DataFrame(chain.probabilities([finder.of(t) for t in texts]), columns=names)
+            found = [chain.probabilities([finder.of(t) for t in texts[low : low + CHUNK]]) for low in range(0, len(texts), CHUNK)]
+            yield pd.DataFrame(np.concatenate(found) if found else np.zeros((0, len(names))), columns=names)
 
     out = docs.withColumn("_toxicity", run(F.col(text).cast("string")))
     out = out.withColumns({n: F.nanvl(F.col(f"_toxicity.{n}"), F.lit(None).cast("double")) for n in names}).drop("_toxicity")
