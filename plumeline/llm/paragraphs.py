@@ -5,9 +5,14 @@ bands and of values in a band are tuned so that a pair at the threshold meets in
 a band and have similar signatures are linked; in the components of these links every pair is verified by the exact Jaccard similarity. The components of the
 verified links, and classes with several paragraphs, are the clusters; one paragraph of each is kept and the others are removals.
 
+What the removed lines leave is searched for passages: runs of `PASSAGE` or more equal words, wherever they begin in a line and however they are wrapped. Winnowing picks
+runs of `GRAM` words so that every passage holds a picked one; around the picked runs that stand in several places all windows of `PASSAGE` words are counted. The
+first place of a window is kept, the others are removals; windows that overlap in a document are one span.
+
 Results: a null or empty text has no paragraphs, and paragraphs with too few words never appear. Repeated rows and repeated paragraphs of one document are copies; the first
 place (smallest document, then smallest start) is kept, and of several rows tied there, one. Rows without id come last. Very long lines are paragraphs as
-others. An empty table gives an empty result. Other columns are not read.
+others. Passages compare words, not the white space between them, and do not reach over a removed line; repeats that overlap their first place stay. An empty
+table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ THRESHOLD = 0.8
 RECALL = 0.999
 MOST_VALUES = 48
 LEAST_WORDS = 20
+PASSAGE, GRAM = 50, 25  # words of the shortest passage, and of the runs that are picked from it
 BUCKET_BLOCK, CLUSTER_BLOCK = 2048, 512
 
 
@@ -172,10 +178,122 @@ def verified(docs: DataFrame, text: str, doc: str, hits: DataFrame, clusters: Da
     return ordered.mapInArrow(_verified(threshold), "a binary, b binary")
 
 
+def _runs_of(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of `n` words."""
+    up, down = shingles.powers(len(hashes))
+    total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(hashes * up)))
+    return shingles.mix((total[n:] - total[:-n]) * down[: len(hashes) - n + 1])
+
+
+def _picked(hashes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Winnowing: the places and hashes of the smallest run of GRAM words in every PASSAGE words of one text."""
+    none = np.zeros(0, dtype=np.int64)
+    if len(hashes) < PASSAGE:
+        return none, none.astype(np.uint64)
+    grams, windows = _runs_of(hashes, GRAM), np.flatnonzero(text[: len(text) - PASSAGE + 1] == text[PASSAGE - 1 :])
+    view = np.lib.stride_tricks.sliding_window_view(grams, PASSAGE - GRAM + 1)
+    least = [part + view[part].argmin(axis=1) for part in (windows[low : low + 8192] for low in range(0, len(windows), 8192))]
+    places = np.unique(np.concatenate(least)) if least else none
+    return places, grams[places]
+
+
+def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for low, data, starts, hashes, text, first, _ in shingles.words_of(batch.column(2)):
+            places, grams = _picked(hashes, text)
+            own = batch.select(["doc", "th"]).take(pa.array(low + text[places]))
+            before = np.concatenate((np.zeros(1, dtype=np.int64), np.cumsum((data & 0xC0) != 0x80)))
+            at = before[first[places]] - before[starts[text[places]]]
+            yield pa.record_batch([*own.columns, pa.array(grams.view(np.int64)), pa.array(at.astype(np.int32))], names=["doc", "th", "gram", "at"])
+
+
+def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The picked runs that do not begin in a removed line, each with the number of equal rows in which that is so."""
+    for batch in batches:
+        picked, lines, copies = batch.column("picked"), batch.column("lines").to_pylist(), batch.column("copies").to_pylist()
+        for i in range(batch.num_rows):
+            at, one = np.unique(picked[i].values.field("at").to_numpy(), return_index=True)
+            gram = picked[i].values.field("gram").to_numpy()[one]
+            n = np.zeros(len(at), dtype=np.int32)
+            for copy in range(min(copies[i], 2)):
+                places = sorted((line["start"], line["end"]) for line in lines[i] or [] if copy or line["gone"])
+                begins, ends = (np.array([place[k] for place in places], dtype=np.int64) for k in (0, 1))
+                n += (np.searchsorted(begins, at, side="right") == np.searchsorted(ends, at, side="right")) * (copies[i] - 1 if copy else 1)
+            has = np.flatnonzero(n)
+            own = batch.select(["doc", "th"]).take(pa.array(np.full(len(has), i)))
+            yield pa.record_batch([*own.columns, *map(pa.array, (gram[has], at[has], n[has]))], names=["doc", "th", "gram", "at", "n"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All windows of PASSAGE words that hold a picked run and no removed line. Of `copies` equal rows the first (`copy` 0) has the lines that are kept, the others none
+    of the lines that repeat; each of the rows gives its share of both."""
+    for batch in batches:
+        picked, lines, copies = batch.column(3), batch.column(4).to_pylist(), batch.column(5).to_pylist()
+        for i in range(batch.num_rows):
+            text = batch.column(2).slice(i, 1)
+            data, starts = shingles.text_bytes(text)
+            hashes, _, first, last = shingles.word_hashes(data, starts)
+            code_points = np.cumsum((data & 0xC0) != 0x80)
+            start, end = code_points[first] - 1, code_points[last]
+            n = len(hashes) - PASSAGE + 1
+            near = np.zeros(n + 1, dtype=np.int64)
+            places = np.searchsorted(start, picked[i].values.to_numpy())
+            np.add.at(near, np.maximum(places + GRAM - PASSAGE, 0), 1)
+            np.add.at(near, np.minimum(places + 1, n), -1)
+            near, whole = np.cumsum(near)[:n] > 0, _runs_of(hashes, PASSAGE)
+            for copy in range(min(copies[i], 2)):
+                open_ = near.copy()
+                for line in lines[i] or []:
+                    if copy or line["gone"]:
+                        a, b = np.searchsorted(start, (line["start"], line["end"]))
+                        open_[max(a - PASSAGE + 1, 0) : b] = False
+                at = np.flatnonzero(open_)
+                own = batch.select(["doc", "th"]).take(pa.array(np.full(len(at), i)))
+                weight = (copies[i] - 1 if copy else 1) / copies[i]
+                columns = [whole[at].view(np.int64), at.astype(np.int32), start[at].astype(np.int32), end[at + PASSAGE - 1].astype(np.int32)]
+                columns += [np.full(len(at), copy, dtype=np.int32), np.full(len(at), copies[i], dtype=np.int32), np.full(len(at), weight)]
+                yield pa.record_batch([*own.columns, *map(pa.array, columns)], names=["doc", "th", "gram", "pos", "start", "end", "copy", "copies", "weight"])
+
+
+def passages(texts: DataFrame, lines: DataFrame) -> DataFrame:
+    """Repeated passages in the texts `(doc, th, text)` beside the removals of `lines(doc, th, start, end, removed)`: rows `doc`, `start`, `end`, `first_doc`, `first_start`
+    (where the span's first window stands first), `n` (places of its most frequent window) and `removed`. Only sums and minima are taken by hash."""
+    picked = kept(texts.mapInArrow(_fingerprints, "doc long, th long, gram long, at int"))
+    several = picked.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    hits = picked.join(several, "gram", "left_semi").groupBy("doc", "th").agg(F.collect_list(F.struct("at", "gram")).alias("all"))
+    hits = hits.withColumn("copies", (F.size("all") / F.size(F.array_distinct("all.at"))).cast("int")).withColumnRenamed("all", "picked")
+    gone = lines.groupBy("doc", "th", "start", "end").agg(F.min("removed").alias("gone"))
+    gone = gone.groupBy(F.col("doc").alias("_d"), F.col("th").alias("_t")).agg(F.collect_list(F.struct("start", "end", "gone")).alias("lines"))
+    hits = hits.join(gone, F.col("doc").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")), "left")
+    hits = kept(hits.select("doc", "th", "picked", "lines", "copies"))
+    left = hits.mapInArrow(_left, "doc long, th long, gram long, at int, n int")
+    several = left.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
+    left = left.join(several, "gram", "left_semi").groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_th")).agg(F.collect_list("at").alias("places"))
+    left = left.join(hits.drop("picked"), F.col("_doc").eqNullSafe(F.col("doc")) & (F.col("_th") == F.col("th"))).drop("doc", "th")
+    found = texts.join(left, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("th") == F.col("_th"))).select("doc", "th", "text", "places", "lines", "copies")
+    schema = "doc long, th long, gram long, pos int, start int, end int, copy int, copies int, weight double"
+    found = kept(found.mapInArrow(_windows, schema))
+    place = F.struct(F.col("doc").isNull().alias("no"), "doc", "start", "end", "th", "copy", "pos")
+    several = found.groupBy("gram").agg(F.round(F.sum("weight")).cast("long").alias("n"), F.min(place).alias("first")).where("n > 1")
+    same_text = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("th") == F.col("first.th")) & (F.col("copy") == F.col("first.copy"))
+    found = found.join(several, "gram").withColumn("apart", ~same_text | (F.col("pos") >= F.col("first.pos") + PASSAGE))
+    found = found.withColumn("removed", ~(same_text & (F.col("pos") == F.col("first.pos"))))
+    repeats = found.where("removed and apart").select("gram").distinct()  # a window that only overlaps itself is no repeat
+    found = found.where("apart or not removed").join(repeats, "gram", "left_semi")
+    text_of = Window.partitionBy("doc", "th", "copy", "removed").orderBy("pos")
+    found = found.withColumn("begins", F.coalesce(F.col("pos") > F.lag("pos").over(text_of) + PASSAGE, F.lit(False)).cast("int"))
+    found = found.withColumn("span", F.sum("begins").over(text_of.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = found.groupBy("doc", "th", "copy", "copies", "removed", "span").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.max("n").alias("n"), F.min_by("first", "pos").alias("first")
+    )
+    spans = spans.withColumn("_again", F.explode(F.sequence(F.lit(1), F.when(F.col("copy") == 1, F.col("copies") - 1).otherwise(1))))
+    return spans.select("doc", "start", "end", F.col("first.doc").alias("first_doc"), F.col("first.start").alias("first_start"), "n", "removed")
+
+
 def repeated(
     docs: DataFrame, text: str = "text", doc: str = "doc_id", threshold: float = THRESHOLD, recall: float = RECALL, least: int = LEAST_WORDS
 ) -> DataFrame:
-    """One row per paragraph of a cluster: `doc`, `start`, `end` (code points), `class_doc`, `class_start` (first place of its class), `cluster_doc`,
+    """One row per paragraph of a cluster, and per span of repeated passages beside the removed lines: `doc`, `start`, `end` (code points), `class_doc`, `class_start` (first place of its class), `cluster_doc`,
     `cluster_start` (first place of its cluster), `n_paragraphs` in the cluster, and `removed`: false for the one that is kept."""
     bands, rows = tuned(threshold, recall, MOST_VALUES)
     texts = _texts(docs, text, doc)
@@ -197,7 +315,9 @@ def repeated(
     tied = Window.partitionBy("key", "doc", "start", "end").orderBy("is_first")  # repeated rows of one document: one of them is kept
     first = members.where("is_first").withColumn("removed", F.row_number().over(tied) > 1)
     others = members.where("not is_first").withColumn("removed", F.lit(True))
-    return first.unionByName(others).select(
+    lines = first.unionByName(others)
+    inside = passages(texts, lines.select("doc", "th", "start", "end", "removed"))
+    return lines.select(
         "doc", "start", "end", F.col("least.doc").alias("class_doc"), F.col("least.start").alias("class_start"),
         F.col("first.doc").alias("cluster_doc"), F.col("first.start").alias("cluster_start"), "n_paragraphs", "removed",
-    )
+    ).union(inside.select("doc", "start", "end", "first_doc", "first_start", "first_doc", "first_start", "n", "removed"))

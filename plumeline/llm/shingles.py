@@ -65,6 +65,11 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     return hashes, np.searchsorted(starts, first, side="right") - 1, first, last
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse, for hashes of runs from differences of sums."""
+    return (_up[:n], _down[:n]) if n <= CHUNK_BYTES else (_powers(_BASE, n), _powers(_INVERSE, n))
+
+
 def _chunks(starts: np.ndarray) -> Iterator[tuple[int, int]]:
     at, n = 0, len(starts) - 1
     while at < n:
@@ -85,6 +90,14 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[starts[0] : starts[-1]], starts - starts[0]
 
 
+def words_of(column: pa.Array) -> Iterator[tuple]:
+    """For chunks of a string column: the number of the first text, the chunk's bytes, where its texts start, and what `word_hashes` returns."""
+    data, starts = text_bytes(column)
+    for low, high in _chunks(starts):
+        chunk, part = data[starts[low] : starts[high]], starts[low : high + 1] - starts[low]
+        yield low, chunk, part, *word_hashes(chunk, part)
+
+
 def shingle_sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For chunks of a string column: the number of the first text, the distinct shingles of all the chunk's texts, text
     after text and sorted within one, and where each text's start (one more entry at the end).

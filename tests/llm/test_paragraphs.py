@@ -84,6 +84,27 @@ def test_empty_table(docs_of):
     assert paragraphs.repeated(docs_of([(1, "one line of its own"), (2, None)])).count() == 0
 
 
+def test_passages_inside_longer_lines_and_over_short_ones(docs_of, words):
+    passage, junk = words(60, 1), " ".join(["a"] * 120)
+    wrapped = "\n".join(" ".join(passage[i : i + 9]) for i in range(0, 60, 9))
+    around = lambda k: (" ".join(words(45, 10 + k)), " ".join(words(50, 20 + k)))
+    texts = {
+        1: f"{around(1)[0]} é {' '.join(passage)} {around(1)[1]}",  # the first place, in the middle of a line
+        2: f"{around(2)[0]} {' '.join(passage)} {around(2)[1]}",
+        3: f"{wrapped}\nshort end",  # lines of 9 words
+        4: f"{around(4)[0]} {' '.join(passage[:49])} {around(4)[1]}",  # one word too few
+        5: junk,
+        6: wrapped.replace("\n", "  \n "),
+    }
+    rows = [*texts.items(), (6, texts[6])]
+    found = paragraphs.repeated(docs_of(rows)).collect()
+    plain_passage = " ".join(passage)
+    got = sorted((r.doc, " ".join(texts[r.doc][r.start : r.end].split()) == plain_passage, r.cluster_doc, r.n_paragraphs, r.removed) for r in found if r.doc != 5)
+    assert got == [(1, True, 1, 5, False), (2, True, 1, 5, True), (3, True, 1, 5, True), (6, True, 1, 5, True), (6, True, 1, 5, True)]
+    assert all(r.cluster_start == texts[1].index(plain_passage) for r in found if r.doc != 5)
+    assert sorted((len(texts[5][r.start : r.end].split()), r.removed) for r in found if r.doc == 5) == [(50, False), (70, True)]
+
+
 @pytest.mark.parametrize(("threshold", "recall", "most"), [(0.8, 0.999, 48), (0.5, 0.99, 64), (0.9, 0.9999, 128)])
 def test_bands_reach_the_recall(threshold, recall, most):
     bands, rows = paragraphs.tuned(threshold, recall, most)
