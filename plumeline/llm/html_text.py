@@ -4,7 +4,7 @@ A page becomes a tree of elements. Elements that announce themselves as menus, h
 name, role, class or id) go first. For every other element its composite density is its characters per tag, adjusted by the share of
 characters and tags in links; an element's density sum is the sum over its children. The element with the largest sum is the seed of the article: if
 it lies in an `article` or `main`, that element is the article, else the seed and every text block beside its path to the body that is at least as dense as the
-sparsest element on that path.
+sparsest element on that path. Bare text and inline elements between blocks are a block.
 
 Blocks of text are joined by one line break, white space inside a block is one space, character references are decoded.
 
@@ -238,18 +238,45 @@ def _article(root: Node) -> list[Node]:
                 return [node]
     least = min(n.density for n in path)
     on_path, out = set(map(id, path)), []
-    todo = [root]
+    body_links = root.link_chars / max(1, root.chars)
+    todo: list[Node | list] = [root]
     while todo:
         node = todo.pop()
-        if node is seed:
+        if isinstance(node, list):
+            out += _run(node, least, body_links)
+        elif node is seed:
             out.append(node)
         elif id(node) in on_path:
-            todo += reversed(node.children)
-        elif node.density >= least and node.name in BLOCK and node.link_chars * 3 < node.chars:
+            todo += reversed(_in_runs(node, on_path))
+        elif node.density >= least and node.link_chars * 3 < node.chars:
             out.append(node)
     return out
 
 
+def _in_runs(node: Node, on_path: set[int]) -> list[Node | list]:
+    """What an element holds, in page order: its blocks and its elements on the path, and lists of the texts and inline elements between them."""
+    out: list[Node | list] = []
+    for part in node.parts:
+        if not isinstance(part, str) and (part.name in BLOCK or id(part) in on_path):
+            out.append(part)
+        elif out and isinstance(out[-1], list):
+            out[-1].append(part)
+        else:
+            out.append([part])
+    return out
+
+
+def _run(parts: list, least: float, body_links: float) -> list[Node]:
+    """Bare text and inline elements as a block of their own, if it is as dense as other blocks have to be; line breaks are white space in it, not tags."""
+    block = Node("div", None)
+    block.parts = parts
+    held = [p for p in parts if not isinstance(p, str) and p.name != "br"]
+    chars = sum(len("".join(p.split())) for p in parts if isinstance(p, str)) + sum(p.chars for p in held)
+    link_chars, link_tags = sum(p.link_chars for p in held), sum(p.link_tags for p in held)
+    density = composite_density(chars, sum(p.tags + 1 for p in held), link_chars, link_tags, body_links)
+    return [block] if chars and density >= least and link_chars * 3 < chars else []
+
+
 def blocks(nodes: list[Node]) -> list[str]:
     """The texts of the blocks, in page order."""
     out: list[str] = []

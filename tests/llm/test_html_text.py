@@ -37,6 +37,16 @@ def test_pages(name):
     assert html_text.main_text(html) == text
 
 
+def test_bare_text_beside_the_seed():
+    first, second, last = ("word " * 60).strip(), ("more " * 50).strip(), ("closing " * 30).strip()
+    quotes = [("quoted " * 28).strip(), ("cited " * 33).strip()]
+    quote = f"<blockquote><p>{quotes[0]}</p><p>{quotes[1]}</p></blockquote>"
+    html = f"<body><div class=post>{first}<br><br>{second} <b>bold</b> <span>and so on</span>{quote}{last}</div>"
+    assert html_text.main_text(html) == "\n".join([f"{first} {second} bold and so on", *quotes, last])
+    linked = f"<body><div class=post><a href=x>Here</a> | <a href=y>There</a>{quote}{last}</div>"
+    assert html_text.main_text(linked) == "\n".join([*quotes, last])
+
+
 def test_density_by_hand():
     assert html_text.composite_density(0, 3, 0, 0, 0.1) == 0.0
     assert html_text.composite_density(100, 4, 0, 0, 0.0) > html_text.composite_density(100, 4, 60, 3, 0.3) > 0
