@@ -5,7 +5,7 @@ are counted together with it over all documents: a term t reveals an entity c by
 c itself, PMI(c, t) / -log2 p(c). A term that reveals more than the disclosure threshold, and was seen with it in enough different surroundings to tell, is
 sanitised wherever it stands near that entity: it becomes a span of kind `term` and is replaced by a general word, as the patterns' values are.
 
-Results: a null text is an empty one. Repeated rows count as documents of their own. Rows without id are sanitised like others. Very long runs of one character
+Results: a null text is an empty one. Repeated rows are sanitised each; equal texts count as one document. Rows without id are sanitised like others. Very long runs of one character
 class are read once. Spans are `[start, end)` in code points; a term that overlaps a pattern's span adds none. An empty table gives an empty result.
 Other columns are carried along.
 """
@@ -124,15 +124,16 @@ def _cooccurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def disclosures(docs: DataFrame, text: str = "text", least: int = LEAST_CONTEXTS, threshold: float = DISCLOSURE) -> DataFrame:
     """Rows `(entity, term, share)`: terms that reveal an entity beyond the threshold.
 
-    Equal surroundings of an entity count once, so copies of a document prove nothing. Pairs, and the documents that hold a term, are counted with partial sums in the
+    Equal surroundings of an entity count once, and equal texts are one document, so copies prove nothing and hide nothing. Pairs, and the documents that hold a term, are counted with partial sums in the
     tasks, so no word's rows are gathered; pairs below `least` go before the counts are joined."""
     texts = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    seen = texts.mapInArrow(_cooccurring, "entity string, mark long, term string").distinct()
+    texts = texts.withColumn("th", F.xxhash64("text"))
+    seen = texts.select("text").mapInArrow(_cooccurring, "entity string, mark long, term string").distinct()
     counted = kept(seen.groupBy("entity", "term").agg(F.count("*").alias("n")).where(F.col("n") >= least))
     pairs = counted.where("term is not null").withColumnRenamed("n", "both")
-    words = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"\P{L}+"))).alias("term"))
+    words = texts.dropDuplicates(["th"]).select(F.explode(F.array_distinct(F.split(F.lower("text"), r"\P{L}+"))).alias("term"))
     term_docs = words.groupBy("term").agg(F.count("*").alias("n_term")).join(pairs.select("term").distinct(), "term", "left_semi")
-    n = F.lit(float(docs.count()))
+    n = F.lit(float(texts.select("th").distinct().count()))
     entities = counted.where("term is null").select("entity", F.col("n").alias("n_entity"))
     joined = pairs.join(entities, "entity").join(term_docs, "term")
     revealed = F.log2(F.col("both") * n / (F.col("n_entity") * F.col("n_term")))

@@ -126,6 +126,14 @@ def test_disclosing_terms(docs_of, words):
     assert got[200] == dict(texts)[200]
 
 
+def test_copies_of_documents_change_no_term(docs_of, words):
+    texts = [(i, " ".join([*words(20, i), *(["Zorro", "wrote", "boss@corp.org"] if i < 12 else []), *words(20, 900 + i)])) for i in range(400)]
+    copies = [(1000 * k + i, t) for k in range(1, 40) for i, t in texts[:12]]
+    once, many = (sorted(map(tuple, pii.disclosures(docs_of(rows)).collect())) for rows in (texts, texts + copies))
+    assert ("email:boss@corp.org", "zorro") in [(e, t) for e, t, _ in once]
+    assert many == once
+
+
 def test_slices_find_the_same(docs_of, words, monkeypatch):
     texts = [(i, " ".join([*words(10, i), "Nick", f"user{i % 4}@corp.org", *words(10, i + 999)])) for i in range(80)]
     texts += [(1000 + i, " ".join(words(30, 5000 + i))) for i in range(4000)]
