@@ -2,8 +2,7 @@
 
 1. Each text becomes the set of its five-word shingles. Equal sets are one class; the rest of the work is on classes.
 2. A class has `TREES` labels of `DEPTH` MinHash values each. Labels with a common prefix are neighbours in a tree. Prefixes are
-   matched at their full length first and shortened one value at a time, until the links found so far, weighed by how likely
-   each was to be found at this length, say that the target recall is reached.
+   cut to the length at which a pair just at the threshold meets in some tree with the target recall.
 3. Inside a prefix group whole signatures are compared, and only links that join the group's similar rows are kept. Their
    components are the clusters; in a cluster every pair is verified with the exact sets, two blocks of rows at a time.
 
@@ -27,7 +26,6 @@ from plumeline.llm.graph import block_pairs, components, forest, kept, runs, tog
 
 THRESHOLD = 0.8
 TREES, DEPTH = 16, 8
-START = 6  # prefix length to begin with
 TARGET_RECALL = 0.9995
 BUCKET_BLOCK, CLUSTER_BLOCK = 2048, 192
 VALUES = TREES * DEPTH
@@ -79,9 +77,9 @@ def prefix_groups(sets: DataFrame, length: int) -> DataFrame:
     return labels.join(once, "bucket")
 
 
-def _candidate_links(cut: float, threshold: float, length: int):
+def _candidate_links(cut: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b, weight = [], [], []
+        a, b = [], []
         for table in runs(batches, ["bucket", "low", "high"]):
             if table.num_rows < 2:
                 continue
@@ -92,36 +90,33 @@ def _candidate_links(cut: float, threshold: float, length: int):
                 return (sig[others] == sig[i]).mean(axis=1) >= cut
 
             for i, j in forest(similar, len(keys)):
-                close = min((sig[i] == sig[j]).mean(), 1.0)
                 a.append(keys[i])
                 b.append(keys[j])
-                weight.append(1 / (1 - (1 - close**length) ** TREES) if close >= threshold else 0.0)
             if len(a) >= 4096:
-                yield _links(a, b, weight)
-                a, b, weight = [], [], []
-        yield _links(a, b, weight)
+                yield _links(a, b)
+                a, b = [], []
+        yield _links(a, b)
 
     return run
 
 
-def _links(a: list, b: list, weight: list) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(weight, pa.float64())], names=["a", "b", "weight"])
+def _links(a: list, b: list) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+
+def prefix_length(threshold: float, target: float) -> int:
+    """The longest prefix at which a pair exactly at the threshold meets in some tree with probability `target`."""
+    return next((n for n in range(DEPTH, 0, -1) if 1 - (1 - threshold**n) ** TREES >= target), 1)
 
 
 def candidates(sets: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> DataFrame:
-    """Links `(a, b)` whose components hold every candidate pair. Prefixes are shortened until the estimated recall is `target`:
-    a link of similarity s is found at length d with probability 1 - (1 - s^d)^TREES, so each one found stands for the inverse of that.
-    Shortening also ends where a pair exactly at the threshold is found with that probability."""
+    """Links `(a, b)` whose components hold every candidate pair. A pair of similarity s meets at length d with probability
+    1 - (1 - s^d)^TREES; prefixes are as short as a pair at the threshold needs, whatever else is in the table."""
     cut = threshold - 4 * (threshold * (1 - threshold) / VALUES) ** 0.5
-    for length in range(START, 0, -1):
-        members = prefix_groups(sets, length).join(sets.select("key", "sig"), "key")
-        dealt = block_pairs(members, "bucket", "size", "key", BUCKET_BLOCK).where("n_blocks = 1 or low < high")
-        ordered = together(dealt.select("bucket", "low", "high", "key", "sig"), ["bucket", "low", "high"])
-        links = kept(ordered.mapInArrow(_candidate_links(cut, threshold, length), "a binary, b binary, weight double"))
-        found = links.agg(F.count(F.when(F.col("weight") > 0, 1)).alias("n"), F.sum("weight").alias("all")).first()
-        if (found["n"] and found["n"] / found["all"] >= target) or 1 - (1 - threshold**length) ** TREES >= target:
-            break
-    return links.select("a", "b")
+    members = prefix_groups(sets, prefix_length(threshold, target)).join(sets.select("key", "sig"), "key")
+    dealt = block_pairs(members, "bucket", "size", "key", BUCKET_BLOCK).where("n_blocks = 1 or low < high")
+    ordered = together(dealt.select("bucket", "low", "high", "key", "sig"), ["bucket", "low", "high"])
+    return kept(ordered.mapInArrow(_candidate_links(cut), "a binary, b binary"))
 
 
 def _verified(threshold: float):

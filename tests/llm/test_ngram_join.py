@@ -73,6 +73,20 @@ def test_blocks_of_any_size_agree(docs_of, rows, monkeypatch):
     assert sorted((str(r.doc), r.n_links, str(r.group_id)) for r in found) == expected(rows)
 
 
+def border(words, k):
+    """Two texts of 185 words with 4 changes: a similarity of 161 / 201."""
+    a = words(185, 50_000 + k)
+    return " ".join(a), " ".join(f"x{k}" if i in (20, 60, 100, 140) else w for i, w in enumerate(a))
+
+
+def test_pairs_at_the_threshold_beside_a_tight_group(docs_of, words):
+    base = words(180, 3)
+    pairs = [t for k in range(1200) for t in border(words, k)]
+    tight = [near(words, base, 1, 9000 + i) for i in range(300)]
+    found = ngram_join.near_duplicates(docs_of(list(enumerate(pairs + tight)))).where("doc < 2400 and n_links > 0").count()
+    assert found >= 2 * 1199
+
+
 def test_empty_table(docs_of):
     assert ngram_join.near_duplicates(docs_of([])).count() == 0
     assert ngram_join.keep_one(docs_of([])).count() == 0
