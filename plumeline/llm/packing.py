@@ -11,12 +11,8 @@ other. Ties between equally full windows go to the oldest. An empty table gives
 
 from __future__ import annotations
 
-import os
-import re
-import string
 from bisect import bisect_left, insort
-from collections.abc import Callable, Iterator
-from struct import pack as pack_ids
+from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
@@ -26,89 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumeline.llm.graph import kept, runs
+from plumeline.llm.tokens import chunks, encoder
 
 WINDOW = 1024
 OPEN_WINDOWS = 64
 SEPARATOR = 0
 MERGE_TASKS = 64  # tasks whose leftovers meet in one group of a round
-MOST_WORDS = 240_000  # words whose ids a worker remembers, twice at most
 
 PIECES = "doc long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, window long, offset long, open boolean, task long"
-SIGNS = string.punctuation
-# Byte-level vocabularies spell bytes as letters: printable ones as themselves, the others as the letters from 256 on.
-_printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_printable))}
-SPACE = chr(BYTE_LETTERS[0x20])
-_pretokens = re.compile(r"(?= \S)")
-_odd_space = re.compile(r"[^\S \n]| [ \n]|\n[ \n]|^ | $")
-
-
-class Remembered(dict):
-    """Words met so far with their ids. When it is full it forgets the words that were not met since it was last full."""
-
-    def __init__(self, make: Callable[[str], bytes], most: int):
-        super().__init__()
-        self.make, self.most, self.older = make, most, {}
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.most:
-            self.older = dict(self)
-            self.clear()
-        ids = self.older.get(word)
-        self[word] = ids = self.make(word) if ids is None else ids
-        return ids
-
-
-class Words:
-    """Token ids of texts, as little-endian 32-bit bytes.
-
-    Byte-level BPE never joins tokens across a space that a word follows, so the ids of a text are those of its words, each with the space before it.
-    Ids come from the library; a worker remembers those of words that it has met."""
-
-    def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has its own core
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.model = self.tokenizer.model
-        self.signs = Remembered(self.encode, 10_000)
-        self.bare = Remembered(lambda word: self.word("", word), MOST_WORDS // 4)
-        self.spaced = Remembered(lambda word: self.word(" ", word), MOST_WORDS)
-        self.newline = self.encode("\n")
-
-    def encode(self, text: str) -> bytes:
-        """Ids of a whole text, by the library's own splitting."""
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def word(self, space: str, word: str) -> bytes:
-        """Ids of a word. The splitting leaves letters whole and parts them from the signs behind them, so letters go to the library's model directly."""
-        letters = word.rstrip(SIGNS)
-        if not letters.isalpha():
-            return self.encode(space + word)
-        spelt = space + letters
-        spelt = spelt.replace(" ", SPACE) if spelt.isascii() else spelt.encode().decode("latin-1").translate(BYTE_LETTERS)
-        ids = [token.id for token in self.model.tokenize(spelt)]
-        return pack_ids(f"<{len(ids)}I", *ids) + (self.signs[word[len(letters) :]] if len(letters) < len(word) else b"")
-
-    def ids(self, text: str) -> bytes:
-        if _odd_space.search(text):
-            return b"".join([self.encode(part) for part in _pretokens.split(text)])
-        out, spaced = [], self.spaced.__getitem__
-        for line in text.split("\n"):
-            words = line.split(" ")
-            out += [self.bare[words[0]], *map(spaced, words[1:]), self.newline]
-        return b"".join(out[:-1])
-
-
-_words: dict[str, Words] = {}
-
-
-def words(path: str) -> Words:
-    """The worker's own encoder, kept from task to task."""
-    if path not in _words:
-        _words[path] = Words(path)
-    return _words[path]
 
 
 class Windows:
@@ -161,26 +82,26 @@ def _laid(number: int, pieces: list, task: int, still_open: bool) -> Iterator[tu
 
 def _packed(path: str, length: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, windows, task = words(path), Windows(most, length), TaskContext.get().partitionId()
+        words, windows, task = encoder(path), Windows(most, length), TaskContext.get().partitionId()
         end = np.array([SEPARATOR], dtype="<u4").tobytes()
         out: list[tuple] = []
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = encoder.ids(text or "") + end
-                    total = len(ids) // 4
+            for low, texts in chunks(batch.column(1)):
+                ids, bounds = words.laid(texts)
+                for i, doc in enumerate(batch.column(0).slice(low, len(texts)).to_pylist()):
+                    whole = ids[bounds[i] : bounds[i + 1]].tobytes() + end
+                    total = len(whole) // 4
                     for start in range(0, total, length):
-                        own = ids[start * 4 : (start + length) * 4]
+                        own = whole[start * 4 : (start + length) * 4]
                         for number, pieces in windows.place([doc, start, own, total], len(own) // 4):
                             out += _laid(number, pieces, task, False)
-                if len(out) >= 8192:
-                    yield _rows(out)
-                    out = []
+                    if len(out) >= 8192:
+                        yield _rows(out)
+                        out = []
         for number, pieces in windows.held.items():
             out += _laid(number, pieces, task, True)
         yield _rows(out)
-        encoder.bare.older = encoder.spaced.older = {}  # an idle worker holds little
+        words.forget()  # an idle worker holds little
 
     return run
 

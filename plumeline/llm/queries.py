@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumeline.llm import html_text, mixing, neighbours, ngram_join, packing, paragraphs, pii, secrets, toxicity, vectors
+from plumeline.llm import html_text, manifest, mixing, neighbours, ngram_join, packing, paragraphs, pii, secrets, token_cache, toxicity, vectors, whitening
+from plumeline.session import use_checkpoint_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +79,28 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = manifest.manifest(table(spark, sf_dir, "documents"), tamper=manifest.tampered_every_third)
+    folded = made.withColumn("folded_root", manifest.folded(F.col("told"), "proof"))
+    proof = F.sha2(manifest.listed("proof").cast("binary"), 256).alias("proof_sha256")
+    return folded.select(F.col("doc").alias("doc_id"), "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, in two deliveries: the second finds the counts of texts that the first one stored, and both read the same cache at the end."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    use_checkpoint_dir(spark)
+    cache = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/token-counts-{uuid.uuid4().hex}"
+    second = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1
+    for delivery in (docs.where(~second), docs.where(second)):
+        token_cache.update(delivery, cache, tokenizer_path())
+    return token_cache.counted(docs, cache, tokenizer_path()).withColumnRenamed("doc", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_ngram_join": op2_ngram_join,
@@ -88,6 +112,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_source_mix": op5_source_mix,
     "op6_toxicity": op6_toxicity,
     "op7_nearest_neighbours": op7_nearest_neighbours,
+    "op11_whitening": op11_whitening,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_token_counts": op13_token_counts,
 }
 
 # Kind, pattern, group, least length and position in the list, as the contract gives them.
@@ -160,6 +187,63 @@ SQL: dict[str, str] = {
                 ELSE 2 * (start / most) / (0.5 + sqrt(0.25::DOUBLE + 2 * (start / most))) END, 6) AS position
         FROM r
     """,
+    "op12_merkle_manifest": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, coalesce('=' || lang, '-') AS tree, concat(f.id, f.source, f.lang, f.n_chars) AS head, text,
+                -- CRC-32 of the decimal digits, bit by bit: a byte is marked by 256, a shift is 0
+                doc_id IS NOT NULL AND xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+                    lambda c: list_prepend((256 + ord(c))::BIGINT, list_transform(range(8), lambda i: 0::BIGINT))))),
+                    lambda a, b: CASE WHEN b > 0 THEN xor(a, b - 256) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END),
+                    4294967295::BIGINT) % 3 = 0 AS tampered
+            FROM (SELECT *, {'id': coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), 'source': coalesce(strlen(source) || ':' || source, '-'),
+                'lang': coalesce(strlen(lang) || ':' || lang, '-'), 'n_chars': coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')} AS f FROM documents)
+        ),
+        l AS (
+            SELECT doc_id, tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+                CASE WHEN tampered THEN sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS told
+            FROM d
+        ),
+        r AS (
+            SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank, count(*) OVER (PARTITION BY tree) AS n,
+                row_number() OVER () AS line
+            FROM l
+        ),
+        nodes(tree, level, idx, n, digest) AS (
+            SELECT tree, 0, rank, n, leaf FROM r
+            UNION ALL
+            SELECT tree, level + 1, idx // 8, n, sha256(string_agg(digest, '' ORDER BY idx)) FROM nodes WHERE n > 8::BIGINT ** level GROUP BY tree, level, idx // 8, n
+        ),
+        s AS (
+            SELECT *, row_number() OVER (ORDER BY tree) - 1 AS rank, count(*) OVER () AS n
+            FROM (SELECT tree, arg_max(digest, level) AS subroot, max(level) AS top FROM nodes GROUP BY tree)
+        ),
+        over_nodes(level, idx, n, digest) AS (
+            SELECT 0, rank, n, subroot FROM s
+            UNION ALL
+            SELECT level + 1, idx // 8, n, sha256(string_agg(digest, '' ORDER BY idx)) FROM over_nodes WHERE n > 8::BIGINT ** level GROUP BY level, idx // 8, n
+        ),
+        sides AS (
+            SELECT line, x.level, coalesce(string_agg(x.digest, '' ORDER BY x.idx) FILTER (WHERE x.idx < r.rank // (8::BIGINT ** x.level)::BIGINT), '') AS before,
+                coalesce(string_agg(x.digest, '' ORDER BY x.idx) FILTER (WHERE x.idx > r.rank // (8::BIGINT ** x.level)::BIGINT), '') AS after
+            FROM r JOIN s USING (tree) JOIN nodes x ON x.tree = r.tree AND x.level < s.top AND x.idx // 8 = r.rank // (8::BIGINT ** (x.level + 1))::BIGINT
+            GROUP BY line, x.level
+            UNION ALL
+            SELECT line, s.top + x.level, coalesce(string_agg(x.digest, '' ORDER BY x.idx) FILTER (WHERE x.idx < s.rank // (8::BIGINT ** x.level)::BIGINT), ''),
+                coalesce(string_agg(x.digest, '' ORDER BY x.idx) FILTER (WHERE x.idx > s.rank // (8::BIGINT ** x.level)::BIGINT), '')
+            FROM r JOIN s USING (tree) JOIN over_nodes x ON x.idx // 8 = s.rank // (8::BIGINT ** (x.level + 1))::BIGINT
+            WHERE x.n > 8::BIGINT ** x.level
+            GROUP BY line, s.top, x.level
+        ),
+        folded(line, level, digest) AS (
+            SELECT line, 0, coalesce(told, leaf) FROM r
+            UNION ALL
+            SELECT line, level + 1, sha256(before || digest || after) FROM folded JOIN sides USING (line, level)
+        ),
+        ends AS (SELECT line, arg_max(digest, level) AS folded_root FROM folded GROUP BY line),
+        proofs AS (SELECT line, sha256(string_agg(before || after, '' ORDER BY level)) AS proof FROM sides GROUP BY line)
+        SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+        FROM r JOIN s USING (tree) JOIN ends USING (line) LEFT JOIN proofs USING (line), (SELECT arg_max(digest, level) AS root FROM over_nodes)
+    """,
     "op3_embedding_dedup": """
         WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings),
         links AS (

@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 import pytest
 
-from plumeline.llm import packing
+from plumeline.llm import packing, tokens
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -24,7 +24,7 @@ def plain():
 
 
 def test_ids_equal_the_library(plain, words):
-    encoder = packing.Words(PATH)
+    encoder = tokens.Words(PATH)
     for text in [*ODD, " ".join(words(3000, 1)) + ".\n" + ", ".join(words(300, 2))]:
         for _ in range(2):  # the second time from memory
             assert np.frombuffer(encoder.ids(text), "<u4").tolist() == plain(text)
