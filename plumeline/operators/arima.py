@@ -2,7 +2,7 @@
 
 `closed_form_arima` fits five small models by conditional least squares with window aggregates only
 and keeps the one with the lowest AIC on a common set of one-step errors. `search_arima` searches the
-non-seasonal orders p, q up to 5 with a level test for d; one Python group holds one series.
+non-seasonal orders p, q up to 5 by exact likelihood with a level test for d; one Python group holds one series.
 """
 
 from __future__ import annotations
@@ -12,14 +12,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumeline.operators.likelihood import MOST, Fitted, fit, partials
 from plumeline.session import spread
 
 # The closed-form candidates in tie-break order, with their parameter counts (variance included).
 CANDIDATES = [("mean", 2), ("random_walk", 1), ("random_walk_drift", 2), ("ar1", 3), ("arima110", 3)]
 
 VARIANCE_FLOOR = 1e-12
-SHORTEST_SEARCH = 16  # periods below which the order search has too few rows
-LONG_LAG_GAIN = 0.1  # AIC per row by which a long autoregression must beat the searched orders
 
 
 def closed_form_arima(frame: DataFrame, keys: list[str], time: str, value: str, scopes: dict[str, str]) -> DataFrame:
@@ -111,138 +110,91 @@ def arima_prediction(prefix: str, steps: str) -> Column:
 
 
 def _level_statistic(z: np.ndarray) -> float:
-    """KPSS statistic of a level-stationary series (Kwiatkowski et al. 1992)."""
+    """KPSS statistic of a level-stationary series (Kwiatkowski et al. 1992). The window is at most an eighth of the series, or a short one would hide its own trend."""
     n = len(z)
     e = z - z.mean()
-    lags = int(4 * (n / 100) ** 0.25)
+    lags = min(int(4 * (n / 100) ** 0.25), n // 8)
     spread = e @ e / n + 2 / n * sum((1 - j / (lags + 1)) * (e[j:] @ e[:-j]) for j in range(1, lags + 1))
     return float((np.cumsum(e) ** 2).sum() / (n * n * spread)) if spread > 0 else 0.0
 
 
-def _stable(coefficients: np.ndarray) -> bool:
-    return len(coefficients) == 0 or bool(np.all(np.abs(np.roots(np.r_[1.0, -coefficients])) < 0.999))
-
-
 def _lagged(v: np.ndarray, count: int, start: int) -> np.ndarray:
     """The values 1..count steps before each position from `start` on, one column per step."""
     return np.column_stack([v[start - j : len(v) - j] for j in range(1, count + 1)])
 
 
-def _long_autoregression(z: np.ndarray) -> tuple[int, np.ndarray, float | None]:
-    """Order, coefficients and AIC per row of the best autoregression with up to a sixth of the series as lags."""
-    n = len(z)
-    most = max(1, n // 6)
-    rows = n - most
-    if rows < most + 3:
-        return 1, np.zeros(1), None
-    past, target = _lagged(z, most, most), z[most:]
-    gram, cross, total = past.T @ past, past.T @ target, target @ target
-    best = (np.inf, 1, np.zeros(1))
-    for k in range(1, most + 1):
-        b = np.linalg.lstsq(gram[:k, :k], cross[:k], rcond=None)[0]
-        score = np.log(max((total - b @ cross[:k]) / rows, VARIANCE_FLOOR)) + 2 * (k + 1) / rows
-        if score < best[0] - 1e-9 and _stable(b):
-            best = (score, k, b)
-    return best[1], best[2], None if best[0] == np.inf else best[0]
-
-
-def _small_model(y: np.ndarray, steps: int) -> tuple[np.ndarray, str]:
-    """The best of mean, random walk with and without drift, AR(1) and ARIMA(1,1,0) by AIC on one-step errors."""
-    ahead, change = np.arange(1, steps + 1), np.diff(y)
-    drift = change.mean() if len(change) else 0.0
-    models = [
-        ("mean", 2, y[1:] - y.mean() if len(y) > 1 else y * 0, np.full(steps, y.mean() if len(y) else 0.0)),
-        ("(0,1,0)", 1, change, np.full(steps, y[-1] if len(y) else 0.0)),
-        ("(0,1,0) drift", 2, change - drift, (y[-1] if len(y) else 0.0) + drift * ahead),
-    ]
-    for name, x in (("(1,0,0)", y), ("(1,1,0)", change)):
-        if len(x) >= 4 and x[:-1].std() > 0:
-            a, c = np.polyfit(x[:-1], x[1:], 1)
-            if abs(a) < 0.999:
-                path, last = [], x[-1]
-                for _ in range(steps):
-                    last = a * last + c
-                    path.append(last)
-                path = np.array(path) if name == "(1,0,0)" else y[-1] + np.cumsum(path)
-                models.append((name, 3, x[1:] - a * x[:-1] - c, path))
-    scored = [(len(e) * np.log(max((e @ e) / max(1, len(e)), VARIANCE_FLOOR)) / max(1, len(e)) + 2 * k / max(1, len(e)), i) for i, (_, k, e, _) in enumerate(models)]
-    name, _, _, path = models[min(scored)[1]]
-    return path, name
-
-
-def _search_one(y: np.ndarray, steps: int, max_order: int = 5) -> tuple[np.ndarray, str]:
-    """Forecast of one series: d by the level test (5 % point 0.463), p and q by Hannan-Rissanen and AIC.
-
-    The errors of a long autoregression stand in for the shocks; its order grows with the length, as a sixth of it at
-    most, and is chosen by AIC. All orders use the same rows, so their normal equations are blocks of one small
-    matrix. A series too short for the search, and one whose long autoregression beats every searched order by far
-    (a long lag that p and q up to 5 can't hold), follow the better of the five small models or that autoregression.
-    """
-    if len(y) < SHORTEST_SEARCH:
-        return _small_model(y.astype(float), steps)
-    z, heads = y.astype(float), []
-    while len(heads) < 2 and len(z) > 4 and _level_statistic(z) > 0.463:
-        heads.append(z[-1])
-        z = np.diff(z)
-    n, const = len(z), 1 if len(heads) < 2 else 0
-    mean = z.mean() if const and n else 0.0
-    z = z - mean
-    long_order, lags, long_aic = _long_autoregression(z)
-    start = long_order + max_order
+def _regressions(z: np.ndarray, orders: list[tuple[int, int]]) -> np.ndarray:
+    """Estimates of every order by regression (Hannan and Rissanen), as partial autocorrelations: where the likelihood search begins.
+
+    The errors of a long autoregression stand in for the shocks. All orders use the same rows, so their normal equations are blocks of one small matrix. A series
+    too short for that begins at zero."""
+    n, out = len(z), np.zeros((len(orders), 2 * MOST))
+    most = max(1, min(n // 6, 20))
+    start = most + MOST
     rows = n - start
-    aic, p, q, beta, shocks = np.inf, 0, 0, np.zeros(const), np.zeros(n)
-    if rows >= 4:
-        past = _lagged(z, long_order, long_order)
-        fit = past @ np.linalg.lstsq(past, z[long_order:], rcond=None)[0]
-        shocks = np.r_[np.zeros(long_order), z[long_order:] - fit]
-        target = z[start:]
-        design = np.hstack([np.ones((rows, 1)), _lagged(z, max_order, start), _lagged(shocks, max_order, start)])
-        gram, cross, total = design.T @ design, design.T @ target, target @ target
-        for i in range(max_order + 1):
-            for j in range(max_order + 1):
-                used = [*range(1 - const, 1), *range(1, 1 + i), *range(1 + max_order, 1 + max_order + j)]
-                if len(used) + 2 > rows:
-                    continue
-                b = np.linalg.lstsq(gram[np.ix_(used, used)], cross[used], rcond=None)[0] if used else np.zeros(0)
-                sse = max(total - b @ cross[used], 0.0) if used else total
-                score = rows * np.log(max(sse / rows, VARIANCE_FLOOR)) + 2 * (len(used) + 1)
-                if score < aic - 1e-9 and _stable(b[const : const + i]) and _stable(-b[const + i :]):
-                    aic, p, q, beta = score, i, j, b
-        if long_aic is not None and long_aic + LONG_LAG_GAIN < aic / rows:
-            p, q, beta = long_order, 0, np.r_[np.zeros(const), lags]
-    path, noise = list(z), list(shocks)
-    for _ in range(steps):
-        step = beta[0] if const else 0.0
-        step += sum(beta[const + k] * path[-1 - k] for k in range(p))
-        step += sum(beta[const + p + k] * noise[-1 - k] for k in range(q))
-        path.append(step)
-        noise.append(0.0)
-    ahead = np.array(path[n:]) + mean
-    for level in reversed(heads):
-        ahead = level + np.cumsum(ahead)
-    return ahead, f"({p},{len(heads)},{q})"
-
-
-def search_arima(frame: DataFrame, keys: list[str], value: str, horizon: str) -> DataFrame:
+    if rows < 4:
+        return out
+    z = z - z.mean()
+    past = _lagged(z, most, most)
+    shocks = np.r_[np.zeros(most), z[most:] - past @ np.linalg.lstsq(past, z[most:], rcond=None)[0]]
+    target = z[start:]
+    design = np.hstack([np.ones((rows, 1)), _lagged(z, MOST, start), _lagged(shocks, MOST, start)])
+    gram, cross = design.T @ design, design.T @ target
+    for k, (p, q) in enumerate(orders):
+        used = [0, *range(1, 1 + p), *range(1 + MOST, 1 + MOST + q)]
+        if len(used) + 2 > rows:
+            continue
+        b = np.linalg.lstsq(gram[np.ix_(used, used)], cross[used], rcond=None)[0]
+        out[k, :p], out[k, MOST : MOST + q] = partials(b[1 : 1 + p]), partials(-b[1 + p :])
+    return out
+
+
+def fit_one(y: np.ndarray, at: np.ndarray | None = None) -> Fitted:
+    """The model of one series: d by the level test (5 % point 0.463), p, q up to 5 and the constant by exact likelihood and corrected AIC.
+
+    One method for every length; `at` are the whole-numbered periods of the values, and periods between them are missing, not closed up. A mean belongs to every model without
+    differences, a drift is a candidate with one difference, and two differences have no constant."""
+    y = np.asarray(y, dtype=float)
+    at = np.arange(len(y)) if at is None else np.asarray(at)
+    z, d = y, 0
+    while d < 2 and len(z) > 4 and _level_statistic(z) > 0.463:
+        z, d = np.diff(z), d + 1
+    constants = {0: (True,), 1: (False, True), 2: (False,)}[d]
+    candidates = [(p, q, c) for c in constants for p in range(MOST + 1) for q in range(MOST + 1)]
+    return fit(y, at, d, candidates, _regressions(z, [(p, q) for p, q, _ in candidates]))
+
+
+def _search_one(y: np.ndarray, steps: int, at: np.ndarray | None = None) -> tuple[np.ndarray, str]:
+    """Forecasts of the `steps` periods behind one series, and the order."""
+    model = fit_one(y, at)
+    p, d, q = model.order
+    return model.ahead(steps), f"({p},{d},{q})"
+
+
+def search_arima(frame: DataFrame, keys: list[str], time: str, value: str, horizon: str) -> DataFrame:
     """Rows `(keys..., _pos, arima_pred, arima_order)` for the test rows (fitted on the training rows)
     and for the future positions (fitted on all rows). `frame` comes from `holdout_frame`; the column
-    `horizon` holds the number of future periods. A group is one series, one row per period."""
+    `horizon` holds the number of future periods. A group is one series, one row per period; periods without a row are missing values."""
     source = frame.select(
-        *keys, "_pos", "_n", "_n_test", "_train", F.col(value).alias("_y"),
+        *keys, "_pos", "_n", "_n_test", "_train", F.col(time).cast("long").alias("_at"), F.col(value).cast("double").alias("_y"),
         F.col(horizon).cast("int").alias("_steps"),
     )
     schema = source.select(*keys).schema.simpleString()[len("struct<") : -1].replace(":", " ")
 
     def one_series(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_pos")
-        y = pdf["_y"].to_numpy()
+        y, at = pdf["_y"].to_numpy(), pdf["_at"].to_numpy()
         n, n_test, steps = int(pdf["_n"].iloc[0]), int(pdf["_n_test"].iloc[0]), int(pdf["_steps"].iloc[0])
         parts = []
         if pdf["_train"].any():
-            pred, order = _search_one(y[:-n_test], n_test)
-            parts.append((np.arange(n - n_test + 1, n + 1), pred, order))
-        pred, order = _search_one(y, steps)
-        parts.append((np.arange(n + 1, n + steps + 1), pred, order))
+            past = n - n_test
+            pred, order = _search_one(y[:past], int(at[-1] - at[past - 1]), at[:past])
+            parts.append((np.arange(past + 1, n + 1), pred[at[past:] - at[past - 1] - 1], order))
+        if steps > 0:
+            pred, order = _search_one(y, steps, at)
+            parts.append((np.arange(n + 1, n + steps + 1), pred, order))
+        if not parts:
+            parts.append((np.zeros(0, dtype=int), np.zeros(0), ""))
         out = pd.concat(
             [pd.DataFrame({"_pos": pos, "arima_pred": pred, "arima_order": order}) for pos, pred, order in parts]
         )

@@ -58,7 +58,7 @@ def scored_frame(
         frame = frame.withColumn("arima_pred", predicted).withColumn("arima_order", F.col("_aa_model"))
         frame = frame.drop(*parameter_columns("_at"), *parameter_columns("_aa"))
     elif arima == "search":
-        searched = search_arima(frame, keys, value, "_ahead")
+        searched = search_arima(frame, keys, time, value, "_ahead")
         frame = extend_future(frame, time, value, ahead).join(searched, [*keys, "_pos"], "left")
     else:
         raise ValueError(f"unknown arima method: {arima}")
