@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import SQLTransformer, StringIndexer, StringIndexerModel
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumeline.operators.ranks import numbered
 from plumeline.sources.series import cell, read_csv_text
 
 # Column order of the training table, the features in model order, and the texts that
@@ -47,8 +49,7 @@ EXPERIMENTAL_PATHWAY, EXPERIMENTAL_PRODUCT = "Methanol synthesis", "CH3OH (metha
 
 TEXT_COLUMNS = ["pathway", "catalyst_family", "metal", "linker", "reactor_type", "primary_product", "data_source"]
 
-MOST_LABELS = 10_000
-TOO_MANY_LABELS = "column {column} has more than {most} labels"
+MOST_BROADCAST = 100_000  # labels of all columns together that are sent to the tasks
 
 
 def read_runs(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -153,41 +154,29 @@ def read_training_table(spark: SparkSession, path: str | list[str]) -> DataFrame
 def label_codes(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows `(column_name, label, code)`: the distinct labels of each column in sorted order, from 0.
 
-    One pass over the table, reduced to the distinct labels before they are ranked; no row holds them all.
+    One pass over the table, reduced to the distinct labels, which are then ranked by ranges: no task holds all labels of a column.
     """
     pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("label")) for c in columns])
     distinct = df.select(F.inline(pairs)).filter(F.col("label").isNotNull()).distinct()
-    code = F.row_number().over(Window.partitionBy("column_name").orderBy("label")) - 1
-    return distinct.select("column_name", "label", code.cast("int").alias("code"))
-
+    ranked = numbered(distinct, ["column_name"], ["label"])
+    return ranked.select("column_name", "label", F.col("number").cast("int").alias("code"))
 
-def label_indexer(df: DataFrame) -> StringIndexerModel:
-    """The same codes as a fitted stage; labels it has not seen get the first free code.
 
-    The stage holds every label in the plan, so more than `MOST_LABELS` in a column are an error; join `label_codes` then."""
-    for column in LABELS:
-        if df.select(column).distinct().limit(MOST_LABELS + 1).count() > MOST_LABELS:
-            raise ValueError(TOO_MANY_LABELS.format(column=column, most=MOST_LABELS))
-    return StringIndexer(
-        inputCols=list(LABELS),
-        outputCols=[f"_{t}" for t in LABELS.values()],
-        stringOrderType="alphabetAsc",
-        handleInvalid="keep",
-    ).fit(df)
+def label_indexer(df: DataFrame) -> DataFrame:
+    """The codes of a training table's label columns, kept, to be joined to other tables."""
+    return label_codes(df, list(LABELS)).checkpoint()
 
 
-def unknown_rule(indexer: StringIndexerModel) -> SQLTransformer:
-    """The code columns: when any label of a row is unknown, all of its codes are 0."""
-    unknown = " OR ".join(
-        f"_{t} = {len(labels)}" for t, labels in zip(LABELS.values(), indexer.labelsArray, strict=True)
-    )
-    codes = ", ".join(f"IF({unknown}, 0, CAST(_{t} AS INT)) AS {t}" for t in LABELS.values())
-    return SQLTransformer(statement=f"SELECT *, {codes} FROM __THIS__")
-
+def encode_labels(df: DataFrame, codes: DataFrame) -> DataFrame:
+    """Adds the code columns by joins with `codes`, of any number of labels: when any label of a row is unknown, all of its codes are 0.
 
-def encode_labels(df: DataFrame, indexer: StringIndexerModel) -> DataFrame:
-    """Adds the code columns, row by row."""
-    return unknown_rule(indexer).transform(indexer.transform(df)).drop(*[f"_{t}" for t in LABELS.values()])
+    Up to `MOST_BROADCAST` labels are sent to the tasks, so the rows stay where they are; beyond that the joins shuffle."""
+    small = codes.count() <= MOST_BROADCAST
+    for column, coded in LABELS.items():
+        own = codes.where(F.col("column_name") == column).select(F.col("label").alias(f"_label_{coded}"), F.col("code").alias(f"_{coded}"))
+        df = df.join(F.broadcast(own) if small else own, F.col(f"`{column}`") == F.col(f"_label_{coded}"), "left").drop(f"_label_{coded}")
+    known = reduce(Column.__and__, [F.col(f"_{c}").isNotNull() for c in LABELS.values()])
+    return df.withColumns({c: F.when(known, F.col(f"_{c}")).otherwise(0) for c in LABELS.values()}).drop(*[f"_{c}" for c in LABELS.values()])
 
 
 def standardise(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from multiprocessing.pool import ThreadPool
+from dataclasses import dataclass, replace
 
-from pyspark import inheritable_thread_target
-from pyspark.ml import PipelineModel
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumeline.functions.columns import at_least, at_most, clamp, messages, said
 from plumeline.functions.process_tables import PATHWAYS
-from plumeline.operators.features import FEATURES, add_features, label_indexer, unknown_rule
+from plumeline.operators.boosting import Job, Setting, Trees, grown, importance, node_table, read_nodes, scores
+from plumeline.operators.features import FEATURES, add_features, encode_labels, label_indexer
 from plumeline.operators.scoring import is_electro, score_points, slate_map, yield_range
 from plumeline.session import use_checkpoint_dir
 
@@ -22,7 +20,6 @@ from plumeline.session import use_checkpoint_dir
 # distance given to a pressure below its range and the decay of the confidence.
 TREES, DEPTH, LEARNING_RATE, ROW_SAMPLE, COLUMN_SAMPLE, SEED = 150, 5, 0.08, 0.8, 0.8, 42
 TARGETS = ["X_CO2", "Y_MeOH"]
-PARALLEL_TRAININGS = 8
 TRAINED_T, TRAINED_P, TRAINED_H = (170.0, 240.0), (1.0, 50.0), (1.0, 4.0)
 LOW_PRESSURE_DISTANCE, CONFIDENCE_DECAY = 0.2, 3.0
 
@@ -43,60 +40,63 @@ OTHER_YIELD_FACTOR, CARBON_FACTOR, ML_HALF_WIDTH = 0.6, 0.9, 5.0
 SLATE_CO_TOTAL, SLATE_CH4, SLATE_OTHERS = 95.0, 3.0, 2.0
 
 
-def _feature_stages(table: DataFrame) -> list:
-    """Label codes (all zero when one label is unknown), assembled and scaled features.
+SETTING = Setting(TREES, DEPTH, LEARNING_RATE, ROW_SAMPLE, COLUMN_SAMPLE, SEED)
+
+
+@dataclass
+class Model:
+    """A trained model: its trees and the codes of its labels. `nodes` gives it as a table."""
+
+    trees: Trees
+    codes: DataFrame
+
+    def nodes(self, name: str = "model") -> DataFrame:
+        return node_table(self.codes.sparkSession, {name: self.trees})
 
-    Scaling drops the attributes that would make the trees treat the codes as categories.
-    """
-    indexer = label_indexer(table)
-    return [indexer, unknown_rule(indexer), VectorAssembler(inputCols=FEATURES, outputCol="_assembled")]
 
+def train_jobs(table: DataFrame, jobs: dict[str, Job], trees: int = TREES, depth: int = DEPTH, keys: list[str] | None = None) -> dict[str, Model]:
+    """All jobs over one table, in one chain of passes. Labels are coded once, on the whole table, so a label that only some jobs' rows have keeps its own code.
 
-def train(table: DataFrame, target: str, trees: int = TREES, depth: int = DEPTH) -> PipelineModel:
-    """A pipeline from raw table columns to `prediction` for one target; rows without the target are left out."""
+    `keys` name a row for the draws of the rows; without them all columns do."""
     use_checkpoint_dir(table.sparkSession)
-    known = table.filter(F.col(target).isNotNull())
-    prepared = PipelineModel(_feature_stages(known))
-    # Boosting reads its input for every round; from the checkpoint it never goes back to the source.
-    assembled = prepared.transform(known).select("_assembled", F.col(target).cast("double").alias(target)).checkpoint()
-    return PipelineModel([*prepared.stages, *boost(assembled, target, trees, depth).stages])
-
-
-def boost(assembled: DataFrame, target: str, trees: int = TREES, depth: int = DEPTH) -> PipelineModel:
-    """Scaler and boosted trees for rows whose features are assembled already."""
-    assembled = assembled.withColumn(target, F.col(target).cast("double"))
-    scaler = StandardScaler(inputCol="_assembled", outputCol="_features", withMean=True, withStd=True).fit(assembled)
-    learner = GBTRegressor(
-        featuresCol="_features",
-        labelCol=target,
-        maxIter=trees,
-        maxDepth=depth,
-        stepSize=LEARNING_RATE,
-        subsamplingRate=ROW_SAMPLE,
-        featureSubsetStrategy=str(COLUMN_SAMPLE),
-        lossType="squared",
-        seed=SEED,
-    )
-    booster = learner.fit(scaler.transform(assembled).select("_features", target))
-    return PipelineModel([scaler, booster])
+    codes = label_indexer(table)
+    setting = replace(SETTING, trees=trees, depth=depth)
+    found = grown(encode_labels(table, codes), FEATURES, jobs, keys or table.columns, setting)
+    return {name: Model(t, codes) for name, t in found.items()}
 
 
-def train_each(jobs: dict[str, tuple[DataFrame, str]], trees: int = TREES, depth: int = DEPTH) -> dict[str, PipelineModel]:
-    """Several trainings side by side, each named and given as (table, target).
+def train(table: DataFrame, target: str, trees: int = TREES, depth: int = DEPTH) -> Model:
+    """A model of one target; rows without the target are left out."""
+    return train_each({target: (table, target)}, trees, depth)[target]
 
-    A boosting round is a chain of short jobs, so one training alone leaves most of a cluster idle.
-    """
-    spark = next(iter(jobs.values()))[0].sparkSession
-    run = inheritable_thread_target(spark)(lambda job: train(*job, trees, depth))
-    with ThreadPool(min(len(jobs), PARALLEL_TRAININGS)) as pool:
-        fitted = pool.map(run, jobs.values())
-    return dict(zip(jobs, fitted, strict=True))
+
+def train_each(jobs: dict[str, tuple[DataFrame, str]], trees: int = TREES, depth: int = DEPTH) -> dict[str, Model]:
+    """Several trainings, each named and given as (table, target). Those over the same table grow side by side."""
+    out: dict[str, Model] = {}
+    tables = {id(table): table for table, _ in jobs.values()}
+    for key, table in tables.items():
+        own = {name: Job(target, "_all") for name, (t, target) in jobs.items() if id(t) == key}
+        out |= train_jobs(table.withColumn("_all", F.lit(True)), own, trees, depth, table.columns)
+    return {name: out[name] for name in jobs}
 
 
-def predict_raw(model: PipelineModel, table: DataFrame, out: str) -> DataFrame:
+def predict_raw(model: Model, table: DataFrame, out: str) -> DataFrame:
     """The table with the model's prediction as one more column."""
-    scored = model.transform(table)
-    return scored.select(*[F.col(f"`{c}`") for c in table.columns], F.col("prediction").alias(out))
+    return predict_all({out: model}, table)
+
+
+def predict_all(models: dict[str, Model], table: DataFrame) -> DataFrame:
+    """The table with a column per model, named by its key. Models that share their codes are applied in one pass."""
+    keep, left = [F.col(f"`{c}`") for c in table.columns], dict(models)
+    added: list[str] = []
+    while left:
+        codes = next(iter(left.values())).codes
+        own = {name: m for name, m in left.items() if m.codes is codes}
+        left = {name: m for name, m in left.items() if name not in own}
+        scored = encode_labels(table, codes).withColumn("_scores", scores({name: m.trees for name, m in own.items()}))
+        table = scored.select(*keep, *[F.col(f"`{c}`") for c in added], *[F.get("_scores", i).alias(name) for i, name in enumerate(own)])
+        added += own
+    return table
 
 
 def regression_metrics(df: DataFrame, keys: list[str], actual: str, predicted: str) -> DataFrame:
@@ -128,41 +128,72 @@ def training_report(metrics: DataFrame, cross_validation: DataFrame) -> DataFram
     return wide.join(cross_validation, "target", "left")
 
 
-def learning_curve(model: PipelineModel, table: DataFrame, target: str) -> list[float]:
+def learning_curve(model: Model, table: DataFrame, target: str) -> list[float]:
     """RMSE after each boosting round."""
-    booster = model.stages[-1]
-    prepared = PipelineModel(model.stages[:-1]).transform(table.filter(F.col(target).isNotNull()))
-    return [mse**0.5 for mse in booster.evaluateEachIteration(prepared, "squared")]
-
-
-def feature_importance(model: PipelineModel, spark: SparkSession, target: str, top: int | None = None) -> DataFrame:
+    rows = learning_curves({target: model}, table, {target: target}, []).orderBy("round").collect()
+    return [r["rmse"] for r in rows]
+
+
+def learning_curves(models: dict[str, Model], table: DataFrame, targets: dict[str, str], keys: list[str]) -> DataFrame:
+    """Rows `(keys..., target, round, rmse)` of all models in one pass: the trees' values of a row are added up round by round, and a task hands on the sums of squared
+    errors of its batches, one row per key and target and not one per row and round. `targets` names the column of each model."""
+    names = list(models)
+    first = next(iter(models.values()))
+    if any(m.codes is not first.codes for m in models.values()):
+        raise ValueError("the models must share their label codes")
+    held = [models[n].trees for n in names]
+    rows = encode_labels(table, first.codes).select(*keys, *[F.col(f"`{c}`").cast("double").alias(f"_x{i}") for i, c in enumerate(FEATURES)], *[F.col(targets[n]).cast("double").alias(f"_y{i}") for i, n in enumerate(names)])
+    schema = ", ".join([*[f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys], "target string, n long, squares array<double>"])
+
+    def run(batches):
+        for pdf in batches:
+            x = np.nan_to_num(pdf[[f"_x{i}" for i in range(len(FEATURES))]].to_numpy(dtype=np.float64, na_value=np.nan), nan=-np.inf)
+            groups = pdf.groupby(keys, dropna=False).indices if keys else {(): np.arange(len(pdf))}
+            for i, trees in enumerate(held):
+                y = pdf[f"_y{i}"].to_numpy(dtype=np.float64, na_value=np.nan)
+                parts: dict = {k: [0, np.zeros(len(trees.feature))] for k in groups}
+                for k, at in groups.items():
+                    for low in range(0, len(at), 4096):
+                        own = at[low : low + 4096]
+                        own = own[~np.isnan(y[own])]
+                        errors = (y[own] - trees.base)[:, None] - trees.leaves(x[own]).cumsum(axis=1)
+                        parts[k][0] += len(own)
+                        parts[k][1] += (errors * errors).sum(axis=0)
+                for k, (n, squares) in parts.items():
+                    key = dict(zip(keys, k if isinstance(k, tuple) else (k,), strict=True))
+                    yield pd.DataFrame([{**key, "target": names[i], "n": n, "squares": squares}])
+
+    each = rows.mapInPandas(run, schema).select(*keys, "target", "n", F.posexplode("squares").alias("at", "square"))
+    return each.groupBy(*keys, "target", (F.col("at") + 1).alias("round")).agg(F.sqrt(F.try_divide(F.sum("square"), F.sum("n"))).alias("rmse"))
+
+
+def feature_importance(model: Model, spark: SparkSession, target: str, top: int | None = None) -> DataFrame:
     """Features by importance; there are as many rows as model inputs."""
-    weights = model.stages[-1].featureImportances.toArray()
-    rows = [(target, name, float(w)) for name, w in zip(FEATURES, weights, strict=True)]
-    ranked = spark.createDataFrame(rows, "target string, feature string, importance double").orderBy(
-        F.desc("importance"), "feature"
-    )
+    ranked = importance(model.nodes(target), FEATURES).select(F.col("model").alias("target"), "feature", "importance").orderBy(F.desc("importance"), "feature")
     return ranked.limit(top) if top else ranked
 
 
-def cross_validate_each(folded: DataFrame, targets: list[str], folds: int, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
-    """Rows `(target, fold, n_rows, r2, rmse, mae)`: all folds of all targets are trained side by side.
-
-    Labels are coded once, on the whole table, so a label that only a held-out fold has keeps its own code."""
-    use_checkpoint_dir(folded.sparkSession)
-    coder = PipelineModel(_feature_stages(folded))
-    coded = coder.transform(folded).select("fold", "_assembled", *targets).checkpoint()
-    jobs = {(t, k): (coded.filter((F.col("fold") != k) & F.col(t).isNotNull()), t) for t in targets for k in range(folds)}
-    spark = folded.sparkSession
-    run = inheritable_thread_target(spark)(lambda job: boost(*job, trees, depth))
-    with ThreadPool(min(len(jobs), PARALLEL_TRAININGS)) as pool:
-        fitted = dict(zip(jobs, pool.map(run, jobs.values()), strict=True))
-    parts = [
-        predict_raw(m, coded.filter((F.col("fold") == k) & F.col(t).isNotNull()), "_predicted")
-        .select(F.lit(t).alias("target"), "fold", F.col(t).cast("double").alias("_actual"), "_predicted")
-        for (t, k), m in fitted.items()
-    ]
-    return regression_metrics(reduce(DataFrame.unionByName, parts), ["target", "fold"], "_actual", "_predicted")
+def fold_jobs(targets: list[str], folds: int) -> dict[str, Job]:
+    """A job per target and fold, named `target/fold`; `in_folds` adds the columns that mark their rows."""
+    return {f"{t}/{k}": Job(t, f"_in_{k}") for t in targets for k in range(folds)}
+
+
+def in_folds(folded: DataFrame, folds: int) -> DataFrame:
+    return folded.withColumns({f"_in_{k}": F.col("fold") != k for k in range(folds)})
+
+
+def fold_metrics(models: dict[str, Model], folded: DataFrame, targets: list[str], folds: int) -> DataFrame:
+    """Rows `(target, fold, n_rows, r2, rmse, mae)`: every row is predicted by the models that did not see it, in one pass over the table."""
+    scored = predict_all({f"_p/{t}/{k}": models[f"{t}/{k}"] for t in targets for k in range(folds)}, folded)
+    own = [F.array(*[F.col(f"`_p/{t}/{k}`") for k in range(folds)]) for t in targets]
+    pairs = F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).cast("double").alias("_actual"), F.get(p, F.col("fold").cast("int")).alias("_predicted")) for t, p in zip(targets, own, strict=True)])
+    return regression_metrics(scored.select("fold", F.inline(pairs)).where("_actual IS NOT NULL"), ["target", "fold"], "_actual", "_predicted")
+
+
+def cross_validate_each(folded: DataFrame, targets: list[str], folds: int, trees: int = TREES, depth: int = DEPTH, keys: list[str] | None = None) -> DataFrame:
+    """Rows `(target, fold, n_rows, r2, rmse, mae)`: all folds of all targets grow in the same passes."""
+    models = train_jobs(in_folds(folded, folds), fold_jobs(targets, folds), trees, depth, keys or folded.columns)
+    return fold_metrics(models, folded, targets, folds)
 
 
 def cross_validate(folded: DataFrame, target: str, folds: int, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
@@ -174,18 +205,21 @@ def cross_validation_summary(fold_metrics: DataFrame, keys: list[str] | None = N
     return fold_metrics.groupBy(*(keys or [])).agg(F.avg("r2").alias("cv_r2_mean"), F.stddev_pop("r2").alias("cv_r2_std"))
 
 
-def save_models(models: dict[str, PipelineModel], path: str) -> None:
+def save_models(models: dict[str, Model], path: str) -> None:
+    """A folder per target with the node table and the label codes, both Parquet."""
     for target, model in models.items():
-        model.write().overwrite().save(f"{path}/{target}")
+        model.nodes(target).coalesce(1).write.mode("overwrite").parquet(f"{path}/{target}/nodes")
+        model.codes.write.mode("overwrite").parquet(f"{path}/{target}/codes")
 
 
-def load_models(spark: SparkSession, path: str) -> dict[str, PipelineModel]:
+def load_models(spark: SparkSession, path: str) -> dict[str, Model]:
     """The models that exist under the folder; an empty result means that rules must be used."""
     found = {}
     for target in TARGETS:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{target}/metadata")
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{target}/nodes")
         if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-            found[target] = PipelineModel.load(f"{path}/{target}")
+            trees = read_nodes(spark.read.parquet(f"{path}/{target}/nodes"), FEATURES)
+            found[target] = Model(trees[target], spark.read.parquet(f"{path}/{target}/codes"))
     return found
 
 
@@ -203,16 +237,14 @@ def confidence(temperature: Column, pressure: Column, ratio: Column) -> Column:
     return clamp(F.when(known, F.exp(F.lit(-CONFIDENCE_DECAY) * (t + p + h) / 3.0)), 0, 1)
 
 
-def add_ml_predictions(points: DataFrame, models: dict[str, PipelineModel]) -> DataFrame:
+def add_ml_predictions(points: DataFrame, models: dict[str, Model]) -> DataFrame:
     """Adds `X_CO2`, `Y_MeOH` (held in 0..100), `S_MeOH` and `confidence` to operating points."""
     keep = points.columns
     rows = add_features(points.withColumn("h2_co2_ratio", F.col("h2_to_co2")))
+    rows = predict_all({f"_raw_{t}": models[t] for t in TARGETS if t in models}, rows)
     for target in TARGETS:
-        if target in models:
-            rows = predict_raw(models[target], rows, f"_raw_{target}")
-            rows = rows.withColumn(target, clamp(F.col(f"_raw_{target}"), 0, 100))
-        else:
-            rows = rows.withColumn(target, F.lit(None).cast("double"))
+        value = clamp(F.col(f"_raw_{target}"), 0, 100) if target in models else F.lit(None).cast("double")
+        rows = rows.withColumn(target, value)
     both = F.col("X_CO2").isNotNull() & F.col("Y_MeOH").isNotNull()
     selectivity = F.when(
         both & (F.col("X_CO2") > 0.01), clamp(F.col("Y_MeOH") / F.col("X_CO2") * 100.0, 0, 100)
@@ -281,7 +313,7 @@ def shape_ml(predicted: DataFrame, keep: list[str]) -> DataFrame:
     ).withColumn("yield_range", yield_range(F.col("yield_low"), F.col("yield_high")))
 
 
-def route_predictions(points: DataFrame, models: dict[str, PipelineModel]) -> DataFrame:
+def route_predictions(points: DataFrame, models: dict[str, Model]) -> DataFrame:
     """Methanol points go through the models when there are any, all others through the rules."""
     keep = points.columns
     by_model = (F.col("pathway") == METHANOL) & F.lit(bool(models))

@@ -61,6 +61,22 @@ def cumulative_counts(
     )
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Adds `number` (from 0 by `order` inside each key) to rows that are distinct in keys and order.
+
+    The rows are range-sorted into partitions and counted in place; a key's rows in a partition go on where the partitions before it end. Only one
+    small row per key and partition is shuffled beside the rows, so a key of any size is sorted by many tasks."""
+    use_checkpoint_dir(df.sparkSession)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # The range bounds come from a sample, so the sorted rows are kept: a second run could be cut elsewhere.
+    placed = df.checkpoint().repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order).checkpoint()
+    placed = placed.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    held = placed.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_size"), F.min("_at").alias("_first"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = held.select(*keys, "_part", (F.coalesce(F.sum("_size").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return placed.join(shift, [*keys, "_part"]).withColumn("number", F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift")
+
+
 def quantiles(
     df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float], counted: DataFrame | None = None
 ) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from hashlib import md5
+
 from plumeline.functions.process_tables import CATALYSTS, PATHWAYS, REACTORS, SELECTIVITY
 from plumeline.operators import model, scoring, validation
 from plumeline.operators.explore import OBJECTIVES
@@ -612,6 +615,153 @@ CODES = "codes AS (" + " UNION ALL ".join(
 ) + ")"
 
 
+# Boosted trees: the training itself as SQL, a few CTEs per level of a tree, all models beside each other. The learner's settings.
+
+BOOST_FEATURES = [
+    "pathway_encoded", "catalyst_encoded", "reactor_encoded", "temperature_c", "pressure_bar", "h2_co2_ratio", "1000_T_K", "temp_pressure", "ln_pressure",
+    "is_thermal", "is_methanation", "is_methanol",
+]
+BOOST_TREES, BOOST_DEPTH, BOOST_RATE, BOOST_ROWS, BOOST_COLUMNS, BOOST_SEED, BOOST_BINS = 3, 3, 0.08, 0.8, 9, 42, 64
+
+
+def drawn(*what: object) -> int:
+    return int(md5(":".join(map(str, (BOOST_SEED, *what))).encode()).hexdigest()[:8], 16)
+
+
+def labelled() -> list[str]:
+    """`lab`: the labelled runs with codes, features, side, fold and mark; `bin`: the same in bins; `pt`: all points' features."""
+    code = "dense_rank() OVER (ORDER BY {c}) - 1"
+    numbers = [code.format(c=c) for c in ("pathway", "catalyst", "reactor")] + [
+        "temp", "press", "h2", "1000 / (temp + 273.15::DOUBLE)", "temp * press", "ln(press + 1)",
+        "CASE WHEN pathway LIKE '%Electro%' THEN 0 ELSE 1 END", "CASE WHEN pathway LIKE '%methanation%' THEN 1 ELSE 0 END", "CASE WHEN pathway LIKE '%Methanol%' THEN 1 ELSE 0 END",
+    ]
+    shares = ", ".join(f"{i / BOOST_BINS!r}::DOUBLE" for i in range(1, BOOST_BINS))
+    starts = ", ".join(f"{k} * (n // 5) + least({k}, n % 5)" for k in range(1, 5))
+    return [
+        f"""lab AS MATERIALIZED (SELECT row_number() OVER () AS id, l_orderkey, l_linenumber, l_partkey, pathway, temp, press, h2, l_orderkey * 10 + l_linenumber AS ord,
+  greatest(least(yield_pct * 1.2::DOUBLE + ((l_orderkey * 7 + l_linenumber) % 11 - 5) / 10.0::DOUBLE, 100), 0)::DOUBLE AS y0,
+  (CASE WHEN pathway = 'Methanol synthesis' THEN yield_pct ELSE 0 END)::DOUBLE AS y1,
+  ('0x' || substr(md5('42:' || l_orderkey || ':' || l_linenumber), 1, 8))::BIGINT % 100 < 80 AS is_train,
+  ('0x' || substr(md5('42:row:' || l_orderkey || ':' || l_linenumber), 1, 8))::BIGINT AS mark,
+  {', '.join(f'({x})::DOUBLE AS f{i}' for i, x in enumerate(numbers))} FROM sc)""",
+        f"""starts AS (SELECT list(ord) AS ords FROM (SELECT ord, row_number() OVER (ORDER BY ord) - 1 AS place, count(*) OVER () AS n FROM lab) WHERE place IN ({starts}))""",
+        "cuts AS MATERIALIZED (SELECT "
+        + ", ".join(f"list_sort(list_distinct(quantile_disc(f{i}, [{shares}]))) AS q{i}" for i in range(len(BOOST_FEATURES)))
+        + " FROM lab)",
+        "bin AS MATERIALIZED (SELECT lab.*, len(list_filter(ords, lambda s: s <= ord)) AS fold, "
+        + ", ".join(f"len(list_filter(q{i}, lambda c: c < f{i})) AS b{i}" for i in range(len(BOOST_FEATURES)))
+        + " FROM lab, starts, cuts)",
+    ]
+
+
+def boosted(folds: bool) -> list[str]:
+    """`nodes`: the node table of all models; `s{trees}`: every row with every model's prediction `now`."""
+    used = [(f"{t}/{k}", j, f"fold <> {k}") for j, t in enumerate(model.TARGETS) for k in range(5)] if folds else [(t, j, "is_train") for j, t in enumerate(model.TARGETS)]
+    models = " UNION ALL ".join(f"SELECT {text(n)} AS model, {j} AS target, {w} AS used, y{j} AS y, * EXCLUDE (y0, y1) FROM bin" for n, j, w in used)
+    bits = ", ".join(f"18 - coalesce(ceil(log2(nullif(max(y{j}) - min(y{j}), 0))), 0) AS e{j}" for j in range(2))
+    out = [
+        f"bits AS MATERIALIZED (SELECT {bits} FROM lab)",
+        f"m0 AS MATERIALIZED (SELECT m.*, pow(2::DOUBLE, CASE target WHEN 0 THEN e0 ELSE e1 END) AS q FROM ({models}) m, bits)",
+        "bases AS MATERIALIZED (SELECT model, sum(floor(y * q + 0.5::DOUBLE))::DOUBLE / count(*) / any_value(q) AS base, count(*) AS base_rows FROM m0 WHERE used GROUP BY model)",
+        "s0 AS MATERIALIZED (SELECT m0.*, base AS now FROM m0 JOIN bases USING (model))",
+    ]
+    nodes = ["SELECT model, 0 AS tree, 0 AS node, NULL::VARCHAR AS feature, NULL::DOUBLE AS threshold, NULL::INTEGER AS left_node, NULL::INTEGER AS right_node, base AS value, NULL::DOUBLE AS gain, base_rows AS n_rows FROM bases"]
+    names = "CASE f " + " ".join(f"WHEN {i} THEN {text(n)}" for i, n in enumerate(BOOST_FEATURES)) + " END"
+    cut = "CASE f " + " ".join(f"WHEN {i} THEN q{i}[cut + 1]" for i in range(len(BOOST_FEATURES))) + " END"
+    column = "CASE f " + " ".join(f"WHEN {i} THEN b{i}" for i in range(len(BOOST_FEATURES))) + " END"
+    for t in range(BOOST_TREES):
+        chosen = sorted(sorted(range(len(BOOST_FEATURES)), key=lambda f, t=t: (drawn("column", t, f), f))[:BOOST_COLUMNS])
+        pairs = ", ".join(f"{{'f': {f}, 'bin': b{f}}}" for f in chosen)
+        out.append(
+            f"""n{t}_0 AS MATERIALIZED (SELECT *, 0 AS node, used AND (mark + {drawn('row', t)}) % 4294967296 < {int(BOOST_ROWS * (1 << 32))} AS sampled,
+  floor((y - now) * q + 0.5::DOUBLE)::BIGINT AS g FROM s{t})"""
+        )
+        grown = f"SELECT model, 0 AS node, sum(g)::DOUBLE AS g, count(*) AS n, any_value(q) AS q FROM n{t}_0 WHERE sampled GROUP BY model"
+        splits = []
+        for level in range(BOOST_DEPTH):
+            key = f"{t}_{level}"
+            out += [
+                f"""h{key} AS MATERIALIZED (SELECT model, node, p.f AS f, p.bin AS bin, sum(g) AS g, count(*) AS n, any_value(q) AS q
+  FROM (SELECT model, node, g, q, unnest([{pairs}]) AS p FROM n{key} WHERE sampled AND node >= {(1 << level) - 1}) GROUP BY ALL)""",
+                f"""c{key} AS (SELECT model, node, f, bin AS cut, q, (sum(g) OVER w)::DOUBLE AS lg, (sum(n) OVER w)::DOUBLE AS ln, (sum(g) OVER v)::DOUBLE AS ag, (sum(n) OVER v)::DOUBLE AS an
+  FROM h{key} WINDOW w AS (PARTITION BY model, node, f ORDER BY bin), v AS (PARTITION BY model, node, f))""",
+                f"""b{key} AS MATERIALIZED (SELECT * FROM (SELECT *, lg * lg / (ln + 1) + (ag - lg) * (ag - lg) / (an - ln + 1) - ag * ag / (an + 1) AS gain FROM c{key}
+  WHERE ln >= 1 AND an - ln >= 1) WHERE gain > 1 QUALIFY row_number() OVER (PARTITION BY model, node ORDER BY gain DESC, f, cut) = 1)""",
+                f"""n{t}_{level + 1} AS MATERIALIZED (SELECT n.* REPLACE (CASE WHEN f IS NULL THEN n.node ELSE 2 * n.node + 1 + ({column} > cut)::INTEGER END AS node)
+  FROM n{key} n LEFT JOIN (SELECT model, node, f, cut FROM b{key}) b ON b.model = n.model AND b.node = n.node AND n.node >= {(1 << level) - 1})""",
+            ]
+            splits.append(f"SELECT * FROM b{key}")
+            grown += f" UNION ALL SELECT model, 2 * node + 1, lg, ln, q FROM b{key} UNION ALL SELECT model, 2 * node + 2, ag - lg, an - ln, q FROM b{key}"
+        out += [
+            f"g{t} AS MATERIALIZED (SELECT model, node, {BOOST_RATE!r}::DOUBLE * (g / q / (n + 1)) AS value, n FROM ({grown}))",
+            f"k{t} AS MATERIALIZED (SELECT model, node, {names} AS feature, {cut} AS threshold, gain / (q * q) AS gain FROM ({' UNION ALL '.join(splits)}), cuts)",
+            f"s{t + 1} AS MATERIALIZED (SELECT n.* EXCLUDE (node, sampled, g) REPLACE (now + value AS now) FROM n{t}_{BOOST_DEPTH} n JOIN g{t} USING (model, node))",
+        ]
+        nodes.append(
+            f"""SELECT model, {t + 1}, node, feature, threshold, CASE WHEN feature IS NOT NULL THEN 2 * node + 1 END, CASE WHEN feature IS NOT NULL THEN 2 * node + 2 END,
+  CASE WHEN feature IS NULL THEN value END, gain, n FROM g{t} LEFT JOIN k{t} USING (model, node)"""
+        )
+    return [*out, f"nodes AS MATERIALIZED ({' UNION ALL '.join(nodes)})"]
+
+
+def boost_queries() -> dict[str, str]:
+    data = [POINTS, *scored("points"), *labelled()]
+    one = [*data, *boosted(False)]
+    last = f"s{BOOST_TREES}"
+    both = f"""pr AS MATERIALIZED (SELECT id, greatest(least(max(now) FILTER (WHERE target = 0), 100), 0) AS x, greatest(least(max(now) FILTER (WHERE target = 1), 100), 0) AS y
+  FROM {last} GROUP BY id)"""
+    selectivity = "CASE WHEN x > 0.01 THEN greatest(least(y / x * 100, 100), 0) ELSE 0 END"
+    distance = """(CASE WHEN temp < 170 THEN (170 - temp) / 170 WHEN temp > 240 THEN (temp - 240) / 240 ELSE 0 END
+  + CASE WHEN press < 1 THEN 0.2::DOUBLE WHEN press > 50 THEN (press - 50) / 50 ELSE 0 END
+  + CASE WHEN h2 < 1 OR h2 > 4 THEN least(abs(h2 - 1), abs(h2 - 4)) / 4 ELSE 0 END)"""
+    figures = """count(*) AS n_rows, round(1 - sum((y - now) * (y - now)) / nullif(var_pop(y) * count(*), 0), 6) AS r2,
+  round(sqrt(avg((y - now) * (y - now))), 6) AS rmse"""
+    curve = " UNION ALL ".join(
+        f"SELECT model AS target, is_train, {t} AS round, round(sqrt(avg((y - now) * (y - now))), 6) AS rmse FROM s{t} GROUP BY ALL" for t in range(1, BOOST_TREES + 1)
+    )
+    every = " UNION ALL ".join(f"SELECT {text(n)} AS feature" for n in BOOST_FEATURES)
+    renamed = [_other(x) for x in boosted(True)]
+    return {
+        "boost_nodes": query(
+            one, "SELECT model, tree, node, feature, round(threshold, 6) AS threshold, left_node, right_node, round(value, 6) AS value, round(gain, 6) AS gain, n_rows::BIGINT AS n_rows FROM nodes"
+        ),
+        "boost_predict": query(
+            [*one, both],
+            f"""SELECT l_orderkey, l_linenumber, l_partkey, round(x, 6) AS X_CO2, round(y, 6) AS Y_MeOH, round({selectivity}, 6) AS S_MeOH,
+  round(greatest(least(exp(-3 * {distance} / 3), 1), 0), 6) AS confidence FROM lab JOIN pr USING (id)""",
+        ),
+        "boost_route": query(
+            [*one, both],
+            f"""SELECT {text(model.RULE_NAME)} AS model_used, {text(model.RULE_CONFIDENCE)} AS data_confidence, pathway, product AS primary_product, count(*) AS n_points,
+  round(avg(yield_pct), 6) AS mean_yield, round(avg(carbon_util_pct), 6) AS mean_carbon FROM sc WHERE pathway <> 'Methanol synthesis' GROUP BY ALL
+  UNION ALL SELECT 'XGBoost ML', 'High 🟢', pathway, 'CH3OH (methanol)', count(*), round(avg(round(y, 1)), 6), round(avg(round(least(x * 0.9::DOUBLE, 95), 1)), 6)
+  FROM lab JOIN pr USING (id) WHERE pathway = 'Methanol synthesis' GROUP BY ALL""",
+        ),
+        "boost_importance": query(
+            [*one, "gains AS (SELECT model, feature, avg(gain) AS gain FROM nodes WHERE feature IS NOT NULL GROUP BY ALL)"],
+            f"""SELECT t.model AS target, e.feature, round(coalesce(gain / sum(gain) OVER (PARTITION BY t.model), 0), 6) AS importance
+  FROM (SELECT DISTINCT model FROM bases) t CROSS JOIN ({every}) e LEFT JOIN gains g ON g.model = t.model AND g.feature = e.feature""",
+        ),
+        "boost_learning_curve": query(one, curve),
+        "boost_report": query(
+            [
+                *one,
+                f"sides AS (SELECT model AS target, is_train, {figures} FROM {last} GROUP BY ALL)",
+                *renamed,
+                f"""folds AS (SELECT model[:-3] AS target, fold, 1 - sum((y - now) * (y - now)) / nullif(var_pop(y) * count(*), 0) AS r2 FROM cv_{last} WHERE NOT used GROUP BY ALL)""",
+                "summary AS (SELECT target, round(avg(r2), 6) AS cv_r2_mean, round(stddev_pop(r2), 6) AS cv_r2_std FROM folds GROUP BY target)",
+            ],
+            """SELECT target, max(r2) FILTER (WHERE is_train) AS train_r2, max(r2) FILTER (WHERE NOT is_train) AS test_r2, max(rmse) FILTER (WHERE is_train) AS train_rmse,
+  max(rmse) FILTER (WHERE NOT is_train) AS test_rmse, any_value(cv_r2_mean) AS cv_r2_mean, any_value(cv_r2_std) AS cv_r2_std FROM sides JOIN summary USING (target) GROUP BY target""",
+        ),
+    }
+
+
+def _other(cte: str) -> str:
+    """A CTE of `boosted` under other names, so that two trainings fit in one query."""
+    return re.sub(r"\b(bits|m0|bases|nodes|[snhcb]\d+_\d+|[sgk]\d+)\b(?=[\s).,]|$)", r"cv_\1", cte)
+
+
 def training_queries() -> dict[str, str]:
     doubles = ["temperature_c", "pressure_bar", "h2_co2_ratio", "X_CO2", "S_MeOH", "S_CO", "S_CH4", "Y_MeOH", "inv_t", "temp_pressure", "ln_pressure"]
     whole = ["pathway", "catalyst_family", "metal", "linker", "reactor_type", "primary_product", "data_source", "is_thermal", "is_methanation", "is_methanol"]
@@ -693,6 +843,8 @@ INTEGERS = {
     "label_codes": ["code"],
     "unknown_category": ["pathway_encoded", "catalyst_encoded", "reactor_encoded"],
     "fold_sizes": ["fold"],
+    "boost_nodes": ["tree", "node", "left_node", "right_node"],
+    "boost_learning_curve": ["round"],
 }
 
 
@@ -704,5 +856,5 @@ def typed(name: str, sql: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    plain = {**series_queries(), **scenario_queries(), **policy_queries(), **process_queries(), **training_queries()}
+    plain = {**series_queries(), **scenario_queries(), **policy_queries(), **process_queries(), **training_queries(), **boost_queries()}
     return {name: typed(name, sql) for name, sql in plain.items()}

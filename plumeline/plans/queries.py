@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cache
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -462,23 +461,44 @@ def route_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-# Models. The fitted models of a folder are shared by the queries below.
+# Models. The models of a table are trained once in a session, until the table's files change, and shared by the queries below.
+
+ROW = ["l_orderkey", "l_linenumber"]
+FOLDS = 5
+SMALL = {"trees": 3, "depth": 3}  # of the models whose training has SQL
+
+
+def _runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The labelled runs with their side of the hold-out split and their fold."""
+    runs = ranks.holdout_split(tables.labelled_runs(spark, folder), ROW).withColumn("row", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    return model.in_folds(ranks.contiguous_folds(runs, "row", FOLDS), FOLDS)
 
 
 @cache
-def _models(spark: SparkSession, folder: str) -> dict[str, PipelineModel]:
-    runs = ranks.holdout_split(tables.labelled_runs(spark, folder), ["l_orderkey", "l_linenumber"])
-    return model.train_each({target: (runs.filter("is_train"), target) for target in model.TARGETS})
+def _trained(spark: SparkSession, folder: str, version: str, trees: int, depth: int, folds: int) -> dict[str, model.Model]:
+    jobs = {target: model.Job(target, "is_train") for target in model.TARGETS} if not folds else model.fold_jobs(model.TARGETS, folds)
+    return model.train_jobs(_runs(spark, folder), jobs, trees, depth, ROW)
+
+
+def _models(spark: SparkSession, folder: str, trees: int = model.TREES, depth: int = model.DEPTH) -> dict[str, model.Model]:
+    """Both targets, trained on the training side."""
+    return _trained(spark, folder, tables.version(spark, folder, "lineitem"), trees, depth, 0)
+
+
+def _fold_models(spark: SparkSession, folder: str, trees: int = model.TREES, depth: int = model.DEPTH) -> dict[str, model.Model]:
+    """Both targets, each trained on all folds but one."""
+    return _trained(spark, folder, tables.version(spark, folder, "lineitem"), trees, depth, FOLDS)
+
+
+def _sides(models: dict[str, model.Model], runs: DataFrame) -> DataFrame:
+    """Rows `(target, is_train, n_rows, r2, rmse, mae)` from one pass over the runs."""
+    scored = model.predict_all({f"_p_{t}": m for t, m in models.items()}, runs)
+    pairs = [F.struct(F.lit(t).alias("target"), F.col(t).alias("actual"), F.col(f"_p_{t}").alias("predicted")) for t in models]
+    return model.regression_metrics(scored.select("is_train", F.inline(F.array(*pairs))), ["is_train", "target"], "actual", "predicted")
 
 
 def gbt_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    runs = ranks.holdout_split(tables.labelled_runs(spark, folder), ["l_orderkey", "l_linenumber"])
-    parts = []
-    for target, fitted in _models(spark, folder).items():
-        scored = model.predict_raw(fitted, runs, "predicted")
-        metrics = model.regression_metrics(scored, ["is_train"], target, "predicted")
-        parts.append(metrics.withColumn("target", F.lit(target)))
-    return parts[0].unionByName(parts[1])
+    return _sides(_models(spark, folder), ranks.holdout_split(tables.labelled_runs(spark, folder), ROW))
 
 
 def gbt_importance(spark: SparkSession, folder: str) -> DataFrame:
@@ -489,21 +509,14 @@ def gbt_importance(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def gbt_learning_curve(spark: SparkSession, folder: str) -> DataFrame:
-    """Error after each boosting round, of both targets on the training and the held-out rows."""
-    runs = ranks.holdout_split(tables.labelled_runs(spark, folder), ["l_orderkey", "l_linenumber"])
-    rows = [
-        (target, side, i + 1, e)
-        for target, fitted in _models(spark, folder).items()
-        for side, chosen in (("train", F.col("is_train")), ("test", ~F.col("is_train")))
-        for i, e in enumerate(model.learning_curve(fitted, runs.filter(chosen), target))
-    ]
-    return spark.createDataFrame(rows, "target string, side string, round int, rmse double")
+    """Error after each boosting round, of both targets on the training and the held-out rows, in one pass."""
+    runs = ranks.holdout_split(tables.labelled_runs(spark, folder), ROW).withColumn("side", F.when(F.col("is_train"), "train").otherwise("test"))
+    return model.learning_curves(_models(spark, folder), runs, {t: t for t in model.TARGETS}, ["side"])
 
 
 def gbt_cross_validation(spark: SparkSession, folder: str) -> DataFrame:
-    """Five contiguous folds; the trainings of both targets run side by side."""
-    runs = tables.labelled_runs(spark, folder).withColumn("row", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    scores = model.cross_validate_each(ranks.contiguous_folds(runs, "row", 5), list(model.TARGETS), 5)
+    """Five contiguous folds; the models of both targets and all folds grow in the same passes."""
+    scores = model.fold_metrics(_fold_models(spark, folder), _runs(spark, folder), model.TARGETS, FOLDS)
     return model.cross_validation_summary(scores, ["target"])
 
 
@@ -520,6 +533,50 @@ def route_predictions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# The same training, scoring and measuring with a few trees, for which there is SQL.
+
+
+def boost_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    """The node table of both targets' models."""
+    fitted = _models(spark, folder, **SMALL)
+    nodes = fitted["X_CO2"].nodes("X_CO2").unionByName(fitted["Y_MeOH"].nodes("Y_MeOH"))
+    return rounded(nodes.withColumn("n_rows", F.col("n_rows").cast("long")))
+
+
+def boost_predict(spark: SparkSession, folder: str) -> DataFrame:
+    """Every point with its predictions by the node table, held in 0..100, the selectivity and the confidence."""
+    points = model.add_ml_predictions(tables.operating_points(spark, folder), _models(spark, folder, **SMALL))
+    return rounded(points.select("l_orderkey", "l_linenumber", "l_partkey", "X_CO2", "Y_MeOH", "S_MeOH", "confidence"))
+
+
+def boost_route(spark: SparkSession, folder: str) -> DataFrame:
+    """Points by the way they were answered: methanol by the models, the others by rules."""
+    routed = model.route_predictions(tables.operating_points(spark, folder), _models(spark, folder, **SMALL))
+    return rounded(
+        routed.groupBy("model_used", "data_confidence", "pathway", "primary_product").agg(
+            F.count(F.lit(1)).alias("n_points"), F.avg("yield_pct").alias("mean_yield"), F.avg("carbon_util_pct").alias("mean_carbon")
+        )
+    )
+
+
+def boost_importance(spark: SparkSession, folder: str) -> DataFrame:
+    fitted = _models(spark, folder, **SMALL)
+    return rounded(model.feature_importance(fitted["X_CO2"], spark, "X_CO2").unionByName(model.feature_importance(fitted["Y_MeOH"], spark, "Y_MeOH")))
+
+
+def boost_learning_curve(spark: SparkSession, folder: str) -> DataFrame:
+    runs = ranks.holdout_split(tables.labelled_runs(spark, folder), ROW)
+    return rounded(model.learning_curves(_models(spark, folder, **SMALL), runs, {t: t for t in model.TARGETS}, ["is_train"]))
+
+
+def boost_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Training, hold-out and cross-validation figures of both targets."""
+    runs = _runs(spark, folder)
+    scores = model.fold_metrics(_fold_models(spark, folder, **SMALL), runs, model.TARGETS, FOLDS)
+    sides = _sides(_models(spark, folder, **SMALL), runs)
+    return rounded(model.training_report(sides, model.cross_validation_summary(scores, ["target"])))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = [
         series_read_filter, regions_distinct, region_filter, nation_forecast,
@@ -533,6 +590,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         grid_selectivity_top10, grid_heatmap, training_table, methanol_subset, profile_describe, profile_counts,
         profile_ranges, profile_sources, sample_rows, label_codes, unknown_category, standardise, fold_sizes,
         holdout_split, confidence, route_rules, gbt_metrics, gbt_importance, gbt_learning_curve, gbt_cross_validation, gbt_predict, route_predictions,
+        boost_nodes, boost_predict, boost_route, boost_importance, boost_learning_curve, boost_report,
     ]
     shapes = {
         "linear": pathways.linear_pathway,

@@ -23,6 +23,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def version(spark: SparkSession, folder: str, name: str) -> str:
+    """Changes when the files of a table do."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return ",".join(sorted(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}" for f in system.listStatus(path)))
+
+
 def month_index(date: str) -> Column:
     return (F.year(date) - 1995) * 12 + F.month(date)
 
