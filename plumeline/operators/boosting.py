@@ -4,8 +4,9 @@ Features are cut into bins once. Every model (a target and a set of training row
 bin, the residuals and the rows, so the number of jobs is rounds x depth whatever the number of models. Of two sibling nodes only the smaller is added up, the other is
 the rest of its parent. Rows are drawn per round and columns per tree.
 
-Residuals are whole numbers of a quantum, so sums are exact: trees do not depend on the partitioning, on lost executors or on the order of rows, and another engine finds the same ones. The row state
-(bins, targets, current predictions) lies in blocks of rows; it is kept in memory or on local disk from round to round, and in the checkpoint folder every few rounds.
+Residuals and leaf values are whole numbers of a quantum (a target's spread has 2^QUANTA of them), so sums are exact: trees do not depend on the partitioning, on lost executors or on the
+order of rows, and another engine finds the same ones. The row state
+(bins and residuals) lies in blocks of rows; it is kept in memory or on local disk from round to round, and in the checkpoint folder every few rounds.
 
 Per-task histograms of a small number of tasks come to the driver as they are (at most `MOST_TO_DRIVER` bytes); beyond that they are added up by (model, feature) on the cluster first,
 and only the sums come.
@@ -30,9 +31,12 @@ from plumeline.session import use_checkpoint_dir
 BINS = 64
 ACCURACY = 100_000  # of the quantiles that cut the bins: exact up to so many rows, and a rank error of a 1/ACCURACY of them beyond
 BLOCK = 16_384
+MOST_JOBS = 64  # models in one chain
 CHECKPOINT_ROUNDS = 25
 MOST_TO_DRIVER = 1 << 28
 QUANTA = 18  # bits that hold the spread of a target
+MOST = 1 << QUANTA + 1  # quanta in a residual
+NONE = -(1 << 31)
 WEIGHT = float(1 << 35)  # a row's own part in a sum that holds residuals below it; a block's sums stay exact in a double
 REGULARISATION = 1.0  # added to the number of rows in a leaf's mean and in a gain
 NODES = "model string, tree int, node int, feature string, threshold double, left_node int, right_node int, value double, gain double, n_rows long"
@@ -71,7 +75,9 @@ class Trees:
     n_rows: np.ndarray
     leaf: np.ndarray
     base_rows: int = 0
+    history: list[tuple] = field(default_factory=list, repr=False)  # (round, used, n_rows, r2, rmse, mae), as the training saw them
     depth: int = field(init=False)
+    masks: tuple | None = field(default=None, init=False, repr=False)
 
     def __post_init__(self):
         self.depth = int(math.log2(self.feature.shape[1] + 1)) - 1
@@ -92,26 +98,73 @@ class Trees:
                     todo += [2 * i + 1, 2 * i + 2]
         return out
 
+    def _prepared(self) -> tuple:
+        """Cut points of each feature over all trees, the masks of their bins, and the leaf values in the order in which `bit` names leaves."""
+        if self.masks is None:
+            inner = ~self.leaf & np.isfinite(self.threshold)
+            cuts = [np.unique(self.threshold[inner & (self.feature == f)]) for f in range(len(self.features))]
+            cut = np.zeros(self.feature.shape, dtype=np.int64)
+            for f, c in enumerate(cuts):
+                here = inner & (self.feature == f)
+                cut[here] = np.searchsorted(c, self.threshold[here])
+            feature = np.where(inner, self.feature, -1)
+            first = (1 << self.depth) - 1
+            self.masks = cuts, path_masks(feature, cut, self.depth, [len(c) + 1 for c in cuts]), np.ascontiguousarray(self.value[:, first:])
+        return self.masks
+
     def leaves(self, x: np.ndarray) -> np.ndarray:
         """The leaf values of rows (missing features go left), one column per tree."""
-        trees = len(self.feature)
-        out = np.empty((len(x), trees))
-        at = np.arange(trees) * self.feature.shape[1]
-        feature, threshold, value = self.feature.ravel(), self.threshold.ravel(), self.value.ravel()
-        for low in range(0, len(x), 2048):
-            part = np.ascontiguousarray(x[low : low + 2048])
-            flat, first = part.ravel(), (np.arange(len(part)) * part.shape[1])[:, None]
-            node = np.zeros((len(part), trees), dtype=np.int64)
-            for _ in range(self.depth):
-                here = at + node
-                node = 2 * node + 1 + (flat[first + feature[here]] > threshold[here])
-            out[low : low + 2048] = value[at + node]
+        cuts, masks, value = self._prepared()
+        out, tree = np.empty((len(x), len(self.feature))), np.arange(len(self.feature))
+        for low in range(0, len(x), 1024):
+            part = x[low : low + 1024]
+            place = reached(masks, [np.searchsorted(c, part[:, f], side="left") for f, c in enumerate(cuts)])
+            out[low : low + 1024] = value[tree, place]
         return out
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         return self.base + self.leaves(x).sum(axis=1)
 
 
+# The multiplier whose product with a power of two names it by its upper five bits.
+_NAMES = 0x077CB531
+_PLACE = np.zeros(32, dtype=np.uint8)
+_PLACE[[(_NAMES << i & 0xFFFFFFFF) >> 27 for i in range(32)]] = np.arange(32)
+
+
+def path_masks(feature: np.ndarray, cut: np.ndarray, levels: int, sizes: list[int]) -> dict[int, np.ndarray]:
+    """For every feature that some tree splits on: by bin and tree, the places `levels` below the root that a row with this bin may reach, as bits.
+
+    A row reaches the place that all its features leave open. Below an ended path the first place stands for all."""
+    out: dict[int, np.ndarray] = {}
+    trees = len(feature)
+    for level in range(levels):
+        width = 1 << (levels - level)
+        for at in range(1 << level):
+            node = (1 << level) - 1 + at
+            left = ((1 << width // 2) - 1) << (at * width)
+            right = left << width // 2
+            for t in np.flatnonzero(feature[:, node] >= 0):
+                f, c = int(feature[t, node]), int(cut[t, node])
+                if f not in out:
+                    out[f] = np.full((sizes[f], trees), 0xFFFFFFFF, dtype=np.uint32)
+                out[f][: c + 1, t] &= np.uint32(~right & 0xFFFFFFFF)
+                out[f][c + 1 :, t] &= np.uint32(~left & 0xFFFFFFFF)
+    return out
+
+
+def reached(masks: dict[int, np.ndarray], codes: list[np.ndarray]) -> np.ndarray:
+    """The place that each row reaches in each tree, from the row's bin of every feature."""
+    if not masks:
+        return np.zeros((1, 1), dtype=np.uint8)
+    open_places = None
+    for f, table in masks.items():
+        own = table[codes[f]]
+        open_places = own if open_places is None else np.bitwise_and(open_places, own, out=open_places)
+    lowest = open_places & (~open_places + np.uint32(1))
+    return _PLACE[(lowest * np.uint32(_NAMES)) >> np.uint32(27)]
+
+
 def from_rows(rows: list, features: list[str]) -> Trees:
     """A model from its rows of the node table."""
     grown = [r for r in rows if r["tree"] > 0]
@@ -175,93 +228,95 @@ def quantum_bits(spread: float) -> int:
     return QUANTA - (math.ceil(math.log2(spread)) if spread > 0 else 0)
 
 
-def _blocks(cuts: list[np.ndarray], jobs: int):
-    """Rows to blocks: bins, targets and current predictions of each job (null: not trained on), and marks."""
+def _blocks(cuts: list[np.ndarray], jobs: int, base: np.ndarray, bits: np.ndarray):
+    """Rows to blocks: bins, residuals of each job (NONE: no target), the jobs that train on a row as bits, and marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(low, BLOCK)
-                columns = [part.column(i).to_numpy(zero_copy_only=False).astype(np.float64) for i in range(len(cuts) + jobs)]
+                columns = [part.column(i).to_numpy(zero_copy_only=False).astype(np.float64) for i in range(len(cuts) + 2 * jobs)]
                 x = np.nan_to_num(np.column_stack(columns[: len(cuts)]), nan=-np.inf)
                 bins = np.column_stack([np.searchsorted(c, x[:, i], side="left") for i, c in enumerate(cuts)]).astype(np.uint8)
-                y = np.array(columns[len(cuts) :])
-                mark = part.column(len(cuts) + jobs).to_numpy(zero_copy_only=False).astype(np.int64)
-                yield _block(bins, y, np.zeros(0), mark)
+                quanta = np.floor((np.array(columns[len(cuts) : len(cuts) + jobs]) - base[:, None]) * 2.0 ** bits[:, None] + 0.5)
+                residual = np.where(np.isnan(quanta), NONE, np.clip(quanta, -MOST, MOST)).astype(np.int32)
+                used = np.zeros(len(bins), dtype=np.uint64)
+                for m, own in enumerate(columns[len(cuts) + jobs :]):
+                    used |= (own > 0).astype(np.uint64) << np.uint64(m)
+                mark = part.column(len(cuts) + 2 * jobs).to_numpy(zero_copy_only=False).astype(np.uint32)
+                yield _block(bins, residual, used, mark)
 
     return run
 
 
-def _block(bins: np.ndarray, y: np.ndarray, now: np.ndarray, mark: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([a.tobytes()], pa.binary()) for a in (bins, y, now, mark)], names=["bins", "y", "now", "mark"])
+def _block(bins: np.ndarray, residual: np.ndarray, used: np.ndarray, mark: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([a.tobytes()], pa.binary()) for a in (bins, residual, used, mark)], names=["bins", "residual", "used", "mark"])
 
 
-STATE = "bins binary, y binary, now binary, mark binary"
+STATE = "bins binary, residual binary, used binary, mark binary"
 
 
-def _opened(batches: Iterator[pa.RecordBatch], features: int, jobs: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray]]:
+def _opened(batches: Iterator[pa.RecordBatch], features: int, jobs: int) -> Iterator[tuple[np.ndarray, ...]]:
+    kinds = (np.uint8, np.int32, np.uint64, np.uint32)
     for batch in batches:
-        for bins, y, now, mark in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            held = np.frombuffer(now, dtype=np.float64).reshape(jobs, -1) if now else None
-            yield np.frombuffer(bins, dtype=np.uint8).reshape(-1, features), np.frombuffer(y, dtype=np.float64).reshape(jobs, -1), held, np.frombuffer(mark, dtype=np.int64)
+        for i in range(batch.num_rows):
+            bins, residual, used, mark = (np.frombuffer(column[i].as_buffer(), dtype=kind) for column, kind in zip(batch.columns, kinds, strict=True))
+            yield bins.reshape(-1, features), residual.reshape(jobs, -1), used, mark
 
 
-def _node_of(bins: np.ndarray, feature: np.ndarray, cut: np.ndarray, levels: int) -> np.ndarray:
-    """The node that each row has reached after some levels; -1 where its path ended before."""
-    node = np.zeros(len(bins), dtype=np.int64)
-    row = np.arange(len(bins))
-    for _ in range(levels):
-        f = feature[node]
-        right = bins[row, f] > cut[node]
-        node = np.where((f < 0) | (node < 0), -1, 2 * node + 1 + right)
-    return node
+def _places(bins: np.ndarray, masks: dict[int, np.ndarray], jobs: int) -> np.ndarray:
+    """The place that each row has reached in each job's tree, one line per job."""
+    if not masks:
+        return np.zeros((jobs, len(bins)), dtype=np.uint8)
+    return np.ascontiguousarray(reached(masks, list(bins.T)).T)
 
 
-def _moved(features: int, jobs: int, feature: np.ndarray, cut: np.ndarray, value: np.ndarray, base: np.ndarray | None):
-    """Adds the last tree of every job to the current predictions; the first time they begin at the base."""
-    depth = (feature.shape[1] + 1).bit_length() - 2
+def _moved(features: int, jobs: int, masks: dict[int, np.ndarray], value: np.ndarray):
+    """Takes the last tree of every job from the residuals."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bins, y, now, mark in _opened(batches, features, jobs):
-            now = np.repeat(base[:, None], len(bins), axis=1) if base is not None else now.copy()
-            row = np.arange(len(bins))
-            for m in range(jobs) if base is None else ():
-                node = np.zeros(len(bins), dtype=np.int64)
-                for _ in range(depth):
-                    node = 2 * node + 1 + (bins[row, np.maximum(feature[m, node], 0)] > cut[m, node])
-                now[m] += value[m, node]
-            yield _block(bins, y, now, mark)
+        for bins, residual, used, mark in _opened(batches, features, jobs):
+            place, residual = _places(bins, masks, jobs), residual.copy()
+            for m in range(jobs):
+                residual[m] = np.where(residual[m] == NONE, NONE, np.clip(residual[m] - value[m][place[m]], -MOST, MOST))
+            yield _block(bins, residual, used, mark)
 
     return run
 
 
-def _histograms(features: int, jobs: int, chosen: list[int], feature: np.ndarray, cut: np.ndarray, level: int, counted: list[np.ndarray], bits: np.ndarray, step: int, limit: int):
-    """Per task: sums of residuals and rows by model, counted node, chosen feature and bin."""
+def _histograms(features: int, jobs: int, chosen: list[int], masks: dict[int, np.ndarray], level: int, counted: list[np.ndarray], bits: np.ndarray, step: int, limit: int, measured: bool):
+    """Per task: sums of residuals and rows by model, counted node, chosen feature and bin, and if `measured` the residuals' figures of the rows in and outside the training."""
     size = len(chosen) * BINS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = [np.zeros((2, len(nodes) * size), dtype=np.int64) for nodes in counted]
-        for bins, y, now, mark in _opened(batches, features, jobs):
-            sampled = (mark + step) % (1 << 32) < limit
-            places = bins[:, chosen].astype(np.int64) + np.arange(len(chosen)) * BINS
+        figures = np.zeros((jobs, 2, 4))
+        for bins, residual, used, mark in _opened(batches, features, jobs):
+            sampled = mark + np.uint32(step) < limit  # in 32 bits, so the sum begins anew at 2^32
+            columns = bins[:, chosen].astype(np.int32) + np.arange(len(chosen), dtype=np.int32) * BINS
+            place = _places(bins, masks, jobs)
             for m, nodes in enumerate(counted):
+                known, trained = residual[m] != NONE, (used >> np.uint64(m)) & np.uint64(1) > 0
+                if measured:
+                    for side in (0, 1):
+                        r = residual[m][known & (trained == bool(side))] / 2.0 ** bits[m]
+                        figures[m, side] += (len(r), r.sum(), r @ r, np.abs(r).sum())
                 if not len(nodes):
                     continue
-                rows = np.flatnonzero(sampled & ~np.isnan(y[m]))
-                first = (1 << level) - 1
-                where = np.full(1 << level, -1)
-                where[nodes - first] = np.arange(len(nodes))
-                node = _node_of(bins[rows], feature[m], cut[m], level)
-                slot = np.where(node >= 0, where[node - first], -1)
-                rows, slot = rows[slot >= 0], slot[slot >= 0]
-                g = np.clip(np.floor((y[m, rows] - now[m, rows]) * 2.0 ** bits[m] + 0.5), -(1 << QUANTA + 1), 1 << QUANTA + 1)
-                index = (slot * size)[:, None] + places[rows]
-                both = np.bincount(index.ravel(), weights=np.repeat(g + WEIGHT, len(chosen)), minlength=len(nodes) * size)
+                slots = np.full(32, -1, dtype=np.int32)
+                slots[nodes - (1 << level) + 1] = np.arange(len(nodes))
+                slot = slots[place[m]]
+                rows = np.flatnonzero(sampled & known & trained & (slot >= 0))
+                index = (slot[rows] * np.int32(size))[:, None] + columns[rows]
+                both = np.bincount(index.ravel(), weights=np.repeat(residual[m, rows] + WEIGHT, len(chosen)), minlength=len(nodes) * size)
                 n = np.floor(both / WEIGHT + 0.5)
                 total[m] += np.array([both - n * WEIGHT, n]).astype(np.int64)
         shaped = [t.reshape(2, -1, len(chosen), BINS) for t in total]
         names = [(m, c) for m, t in enumerate(shaped) if t.shape[1] for c in range(len(chosen))]
-        yield _sums_batch(names, [shaped[m][:, :, c].tobytes() for m, c in names])
+        sums = [shaped[m][:, :, c].tobytes() for m, c in names]
+        if measured:
+            names, sums = names + [(m, -1) for m in range(jobs)], sums + [own.tobytes() for own in figures]
+        yield _sums_batch(names, sums)
 
     return run
 
@@ -277,7 +332,7 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[tuple[int, int], np.ndarray] = {}
     for batch in batches:
         for m, c, sums in zip(*[x.to_pylist() for x in batch.columns], strict=True):
-            own = np.frombuffer(sums, dtype=np.int64)
+            own = np.frombuffer(sums, dtype=np.int64 if c >= 0 else np.float64)
             total[m, c] = total[m, c] + own if (m, c) in total else own
     yield _sums_batch(list(total), [t.tobytes() for t in total.values()])
 
@@ -294,19 +349,19 @@ class Grower:
         spread = rows.agg(*[(F.max(c) - F.min(c)).alias(str(i)) for i, c in enumerate(y)]).first()
         by_target = {t: quantum_bits(spread[str(i)] or 0.0) for i, t in enumerate(targets)}
         self.bits = np.array([by_target[j.target] for j in jobs.values()])
-        wanted = [F.when(F.col(j.used), F.col(j.target).cast("double")).alias(f"y{i}") for i, j in enumerate(jobs.values())]
-        flat = rows.select(*[F.col(f"`{f}`").cast("double").alias(f"x{i}") for i, f in enumerate(features)], *wanted, row_mark(setting.seed, keys).alias("mark"))
-        whole = [F.sum(F.floor(F.col(f"y{i}") * 2.0 ** int(b) + 0.5)).alias(f"s{i}") for i, b in enumerate(self.bits)]
+        wanted = [F.col(j.target).cast("double").alias(f"y{i}") for i, j in enumerate(jobs.values())]
+        flags = [F.coalesce(F.col(j.used), F.lit(False)).cast("int").alias(f"u{i}") for i, j in enumerate(jobs.values())]
+        flat = rows.select(*[F.col(f"`{f}`").cast("double").alias(f"x{i}") for i, f in enumerate(features)], *wanted, *flags, row_mark(setting.seed, keys).alias("mark"))
+        trained = [F.when(F.col(f"u{i}") > 0, F.col(f"y{i}")) for i in range(len(jobs))]
+        whole = [F.sum(F.floor(y * 2.0 ** int(b) + 0.5)).alias(f"s{i}") for i, (y, b) in enumerate(zip(trained, self.bits, strict=True))]
         least = rows.sparkSession.sparkContext.defaultParallelism
         if flat.rdd.getNumPartitions() < least:  # a small file is one task, but its rows are read hundreds of times
             flat = flat.repartition(least)
         flat = flat.checkpoint()
-        sums = flat.agg(*whole, *[F.count(f"y{i}").alias(f"n{i}") for i in range(len(jobs))]).first()
+        sums = flat.agg(*whole, *[F.count(y).alias(f"n{i}") for i, y in enumerate(trained)]).first()
         self.base_rows = [sums[f"n{i}"] for i in range(len(jobs))]
         self.base = np.array([sums[f"s{i}"] / self.base_rows[i] / 2.0 ** int(b) if self.base_rows[i] else 0.0 for i, b in enumerate(self.bits)])
-        blocks = flat.mapInArrow(_blocks(self.cuts, len(jobs)), STATE)
-        none = np.zeros((len(jobs), 1))
-        self.state = blocks.mapInArrow(_moved(len(features), len(jobs), none, none, none, self.base), STATE).checkpoint()
+        self.state = flat.mapInArrow(_blocks(self.cuts, len(jobs), self.base, self.bits), STATE).checkpoint()
         self.tasks = self.state.rdd.getNumPartitions()
         self.held: DataFrame | None = None
         shape = (len(jobs), setting.trees, (1 << (setting.depth + 1)) - 1)
@@ -314,12 +369,16 @@ class Grower:
         self.cut = np.zeros(shape, dtype=np.int64)
         self.value, self.gain = np.zeros(shape), np.zeros(shape)
         self.n_rows = np.zeros(shape, dtype=np.int64)
+        self.figures = np.zeros((setting.trees + 1, len(jobs), 2, 4))  # after each round: rows, sum, sum of squares and of absolute values of the residuals
+
+    def masks(self, tree: int, levels: int) -> dict[int, np.ndarray]:
+        return path_masks(self.feature[:, tree], self.cut[:, tree], levels, [BINS] * len(self.features))
 
     def sums(self, tree: int, level: int, chosen: list[int], counted: list[np.ndarray]) -> list[np.ndarray]:
         """Per model: (residuals and rows, counted node, chosen feature, bin)."""
         limit = int(self.setting.row_sample * (1 << 32))
         kernel = _histograms(
-            len(self.features), len(self.jobs), chosen, self.feature[:, tree], self.cut[:, tree], level, counted, self.bits, row_step(self.setting, tree), limit
+            len(self.features), len(self.jobs), chosen, self.masks(tree, level), level, counted, self.bits, row_step(self.setting, tree), limit, level == 0
         )
         parts = self.state.mapInArrow(kernel, SUMS)
         if 16 * BINS * len(chosen) * sum(map(len, counted)) * self.tasks > MOST_TO_DRIVER:
@@ -327,7 +386,10 @@ class Grower:
         out = [np.zeros((2, len(nodes), len(chosen), BINS), dtype=np.int64) for nodes in counted]
         found = parts.toArrow()
         for m, c, sums in zip(*[x.to_pylist() for x in found.columns], strict=True):
-            out[m][:, :, c] += np.frombuffer(sums, dtype=np.int64).reshape(2, -1, BINS)
+            if c < 0:
+                self.figures[tree, m] += np.frombuffer(sums, dtype=np.float64).reshape(2, 4)
+            else:
+                out[m][:, :, c] += np.frombuffer(sums, dtype=np.int64).reshape(2, -1, BINS)
         return out
 
     def grow(self, tree: int) -> None:
@@ -381,7 +443,7 @@ class Grower:
         return out
 
     def leaf(self, m: int, g: float, n: float) -> float:
-        return self.setting.rate * (g / 2.0 ** int(self.bits[m]) / (n + REGULARISATION))
+        return math.floor(self.setting.rate * (g / (n + REGULARISATION)) + 0.5) / 2.0 ** int(self.bits[m])
 
     def trees(self, m: int, upto: int) -> Trees:
         feature = self.feature[m, :upto]
@@ -396,15 +458,15 @@ class Grower:
         return out
 
     def advance(self, tree: int) -> None:
-        """Adds the tree to the current predictions."""
-        value = self.value[:, tree].copy()
+        """Takes the tree from the residuals."""
+        value = np.rint(self.value[:, tree] * 2.0 ** self.bits[:, None]).astype(np.int32)
         ended = self.feature[:, tree] < 0
         for i in range(value.shape[1] // 2):
             for child in (2 * i + 1, 2 * i + 2):
                 value[:, child] = np.where(ended[:, i], value[:, i], value[:, child])
                 ended[:, child] |= ended[:, i]
-        # Below an ended path any cut will do: both sides have its value.
-        moved = self.state.mapInArrow(_moved(len(self.features), len(self.jobs), self.feature[:, tree], self.cut[:, tree], value, None), STATE)
+        first = (1 << self.setting.depth) - 1
+        moved = self.state.mapInArrow(_moved(len(self.features), len(self.jobs), self.masks(tree, self.setting.depth), value[:, first:]), STATE)
         before = self.held
         if (tree + 1) % CHECKPOINT_ROUNDS == 0:
             self.state = moved.checkpoint()
@@ -420,16 +482,49 @@ class Grower:
             if self.dropped is not None:  # the state after it has been read by now
                 self.dropped.unpersist()
                 self.dropped = None
-            if tree + 1 < self.setting.trees:
-                self.advance(tree)
+            self.advance(tree)
+        self.sums_of_last()
         if self.held is not None:
             self.held.unpersist()
+        if self.dropped is not None:
+            self.dropped.unpersist()
         return {name: self.trees(m, self.setting.trees) for m, name in enumerate(self.jobs)}
 
+    def sums_of_last(self) -> None:
+        """The figures after the last round."""
+        none = np.zeros(0, dtype=np.int64)
+        kernel = _histograms(len(self.features), len(self.jobs), [0], {}, 0, [none] * len(self.jobs), self.bits, 0, 0, True)
+        parts = self.state.mapInArrow(kernel, SUMS)
+        if 64 * len(self.jobs) * self.tasks > MOST_TO_DRIVER:
+            parts = parts.repartition(len(self.jobs), "model").mapInArrow(_added, SUMS)
+        found = parts.toArrow()
+        for m, sums in zip(found.column("model").to_pylist(), found.column("sums").to_pylist(), strict=True):
+            self.figures[-1, m] += np.frombuffer(sums, dtype=np.float64).reshape(2, 4)
+
+    def history(self, m: int) -> list[tuple]:
+        """Rows `(round, used, n_rows, r2, rmse, mae)` of a model after each round, from 0, on its training rows and on the others."""
+        out = []
+        for side in (1, 0):
+            n, total, squares, _ = self.figures[0, m, side]
+            if n == 0:
+                continue
+            spread = squares - total * total / n
+            for i, (_, _, errors, absolute) in enumerate(self.figures[:, m, side]):
+                out.append((i, bool(side), int(n), float(1 - errors / spread) if spread > 0 else None, math.sqrt(errors / n), float(absolute / n)))
+        return out
+
 
 def grown(rows: DataFrame, features: list[str], jobs: dict[str, Job], keys: list[str], setting: Setting, bins: int = BINS) -> dict[str, Trees]:
-    """All models. `keys` name a row; a row's draws follow from them, so equal keys are drawn together."""
-    return Grower(rows, features, jobs, keys, setting, bins).run()
+    """All models, up to MOST_JOBS in one chain. `keys` name a row; a row's draws follow from them, so equal keys are drawn together."""
+    out: dict[str, Trees] = {}
+    names = list(jobs)
+    for low in range(0, len(names), MOST_JOBS):
+        grower = Grower(rows, features, {n: jobs[n] for n in names[low : low + MOST_JOBS]}, keys, setting, bins)
+        own = grower.run()
+        for m, trees in enumerate(own.values()):
+            trees.history = grower.history(m)
+        out |= own
+    return out
 
 
 def node_table(spark: SparkSession, models: dict[str, Trees]) -> DataFrame:
@@ -461,7 +556,7 @@ def scores_by_join(rows: DataFrame, nodes: DataFrame, features: list[str], keys:
     inner = F.broadcast(nodes.select("model", "tree", "node", "feature", "threshold", "left_node", "right_node", "value"))  # at most 2^(depth+1) rows per tree
     named = F.create_map(*[x for f in features for x in (F.lit(f), F.col(f"`{f}`").cast("double"))])
     sizes = nodes.groupBy("model").agg(F.max("tree").alias("last")).orderBy("model").collect()
-    every = F.concat(*[F.transform(F.sequence(F.lit(0), F.lit(r["last"])), lambda t, r=r: F.struct(F.lit(r["model"]).alias("model"), t.alias("tree"))) for r in sizes])
+    every = F.concat(*[_roots(r["model"], r["last"]) for r in sizes])
     walking = rows.select(*keys, named.alias("x"), F.inline(every)).withColumn("node", F.lit(0))
     ended, depth = [], nodes.agg(F.max("node")).first()[0]
     for _ in range((depth + 1).bit_length()):
@@ -475,6 +570,10 @@ def scores_by_join(rows: DataFrame, nodes: DataFrame, features: list[str], keys:
     return whole.groupBy(*keys, "model").agg(F.sum("value").alias("prediction"))
 
 
+def _roots(name: str, last: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(last)), lambda t: F.struct(F.lit(name).alias("model"), t.alias("tree")))
+
+
 def importance(nodes: DataFrame, features: list[str]) -> DataFrame:
     """Rows `(model, feature, importance)`: the mean gain of a feature's splits, as a share of all features' means. Features without split have 0."""
     split = nodes.where("feature IS NOT NULL").groupBy("model", "feature").agg(F.avg("gain").alias("_gain"))

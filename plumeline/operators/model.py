@@ -167,6 +167,12 @@ def learning_curves(models: dict[str, Model], table: DataFrame, targets: dict[st
     return each.groupBy(*keys, "target", (F.col("at") + 1).alias("round")).agg(F.sqrt(F.try_divide(F.sum("square"), F.sum("n"))).alias("rmse"))
 
 
+def training_history(models: dict[str, Model], spark: SparkSession) -> DataFrame:
+    """Rows `(model, round, used, n_rows, r2, rmse, mae)`: the figures of every round on the training rows (`used`) and on the others, gathered while the models grew."""
+    rows = [(name, *r) for name, m in models.items() for r in m.trees.history]
+    return spark.createDataFrame(rows, "model string, round int, used boolean, n_rows long, r2 double, rmse double, mae double")
+
+
 def feature_importance(model: Model, spark: SparkSession, target: str, top: int | None = None) -> DataFrame:
     """Features by importance; there are as many rows as model inputs."""
     ranked = importance(model.nodes(target), FEATURES).select(F.col("model").alias("target"), "feature", "importance").orderBy(F.desc("importance"), "feature")
@@ -193,7 +199,13 @@ def fold_metrics(models: dict[str, Model], folded: DataFrame, targets: list[str]
 def cross_validate_each(folded: DataFrame, targets: list[str], folds: int, trees: int = TREES, depth: int = DEPTH, keys: list[str] | None = None) -> DataFrame:
     """Rows `(target, fold, n_rows, r2, rmse, mae)`: all folds of all targets grow in the same passes."""
     models = train_jobs(in_folds(folded, folds), fold_jobs(targets, folds), trees, depth, keys or folded.columns)
-    return fold_metrics(models, folded, targets, folds)
+    return held_out_metrics(models, folded.sparkSession)
+
+
+def held_out_metrics(models: dict[str, Model], spark: SparkSession) -> DataFrame:
+    """The same figures as `fold_metrics`, as the training saw them: no further pass over the table."""
+    last = training_history(models, spark).where(~F.col("used")).groupBy("model").agg(F.max_by(F.struct("n_rows", "r2", "rmse", "mae"), "round").alias("m"))
+    return last.select(F.substring_index("model", "/", 1).alias("target"), F.substring_index("model", "/", -1).cast("int").alias("fold"), "m.*")
 
 
 def cross_validate(folded: DataFrame, target: str, folds: int, trees: int = TREES, depth: int = DEPTH) -> DataFrame:

@@ -663,7 +663,7 @@ def boosted(folds: bool) -> list[str]:
         f"bits AS MATERIALIZED (SELECT {bits} FROM lab)",
         f"m0 AS MATERIALIZED (SELECT m.*, pow(2::DOUBLE, CASE target WHEN 0 THEN e0 ELSE e1 END) AS q FROM ({models}) m, bits)",
         "bases AS MATERIALIZED (SELECT model, sum(floor(y * q + 0.5::DOUBLE))::DOUBLE / count(*) / any_value(q) AS base, count(*) AS base_rows FROM m0 WHERE used GROUP BY model)",
-        "s0 AS MATERIALIZED (SELECT m0.*, base AS now FROM m0 JOIN bases USING (model))",
+        "s0 AS MATERIALIZED (SELECT m0.*, base AS now, floor((y - base) * q + 0.5::DOUBLE)::BIGINT AS res FROM m0 JOIN bases USING (model))",
     ]
     nodes = ["SELECT model, 0 AS tree, 0 AS node, NULL::VARCHAR AS feature, NULL::DOUBLE AS threshold, NULL::INTEGER AS left_node, NULL::INTEGER AS right_node, base AS value, NULL::DOUBLE AS gain, base_rows AS n_rows FROM bases"]
     names = "CASE f " + " ".join(f"WHEN {i} THEN {text(n)}" for i, n in enumerate(BOOST_FEATURES)) + " END"
@@ -674,7 +674,7 @@ def boosted(folds: bool) -> list[str]:
         pairs = ", ".join(f"{{'f': {f}, 'bin': b{f}}}" for f in chosen)
         out.append(
             f"""n{t}_0 AS MATERIALIZED (SELECT *, 0 AS node, used AND (mark + {drawn('row', t)}) % 4294967296 < {int(BOOST_ROWS * (1 << 32))} AS sampled,
-  floor((y - now) * q + 0.5::DOUBLE)::BIGINT AS g FROM s{t})"""
+  res AS g FROM s{t})"""
         )
         grown = f"SELECT model, 0 AS node, sum(g)::DOUBLE AS g, count(*) AS n, any_value(q) AS q FROM n{t}_0 WHERE sampled GROUP BY model"
         splits = []
@@ -693,9 +693,9 @@ def boosted(folds: bool) -> list[str]:
             splits.append(f"SELECT * FROM b{key}")
             grown += f" UNION ALL SELECT model, 2 * node + 1, lg, ln, q FROM b{key} UNION ALL SELECT model, 2 * node + 2, ag - lg, an - ln, q FROM b{key}"
         out += [
-            f"g{t} AS MATERIALIZED (SELECT model, node, {BOOST_RATE!r}::DOUBLE * (g / q / (n + 1)) AS value, n FROM ({grown}))",
+            f"g{t} AS MATERIALIZED (SELECT model, node, floor({BOOST_RATE!r}::DOUBLE * (g / (n + 1)) + 0.5::DOUBLE) / q AS value, q, n FROM ({grown}))",
             f"k{t} AS MATERIALIZED (SELECT model, node, {names} AS feature, {cut} AS threshold, gain / (q * q) AS gain FROM ({' UNION ALL '.join(splits)}), cuts)",
-            f"s{t + 1} AS MATERIALIZED (SELECT n.* EXCLUDE (node, sampled, g) REPLACE (now + value AS now) FROM n{t}_{BOOST_DEPTH} n JOIN g{t} USING (model, node))",
+            f"s{t + 1} AS MATERIALIZED (SELECT n.* EXCLUDE (node, sampled, g) REPLACE (now + value AS now, res - (value * n.q)::BIGINT AS res) FROM n{t}_{BOOST_DEPTH} n JOIN (SELECT model, node, value FROM g{t}) USING (model, node))",
         ]
         nodes.append(
             f"""SELECT model, {t + 1}, node, feature, threshold, CASE WHEN feature IS NOT NULL THEN 2 * node + 1 END, CASE WHEN feature IS NOT NULL THEN 2 * node + 2 END,

@@ -13,6 +13,7 @@ from plumeline.functions.process_tables import PRODUCTS
 from plumeline.operators import explore, features, forecast, model, pathways, policy, profile, ranks, scoring, series
 from plumeline.operators import validation
 from plumeline.plans import tables
+from plumeline.session import use_checkpoint_dir
 
 SITE = ["site"]
 HORIZON = 12
@@ -468,26 +469,32 @@ FOLDS = 5
 SMALL = {"trees": 3, "depth": 3}  # of the models whose training has SQL
 
 
-def _runs(spark: SparkSession, folder: str) -> DataFrame:
-    """The labelled runs with their side of the hold-out split and their fold."""
+@cache
+def _runs_of(spark: SparkSession, folder: str, version: str) -> DataFrame:
+    use_checkpoint_dir(spark)
     runs = ranks.holdout_split(tables.labelled_runs(spark, folder), ROW).withColumn("row", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    return model.in_folds(ranks.contiguous_folds(runs, "row", FOLDS), FOLDS)
+    return model.in_folds(ranks.contiguous_folds(runs, "row", FOLDS), FOLDS).checkpoint()
+
+
+def _runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The labelled runs with their side of the hold-out split and their fold, put together once."""
+    return _runs_of(spark, folder, tables.version(spark, folder, "lineitem"))
 
 
 @cache
-def _trained(spark: SparkSession, folder: str, version: str, trees: int, depth: int, folds: int) -> dict[str, model.Model]:
-    jobs = {target: model.Job(target, "is_train") for target in model.TARGETS} if not folds else model.fold_jobs(model.TARGETS, folds)
-    return model.train_jobs(_runs(spark, folder), jobs, trees, depth, ROW)
+def _trained(spark: SparkSession, folder: str, version: str, trees: int, depth: int) -> dict[str, model.Model]:
+    jobs = {target: model.Job(target, "is_train") for target in model.TARGETS} | model.fold_jobs(model.TARGETS, FOLDS)
+    return model.train_jobs(_runs_of(spark, folder, version), jobs, trees, depth, ROW)
 
 
-def _models(spark: SparkSession, folder: str, trees: int = model.TREES, depth: int = model.DEPTH) -> dict[str, model.Model]:
-    """Both targets, trained on the training side."""
-    return _trained(spark, folder, tables.version(spark, folder, "lineitem"), trees, depth, 0)
+def _all_models(spark: SparkSession, folder: str, trees: int = model.TREES, depth: int = model.DEPTH) -> dict[str, model.Model]:
+    """Both targets, trained on the training side and on all folds but one: twelve models that grow in the same passes."""
+    return _trained(spark, folder, tables.version(spark, folder, "lineitem"), trees, depth)
 
 
-def _fold_models(spark: SparkSession, folder: str, trees: int = model.TREES, depth: int = model.DEPTH) -> dict[str, model.Model]:
-    """Both targets, each trained on all folds but one."""
-    return _trained(spark, folder, tables.version(spark, folder, "lineitem"), trees, depth, FOLDS)
+def _models(spark: SparkSession, folder: str, **size: int) -> dict[str, model.Model]:
+    trained = _all_models(spark, folder, **size)
+    return {target: trained[target] for target in model.TARGETS}
 
 
 def _sides(models: dict[str, model.Model], runs: DataFrame) -> DataFrame:
@@ -498,7 +505,9 @@ def _sides(models: dict[str, model.Model], runs: DataFrame) -> DataFrame:
 
 
 def gbt_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    return _sides(_models(spark, folder), ranks.holdout_split(tables.labelled_runs(spark, folder), ROW))
+    """Figures on the training and the held-out rows, as the training saw them after its last round."""
+    history = model.training_history(_models(spark, folder), spark).where(F.col("round") == model.TREES)
+    return history.select(F.col("used").alias("is_train"), F.col("model").alias("target"), "n_rows", "r2", "rmse", "mae")
 
 
 def gbt_importance(spark: SparkSession, folder: str) -> DataFrame:
@@ -509,15 +518,15 @@ def gbt_importance(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def gbt_learning_curve(spark: SparkSession, folder: str) -> DataFrame:
-    """Error after each boosting round, of both targets on the training and the held-out rows, in one pass."""
-    runs = ranks.holdout_split(tables.labelled_runs(spark, folder), ROW).withColumn("side", F.when(F.col("is_train"), "train").otherwise("test"))
-    return model.learning_curves(_models(spark, folder), runs, {t: t for t in model.TARGETS}, ["side"])
+    """Error after each boosting round, of both targets on the training and the held-out rows."""
+    history = model.training_history(_models(spark, folder), spark).where("round > 0")
+    return history.select(F.col("model").alias("target"), F.when(F.col("used"), "train").otherwise("test").alias("side"), "round", "rmse")
 
 
 def gbt_cross_validation(spark: SparkSession, folder: str) -> DataFrame:
-    """Five contiguous folds; the models of both targets and all folds grow in the same passes."""
-    scores = model.fold_metrics(_fold_models(spark, folder), _runs(spark, folder), model.TARGETS, FOLDS)
-    return model.cross_validation_summary(scores, ["target"])
+    """Five contiguous folds of both targets, each held against a model that did not see it."""
+    folds = {name: m for name, m in _all_models(spark, folder).items() if "/" in name}
+    return model.cross_validation_summary(model.held_out_metrics(folds, spark), ["target"])
 
 
 def gbt_predict(spark: SparkSession, folder: str) -> DataFrame:
@@ -565,14 +574,13 @@ def boost_importance(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def boost_learning_curve(spark: SparkSession, folder: str) -> DataFrame:
-    runs = ranks.holdout_split(tables.labelled_runs(spark, folder), ROW)
-    return rounded(model.learning_curves(_models(spark, folder, **SMALL), runs, {t: t for t in model.TARGETS}, ["is_train"]))
+    return rounded(model.learning_curves(_models(spark, folder, **SMALL), _runs(spark, folder), {t: t for t in model.TARGETS}, ["is_train"]))
 
 
 def boost_report(spark: SparkSession, folder: str) -> DataFrame:
     """Training, hold-out and cross-validation figures of both targets."""
     runs = _runs(spark, folder)
-    scores = model.fold_metrics(_fold_models(spark, folder, **SMALL), runs, model.TARGETS, FOLDS)
+    scores = model.fold_metrics(_all_models(spark, folder, **SMALL), runs, model.TARGETS, FOLDS)
     sides = _sides(_models(spark, folder, **SMALL), runs)
     return rounded(model.training_report(sides, model.cross_validation_summary(scores, ["target"])))
 

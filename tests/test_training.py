@@ -121,7 +121,7 @@ def test_split_is_stable(spark):
 
 @pytest.fixture(scope="module")
 def models(table):
-    return model.train_each({t: (table, t) for t in model.TARGETS}, trees=12, depth=3)
+    return model.train_each({t: (table, t) for t in model.TARGETS}, trees=16, depth=3)
 
 
 def test_training_metrics_and_curve(spark, table, models):
@@ -132,7 +132,7 @@ def test_training_metrics_and_curve(spark, table, models):
     sse, sst = sum((r.X_CO2 - r.predicted) ** 2 for r in rows), sum((r.X_CO2 - mean) ** 2 for r in rows)
     assert m.r2 == pytest.approx(1 - sse / sst) and m.rmse == pytest.approx(math.sqrt(sse / 32)) and m.r2 > 0.8
     curve = model.learning_curve(models["X_CO2"], table, "X_CO2")
-    assert len(curve) == 12 and curve[-1] == pytest.approx(m.rmse) and curve[-1] < curve[0]
+    assert len(curve) == 16 and curve[-1] == pytest.approx(m.rmse) and curve[-1] < curve[0]
     top = model.feature_importance(models["X_CO2"], spark, "X_CO2", 8).collect()
     assert len(top) == 8 and all(a.importance >= b.importance for a, b in zip(top, top[1:], strict=False))
 
