@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumeline.functions.columns import at_least, at_most
+from plumeline.operators.asof import asof_join
 from plumeline.operators.pathways import smooth_declining
 
 ACTION_TYPE = (
@@ -187,15 +188,17 @@ def with_knots(actions: DataFrame) -> DataFrame:
     )
 
 
-def reduction_pct(year: str, target_year: str | None = None) -> Column:
-    """Cumulative reduction of an action in a year. Reads the columns of `with_knots`.
+BEFORE, AFTER = "try_element_at(filter(_knots, k -> k.y <= {year}), -1)", "get(filter(_knots, k -> k.y > {year}), 0)"
+
+
+def reduction_pct(year: str, target_year: str | None = None, before: str = BEFORE, after: str = AFTER, several: str = "size(_knots) >= 2") -> Column:
+    """Cumulative reduction of an action in a year. Reads the columns of `with_knots`, or, with knots as rows, the neighbours of the year.
 
     Zero before the baseline year and before the first knot; linear between knots; beyond the last
     knot a damped trend (none where all knots share a year) when there is no target, the target when it is already passed, and otherwise a
     line to the target. Without a target year that line takes the data span, at least ten years.
     """
-    before = f"try_element_at(filter(_knots, k -> k.y <= {year}), -1)"
-    after = f"get(filter(_knots, k -> k.y > {year}), 0)"
+    before, after = before.format(year=year), after.format(year=year)
     between = (
         f"{before}.p + coalesce(({after}.p - {before}.p) * try_divide({year} - {before}.y, {after}.y - {before}.y), 0D)"
     )
@@ -208,7 +211,7 @@ def reduction_pct(year: str, target_year: str | None = None) -> Column:
         f"""CASE WHEN {year} < action_baseline_year OR _end IS NULL OR {year} < _first.y THEN 0D
         WHEN {year} <= _end.y THEN {between}
         WHEN target_pct IS NULL OR target_pct = 0 THEN
-          CASE WHEN size(_knots) >= 2 THEN least(greatest({trend}, {TREND_LOW}D), {TREND_HIGH}D) ELSE _end.p END
+          CASE WHEN {several} THEN least(greatest({trend}, {TREND_LOW}D), {TREND_HIGH}D) ELSE _end.p END
         WHEN _end.p >= target_pct THEN target_pct
         ELSE least(_end.p + try_divide(target_pct - _end.p, CAST({span} AS DOUBLE)) * {elapsed}, target_pct) END"""
     )
@@ -228,6 +231,35 @@ def reductions_by_year(actions: DataFrame, start: int, end: int, use_target_year
     ).drop("_knots", "_first", "_end", "_slope")
 
 
+def knot_rows(actions: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows `(keys..., year, pct)`: the knots of every action."""
+    return with_knots(actions).select(*keys, F.inline("_knots")).select(*keys, F.col("y").cast("int").alias("year"), F.col("p").cast("double").alias("pct"))
+
+
+def reductions_from_rows(actions: DataFrame, knots: DataFrame, asked: DataFrame, keys: list[str], use_target_year: bool = True) -> DataFrame:
+    """`reductions_by_year` for knots that come as rows `(keys..., year, pct)`, of any number per action, and for the years of `asked(keys..., year)`.
+
+    The neighbours of a year come from an as-of join, and the ends and the trend of an action from one aggregation of its knots; no row ever holds an
+    action's knots together."""
+    known = knots.na.drop(subset=[*keys, "year"])
+    ends = known.groupBy(*keys).agg(
+        F.min(F.struct(F.col("year").alias("y"), F.col("pct").alias("p"))).alias("_first"),
+        F.max(F.struct(F.col("year").alias("y"), F.col("pct").alias("p"))).alias("_end"),
+        F.regr_slope("pct", F.col("year").cast("double")).alias("_slope"),
+        F.count(F.lit(1)).alias("_n"),
+    )
+    whole = actions.withColumn("target_pct", target_pct()).join(ends, keys, "left")
+    near = asof_join(asked.select(*keys, "year"), known, keys, "year", ["pct"], "_b", "_a")
+    near = near.withColumns({c: F.when(F.col(c).isNotNull(), F.struct(F.col(c)["year"].alias("y"), F.col(c)["pct"].alias("p"))) for c in ("_b", "_a")})
+    neighbours = {"before": "_b", "after": "_a", "several": "_n >= 2"}
+    return near.join(whole, keys).withColumns(
+        {
+            "reduction_pct": reduction_pct("year", "target_year" if use_target_year else None, **neighbours),
+            "absolute_reduction_mtco2": F.col("baseline_emissions_mtco2") * reduction_pct("year", **neighbours) / 100.0,
+        }
+    ).drop("_a", "_b", "_first", "_end", "_slope", "_n")
+
+
 def annual_fraction(shares: DataFrame, keys: list[str], start: int, end: int) -> DataFrame:
     """Reduction as a fraction of the baseline per country and year, at most 1.
 

@@ -373,6 +373,12 @@ def policy_queries() -> dict[str, str]:
             "SELECT site, sector, round(coalesce(sum(base * target_pct / 100), 0), 6) AS contribution_mtco2 FROM tgt GROUP BY 1, 2",
         ),
         "reduction_by_year": query([*POLICY, *years], "SELECT site, sector, year, round(pct, 6) AS reduction_pct FROM red"),
+        "reduction_by_year_rows": query([*POLICY, *years], "SELECT site, sector, year, round(pct, 6) AS reduction_pct FROM red"),
+        "discount_asof": """WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey AS site, date_diff('day', DATE '1995-01-01', l_shipdate::DATE)::INTEGER AS day, l_discount, l_returnflag FROM lineitem),
+k AS (SELECT site, day, avg(l_discount * 100) AS pct FROM l GROUP BY ALL),
+q AS (SELECT l_orderkey, l_linenumber, l_partkey, site, day + 45 AS day FROM l WHERE l_returnflag = 'R')
+SELECT q.*, b.day AS day_before, a.day AS day_after, round(b.pct + coalesce((a.pct - b.pct) * (q.day - b.day) / (a.day - b.day), 0), 6) AS pct
+FROM q ASOF LEFT JOIN k b ON q.site = b.site AND q.day >= b.day ASOF LEFT JOIN k a ON q.site = a.site AND q.day < a.day""",
         "absolute_reduction": query(
             [*POLICY, *years], "SELECT site, sector, year, round(base * pct_free / 100, 6) AS absolute_reduction_mtco2 FROM red"
         ),
@@ -799,6 +805,9 @@ def training_queries() -> dict[str, str]:
             "count(*) FILTER (WHERE data_source = 'literature') AS n_literature, count(DISTINCT pathway) AS n_pathways, "
             "count(DISTINCT catalyst_family) AS n_catalysts FROM tt",
         ),
+        "profile_sketches": query(
+            [POINTS], "SELECT pathway, count(temp) AS n, count(DISTINCT l_partkey) AS n_distinct, TRUE AS distinct_ok, TRUE AS quantiles_ok FROM points GROUP BY 1"
+        ),
         "sample_rows": query(
             [POINTS],
             "SELECT l_orderkey, l_linenumber, l_partkey, pathway, round(temp, 6) AS temperature_c FROM points "
@@ -831,7 +840,7 @@ INTEGERS = {
     "scenario_gap": ["t"],
     "commitments_parse": ["action_idx", "n_knots"],
     "unsorted_years": ["action_idx"],
-    **dict.fromkeys(["reduction_by_year", "absolute_reduction", "annual_fraction", "annual_fraction_entries", "sector_progress"], ["year"]),
+    **dict.fromkeys(["reduction_by_year", "reduction_by_year_rows", "absolute_reduction", "annual_fraction", "annual_fraction_entries", "sector_progress"], ["year"]),
     "data_gap": ["last_data_year", "gap_years"],
     "sector_report": ["progress_year"],
     "policy_pathway": ["t"],

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumeline.functions import columns
 from plumeline.functions.process_tables import PRODUCTS
-from plumeline.operators import explore, features, forecast, model, pathways, policy, profile, ranks, scoring, series
+from plumeline.operators import asof, explore, features, forecast, model, pathways, policy, profile, ranks, scoring, series, sketches
 from plumeline.operators import validation
 from plumeline.plans import tables
 from plumeline.session import use_checkpoint_dir
@@ -229,6 +229,26 @@ def reduction_by_year(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(found.select("site", "sector", "year", "reduction_pct"))
 
 
+def reduction_by_year_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with knots as rows and an as-of join."""
+    actions, keys = _actions(spark, folder), [*SITE, "action_idx"]
+    years = actions.select(*keys, F.explode(F.sequence(F.lit(POLICY_YEARS[0]), F.lit(POLICY_YEARS[1]))).alias("year"))
+    found = policy.reductions_from_rows(actions, policy.knot_rows(actions, keys), years, keys)
+    return rounded(found.select("site", "sector", "year", "reduction_pct"))
+
+
+def discount_asof(spark: SparkSession, folder: str) -> DataFrame:
+    """Daily discounts of every site as thousands of knots, asked 45 days after each returned line: the days around it and the value between them."""
+    day = F.datediff("l_shipdate", F.lit("1995-01-01"))
+    lines = tables.table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_suppkey").alias("site"), day.alias("day"), "l_discount", "l_returnflag")
+    knots = lines.groupBy("site", "day").agg(F.avg(F.col("l_discount") * 100).alias("pct"))
+    asked = lines.where("l_returnflag = 'R'").select("l_orderkey", "l_linenumber", "l_partkey", "site", (F.col("day") + 45).alias("day"))
+    b, a = F.col("b"), F.col("a")
+    between = b["pct"] + F.coalesce((a["pct"] - b["pct"]) * (F.col("day") - b["day"]) / (a["day"] - b["day"]), F.lit(0.0))
+    found = asof.asof_join(asked, knots, SITE, "day", ["pct"], "b", "a")
+    return rounded(found.select("l_orderkey", "l_linenumber", "l_partkey", "site", "day", b["day"].alias("day_before"), a["day"].alias("day_after"), between.alias("pct")))
+
+
 def absolute_reduction(spark: SparkSession, folder: str) -> DataFrame:
     found = policy.reductions_by_year(_actions(spark, folder), *POLICY_YEARS)
     return rounded(found.select("site", "sector", "year", "absolute_reduction_mtco2"))
@@ -412,6 +432,14 @@ def profile_sources(spark: SparkSession, folder: str) -> DataFrame:
     return profile.source_counts(_training(spark, folder))
 
 
+def profile_sketches(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct parts and quantiles of the temperature per pathway from the merged states of seven parts of the table, held against the table itself."""
+    runs = tables.operating_points(spark, folder).withColumn("part", F.col("l_orderkey") % 7)
+    shares = {"q10": 0.1, "q50": 0.5, "q90": 0.9}
+    merged = sketches.merged(sketches.states(runs, ["pathway", "part"], "l_partkey", "temperature_c"), ["pathway"])
+    return sketches.held_against(runs, sketches.estimates(merged, ["pathway"], shares), ["pathway"], "l_partkey", "temperature_c", shares)
+
+
 def sample_rows(spark: SparkSession, folder: str) -> DataFrame:
     runs = tables.operating_points(spark, folder).select("l_orderkey", "l_linenumber", "l_partkey", "pathway", "temperature_c")
     return rounded(runs.orderBy("l_orderkey", "l_linenumber", "l_partkey", "temperature_c").limit(10))
@@ -592,11 +620,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         pathway_milestones, scenario_gap, scenario_summary, scenario_rejects,
         commitments_parse, commitments_countries, commitment_targets, commitments_validate, commitment_violations,
         mode_mismatch, unsorted_years, sector_share, share_quality, sector_breakdown, sector_contributions,
-        reduction_by_year, absolute_reduction, annual_fraction, annual_fraction_entries, data_gap, sector_progress, sector_report, policy_pathway, scenario_policy,
+        reduction_by_year, reduction_by_year_rows, discount_asof, absolute_reduction, annual_fraction, annual_fraction_entries, data_gap, sector_progress, sector_report, policy_pathway, scenario_policy,
         score_points, product_slate, operating_score, point_messages, catalyst_matrix, matrix_summary,
         optimal_conditions, conditions_extremes, grid_search_top10, grid_best_per_unit, grid_objectives,
         grid_selectivity_top10, grid_heatmap, training_table, methanol_subset, profile_describe, profile_counts,
-        profile_ranges, profile_sources, sample_rows, label_codes, unknown_category, standardise, fold_sizes,
+        profile_ranges, profile_sources, profile_sketches, sample_rows, label_codes, unknown_category, standardise, fold_sizes,
         holdout_split, confidence, route_rules, gbt_metrics, gbt_importance, gbt_learning_curve, gbt_cross_validation, gbt_predict, route_predictions,
         boost_nodes, boost_predict, boost_route, boost_importance, boost_learning_curve, boost_report,
     ]

@@ -27,14 +27,46 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
     writer.format(fmt).save(path)
 
 
-def write_forecast(forecast: DataFrame, path: str, value: str = "forecast", fmt: str = "csv", partition_by: list[str] | None = None) -> None:
-    """Forecast rows to three decimals."""
+def write_keyed(df: DataFrame, path: str, partition_by: list[str], fmt: str = "parquet") -> None:
+    """Writes the partitions that `df` has and leaves all others alone, so a key can be written again, and a job that is run twice gives the same table.
+
+    Rows of a partition are brought together first, one file per partition and task instead of one per partition and every task; a partition of many rows is
+    cut by the adaptive rebalancing."""
+    out = flat_for_csv(df) if fmt == "csv" else df
+    writer = out.hint("rebalance", *partition_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by)
+    if fmt == "csv":
+        writer = writer.option("header", True).option("escape", '"')
+    writer.format(fmt).save(path)
+
+
+def write_bucketed(df: DataFrame, table: str, keys: list[str], buckets: int, path: str | None = None) -> None:
+    """A table whose rows lie in buckets of the keys, sorted: two tables with the same keys and number of buckets join, and one of them aggregates by the keys, without a shuffle."""
+    first, *rest = keys
+    writer = df.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, first, *rest).sortBy(first, *rest).format("parquet")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+
+
+def write_forecast(
+    forecast: DataFrame, path: str, value: str = "forecast", fmt: str = "csv", partition_by: list[str] | None = None, replace_keys: bool = False
+) -> None:
+    """Forecast rows to three decimals. With `replace_keys` only the partitions that the rows belong to are replaced."""
     rounded = forecast.withColumn("forecast_gtco2", F.round(value, 3)).drop("poly_mape", "arima_mape")
-    write_table(rounded if value == "forecast_gtco2" else rounded.drop(value), path, fmt, partition_by)
+    _write(rounded if value == "forecast_gtco2" else rounded.drop(value), path, fmt, partition_by, replace_keys)
+
+
+def _write(df: DataFrame, path: str, fmt: str, partition_by: list[str] | None, replace_keys: bool) -> None:
+    if replace_keys:
+        if not partition_by:
+            raise ValueError("name the columns to partition by")
+        write_keyed(df, path, partition_by, fmt)
+    else:
+        write_table(df, path, fmt, partition_by)
 
 
-def write_scenarios(paths: DataFrame, keys: list[str], time: str, path: str, fmt: str = "csv", partition_by: list[str] | None = None) -> None:
-    """Scenario rows with the three series to three decimals."""
+def write_scenarios(
+    paths: DataFrame, keys: list[str], time: str, path: str, fmt: str = "csv", partition_by: list[str] | None = None, replace_keys: bool = False
+) -> None:
+    """Scenario rows with the three series to three decimals. With `replace_keys` only the partitions that the rows belong to are replaced."""
     out = paths.select(
         *keys,
         "scenario",
@@ -43,7 +75,7 @@ def write_scenarios(paths: DataFrame, keys: list[str], time: str, path: str, fmt
         F.round("commitment", 3).alias("commitment_forecast_gtco2"),
         F.round("gap", 3).alias("emissions_gap_gtco2"),
     )
-    write_table(out, path, fmt, partition_by)
+    _write(out, path, fmt, partition_by, replace_keys)
 
 
 def write_training_table(table: DataFrame, path: str, fmt: str = "csv") -> None:
