@@ -202,12 +202,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc: str = "doc_id", th
 def keep_one(docs: DataFrame, text: str = "text", doc: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """The documents with one of each group of near duplicates left: the one with the smallest id. Documents without words stay."""
     found = near_duplicates(docs, text, doc, threshold)
-    staying = found.where("key is not null and stays").select("doc", "th").distinct()
+    # No key is null, so the join and the choice of one of equal rows share one shuffle of the texts.
+    staying = found.where("key is not null and stays").select(F.col("th").alias("_th"), F.coalesce("doc", F.lit(0)).alias("_id"), F.col("doc").isNull().alias("_none"))
+    ident = F.col(doc).cast("long")
     rows = docs.select(
-        F.xxhash64(text).alias("_hash_of_text"), F.col(doc).cast("long").alias("_long_id"), *[F.col(c).alias(f"_in_{c}") for c in docs.columns]
+        F.xxhash64(text).alias("_th"), F.coalesce(ident, F.lit(0)).alias("_id"), ident.isNull().alias("_none"), *[F.col(c).alias(f"_in_{c}") for c in docs.columns]
     )
     worded = F.coalesce(F.col(f"_in_{text}").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    same = rows["_hash_of_text"].eqNullSafe(staying["th"]) & rows["_long_id"].eqNullSafe(staying["doc"])
-    first = rows.where(worded).join(staying, same, "left_semi").dropDuplicates(["_hash_of_text", "_long_id"])
+    first = rows.where(worded).join(staying, ["_th", "_id", "_none"], "left_semi").dropDuplicates(["_th", "_id", "_none"])
     out = first.unionByName(rows.where(~worded))
     return out.select(*[F.col(f"_in_{c}").alias(c) for c in docs.columns])

@@ -131,8 +131,11 @@ def disclosures(docs: DataFrame, text: str = "text", least: int = LEAST_CONTEXTS
     seen = texts.select("text").mapInArrow(_cooccurring, "entity string, mark long, term string").distinct()
     counted = kept(seen.groupBy("entity", "term").agg(F.count("*").alias("n")).where(F.col("n") >= least))
     pairs = counted.where("term is not null").withColumnRenamed("n", "both")
-    words = texts.dropDuplicates(["th"]).select(F.explode(F.array_distinct(F.split(F.lower("text"), r"\P{L}+"))).alias("term"))
-    term_docs = words.groupBy("term").agg(F.count("*").alias("n_term")).join(pairs.select("term").distinct(), "term", "left_semi")
+    # Only words that some pair has leave the tasks, each with its text's hash, so no text is shuffled; equal texts count once.
+    wanted = kept(pairs.select("term").distinct())
+    wanted = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted
+    words = texts.select("th", F.explode(F.array_distinct(F.split(F.lower("text"), r"\P{L}+"))).alias("term")).join(wanted, "term", "left_semi")
+    term_docs = words.distinct().groupBy("term").agg(F.count("*").alias("n_term"))
     n = F.lit(float(texts.select("th").distinct().count()))
     entities = counted.where("term is null").select("entity", F.col("n").alias("n_entity"))
     joined = pairs.join(entities, "entity").join(term_docs, "term")

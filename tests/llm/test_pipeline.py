@@ -9,7 +9,7 @@ from test_spans import plain_pii
 
 import __spark_entry__ as contract
 import corpus_pipeline
-from plumeline.llm import packing, queries
+from plumeline.llm import queries, tokens
 
 SEVEN = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -25,7 +25,7 @@ def con(folder):
 def test_all_are_registered():
     names = set(contract.queries())
     assert set(queries.QUERIES) | {"pipeline"} <= names
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 14))
     assert set(queries.SQL) <= set(contract.oracle_sql())
 
 
@@ -42,6 +42,8 @@ def test_query_covers_its_table(spark, folder, name):
     elif name == "op7_nearest_neighbours":
         asked = spark.read.parquet(f"{folder}/embeddings.parquet").where("vec_id % 50 = 0").count()
         assert got.count() == 5 * asked
+    elif name == "op11_whitening":
+        assert got.count() == 4 * spark.read.parquet(f"{folder}/embeddings.parquet").count()
     elif name == "op8_paragraph_dedup":
         assert got.where("not removed").count() < got.count()
     else:
@@ -110,7 +112,7 @@ def test_mix_takes_what_it_says(stages):
 
 def test_pieces_hold_every_token(stages):
     docs, made = stages["packing"]
-    encoder = packing.Words(queries.tokenizer_path())
+    encoder = tokens.Words(queries.tokenizer_path())
     want = sum(len(encoder.ids(r.text)) // 4 + 1 for r in docs.collect())
     assert sum(r.length for r in made.collect()) == want
 
