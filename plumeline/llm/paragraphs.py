@@ -197,14 +197,22 @@ def _picked(hashes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return places, grams[places]
 
 
+def _lists(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, kind))
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per text with picked runs: their hashes and places as lists."""
     for batch in batches:
         for low, data, starts, hashes, text, first, _ in shingles.words_of(batch.column(2)):
             places, grams = _picked(hashes, text)
-            own = batch.select(["doc", "th"]).take(pa.array(low + text[places]))
             before = np.concatenate((np.zeros(1, dtype=np.int64), np.cumsum((data & 0xC0) != 0x80)))
             at = before[first[places]] - before[starts[text[places]]]
-            yield pa.record_batch([*own.columns, pa.array(grams.view(np.int64)), pa.array(at.astype(np.int32))], names=["doc", "th", "gram", "at"])
+            has, begins = np.unique(text[places], return_index=True)
+            bounds = np.concatenate((begins, [len(places)]))
+            own = batch.select(["doc", "th"]).take(pa.array(low + has, pa.int64()))
+            lists = _lists(grams.view(np.int64), bounds, pa.int64()), _lists(at, bounds, pa.int32())
+            yield pa.record_batch([*own.columns, *lists], names=["doc", "th", "grams", "ats"])
 
 
 def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +234,7 @@ def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All windows of PASSAGE words that hold a picked run and no removed line. Of `copies` equal rows the first (`copy` 0) has the lines that are kept, the others none
-    of the lines that repeat; each of the rows gives its share of both."""
+    of the lines that repeat; each of the rows gives its share of both. One row per text and copy, with lists."""
     for batch in batches:
         picked, lines, copies = batch.column(3), batch.column(4).to_pylist(), batch.column(5).to_pylist()
         for i in range(batch.num_rows):
@@ -248,17 +256,18 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         a, b = np.searchsorted(start, (line["start"], line["end"]))
                         open_[max(a - PASSAGE + 1, 0) : b] = False
                 at = np.flatnonzero(open_)
-                own = batch.select(["doc", "th"]).take(pa.array(np.full(len(at), i)))
-                weight = (copies[i] - 1 if copy else 1) / copies[i]
-                columns = [whole[at].view(np.int64), at.astype(np.int32), start[at].astype(np.int32), end[at + PASSAGE - 1].astype(np.int32)]
-                columns += [np.full(len(at), copy, dtype=np.int32), np.full(len(at), copies[i], dtype=np.int32), np.full(len(at), weight)]
-                yield pa.record_batch([*own.columns, *map(pa.array, columns)], names=["doc", "th", "gram", "pos", "start", "end", "copy", "copies", "weight"])
+                if len(at):
+                    columns = [pa.array([copy], pa.int32()), pa.array([copies[i]], pa.int32())]
+                    lists = (whole[at].view(np.int64), pa.int64()), (at, pa.int32()), (start[at], pa.int32()), (end[at + PASSAGE - 1], pa.int32())
+                    columns += [_lists(values, np.array([0, len(at)]), kind) for values, kind in lists]
+                    yield pa.record_batch([*batch.select(["doc", "th"]).slice(i, 1).columns, *columns], names=["doc", "th", "copy", "copies", "grams", "ats", "starts", "ends"])
 
 
 def passages(texts: DataFrame, lines: DataFrame) -> DataFrame:
     """Repeated passages in the texts `(doc, th, text)` beside the removals of `lines(doc, th, start, end, removed)`: rows `doc`, `start`, `end`, `first_doc`, `first_start`
     (where the span's first window stands first), `n` (places of its most frequent window) and `removed`. Only sums and minima are taken by hash."""
-    picked = kept(texts.mapInArrow(_fingerprints, "doc long, th long, gram long, at int"))
+    picked = kept(texts.mapInArrow(_fingerprints, "doc long, th long, grams array<long>, ats array<int>"))
+    picked = picked.select("doc", "th", F.inline(F.arrays_zip("grams", "ats"))).withColumnsRenamed({"grams": "gram", "ats": "at"})
     several = picked.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
     hits = picked.join(several, "gram", "left_semi").groupBy("doc", "th").agg(F.collect_list(F.struct("at", "gram")).alias("all"))
     hits = hits.withColumn("copies", (F.size("all") / F.size(F.array_distinct("all.at"))).cast("int")).withColumnRenamed("all", "picked")
@@ -271,10 +280,13 @@ def passages(texts: DataFrame, lines: DataFrame) -> DataFrame:
     left = left.join(several, "gram", "left_semi").groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_th")).agg(F.collect_list("at").alias("places"))
     left = left.join(hits.drop("picked"), F.col("_doc").eqNullSafe(F.col("doc")) & (F.col("_th") == F.col("th"))).drop("doc", "th")
     found = texts.join(left, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("th") == F.col("_th"))).select("doc", "th", "text", "places", "lines", "copies")
-    schema = "doc long, th long, gram long, pos int, start int, end int, copy int, copies int, weight double"
-    found = kept(found.mapInArrow(_windows, schema))
-    place = F.struct(F.col("doc").isNull().alias("no"), "doc", "start", "end", "th", "copy", "pos")
-    several = found.groupBy("gram").agg(F.round(F.sum("weight")).cast("long").alias("n"), F.min(place).alias("first")).where("n > 1")
+    schema = "doc long, th long, copy int, copies int, grams array<long>, ats array<int>, starts array<int>, ends array<int>"
+    found = kept(found.mapInArrow(_windows, schema))  # as lists, a fifth of what a row per window takes
+    found = found.select("doc", "th", "copy", "copies", F.inline(F.arrays_zip("grams", "ats", "starts", "ends")))
+    found = found.withColumnsRenamed({"grams": "gram", "ats": "pos", "starts": "start", "ends": "end"})
+    weight = F.when(F.col("copy") == 0, 1 / F.col("copies")).otherwise((F.col("copies") - 1) / F.col("copies"))
+    place = F.struct(F.col("doc").isNull().alias("no"), "doc", "start", "th", "copy", "pos")
+    several = found.groupBy("gram").agg(F.round(F.sum(weight)).cast("long").alias("n"), F.min(place).alias("first")).where("n > 1")
     same_text = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("th") == F.col("first.th")) & (F.col("copy") == F.col("first.copy"))
     found = found.join(several, "gram").withColumn("apart", ~same_text | (F.col("pos") >= F.col("first.pos") + PASSAGE))
     found = found.withColumn("removed", ~(same_text & (F.col("pos") == F.col("first.pos"))))

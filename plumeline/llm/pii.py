@@ -131,11 +131,7 @@ def disclosures(docs: DataFrame, text: str = "text", least: int = LEAST_CONTEXTS
     seen = texts.select("text").mapInArrow(_cooccurring, "entity string, mark long, term string").distinct()
     counted = kept(seen.groupBy("entity", "term").agg(F.count("*").alias("n")).where(F.col("n") >= least))
     pairs = counted.where("term is not null").withColumnRenamed("n", "both")
-    # Only words that some pair has leave the tasks, each with its text's hash, so no text is shuffled; equal texts count once.
-    wanted = kept(pairs.select("term").distinct())
-    wanted = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted
-    words = texts.select("th", F.explode(F.array_distinct(F.split(F.lower("text"), r"\P{L}+"))).alias("term")).join(wanted, "term", "left_semi")
-    term_docs = words.distinct().groupBy("term").agg(F.count("*").alias("n_term"))
+    term_docs = _texts_with(texts).join(pairs.select("term").distinct(), "term", "left_semi")
     n = F.lit(float(texts.select("th").distinct().count()))
     entities = counted.where("term is null").select("entity", F.col("n").alias("n_entity"))
     joined = pairs.join(entities, "entity").join(term_docs, "term")
@@ -145,6 +141,20 @@ def disclosures(docs: DataFrame, text: str = "text", least: int = LEAST_CONTEXTS
     return joined.withColumn("share", share).where(F.col("share") > threshold).select("entity", "term", "share")
 
 
+def _texts_with(texts: DataFrame) -> DataFrame:
+    """Rows `(term, n_term)`: in how many different texts `(th, text)` a word stands.
+
+    All rows are counted with partial sums in the tasks, and what copies add is taken away again; for that only one of each text that has copies is shuffled. Up to
+    MOST_BROADCAST hashes of such texts are sent to the tasks; more of them are joined by a shuffle."""
+    terms = F.explode(F.array_distinct(F.split(F.lower("text"), r"\P{L}+"))).alias("term")
+    every = texts.select(terms).groupBy("term").agg(F.count("*").alias("_all"))
+    copied = kept(texts.groupBy("th").agg((F.count("*") - 1).alias("_more")).where("_more > 0"))
+    copied = F.broadcast(copied) if copied.count() <= MOST_BROADCAST else copied
+    once = texts.join(copied, "th").dropDuplicates(["th"])
+    more = once.select("_more", terms).groupBy("term").agg(F.sum("_more").alias("_more"))
+    return every.join(more, "term", "left").select("term", (F.col("_all") - F.coalesce("_more", F.lit(0))).alias("n_term"))
+
+
 def _spans(text: str, revealed: set[tuple[str, str]]) -> list[tuple[str, int, int]]:
     base = base_spans(text)
     if not base or not revealed:
