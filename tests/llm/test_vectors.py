@@ -82,6 +82,18 @@ def test_exact_within_one_part(spark, rows):
         assert max(abs(a - b) for (_, a), (_, b) in zip(best, want[q], strict=True)) < 1e-12
 
 
+@pytest.mark.parametrize("apart", [1e-6, 1e-7])
+def test_nearest_among_close_copies(spark, apart):
+    """Hundreds of vectors at almost the same distance: the exact measure decides."""
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=64)
+    rows = [(i, (base + rng.normal(size=64) * apart * (i > 0)).tolist()) for i in range(300)]
+    found = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+    score = neighbours.cosine(np.repeat([rows[0][1]], 299, axis=0), np.array([v for _, v in rows[1:]]))
+    want = sorted(((-s, i) for i, s in zip(range(1, 300), score, strict=True)))[:5]
+    assert [(r.vec_id, r.score) for r in sorted(found, key=lambda r: r.rank)] == [(i, -s) for s, i in want]
+
+
 def test_recall_with_learned_parts(spark):
     rng = np.random.default_rng(8)
     centres = rng.normal(size=(40, 24)) * 1.5
