@@ -32,7 +32,7 @@ _attribute = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"
 _name_parts = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 # Element names of HTML.
-RAW = frozenset("script style noscript template iframe textarea title xmp noembed noframes svg math select object audio video canvas".split())
+RAW = frozenset("script style noscript template iframe textarea title xmp noembed noframes svg select audio video canvas".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
@@ -52,15 +52,23 @@ NOT_ARTICLE = frozenset(
     " comment comments commentary disqus respond replies reply breadcrumb breadcrumbs share sharing social related recommended recommendations"
     " widget toolbar pagination pager skip disclaimer copyright paywall outbrain taboola".split()
 )
+# Words in a name that say where or how an element stands, not what it is, and words that say what an element lacks or has beside it.
+WAYS = frozenset(
+    "area author bar block body bottom box button buttons col column container content desktop first form heading icon icons inner item items last left lg link links list main md"
+    " meta mobile outer panel post posts article articles primary right row secondary section slot sm stories story news text this title top unit wrap wrapper zone".split()
+)
+LEDE_WORDS = 10  # of a paragraph in an article's header that is text and no line about the author or the date
+BESIDE = frozenset("no not has with without".split())
+MOST_TEXT = 0.9  # share of the page's plain text that no name takes away
 ROOTS = frozenset(("html", "body", "article", "main"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
 
 class Node:
-    __slots__ = ("children", "drop", "name", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("children", "drop", "name", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "plain")
 
-    def __init__(self, name: str, parent: Node | None, drop: bool = False):
-        self.name, self.parent, self.drop = name, parent, drop
+    def __init__(self, name: str, parent: Node | None, drop: str = ""):
+        self.name, self.parent, self.drop, self.plain = name, parent, drop, 0
         self.parts: list = []  # texts and elements, in page order
         self.children: list[Node] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
@@ -70,23 +78,37 @@ class Node:
             parent.children.append(self)
 
 
-def _announced(name: str, attributes: str) -> bool:
-    """Whether an element says that it is not the article."""
+def _telling(names: str) -> bool:
+    """Whether a class or id names something beside the article: what it is stands last, but for words that only say where or how."""
+    for name in names.split():
+        parts = [p.lower() for p in _name_parts.findall(name)]
+        if BESIDE.intersection(parts):
+            continue
+        while len(parts) > 1 and (parts[-1] in WAYS or len(parts[-1]) == 1):
+            parts.pop()
+        if parts and parts[-1] in NOT_ARTICLE:
+            return True
+    return False
+
+
+def _announced(name: str, attributes: str) -> str:
+    """How an element says that it is not the article: by what it is, by its name, or not at all."""
     if name in NOT_TEXT:
-        return True
+        return "kind"
     if not attributes or name in ROOTS - {"article"}:
-        return False
+        return ""
+    named = ""
     for key, *values in _attribute.findall(attributes):
         key, value = key.lower(), next((v for v in values if v), "")
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
-            return True
+            return "kind"
         if key == "role" and value.lower() in ROLES:
-            return True
+            return "kind"
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-        if key in ("class", "id") and any(p.lower() in NOT_ARTICLE for p in _name_parts.findall(value)):
-            return True
-    return False
+            return "kind"
+        if key in ("class", "id") and _telling(value):
+            named = "name"
+    return named
 
 
 def parsed(html: str) -> Node:
@@ -166,9 +188,20 @@ def _in_order(root: Node) -> list[Node]:
     return out
 
 
+def _words(node: Node) -> int:
+    return sum(len(p.split()) for n in _in_order(node) for p in n.parts if isinstance(p, str))
+
+
 def _pruned(root: Node) -> None:
-    """Takes away what is not article; an element around an article stays, and so do the headings in an article's own header."""
+    """Takes away what is not article; an element around an article stays, and so do the headings and longer paragraphs in an article's own header. A name alone takes away no
+    element that holds MOST_TEXT of the page's text outside links."""
     nodes = _in_order(root)
+    for node in reversed(nodes):
+        if node.name != "a" and node.drop != "kind":
+            node.plain = sum(len("".join(p.split())) if isinstance(p, str) else p.plain for p in node.parts)
+    for node in nodes:
+        if node.drop == "name" and node.plain and node.plain >= MOST_TEXT * root.plain:
+            node.drop = ""
     holds = {id(n): False for n in nodes}
     for node in reversed(nodes):
         if node.parent is not None and (holds[id(node)] or (node.name in ("article", "main") and not node.drop)):
@@ -185,7 +218,7 @@ def _pruned(root: Node) -> None:
                 keep.append(part)
                 todo.append((part, inside))
             elif inside and part.name in ("header", "div"):
-                keep += [n for n in _in_order(part) if n.name in HEADINGS and n.parent.name not in HEADINGS]
+                keep += [n for n in _in_order(part) if (n.name in HEADINGS and n.parent.name not in HEADINGS) or (n.name == "p" and _words(n) >= LEDE_WORDS)]
         node.parts = keep
         node.children = [p for p in keep if not isinstance(p, str)]
         for child in node.children:

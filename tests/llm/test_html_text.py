@@ -26,6 +26,14 @@ PAGES = {
     "cut": ('<article><p>abc def</p><p>ghi <a href="x', "abc def\nghi"),
     "cut comment": ("<article><p>abc</p><!-- never ends", "abc"),
     "preformatted": ("<article><pre>a\n  b</pre>\n\n<blockquote>c</blockquote></article>", "a b\nc"),
+    **{f"all in {c}": (f'<nav>{MENU}</nav><div class="{c}">{BODY}</div><p><a href=/>Home</a></p>', TEXT) for c in
+       ("content no-sidebar", "has-sidebar", "entry with-comments", "layout-header-fixed", "related-work", "notices", "share-price")},
+    "all in a section named notices": (f'<body><section id="notices">{BODY}</section></body>', TEXT),
+    "telling first words": (f'<article>{BODY}<p class="share-price">Up two per cent.</p><div class="related-findings">Found before.</div></article>', TEXT + "\nUp two per cent.\nFound before."),
+    "names with ways": (f'<div class="story">{BODY}</div><div class="reader-comments-list"><p>{"A comment. " * 9}</p></div><div class="sidebar-left">Left</div><ul id="related-posts"><li>One</ul>', TEXT),
+    "paragraph in a header": (f"<article><header><h1>Head</h1><p>by me, today</p><p>What it is about, told in one sentence of more than ten words.</p></header>{BODY}</article>",
+                              "Head\nWhat it is about, told in one sentence of more than ten words.\n" + TEXT),
+    "formula": (f"<article>{BODY}<p>Area is <math><mi>a</mi><mo>=</mo><mn>2</mn></math> here.</p></article>", TEXT + "\nArea is a=2 here."),
     "nothing": ("<html><body><nav>menu</nav></body></html>", ""),
     "empty": ("", ""),
 }
