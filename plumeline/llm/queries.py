@@ -35,8 +35,24 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A folder of this run in the storage that all executors share."""
+    use_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def deliveries(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The table in two parts, as if the second came a day later; every row is in one of them."""
+    second = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1
+    return docs.where(~second), docs.where(second)
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.report(table(spark, sf_dir, "documents"))
+    """All documents, in two deliveries: the second scans only the blobs that the first one did not bring, and findings of both come from the ledger."""
+    docs, ledger = table(spark, sf_dir, "documents").select("doc_id", "text"), own_folder(spark, "secret-ledger")
+    for delivery in deliveries(docs):
+        known = secrets.update(delivery, ledger)
+    found = secrets.findings(docs, known)
     spans = F.col("spans")
     counts = [secrets.count(spans, rule.kind).alias(f"n_{rule.kind}") for rule in secrets.RULES]
     listed = secrets.digest(spans)
@@ -92,11 +108,8 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, in two deliveries: the second finds the counts of texts that the first one stored, and both read the same cache at the end."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    use_checkpoint_dir(spark)
-    cache = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/token-counts-{uuid.uuid4().hex}"
-    second = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1
-    for delivery in (docs.where(~second), docs.where(second)):
+    docs, cache = table(spark, sf_dir, "documents").select("doc_id", "text"), own_folder(spark, "token-counts")
+    for delivery in deliveries(docs):
         token_cache.update(delivery, cache, tokenizer_path())
     return token_cache.counted(docs, cache, tokenizer_path()).withColumnRenamed("doc", "doc_id")
 

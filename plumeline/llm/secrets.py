@@ -45,22 +45,18 @@ RULE_VERSION = "base-1"
 
 
 def spans_of(text: Column, rule: Rule) -> Column:
-    """The spans of one rule in a text, in order."""
-    pattern = F.lit(rule.pattern)
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    between = F.split(text, rule.pattern, -1)
+    """The spans of one rule in a text, in order. The matches and the texts before them are found once, and walked through together."""
+    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), F.split(text, rule.pattern, -1))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
 
-    def step(state: Column, i: Column) -> Column:
-        begin = state["at"] + F.length(F.get(between, i))
-        match = F.get(found, i)
+    def step(state: Column, pair: Column) -> Column:
+        match, begin = pair["0"], state["at"] + F.length(pair["1"])
         end = begin + F.length(match)
-        long_enough = F.length(F.regexp_extract(match, rule.pattern, rule.group)) >= rule.least
+        long_enough = F.coalesce(F.length(F.regexp_extract(match, rule.pattern, rule.group)) >= rule.least, F.lit(False))
         span = F.array(F.struct(F.lit(rule.kind).alias("kind"), begin.cast("int").alias("start"), end.cast("int").alias("end")))
         return F.struct(end.cast("int").alias("at"), F.when(long_enough, F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
 
-    walked = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step)["spans"]
-    return F.when(F.size(found) > 0, walked).otherwise(F.array().cast(SPAN))
+    return F.aggregate(pairs, start, step)["spans"]  # the text behind the last match comes without one, and ends the walk
 
 
 def all_spans(text: Column, rules: tuple[Rule, ...]) -> Column:
@@ -93,7 +89,7 @@ def scan(
 
 def findings(versions: DataFrame, ledger: DataFrame, text: str = "text", rule_version: str = RULE_VERSION) -> DataFrame:
     """Every row of `versions` with its `blob` and the ledger's `spans` for it; a blob that was never scanned has null."""
-    known = ledger.where(F.col("rule_version") == rule_version).select("blob", "spans")
+    known = ledger.where(F.col("rule_version") == rule_version).groupBy("blob").agg(F.first("spans").alias("spans"))  # two writers may have stored a blob
     return addressed(versions.drop("spans"), text).drop(text).join(known, "blob", "left")
 
 
@@ -102,7 +98,7 @@ def update(versions: DataFrame, path: str, text: str = "text", rules: tuple[Rule
     spark = versions.sparkSession
     spark.createDataFrame([], LEDGER).write.mode("append").parquet(path)
     ledger = spark.read.schema(LEDGER).parquet(path)
-    kept(scan(versions, ledger, text, rules, rule_version)).write.mode("append").parquet(path)
+    scan(versions, ledger, text, rules, rule_version).write.mode("append").parquet(path)
     return spark.read.schema(LEDGER).parquet(path)
 
 

@@ -65,6 +65,24 @@ def test_secrets_equal_plain(docs_of, rows):
     assert secrets.report(docs_of([])).count() == 0
 
 
+def test_many_matches_in_one_text(spark, docs_of):
+    """A dump of keys: the walk takes every match once."""
+    import time
+
+    text = " ".join(f"token={i:06d}x é" for i in range(20_000))
+    began = time.time()
+    found = secrets.report(docs_of([(1, text)])).select(F.size("spans").alias("n"), secrets.digest(F.col("spans")).alias("s")).first()
+    assert found.n == 20_000 and found.s == digest(plain_secrets(text))
+    assert time.time() - began < 60
+
+
+def test_a_blob_that_two_writers_stored_counts_once(spark, docs_of, tmp_path):
+    docs, path = docs_of([(1, "token = abcdef123456"), (2, "token = abcdef123456")]), str(tmp_path / "ledger")
+    for _ in range(2):
+        secrets.scan(docs).write.mode("append").parquet(path)
+    assert secrets.findings(docs, spark.read.parquet(path)).count() == 2
+
+
 def test_secret_plan_is_native(docs_of, rows):
     text = secrets.report(docs_of(rows))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in text and "Arrow" not in text
