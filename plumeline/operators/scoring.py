@@ -93,7 +93,8 @@ def score_joined(joined: DataFrame, keep: list[str]) -> DataFrame:
     )
     # The terms in the table keep every selectivity in 0..1 and their sum at most 1, so bounding them and
     # dividing by their sum with the rest would change nothing; only the rest needs a floor for rounding.
-    rows = rows.withColumn("_others", at_least(F.lit(1.0) - _selectivity("made"), 0.0))
+    # What is bounded becomes a column first: a bound reads its value several times, and a column is computed once.
+    rows = rows.withColumn("_rest", F.lit(1.0) - _selectivity("made")).withColumn("_others", at_least(F.col("_rest"), 0.0))
 
     grid = F.col("grid_ci_gco2_per_kwh")
     raw = (
@@ -109,16 +110,21 @@ def score_joined(joined: DataFrame, keep: list[str]) -> DataFrame:
         .when(F.col("_electro") & (grid < LOW_GRID), LOW_GRID_FACTOR)
         .otherwise(1.0)
     )
-    hydrogen = at_most((F.col("h2_to_co2") + F.lit(1e-9)) / F.col("h2_stoich"), 1.0)
-    rows = rows.withColumn(
-        "_yield",
-        clamp(clamp(raw, *RAW_YIELD_BOUNDS) * grid_factor * (F.lit(0.8) + F.lit(0.2) * hydrogen), *YIELD_BOUNDS),
-    ).withColumn("yield_pct", F.round(F.lit(100.0) * F.col("_yield"), 1))
-    carbon = clamp(F.col("_yield") * (F.lit(0.8) + F.lit(0.2) * (F.lit(1.0) - F.col("_others"))), *CARBON_BOUNDS)
+    rows = rows.withColumns({"_raw": raw, "_hydrogen": (F.col("h2_to_co2") + F.lit(1e-9)) / F.col("h2_stoich")})
+    supplied = F.lit(0.8) + F.lit(0.2) * at_most(F.col("_hydrogen"), 1.0)
+    rows = rows.withColumn("_made", clamp(F.col("_raw"), *RAW_YIELD_BOUNDS) * grid_factor * supplied).withColumn("_yield", clamp(F.col("_made"), *YIELD_BOUNDS))
     rows = rows.withColumns(
         {
-            "yield_low": at_least(F.round(F.col("yield_pct") - RANGE_HALF_WIDTH, 1), RANGE_LOW),
-            "yield_high": at_most(F.round(F.col("yield_pct") + RANGE_HALF_WIDTH, 1), RANGE_HIGH),
+            "yield_pct": F.round(F.lit(100.0) * F.col("_yield"), 1),
+            "_used": F.col("_yield") * (F.lit(0.8) + F.lit(0.2) * (F.lit(1.0) - F.col("_others"))),
+        }
+    )
+    carbon = clamp(F.col("_used"), *CARBON_BOUNDS)
+    rows = rows.withColumns({"_low": F.round(F.col("yield_pct") - RANGE_HALF_WIDTH, 1), "_high": F.round(F.col("yield_pct") + RANGE_HALF_WIDTH, 1)})
+    rows = rows.withColumns(
+        {
+            "yield_low": at_least(F.col("_low"), RANGE_LOW),
+            "yield_high": at_most(F.col("_high"), RANGE_HIGH),
             "carbon_util_pct": F.round(F.lit(100.0) * carbon, 1),
             "h2_per_co2": F.round("h2_stoich", 2),
             "temperature_score": F.round("_st", 3),
