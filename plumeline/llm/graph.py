@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumeline.session import use_checkpoint_dir
@@ -18,6 +19,13 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def freed(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of finished steps. They go when the driver collects its garbage; in a long chain of steps that may come too late, and the
+    disks would hold all of them at once."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def components(links: DataFrame) -> DataFrame:
     """Rows `(node, component)` for every node of `links(a, b)`; a component's name is its smallest node.
 

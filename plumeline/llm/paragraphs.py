@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumeline.llm import shingles
-from plumeline.llm.graph import block_pairs, components, forest, kept, runs, together
+from plumeline.llm.graph import block_pairs, components, forest, freed, kept, runs, together
 
 THRESHOLD = 0.8
 RECALL = 0.999
@@ -275,6 +275,7 @@ def passages(texts: DataFrame, lines: DataFrame) -> DataFrame:
     gone = gone.groupBy(F.col("doc").alias("_d"), F.col("th").alias("_t")).agg(F.collect_list(F.struct("start", "end", "gone")).alias("lines"))
     hits = hits.join(gone, F.col("doc").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")), "left")
     hits = kept(hits.select("doc", "th", "picked", "lines", "copies"))
+    freed(texts.sparkSession)
     left = hits.mapInArrow(_left, "doc long, th long, gram long, at int, n int")
     several = left.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
     left = left.join(several, "gram", "left_semi").groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_th")).agg(F.collect_list("at").alias("places"))
@@ -282,6 +283,7 @@ def passages(texts: DataFrame, lines: DataFrame) -> DataFrame:
     found = texts.join(left, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("th") == F.col("_th"))).select("doc", "th", "text", "places", "lines", "copies")
     schema = "doc long, th long, copy int, copies int, grams array<long>, ats array<int>, starts array<int>, ends array<int>"
     found = kept(found.mapInArrow(_windows, schema))  # as lists, a fifth of what a row per window takes
+    freed(texts.sparkSession)
     found = found.select("doc", "th", "copy", "copies", F.inline(F.arrays_zip("grams", "ats", "starts", "ends")))
     found = found.withColumnsRenamed({"grams": "gram", "ats": "pos", "starts": "start", "ends": "end"})
     weight = F.when(F.col("copy") == 0, 1 / F.col("copies")).otherwise((F.col("copies") - 1) / F.col("copies"))
@@ -312,18 +314,22 @@ def repeated(
     signed = texts.mapInArrow(_paragraphs(least, bands * rows), "doc long, th long, start int, end int, key binary, sig binary")
     place = F.struct(F.col("doc").isNull().alias("no"), "doc", "start", "end", "th")
     sets = kept(signed.groupBy("key").agg(F.min(place).alias("least"), F.count("*").alias("copies"), F.first("sig").alias("sig")))
+    freed(docs.sparkSession)
     hits, links = colliding(sets, threshold, bands, rows)
     clusters = kept(components(links))
+    freed(docs.sparkSession)
     groups = components(verified(docs, text, doc, hits, clusters, threshold)).withColumnRenamed("node", "key")
     linked = hits.join(groups, "key").select("key", "least", "copies", "component")
     copied = sets.where("copies > 1").join(groups, "key", "left_anti").select("key", "least", "copies", F.col("key").alias("component"))
     named = kept(linked.union(copied))
+    freed(docs.sparkSession)
     whole = named.groupBy("component").agg(F.min("least").alias("first"), F.sum("copies").alias("n_paragraphs"))
     named = named.join(whole, "component").select("key", "least", "first", "n_paragraphs")
     found = texts.mapInArrow(_paragraphs(least, 0), "doc long, th long, start int, end int, key binary")  # cheaper than keeping all places from before
     members = found.join(named, "key")
     at_first = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("start") == F.col("first.start")) & (F.col("th") == F.col("first.th"))
     members = kept(members.withColumn("is_first", at_first))
+    freed(docs.sparkSession)
     tied = Window.partitionBy("key", "doc", "start", "end").orderBy("is_first")  # repeated rows of one document: one of them is kept
     first = members.where("is_first").withColumn("removed", F.row_number().over(tied) > 1)
     others = members.where("not is_first").withColumn("removed", F.lit(True))
