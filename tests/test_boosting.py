@@ -183,3 +183,25 @@ def test_importance_is_the_mean_gain(spark, models):
         assert got[m, "never"] == 0.0
         assert [got[m, f] for f in NAMES] == pytest.approx([np.mean(gains[m, f]) / whole if (m, f) in gains else 0.0 for f in NAMES])
     assert model.SETTING.trees == 150
+
+
+def test_rows_with_equal_features_are_one_to_the_passes(spark, table):
+    many = ready(table).drop("id").crossJoin(spark.range(20).select(F.lit(0).alias("copy"))).withColumn("id", F.monotonically_increasing_id()).repartition(3, "id").checkpoint()
+    grower = boosting.Grower(many, NAMES, JOBS, ["id"], SETTING)
+    groups = grower.gather(0).agg(F.sum(F.length("bins") / len(NAMES))).first()[0]
+    assert many.count() == 14_000
+    assert groups <= 1.1 * table.select(*NAMES).distinct().count()  # a block or range may end inside a group
+
+
+def test_many_rows_alike_are_cut(spark):
+    one = spark.range(6000).select("id", F.lit(1.0).alias("a"), F.lit(2.0).alias("b"), F.lit(3.0).alias("c"), (F.col("id") % 7).cast("double").alias("y"), F.lit(True).alias("used"))
+    grower = boosting.Grower(one, NAMES, {"y": Job("y", "used")}, ["id"], SETTING)
+    sizes = [r[0] for r in grower.rows.groupBy(F.spark_partition_id()).agg(F.sum(F.length("mark") / 4)).select("sum((length(mark) / 4))").collect()]
+    assert sum(sizes) == 6000 and max(sizes) < 3000
+
+
+def test_cut_points_are_exact_quantiles(spark):
+    frame = spark.range(300_000).select((F.col("id") * 7919 % 300_007).cast("double").alias("a"))
+    values = sorted(r.a for r in frame.collect())
+    want = [values[math.ceil(i * len(values) / 64) - 1] for i in range(1, 64)]
+    assert boosting.cut_points(frame, ["a"])[0].tolist() == want
