@@ -122,6 +122,14 @@ def assigned(
     return rows.withColumn("taken", taken).drop("_mx_name", "_mx_mark", "_mx_bucket", "_mx_offset", "_mx_begin", "_mx_class")
 
 
+def sorted_by_position(rows: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """The rows of `assigned` range-sorted by the first position at which training takes them; rows that it does not take come last."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.asc_nulls_last("_mx_at"), F.col(f"`{doc}`")]
+    placed = rows.withColumn("_mx_at", F.get("_mx_copies", 0)["position"])
+    return placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("_mx_at")
+
+
 def mixed(docs: DataFrame, text: str = "text", doc: str = "doc_id", source: str = "source") -> DataFrame:
     """The training order: each row of `docs` as often as the mix takes it, by position. A copy that is taken in part has its first words, and the white space
     between them. A column `n_chars` is the text's new length."""

@@ -68,7 +68,8 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mixing.assigned(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    """A row per document, in training order by the first position at which the mix takes it; documents that it does not take come last."""
+    found = mixing.sorted_by_position(mixing.assigned(table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
     position = F.round(F.get("_mx_copies", 0)["position"], 6).alias("position")
     return found.select("doc_id", "size", "source_size", "target", "taken", position)
 

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from plumeline.llm import mixing
+from plumeline.llm import mixing, queries
 
 
 def count(text):
@@ -98,3 +98,10 @@ def test_empty_table(docs_of):
 def test_only_empty_texts(docs_of):
     found = mixing.assigned(docs_of([(1, "", "a"), (2, None, None)])).collect()
     assert {(r.size, r.taken, r.target) for r in found} == {(0, 0, 0.0)} and not math.isnan(found[0].target)
+
+
+def test_query_runs_in_training_order(spark, docs_of, rows, tmp_path):
+    docs_of(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.op5_source_mix(spark, str(tmp_path)).collect()  # the parts of a range sort in their order
+    first = [2.0 if r.position is None else r.position for r in found]
+    assert first == sorted(first) and len(found) == len(rows) and len(set(first)) > 500
