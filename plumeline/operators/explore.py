@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from plumeline.functions.columns import axis, one_decimal, whole
 from plumeline.functions.process_tables import CATALYSTS, PATHWAYS, PRODUCTS, pathway_table
-from plumeline.operators.scoring import is_electro, is_valid_pair, score_joined, score_points, with_process_constants
-from plumeline.session import spread
+from plumeline.operators.scoring import grid_band, is_electro, is_valid_pair, score_joined, score_points, with_process_constants
+from plumeline.session import spread, use_checkpoint_dir
 
 CATALYST_COLUMNS = [name for name, _ in CATALYSTS]
 
@@ -16,6 +16,7 @@ CATALYST_COLUMNS = [name for name, _ in CATALYSTS]
 CATALOG_REACTOR = {"electro": "Electrochemical (flow cell)", "thermal": "Fixed-bed"}
 CATALOG_GRID = {"electro": 50.0, "thermal": 0.0}
 
+BOUNDS = ["t_min", "t_max", "p_min", "p_max", "h_min", "h_max"]
 GRID_COLUMNS = ["t_index", "p_index", "h_index", "temperature_c", "pressure_bar", "h2_to_co2"]
 
 OBJECTIVES = {
@@ -137,8 +138,7 @@ def grid_points(units: DataFrame, steps: tuple[int, int, int]) -> DataFrame:
     `units` carries `t_min, t_max, p_min, p_max, h_min, h_max` and the other point columns. Each unit
     row is exploded in place, so the grid needs no join and no shuffle.
     """
-    bounds = ["t_min", "t_max", "p_min", "p_max", "h_min", "h_max"]
-    kept = [c for c in units.columns if c not in bounds]
+    kept = [c for c in units.columns if c not in BOUNDS]
     return (
         units.withColumn("_t", F.explode(axis(F.col("t_min"), F.col("t_max"), steps[0])))
         .withColumn("_p", F.explode(axis(F.col("p_min"), F.col("p_max"), steps[1])))
@@ -180,6 +180,18 @@ def grid_search(units: DataFrame, keys: list[str], steps: tuple[int, int, int] =
     )
 
 
+def with_kinds(units: DataFrame) -> DataFrame:
+    """The units, kept, with their `_kind`: all that the grid of a unit depends on. Units of one kind have the same grid."""
+    use_checkpoint_dir(units.sparkSession)
+    band = grid_band(F.col("pathway"), F.col("grid_ci_gco2_per_kwh")).alias("grid_ci_gco2_per_kwh")
+    return units.withColumn("_kind", F.struct("pathway", "catalyst_family", "reactor_type", band, *BOUNDS)).checkpoint()
+
+
+def kinds_of(units: DataFrame, keys: list[str]) -> DataFrame:
+    """A row per kind that can stand for its units in `grid_search`, and its first unit. With both as keys the kinds are dealt out anew; by the kind alone they would stay in the few tasks of this sum."""
+    return units.groupBy("_kind").agg(F.min(F.struct(*keys)).alias("_first")).select("_kind", "_kind.*", "_first")
+
+
 def grid_order() -> list[Column]:
     return [F.desc("objective_score"), F.asc("t_index"), F.asc("p_index"), F.asc("h_index")]
 
@@ -198,12 +210,14 @@ def best_overall(grid: DataFrame, keys: list[str], top: int = 10) -> DataFrame:
 def top_points(
     units: DataFrame, keys: list[str], steps: tuple[int, int, int] = (7, 7, 7), objective: str = "Maximize yield", top: int = 10
 ) -> DataFrame:
-    """`best_overall` of the grids of all units. The ranking computes nothing but the objective; texts, carbon use and selectivities
-    follow for the grids of the few units (at most `top`) that are in it."""
+    """`best_overall` of the grids of all units. The ranking computes nothing but the objective, and that once per kind of unit. Of the best points, with a kind's first unit
+    for all of its units, `top` are enough: every point before them brings at least that unit. Texts, carbon use and selectivities follow for the grids of the few units (at most `top`) that are in it."""
     place = ["t_index", "p_index", "h_index"]
-    ranked = grid_search(units, keys, steps, objective).select(*keys, *place, "objective_score")
-    best = best_overall(ranked, keys, top).select(*keys, *place)
-    few = units.join(F.broadcast(best.select(*keys).distinct()), keys, "left_semi")
+    units = with_kinds(units)
+    ranked = grid_search(kinds_of(units, keys), ["_kind", "_first"], steps, objective).select("_kind", "_first", *place, "objective_score")
+    few_kinds = best_overall(ranked, ["_first"], top).select("_kind", *place, "objective_score")
+    best = best_overall(units.select(*keys, "_kind").join(F.broadcast(few_kinds), "_kind"), keys, top).select(*keys, *place)
+    few = units.drop("_kind").join(F.broadcast(best.select(*keys).distinct()), keys, "left_semi")
     found = grid_search(few, keys, steps, objective).join(F.broadcast(best), [*keys, *place], "left_semi")
     return best_overall(found, keys, top)
 

@@ -116,6 +116,21 @@ def test_grid(spark):
     assert {r.objective_score for r in no_c5.collect()} == {0.0}
 
 
+def test_units_alike_share_one_grid(spark):
+    """The best points of all units follow from one grid per kind, ties and missing values included."""
+    kinds = [("Sabatier (methanation)", "Ni-based", "Fixed-bed", 250.0), ("Electro (CO route)", "Ag/Au", "Electrochemical (flow cell)", 20.0), (None, "Ni-based", None, 300.0)]
+    rows = []
+    for i in range(60):
+        pathway, catalyst, reactor, t = kinds[i % 3]
+        rows.append((f"u{59 - i:02}", pathway, catalyst, reactor, (None, 50.0, 450.0, 700.0, 900.0)[i // 3 % 5], t if i % 12 else None, t + 80, 1.0, 60.0, 1.0, 5.0))
+    units = spark.createDataFrame(rows, UNIT)
+    whole = explore.grid_search(units, ["unit"])
+    assert explore.kinds_of(explore.with_kinds(units), ["unit"]).count() < 15 < 60
+    for top in (3, 25, 400):
+        want = explore.best_overall(whole, ["unit"], top).collect()
+        assert explore.top_points(units, ["unit"], top=top).collect() == want
+
+
 def test_confidence(spark):
     df = spark.createDataFrame([(250.0, 40.0, 3.0), (200.0, 30.0, 3.0), (170.0, 0.5, 3.0), (200.0, 10.0, 6.0)], "t double, p double, h double")
     got = [r[0] for r in df.select(model.confidence(F.col("t"), F.col("p"), F.col("h"))).collect()]
