@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumeline.session import use_checkpoint_dir
 
+TASK_ROWS = 500_000  # rows of both tables for a task, where the session's number of shuffle partitions would give it more
+
 
 def asof_join(asked: DataFrame, knots: DataFrame, keys: list[str], time: str, values: list[str], before: str = "before", after: str = "after") -> DataFrame:
     """The rows of `asked` with two structs `(time, values...)`: the last row of `knots` with the same keys and no later time, and the first one with a later time; null where there is none.
@@ -24,16 +28,18 @@ def asof_join(asked: DataFrame, knots: DataFrame, keys: list[str], time: str, va
     at = asked.schema[time].dataType
     knot_rows = known.select(*key, F.col(f"`{time}`").cast(at).alias("_time"), F.lit(0).alias("_kind"), own.alias("_knot"))
     laid = knot_rows.unionByName(asked.select(*key, F.col(f"`{time}`").alias("_time"), F.lit(1).alias("_kind"), row.alias("_row")), allowMissingColumns=True)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    laid = laid.checkpoint()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(laid.count() / TASK_ROWS))
     # Many equal rows are told apart by their number, so that they too can be cut; the sorted rows are kept, as the bounds come from a sample.
     order = [*names, "_time", "_kind", "_knot", "_no"]
-    sorted_rows = laid.checkpoint().withColumn("_no", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    sorted_rows = laid.withColumn("_no", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     placed = sorted_rows.checkpoint().withColumn("_part", F.spark_partition_id())
+    dealt = placed.repartition(parts, "_part", *names)  # as many tasks for the windows: a task's sorts hold a bounded share of any table
 
     inside = Window.partitionBy("_part", *names)
     forth = inside.orderBy("_time", "_kind", "_knot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     back = inside.orderBy(F.desc("_time"), F.desc("_kind"), F.desc("_knot")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    carried = placed.withColumns({"_last": F.last("_knot", ignorenulls=True).over(forth), "_next": F.last("_knot", ignorenulls=True).over(back)})
+    carried = dealt.withColumns({"_last": F.last("_knot", ignorenulls=True).over(forth), "_next": F.last("_knot", ignorenulls=True).over(back)})
 
     ends = placed.groupBy("_part", *names).agg(F.max("_knot").alias("_end"), F.min("_knot").alias("_begin"))
     whole = Window.partitionBy(*names)

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from plumeline.operators import policy
+from plumeline.operators import asof, policy
 from plumeline.operators.asof import asof_join
 
 
@@ -65,3 +65,14 @@ def test_policy_rows_equal_arrays(spark, use_target_year):
     assert set(a) == set(b)
     for k in a:
         assert b[k] == pytest.approx(a[k], abs=1e-9), k
+
+
+def test_more_rows_are_more_tasks(spark, monkeypatch):
+    """A task has a bounded share of the rows, whatever the session's number of partitions, and the answer stays."""
+    asked = [(k, t, f"{k}{t}") for k in ("hot", "a") for t in range(300)]
+    knots = [(k, t, float(t)) for k in ("hot", "a") for t in range(0, 300, 3)]
+    monkeypatch.setattr(asof, "TASK_ROWS", 20)
+    assert joined(spark, asked, knots) == plain(asked, knots)
+    left, right = spark.createDataFrame(asked, "k string, t int, name string"), spark.createDataFrame(knots, "k string, t int, v double")
+    text = asof_join(left, right, ["k"], "t", ["v"])._jdf.queryExecution().executedPlan().toString()
+    assert ", 40), REPARTITION_BY_NUM" in text
