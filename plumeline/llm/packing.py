@@ -13,12 +13,13 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from contextlib import contextmanager
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumeline.llm.graph import kept, runs
@@ -27,6 +28,7 @@ from plumeline.llm.tokens import chunks, encoder
 WINDOW = 1024
 OPEN_WINDOWS = 64
 SEPARATOR = 0
+BATCH_ROWS = 1000  # documents that Spark and a worker hold at once
 MERGE_TASKS = 64  # tasks whose leftovers meet in one group of a round
 
 PIECES = "doc long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, window long, offset long, open boolean, task long"
@@ -128,6 +130,19 @@ def _merged(length: int, round_no: int, last: bool):
     return run
 
 
+@contextmanager
+def _small_batches(spark: SparkSession):
+    """Arrow batches of at most BATCH_ROWS rows for what is planned inside; both ends of the pipe hold a batch. The session's setting comes back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    rows = int(before)
+    spark.conf.set(name, str(min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def pack(
     docs: DataFrame, tokenizer: str, text: str = "text", doc: str = "doc_id",
     length: int = WINDOW, open_windows: int = OPEN_WINDOWS, merge_tasks: int = MERGE_TASKS,
@@ -135,7 +150,8 @@ def pack(
     """One row per piece: `doc`, `start`, `length`, `ids_crc32`, `doc_tokens`, `sequence_id`, `offset`. `tokenizer` is the vocabulary's path,
     which must be the same on every machine. The placing is written to the checkpoint folder once, so a rerun task can't give another one."""
     rows = docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
-    placed = kept(rows.mapInArrow(_packed(tokenizer, length, open_windows), PIECES))
+    with _small_batches(docs.sparkSession):
+        placed = kept(rows.mapInArrow(_packed(tokenizer, length, open_windows), PIECES))
     done, rest = placed.where("not open"), placed.where("open")
     tasks, round_no = rest.agg(F.max("task")).first()[0], 1
     while tasks is not None:

@@ -21,7 +21,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 MOST_WORDS = 200_000  # words whose ids a worker remembers, twice at most
-CHUNK_BYTES = 1 << 23  # of text that is worked on at once; a longer text is a chunk of its own
+CHUNK_BYTES = 1 << 20  # of text that is worked on at once; a longer text is a chunk of its own
+SLICE_WORDS = 1 << 15  # of a chunk, whose ids are laid at once
 
 SIGNS = string.punctuation
 # Byte-level vocabularies spell bytes as letters: printable ones as themselves, the others as the letters from 256 on.
@@ -119,19 +120,25 @@ class Words:
         # Every word behind a line end gets a mark, and so does the first one; the mark's id is taken away again below.
         marked = pc.binary_join_element_wise("\n", pc.replace_substring(texts, "\n", " \n"), "")
         pieces = pc.split_pattern(marked.cast(pa.large_string()), " ")
+        del marked
         begin = pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
         words = pieces.flatten().dictionary_encode()
-        each = [self.known[w] for w in words.dictionary.to_pylist()]
-        ids, at = _joined(each)
+        del pieces
         code = words.indices.to_numpy()
+        ids, at = _joined([self.known[w] for w in words.dictionary.to_pylist()])
         n = np.diff(at).astype(np.int32)[code]
         start = at[:-1].astype(np.int32)[code]
+        del words, code
         start[begin[:-1]] += 1
         n[begin[:-1]] -= 1
         upto = np.concatenate(([0], np.cumsum(n, dtype=np.int64)))
-        place = np.repeat((start - upto[:-1]).astype(np.int32), n)
-        place += np.arange(len(place), dtype=np.int32)
-        return ids[place], upto[begin]
+        out = np.empty(upto[-1], dtype="<u4")
+        for low in range(0, len(n), SLICE_WORDS):  # so that the places of a chunk's ids are never all in memory
+            own, end = slice(low, low + SLICE_WORDS), min(low + SLICE_WORDS, len(n))
+            place = np.repeat((start[own] - (upto[low:end] - upto[low])).astype(np.int32), n[own])
+            place += np.arange(len(place), dtype=np.int32)
+            np.take(ids, place, out=out[upto[low] : upto[end]])
+        return out, upto[begin]
 
     def ids(self, text: str) -> bytes:
         """Ids of one text as little-endian 32-bit bytes."""
@@ -171,6 +178,7 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
     while low < len(texts):
         high = min(max(int(np.searchsorted(upto, upto[low] + CHUNK_BYTES, side="right")) - 1, low + 1), len(texts))
         yield low, texts.slice(low, high - low)
+        pa.default_memory_pool().release_unused()  # or Arrow's allocator keeps what the largest chunk took
         low = high
 
 

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from plumeline.llm import packing, tokens
@@ -76,3 +77,37 @@ def test_windows_are_bounded_and_best_fit():
     assert w.place(["e"], 9) == []
     assert w.place(["f"], 5) == [(3, [["e"]])]  # none fits: the fullest goes
     assert len(w.held) == 2
+
+
+def test_a_worker_holds_little(spark, docs_of, words, monkeypatch, tmp_path):
+    """Documents reach a worker in batches of bounded size, and a chunk's ids don't take many times its text."""
+    import tracemalloc
+
+    seen, name = str(tmp_path / "rows"), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    inner, before = packing._packed, spark.conf.get(name)
+
+    def watched(*given):
+        def run(batches):
+            def noted():
+                for batch in batches:
+                    with open(seen, "a") as f:
+                        f.write(f"{batch.num_rows}\n")
+                    yield batch
+
+            yield from inner(*given)(noted())
+
+        return run
+
+    monkeypatch.setattr(packing, "_packed", watched)
+    assert packing.pack(docs_of([(i, "a b") for i in range(9000)]).coalesce(1), PATH).count() >= 9000
+    sizes = [int(n) for n in open(seen)]
+    assert sum(sizes) == 9000 and max(sizes) <= 1000 and spark.conf.get(name) == before
+
+    encoder, text = tokens.Words(PATH), pa.array([" ".join(words(300, 3))] * 4000)
+    tracemalloc.start()
+    most = 0
+    for _, part in tokens.chunks(text):
+        encoder.laid(part)
+        most = max(most, tracemalloc.get_traced_memory()[1])
+    tracemalloc.stop()
+    assert most < 32 << 20
