@@ -2,17 +2,19 @@
 
 `closed_form_arima` fits five small models by conditional least squares with window aggregates only
 and keeps the one with the lowest AIC on a common set of one-step errors. `search_arima` searches the
-non-seasonal orders p, q up to 5 by exact likelihood with a level test for d; one Python group holds one series.
+non-seasonal orders p, q up to 5 by exact likelihood with a level test for d; many series are searched side by side.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumeline.operators.likelihood import MOST, Fitted, fit, partials
+from plumeline.operators.likelihood import MOST, Fitted, fit_all, partials
 from plumeline.session import spread
 
 # The closed-form candidates in tie-break order, with their parameter counts (variance included).
@@ -149,59 +151,82 @@ def _regressions(z: np.ndarray, orders: list[tuple[int, int]]) -> np.ndarray:
     return out
 
 
-def fit_one(y: np.ndarray, at: np.ndarray | None = None) -> Fitted:
-    """The model of one series: d by the level test (5 % point 0.463), p, q up to 5 and the constant by exact likelihood and corrected AIC.
-
-    One method for every length; `at` are the whole-numbered periods of the values, and periods between them are missing, not closed up. A mean belongs to every model without
-    differences, a drift is a candidate with one difference, and two differences have no constant."""
+def _asked(y: np.ndarray, at: np.ndarray | None = None) -> tuple:
+    """What `fit` needs for one series: d by the level test (5 % point 0.463), and all candidates with where their search begins."""
     y = np.asarray(y, dtype=float)
     at = np.arange(len(y)) if at is None else np.asarray(at)
     z, d = y, 0
     while d < 2 and len(z) > 4 and _level_statistic(z) > 0.463:
         z, d = np.diff(z), d + 1
     constants = {0: (True,), 1: (False, True), 2: (False,)}[d]
-    candidates = [(p, q, c) for c in constants for p in range(MOST + 1) for q in range(MOST + 1)]
-    return fit(y, at, d, candidates, _regressions(z, [(p, q) for p, q, _ in candidates]))
+    orders = [(p, q) for p in range(MOST + 1) for q in range(MOST + 1)]
+    starts = np.tile(_regressions(z, orders), (len(constants), 1))
+    return y, at, d, [(p, q, c) for c in constants for p, q in orders], starts
+
+
+def fit_one(y: np.ndarray, at: np.ndarray | None = None) -> Fitted:
+    """The model of one series: d by the level test, p, q up to 5 and the constant by exact likelihood and corrected AIC.
+
+    One method for every length; `at` are the whole-numbered periods of the values, and periods between them are missing, not closed up. A mean belongs to every model without
+    differences, a drift is a candidate with one difference, and two differences have no constant."""
+    return fit_all([_asked(y, at)])[0]
+
+
+def _search_all(parts: list[tuple[np.ndarray, int, np.ndarray | None]]) -> list[tuple[np.ndarray, str]]:
+    """For each `(y, steps, at)` the forecasts of the `steps` periods behind the series, and the order."""
+    models = fit_all([_asked(y, at) for y, _, at in parts])
+    return [(m.ahead(steps), "({},{},{})".format(*m.order)) for m, (_, steps, _) in zip(models, parts, strict=True)]
 
 
 def _search_one(y: np.ndarray, steps: int, at: np.ndarray | None = None) -> tuple[np.ndarray, str]:
-    """Forecasts of the `steps` periods behind one series, and the order."""
-    model = fit_one(y, at)
-    p, d, q = model.order
-    return model.ahead(steps), f"({p},{d},{q})"
+    return _search_all([(y, steps, at)])[0]
+
+
+def _searched_rows(table: pa.Table, keys: list[str]) -> pa.Table:
+    """The result rows of whole series that lie one after another."""
+    column = {c: table.column(c).to_numpy() for c in ("_pos", "_n", "_n_test", "_train", "_at", "_y", "_steps")}
+    parts, places = [], []
+    for low in np.flatnonzero(column["_pos"] == 1):
+        n, n_test, steps = (int(column[c][low]) for c in ("_n", "_n_test", "_steps"))
+        y, at = column["_y"][low : low + n], column["_at"][low : low + n]
+        if column["_train"][low : low + n].any():
+            past = n - n_test
+            parts.append((y[:past], int(at[-1] - at[past - 1]), at[:past]))
+            places.append((low, np.arange(past + 1, n + 1), at[past:] - at[past - 1] - 1))
+        if steps > 0:
+            parts.append((y, steps, at))
+            places.append((low, np.arange(n + 1, n + steps + 1), np.arange(steps)))
+    found = _search_all(parts)
+    sizes = [len(pos) for _, pos, _ in places]
+    out = table.select(keys).take(pa.array(np.repeat(np.array([low for low, _, _ in places], dtype=np.int64), sizes)))
+    out = out.append_column("_pos", pa.array(np.concatenate([np.zeros(0), *[pos for _, pos, _ in places]]), pa.float64()).cast(pa.int32()))
+    out = out.append_column("arima_pred", pa.array(np.concatenate([np.zeros(0), *[f[0][own] for f, (_, _, own) in zip(found, places, strict=True)]])))
+    return out.append_column("arima_order", pa.array(np.repeat([f[1] for f in found], sizes).tolist(), pa.string()))
 
 
 def search_arima(frame: DataFrame, keys: list[str], time: str, value: str, horizon: str) -> DataFrame:
     """Rows `(keys..., _pos, arima_pred, arima_order)` for the test rows (fitted on the training rows)
     and for the future positions (fitted on all rows). `frame` comes from `holdout_frame`; the column
-    `horizon` holds the number of future periods. A group is one series, one row per period; periods without a row are missing values."""
+    `horizon` holds the number of future periods. Periods without a row are missing values. The series of a partition lie one after another; those of an
+    Arrow batch are searched side by side."""
     source = frame.select(
         *keys, "_pos", "_n", "_n_test", "_train", F.col(time).cast("long").alias("_at"), F.col(value).cast("double").alias("_y"),
         F.col(horizon).cast("int").alias("_steps"),
     )
     schema = source.select(*keys).schema.simpleString()[len("struct<") : -1].replace(":", " ")
 
-    def one_series(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_pos")
-        y, at = pdf["_y"].to_numpy(), pdf["_at"].to_numpy()
-        n, n_test, steps = int(pdf["_n"].iloc[0]), int(pdf["_n_test"].iloc[0]), int(pdf["_steps"].iloc[0])
-        parts = []
-        if pdf["_train"].any():
-            past = n - n_test
-            pred, order = _search_one(y[:past], int(at[-1] - at[past - 1]), at[:past])
-            parts.append((np.arange(past + 1, n + 1), pred[at[past:] - at[past - 1] - 1], order))
-        if steps > 0:
-            pred, order = _search_one(y, steps, at)
-            parts.append((np.arange(n + 1, n + steps + 1), pred, order))
-        if not parts:
-            parts.append((np.zeros(0, dtype=int), np.zeros(0), ""))
-        out = pd.concat(
-            [pd.DataFrame({"_pos": pos, "arima_pred": pred, "arima_order": order}) for pos, pred, order in parts]
-        )
-        for key in reversed(keys):
-            out.insert(0, key, pdf[key].iloc[0])
-        return out
-
-    return spread(source, *keys).groupBy(*keys).applyInPandas(
-        one_series, f"{schema}, _pos int, arima_pred double, arima_order string"
-    )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            rest = table if rest is None else pa.concat_tables([rest, table])
+            starts = np.flatnonzero(rest.column("_pos").to_numpy() == 1)
+            last = int(starts[-1]) if len(starts) else 0
+            if last:
+                yield from _searched_rows(rest.slice(0, last), keys).to_batches()
+                rest = rest.slice(last)
+        if rest is not None and rest.num_rows:
+            yield from _searched_rows(rest, keys).to_batches()
+
+    placed = spread(source, *keys).sortWithinPartitions(*keys, "_pos")
+    return placed.mapInArrow(run, f"{schema}, _pos int, arima_pred double, arima_order string")

@@ -140,3 +140,51 @@ def test_missing_years_of_a_series(spark):
     for (_, year), v in got.items():
         assert v == pytest.approx(100.0 + 3.0 * (year - 1980), abs=0.5)
     assert {k for k, year in got if year > 2019} == {"whole", "gaps"}
+
+
+@pytest.mark.parametrize("d", [0, 1, 2])
+@pytest.mark.parametrize("gone", [(), (9,), (7, 8, 30)])
+def test_side_by_side_equals_the_filter(d, gone):
+    """Series of several lengths, each row with its own series, against the filter of one series."""
+    random, parts = np.random.default_rng(4), []
+    for n in (60, 41, 75):
+        at = np.array([t for t in range(n) if t not in gone])
+        parts.append((np.cumsum(random.normal(size=n))[at] if d else random.normal(size=n)[at], 1990 + at))
+    partial, which = random.uniform(-0.8, 0.8, (30, 2 * MOST)), np.arange(30) % 3
+    constant = (np.arange(30) % 2 == 0) & (d < 2)
+    got = likelihood.Together(parts, d).likelihood(partial, constant, which)
+    for s, (y, at) in enumerate(parts):
+        want = Filter(y, at, d).likelihood(partial[which == s], constant[which == s])[0]
+        assert got[which == s] == pytest.approx(want, rel=1e-5 if d else 1e-10)
+
+
+def test_many_series_share_the_time_steps(monkeypatch):
+    """A series alone and among others of several lengths and gaps has the same forecasts, and its own filter runs for the model that is chosen only."""
+    runs, inner = [], Filter.run
+    monkeypatch.setattr(Filter, "run", lambda *a: runs.append(1) or inner(*a))
+    parts = []
+    for k in range(8):
+        y, at = np.cumsum(simulated([0.5], [0.2], 50 + k % 3, k)) + 3.0 * k, np.array([t for t in range(50 + k % 3) if k < 6 or t != 20])
+        parts.append((y[at], 5, at))
+    many = arima._search_all(parts)
+    assert len(runs) == len(parts)
+    for part, (ahead, order) in zip(parts, many, strict=True):
+        alone = arima._search_one(*part)
+        assert alone[1] == order and ahead == pytest.approx(alone[0], rel=1e-9)
+
+
+def test_series_are_cut_apart_in_a_partition(spark):
+    """Null keys, text keys and large numbers as keys; more rows than an Arrow batch holds."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    rows = [(k, w, t, float(10 * j + 2 * t)) for j, (k, w) in enumerate([(None, "a"), (2**60 + 1, "a"), (2**60 + 1, None), (5, "b")]) for t in range(12 + j)]
+    df = spark.createDataFrame(rows, "k long, w string, t int, v double")
+    try:
+        spark.conf.set(name, "7")
+        got = forecast.scored_frame(df, ["k", "w"], "t", "v", 3, 1, "search").where("_future").collect()
+    finally:
+        spark.conf.set(name, before)
+    found = {(r.k, r.w, r.t): r.arima_pred for r in got if r.k is not None and r.w is not None}
+    assert len(found) == 6 and {k for k, _, _ in found} == {2**60 + 1, 5}
+    for (k, _, t), v in found.items():
+        assert v == pytest.approx((10 if k > 5 else 30) + 2.0 * t, abs=0.5)
