@@ -1,8 +1,9 @@
 """Tokens of many texts at once, as the libraries of public tokenizers give them.
 
 Byte-level BPE never joins tokens across a space that stands between two other signs, so a text's tokens are those of its words, each with the
-space before it. A batch is cut into words by Arrow, every distinct word of the batch is looked up once, and numpy lays the ids out: no
-Python step per word of the text. Ids come from the library; a worker remembers those of words that it has met.
+space before it. Neither does it join them between a letter or digit and the signs that end a word, so these signs are a piece of their own and a word
+is the same one whatever stands behind it. A batch is cut into such pieces by Arrow, every distinct piece of the batch is looked up once, and numpy lays
+the ids out: no Python step per word of the text. Ids come from the library; a worker remembers those of pieces that it has met.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not
 SPACE = chr(BYTE_LETTERS[0x20])
 # White space other than single spaces and line ends between words.
 _ODD_SPACE = r"[\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]| [ \n]|\n[ \n]|^ | $"
+# Signs that end a word behind a digit or a letter that all versions of Unicode know as one. Texts with tabs are odd, so a tab can mark the signs.
+_END_SIGNS, _MARKED_SIGNS = rf"([0-9A-Za-z\x{{c0}}-\x{{d6}}\x{{d8}}-\x{{f6}}\x{{f8}}-\x{{24f}}])([{re.escape(SIGNS)}]+)([ \n]|$)", r"\1 " + "\t" + r"\2\3"
 _between = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -89,7 +92,9 @@ class Words:
         return ids + self.signs[word[len(letters) :]] if len(letters) < len(word) else ids
 
     def piece(self, piece: str) -> bytes:
-        """Ids of a word that stands behind a space, or, marked by a line end, behind a line end."""
+        """Ids of a word that stands behind a space, or, marked by a line end, behind a line end, or, marked by a tab, of the signs that end a word."""
+        if piece[:1] == "\t":
+            return self.signs[piece[1:]]
         if piece[:1] != "\n":
             return self.word(" ", piece)
         return self.signs["\n"] + (self.word("", piece[1:]) if len(piece) > 1 else b"")
@@ -118,14 +123,16 @@ class Words:
 
     def laid_usual(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         # Every word behind a line end gets a mark, and so does the first one; the mark's id is taken away again below.
-        marked = pc.binary_join_element_wise("\n", pc.replace_substring(texts, "\n", " \n"), "")
+        parted = pc.replace_substring_regex(texts, _END_SIGNS, _MARKED_SIGNS)
+        marked = pc.binary_join_element_wise("\n", pc.replace_substring(parted, "\n", " \n"), "")
+        del parted
         pieces = pc.split_pattern(marked.cast(pa.large_string()), " ")
         del marked
         begin = pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
         words = pieces.flatten().dictionary_encode()
         del pieces
         code = words.indices.to_numpy()
-        ids, at = _joined([self.known[w] for w in words.dictionary.to_pylist()])
+        ids, at = _joined([self.known[w] for w in _strings(words.dictionary)])
         n = np.diff(at).astype(np.int32)[code]
         start = at[:-1].astype(np.int32)[code]
         del words, code
@@ -171,6 +178,12 @@ def _joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), dtype="<u4"), bounds
 
 
+def _strings(words: pa.LargeStringArray) -> list[str]:
+    """`words`, which hold no spaces, as Python strings: read as one string and cut, which costs a fraction of a scalar for each."""
+    listed = pa.LargeListArray.from_arrays(pa.array([0, len(words)], pa.int64()), words)
+    return pc.binary_join(listed, pa.scalar(" ", words.type))[0].as_py().split(" ") if len(words) else []
+
+
 def chunks(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
     """Slices of a string column of about CHUNK_BYTES each, with the number of their first text."""
     upto = np.concatenate(([0], np.cumsum(pc.binary_length(texts.fill_null("")).to_numpy(zero_copy_only=False), dtype=np.int64)))

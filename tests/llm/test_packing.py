@@ -31,6 +31,25 @@ def test_ids_equal_the_library(plain, words):
             assert np.frombuffer(encoder.ids(text), "<u4").tolist() == plain(text)
 
 
+def test_signs_behind_a_word_are_apart(plain, words):
+    """The library is asked once for a word, whatever signs end it, and the ids stay those of the text."""
+    encoder, asked, word = tokens.Words(PATH), [], tokens.Words.word
+    encoder.word = lambda space, text: asked.append(space + text) or word(encoder, space, text)
+    some = sorted(set(words(200, 5)))
+    text = " ".join(w + end for end in ["", ",", ".", "!?", '."', "&&&", "_", "'"] for w in some)
+    assert np.frombuffer(encoder.ids(text), "<u4").tolist() == plain(text)
+    assert len(asked) <= len(some) + 1
+
+    hard = [
+        "don't, it's. we'll' x'' 's, 's.", "a.b, c.,d e.,. .f. ., , .", "é. Ñ, ß! ÿ& ƀ; ɏ: ɐ, Ё, 語. ª. º, × ÷, a×, a÷. ²x², ½.", "e\u0301, e. \u0301", "5, 1.5. (7) [8], 9%",
+        "line.\nnext,\nlast.", "line. \nnext", "a,\tb, c", ", ", ". a", "<|endoftext|>, q. <|endoftext|>.", "_a_, __, a__ b_.", "x" * 3000 + "." * 3000 + " y", "\ud7ff, \ufeff. \u200b, a\u200b. 𝐀, 𝐀.",
+    ]
+    for text in [*hard, *[h + "\n" + h + " " + h for h in hard]]:
+        assert np.frombuffer(encoder.ids(text), "<u4").tolist() == plain(text)
+    together, bounds = encoder.laid(pa.array([*hard, None, "", *ODD]))
+    assert [together[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [plain(t) for t in [*hard, "", "", *ODD]]
+
+
 def check(found, rows, plain, length):
     """Each id in exactly one piece, sequences without gaps, none too long."""
     want = sorted((str(d), tuple([*plain(t), 0])) for d, t in rows)
