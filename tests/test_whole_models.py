@@ -42,3 +42,10 @@ def test_predictions_add_up_all_trees_of_whole_models(spark, lines, asked):
     assert asked == [(150, 5)] and len(got) == 40
     for r in got:
         assert (r.X_CO2, r.Y_MeOH) == pytest.approx((WHOLE, WHOLE))
+
+
+def test_routed_methanol_is_answered_by_all_trees_of_whole_models(spark, lines, asked):
+    got = {r.model_used: r for r in named.boost_route(spark, lines).collect()}
+    assert asked == [(150, 5)] and set(got) == {model.ML_NAME, model.RULE_NAME}
+    assert got[model.ML_NAME].n_points == got[model.RULE_NAME].n_points == 20
+    assert (got[model.ML_NAME].mean_yield, got[model.ML_NAME].mean_carbon) == pytest.approx((WHOLE, round(WHOLE * model.CARBON_FACTOR, 1)))
